@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from hazeline.llm import quality
+import re
 
-_MODULES = (quality,)
+from hazeline.llm import quality, token_counts, token_files
 
-QUERIES = {name: getattr(m, name) for m in _MODULES for name in dir(m) if name.startswith("op") and name[2:3].isdigit()}
+_MODULES = (quality, token_counts, token_files)
+
+QUERIES = {name: getattr(m, name) for m in _MODULES for name in dir(m) if re.match(r"op\d+_", name)}
 SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "SQL", {}).items()}
