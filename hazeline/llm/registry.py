@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from hazeline.llm import jaccard, language, mixing, neighbours, quality, substrings, token_counts, token_files
+from hazeline.llm import jaccard, language, mixing, neighbours, pieces, quality, substrings, token_counts, token_files
 
-_MODULES = (jaccard, language, mixing, neighbours, quality, substrings, token_counts, token_files)
+_MODULES = (jaccard, language, mixing, neighbours, pieces, quality, substrings, token_counts, token_files)
 
 QUERIES = {name: getattr(m, name) for m in _MODULES for name in dir(m) if re.match(r"op\d+_", name)}
 SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "SQL", {}).items()}
