@@ -158,8 +158,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that pass."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    """Pipeline stage: the documents that pass.
+
+    A filter on kept alone would be pushed below the projections, where it would hold a copy of every
+    statistic for each of its uses; it isn't pushed below a column that isn't deterministic.
+    """
+    ruled = quality_rules(docs).withColumn("_row", F.monotonically_increasing_id())
+    return ruled.filter(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
 
 
 _W = "[^\\x20\\x09-\\x0D]+"
