@@ -110,14 +110,15 @@ def _steps(symbols: np.ndarray, n_codes: int) -> np.ndarray:
 
 def fit(labelled: DataFrame) -> Model:
     """A model of labelled (doc_id, text, lang), from a bounded sample of it."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.withColumn("at", F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")))
-    # First within each of many hash ranges, then over them: no task sorts the rows of a language.
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    ids = rows.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")).alias("at"))
+    # First within each of many hash ranges, then over them: no task sorts the ids of a language. Texts are
+    # joined to the few ids that remain, MODEL_DOCS a language.
     salted = Window.partitionBy("lang", F.pmod("at", F.lit(61))).orderBy("at", "doc_id")
-    few = rows.withColumn("n", F.row_number().over(salted)).filter(F.col("n") <= MODEL_DOCS)
+    few = ids.withColumn("n", F.row_number().over(salted)).filter(F.col("n") <= MODEL_DOCS)
     by_lang = Window.partitionBy("lang").orderBy("at", "doc_id")
-    few = few.select("lang", "at", "doc_id", "text").withColumn("n", F.row_number().over(by_lang))
-    sample = few.filter(F.col("n") <= MODEL_DOCS).select("lang", "n", "text").orderBy("lang", "n").collect()
+    few = few.withColumn("n", F.row_number().over(by_lang)).filter(F.col("n") <= MODEL_DOCS).drop("at")
+    sample = rows.join(F.broadcast(few), ["lang", "doc_id"]).select("lang", "n", "text").orderBy("lang", "n").collect()
     per: dict[str, list[str]] = {}
     for r in sample:
         per.setdefault(r["lang"], []).append(r["text"])
