@@ -16,7 +16,10 @@ document takes a block of its own.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -66,6 +69,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+#: White space other than the space and the line end; texts that hold it are encoded whole.
+ODD_SPACE = re.compile(r"[^\S \n]")
+assert sys.byteorder == "little", "ids are written as the machine holds them"
+
+
 class UnitEncoder:
     """Ids of whole texts as little-endian bytes by the tokenizers library.
 
@@ -75,35 +83,32 @@ class UnitEncoder:
     some at an end, are encoded whole.
     """
 
-    def __init__(self, name: str, most: int = 600_000):
-        self.name, self.most, self.known = name, most, {}
-        self.width = np.dtype("<u2") if tokenizer(name).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+    def __init__(self, name: str, most: int = 1_000_000):
+        self.name, self.most = name, most
+        self.known: dict[str, bytes] = {}  # by unit, for units that follow a space
+        self.wide = tokenizer(name).get_vocab_size() > 1 << 16
+        self.width = np.dtype("<u4") if self.wide else np.dtype("<u2")
 
     def library(self, xs: list[str]) -> list[bytes]:
         found = tokenizer(self.name).encode_batch_fast(xs, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.width).tobytes() for e in found]
+        kind = "I" if self.wide else "H"
+        return [array(kind, e.ids).tobytes() for e in found]
 
     def encode(self, xs: list[str]) -> list[bytes]:
-        units: list[list[str] | None] = []
+        odd = [bool(not x or x[0].isspace() or x[-1].isspace() or "  " in x or " \n" in x or "\n " in x or ODD_SPACE.search(x)) for x in xs]
+        parts = [None if o else x.split(" ") for x, o in zip(xs, odd, strict=True)]
         new: set[str] = set()
-        for x in xs:
-            parts = x.split(" ")
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-                units.append(None)
-                continue
-            if len(parts) > 1:
-                parts[1:] = [" " + p for p in parts[1:]]
-            units.append(parts)
-            new.update(parts)
+        new.update(*[p[1:] for p in parts if p])
         if len(self.known) > self.most:
             self.known = {}
         missing = list(new.difference(self.known))
         for start in range(0, len(missing), 20_000):
             few = missing[start : start + 20_000]
-            self.known.update(zip(few, self.library(few), strict=True))
-        whole = iter(self.library([x for x, u in zip(xs, units, strict=True) if u is None]))
+            self.known.update(zip(few, self.library([" " + x for x in few]), strict=True))
+        # Texts that can't be cut, and the first units of the others.
+        rest = iter(self.library([x if p is None else p[0] for x, p in zip(xs, parts, strict=True)]))
         get = self.known.__getitem__
-        return [next(whole) if u is None else b"".join(map(get, u)) for u in units]
+        return [next(rest) if p is None else next(rest) + b"".join(map(get, p[1:])) for p in parts]
 
 
 _encoders: dict[str, UnitEncoder] = {}
