@@ -1 +1 @@
-"""Part of hazeline."""
+"""Operators: functions from DataFrames to DataFrames."""
