@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from hazeline.operators import resample as R
@@ -32,9 +34,15 @@ def daily_counts(v):
 _REPS = 200
 
 
+def _weighted_metrics(names: list[str], rows: str, by: str) -> str:
+    """sql_metrics of rows that stand for n samples each, not rounded."""
+    text = re.sub(r"count\(\*\) filter \((where y_cls=\d and pred=\d)\)", r"coalesce(sum(n) filter (\1),0)", sql_metrics(names, rows, by))
+    return text.replace("round(cast(", "(cast(").replace(" as double),6)", " as double))")
+
+
 @query("j2_bootstrap_dates", f"""with c as (select source, day(valid_time) as day, y_cls, pred, count(*) as n from {SCORED} s group by all), {_draws('c', _REPS, 'dates')},
 w as (select rep, source, y_cls, pred, sum(n*times) as n from c join drw using (day) group by all),
-m as ({sql_metrics(["accuracy", "low_vis_csi"], "w", "rep, source").replace("count(*) filter (where", "sum(n) filter (where").replace("round(cast(", "(cast(").replace(" as double),6)", " as double))")}),
+m as ({_weighted_metrics(["accuracy", "low_vis_csi"], "w", "rep, source")}),
 l as (select rep, source, 'accuracy' as metric, accuracy as v from m union all select rep, source, 'low_vis_csi', low_vis_csi from m),
 d as (select a.source, a.metric, a.v-b.v as d from l a join l b on a.rep=b.rep and a.metric=b.metric and b.source='A' and a.source<>'A')
 select source, metric, round(avg(d),6) as mean, round(quantile_cont(d,0.025),6) as low, round(quantile_cont(d,0.975),6) as high, round(1.0e0*count(*) filter (where d>0)/count(*),6) as p_positive, count(*) as n_rep from d group by 1,2""")
