@@ -125,8 +125,8 @@ def _sorted_rows(keys: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes batches of texts; decisions on pairs and the ids of units are remembered within bounds."""
 
-    def __init__(self, v: Vocabulary, most_units: int = 400_000, log_pairs: int = 21):
-        self.v, self.most_units, self.units = v, most_units, {}
+    def __init__(self, v: Vocabulary, most_units: int = 400_000, most_characters: int = 200_000, log_pairs: int = 21):
+        self.v, self.most_units, self.most_characters, self.units = v, most_units, most_characters, {}
         self.shift = np.uint64(64 - log_pairs)
         self.pair_at = np.full(1 << log_pairs, -1, np.int64)
         self.pair_ok = np.zeros(1 << log_pairs, bool)
@@ -269,8 +269,12 @@ class Encoder:
         if len(self.units) > self.most_units:
             self.units = {}
         new = list({u for us in split for u in us}.difference(self.units))
-        if new:
-            self.units.update(zip(new, self.encode_units(new), strict=True))
+        start = size = 0
+        for i, u in enumerate(new, 1):  # edges take some hundred bytes a character
+            size += len(u)
+            if size >= self.most_characters or i == len(new):
+                self.units.update(zip(new[start:i], self.encode_units(new[start:i]), strict=True))
+                start, size = i, 0
         return [b"".join(map(self.units.__getitem__, us)) for us in split]
 
 
@@ -310,7 +314,7 @@ def _encode(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     if name not in _encoders:
         _encoders[name] = Encoder(vocabulary(name))  # lives as long as the worker
     for batch in batches:
-        for part in runs_of_rows(batch, "text", 1 << 21):
+        for part in runs_of_rows(batch, "text", 1 << 20):
             ids = _encoders[name].encode(texts(part, "text"))
             yield part.append_column("ids", pa.array(ids, pa.binary()))
 
@@ -332,12 +336,18 @@ def decoded(docs: DataFrame, name: str = MODEL) -> DataFrame:
     return docs.mapInArrow(partial(_decode, name), docs.withColumn("decoded", F.lit("")).schema)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = [len(x) // 4 for x in batch.column("ids").to_pylist()]
-        crc = [zlib.crc32(x.as_buffer()) for x in batch.column("ids")]
+def _round_trips(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Encodes and decodes in one worker, so that a task holds one set of tables."""
+    for batch in _decode(name, _encode(name, batches)):
+        ids = batch.column("ids")
+        same = [x.replace(SIGN, " ") == y for x, y in zip(texts(batch, "text"), batch.column("decoded").to_pylist(), strict=True)]
         yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), batch.column("round_trip")],
+            [
+                batch.column("doc_id"),
+                pa.array([len(x.as_buffer() or b"") // 4 for x in ids], pa.int64()),
+                pa.array([zlib.crc32(x.as_buffer()) for x in ids], pa.int64()),
+                pa.array(same),
+            ],
             names=["doc_id", "n_tokens", "ids_crc32", "round_trip"],
         )
 
@@ -345,25 +355,17 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(docs: DataFrame, name: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) and round_trip: whether the
     decoded ids give the text again."""
-    both = decoded(encoded(docs.select("doc_id", "text"), name), name)
-    text = F.translate(F.coalesce("text", F.lit("")), SIGN, " ")
     kind = dict(docs.dtypes)["doc_id"]
-    checked = both.select("doc_id", "ids", (text == F.col("decoded")).alias("round_trip"))
-    return checked.mapInArrow(_digests, f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean")
+    schema = f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean"
+    return docs.select("doc_id", "text").mapInArrow(partial(_round_trips, name), schema)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
-def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with their ids as an array."""
-    both = encoded(docs.select("doc_id", "source", "text"))
-    return both.mapInArrow(_arrays, "doc_id long, source string, n_tokens long, ids array<int>")
-
-
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _id_arrays(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _encode(name, batches):
         rows = batch.column("ids").to_pylist()
         n = np.array([len(x) // 4 for x in rows], np.int64)
         flat = pa.array(np.frombuffer(b"".join(rows), "<i4"))
@@ -371,3 +373,10 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             [batch.column("doc_id"), batch.column("source"), pa.array(n), ids], names=["doc_id", "source", "n_tokens", "ids"]
         )
+
+
+def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents with their ids as an array."""
+    kinds = dict(docs.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, source {kinds['source']}, n_tokens long, ids array<int>"
+    return docs.select("doc_id", "source", "text").mapInArrow(partial(_id_arrays, MODEL), schema)
