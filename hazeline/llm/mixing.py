@@ -176,12 +176,13 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, rounded up to whole documents."""
-    taken = mixed_sizes(docs).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "size", "taken")
-    taken = taken.filter(F.col("taken") > 0).groupBy("_d", "_s", "size").agg(F.ceil(F.avg(F.col("taken") / F.col("size"))).alias("_n"))
+    taken = mixed_sizes(docs).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "taken")
+    share = F.ceil(F.avg(F.col("taken") / F.col("_z")))
+    taken = taken.filter(F.col("taken") > 0).groupBy("_d", "_s", "_z").agg(share.cast("int").alias("_n"))
     rows = docs.withColumn("_size", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("size"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
     rows = rows.join(taken.hint("shuffle_hash"), same)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 
 SQL = {
