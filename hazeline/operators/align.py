@@ -156,25 +156,31 @@ def _candidates(stations: DataFrame, grid: DataFrame, reach: float) -> DataFrame
     return s.join(g, ["_a", "_b"]).withColumn("d", d).filter(F.col("d") <= reach).drop("_a", "_b")
 
 
-def knn_weights(stations: DataFrame, grid: DataFrame, k: int = 4, eps: float = 1e-6, reach: float = 2.0) -> DataFrame:
+def knn_weights(stations: DataFrame, grid: DataFrame, k: int = 4, eps: float = 1e-6) -> DataFrame:
     """station_id, gi, gj, w: the k nearest cells by degrees and their normalised weights 1 / max(d, eps)^2.
 
-    The ring of candidates is doubled for the stations that have fewer than k in it, until it covers the grid.
+    The reach of a station is its distance to the grid's box and a few cells more, rounded up to a power of two; on a grid
+    with holes it is doubled for the stations that find fewer than k cells.
     """
-    grid = grid.select("gi", "gj", "lat", "lon")
-    box = grid.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon"), F.count("*")).first()
-    k = min(k, box[4])
-    widest = 2 * (math.hypot(box[1] - box[0], box[3] - box[2]) + 360)
-    found, rest = None, stations
-    while True:
-        some = _candidates(rest, grid, reach)
+    grid = grid.select("gi", "gj", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    s0, s1, w0, w1, n = grid.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon"), F.count("*")).first()
+    k = min(k, n)
+    cell = math.sqrt(max((s1 - s0) * (w1 - w0), 1e-6) / n)
+    out = lambda c, lo, hi: F.greatest(F.lit(lo) - F.col(c), F.col(c) - F.lit(hi), F.lit(0.0))
+    need = F.hypot(out("lat", s0, s1), out("lon", w0, w1)) + 1.5 * cell * (math.sqrt(k) + 2)
+    rest = stations.withColumn("_class", F.ceil(F.log2(need)).cast("int")).cache()
+    found = None
+    while classes := sorted(r[0] for r in rest.select("_class").distinct().collect()):  # powers of two of degrees: a dozen at most
+        some = None
+        for c in classes:
+            part = _candidates(rest.filter(F.col("_class") == c), grid, 2.0**c)
+            some = part if some is None else some.union(part)
         full = some.groupBy("station_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= k)
         part = some.join(full, "station_id", "left_semi").select("station_id", "gi", "gj", "d")
         found = part if found is None else found.union(part)
-        rest = rest.join(full, "station_id", "left_anti")
-        if reach > widest or not rest.limit(1).count():
-            break
-        reach *= 2
+        rest = rest.join(full, "station_id", "left_anti").withColumn("_class", F.col("_class") + 1).cache()
+    if found is None:
+        found = _candidates(stations, grid, 1.0).select("station_id", "gi", "gj", "d")
     order = Window.partitionBy("station_id").orderBy("d", "gi", "gj")
     best = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
     w = F.lit(1.0) / F.pow(F.greatest(F.col("d"), F.lit(eps)), 2.0)
