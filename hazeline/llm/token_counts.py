@@ -96,6 +96,7 @@ def token_counts(docs: DataFrame, cache: str | None = None, name: str = TOKENIZE
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest"))
     misses = whole.join(first, same, "left_semi").select("digest", "text")
     fresh = misses.mapInArrow(_encode(name, version), CACHE)
+    fresh = fresh.groupBy("digest", "version").agg(F.max("n_tokens").alias("n_tokens"))  # rows equal in id and text
     fresh.write.mode("append").parquet(cache)
 
     # A folder that two runs grew at once can hold a digest twice; the counts are the same.

@@ -201,6 +201,6 @@ def test_warc_records(spark, tmp_path):
     assert "outlink: /y" in one["metadata"]["block"] and "source-status: 200" in one["metadata"]["block"]
     assert "WARC-Target-URI" not in records.filter("page_id = 2").first()["headers"]
     warc.write_warc(records, str(tmp_path / "w"))
-    text = "".join(r["value"] for r in spark.read.option("wholetext", True).text(str(tmp_path / "w")).collect())
+    text = "".join(r["value"] for r in spark.read.text(str(tmp_path / "w"), wholetext=True).collect())
     assert text.count("WARC/1.1\r\n") == 8 and text.endswith("\r\n\r\n")
     assert warc.derivatives(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
