@@ -106,7 +106,8 @@ def _sql_daily() -> str:
 def daily(v):
     df = sample(v)
     maps = {r: P.donors(df, "sample_id", f"r{r}") for r in (1, 2)}
-    return R.permutation_importance(df, score, "sample_id", {"x1": ["x1"], "x2": ["x2"]}, maps)
+    # One row a feature, repeat and date, read several times.
+    return R.permutation_importance(df, score, "sample_id", {"x1": ["x1"], "x2": ["x2"]}, maps).cache()
 
 
 _SC = "coalesce(1.0e0*sum(tp)/nullif(sum(tp)+sum(fp)+sum(fn),0),0) as csi, sum(sq_error)/sum(n) as brier"
