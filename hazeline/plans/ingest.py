@@ -59,9 +59,9 @@ def manifest(v):
     return station.parse_cycle_manifest(v.sql(_FILES), 2025)
 
 
-@query("a4_parse_cycle_manifest", _MANIFEST)
+@query("a4_parse_cycle_manifest", f"select strftime(init_time,'%Y-%m-%d %H:%M:%S') as init_time, strftime(valid_time,'%Y-%m-%d %H:%M:%S') as valid_time, variable, path from ({_MANIFEST}) m")
 def cycles(v):
-    return manifest(v)
+    return manifest(v).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("init_time", "valid_time")})
 
 
 _ALIASES = "(values ('T_925','t925'),('RH_925','rh925'),('R','r'),('PRECIP','tp')) as a(name, pattern)"
@@ -88,10 +88,10 @@ def overlap(v):
     return station.variable_overlap(usable, v.spark.sql(f"select * from {_WANTED}"))
 
 
-@query("a7_read_predictions", "select source, sample_id, station_id, valid_time, y_cls, vis_m, round(p_fog,6) as p_fog, round(p_mist,6) as p_mist, round(p_clear,6) as p_clear from v_pred")
+@query("a7_read_predictions", "select source, sample_id, station_id, cast(cast(valid_time as date) as varchar) as valid_time, y_cls, vis_m, round(p_fog,6) as p_fog, round(p_mist,6) as p_mist, round(p_clear,6) as p_clear from v_pred")
 def predictions(v):
     unique = v.v_pred.dropDuplicates(["source", "sample_id"])
-    return station.checked_predictions(unique).withColumns({p: F.round(p, 6) for p in ("p_fog", "p_mist", "p_clear")})
+    return station.checked_predictions(unique).withColumns({p: F.round(p, 6) for p in ("p_fog", "p_mist", "p_clear")} | {"valid_time": F.col("valid_time").cast("date").cast("string")})
 
 
 @query("a10_paired_predictions", """

@@ -209,11 +209,11 @@ def classes(v):
     return out.select(*[F.round(c, 6).alias(c) if c[:3] in ("rat", "vis") else c for c in out.columns])
 
 
-@query("i16_daily_event_stats", f"""select source, cast(valid_time as date) as day, count(*) filter (where y_cls<=1 and pred<=1) as tp, count(*) filter (where y_cls>1 and pred<=1) as fp,
+@query("i16_daily_event_stats", f"""select source, cast(cast(valid_time as date) as varchar) as day, count(*) filter (where y_cls<=1 and pred<=1) as tp, count(*) filter (where y_cls>1 and pred<=1) as fp,
   count(*) filter (where y_cls<=1 and pred>1) as fn, count(*) filter (where y_cls>1 and pred>1) as tn,
   round(sum(pow(p_fog+p_mist-case when y_cls<=1 then 1 else 0 end,2)),6) as sq_error, count(*) as n from {SCORED} s group by 1,2""")
 def daily(v):
-    return V.daily_event_stats(scored(v), F.col("valid_time").cast("date")).withColumn("sq_error", F.round("sq_error", 6))
+    return V.daily_event_stats(scored(v), F.col("valid_time").cast("date")).withColumns({"sq_error": F.round("sq_error", 6), "day": F.col("day").cast("string")})
 
 
 _REF = "(select s.source, month(s.valid_time) as m, s.p_fog as value, r.p_fog as ref from v_pred s join v_pred r on s.sample_id=r.sample_id and r.source='A' and s.source<>'A')"
