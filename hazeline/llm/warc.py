@@ -23,6 +23,8 @@ from hazeline.llm.common import table
 CRLF = "\r\n"
 #: Elements whose content isn't text (fixed values of the HTML standard).
 HIDDEN = ("script", "style", "noscript", "template", "svg")
+#: All of them in one pass over the page.
+_HIDDEN = "(?is)<(?:" + "|".join(rf"{name}(?:\s[^>]*)?>.*?(?:</{name}\s*>|\z)" for name in HIDDEN) + ")"
 BLOCKS = (
     "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|"
     "html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
@@ -53,8 +55,7 @@ def _quoted(replacement: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """The text of an HTML page; empty for null."""
     t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?(?:-->|\z)", "")
-    for name in HIDDEN:
-        t = F.regexp_replace(t, rf"(?is)<{name}(?:\s[^>]*)?>.*?(?:</{name}\s*>|\z)", "")
+    t = F.regexp_replace(t, _HIDDEN, "")
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCKS})(?:[\s/][^>]*)?>", "\n")
     t = F.regexp_replace(t, r"<[!/?A-Za-z][^>]*>", "")
     t = F.when(t.contains("&#"), _numeric_entities(t)).otherwise(t)
@@ -169,8 +170,7 @@ def _sql() -> str:
         return f"regexp_replace({x}, '{pattern}', {to}, 'g')"
 
     t = replaced("p", r"(?s)<!--.*?(?:-->|\z)", "''")
-    for name in HIDDEN:
-        t = replaced(t, rf"(?is)<{name}(?:\s[^>]*)?>.*?(?:</{name}\s*>|\z)", "''")
+    t = replaced(t, _HIDDEN, "''")
     t = replaced(t, rf"(?i)</?(?:{BLOCKS})(?:[\s/][^>]*)?>", "chr(10)")
     t = replaced(t, r"<[!/?A-Za-z][^>]*>", "''")
     e = (
