@@ -104,7 +104,8 @@ def _features(cols: dict[str, str], frm: str = "v_met") -> str:
 
 
 def _rounded(df):
-    return df.select("station_id", "h", *[(F.round(c, 5) + 0.0).alias(c) for c in df.columns[2:]])
+    """Five digits; scaled first, as rounding to digits takes ties (products of short decimals) by their decimal text."""
+    return df.select("station_id", "h", *[(F.round(F.col(c) * 1e5) / 1e5 + 0.0).alias(c) for c in df.columns[2:]])
 
 
 _NATIVE = {
