@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import pieces, shared_dir, table, texts
+from hazeline.llm.common import pieces, shared_dir, stored, table, texts
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -101,7 +101,8 @@ def token_counts(docs: DataFrame, cache: str | None = None, name: str = TOKENIZE
 
     # A folder that two runs grew at once can hold a digest twice; the counts are the same.
     known = spark.read.schema(CACHE).parquet(cache).filter(F.col("version") == F.lit(version))
-    counts = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Stored, as Spark splits a text with very many copies only where both sides of a join are plain shuffles.
+    counts = stored(known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keys.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
