@@ -10,9 +10,9 @@ from hazeline.operators import derive as D
 from hazeline.operators import series as S
 from hazeline.registry import query
 
-# Minutes of January: every 40th minute of the axis against every 110th.
-_L = "select station_id, h*60 as t, t2m_k from v_field where h%2=0"
-_R = "select station_id, h*60+(h%7)*10-30 as t, case when h%5=0 then null else q_gkg end as q from v_field where h%3=0"
+# Minutes of January; every odd hour is 35 minutes late on the left (some ties), ten hours in 240 are far off the axis on the right (no match).
+_L = "select station_id, h*60+(h%2)*35 as t, t2m_k from v_field"
+_R = "select station_id, h*60+(h%5)*10-20+case when h%240>=230 then 100000 else 0 end as t, case when h%5=0 then null else q_gkg end as q from v_field"
 _ASOF = """c as (select l.t, r.t as r, row_number() over (partition by l.t order by abs(l.t-r.t), r.t desc) as k from (select distinct t from l) l join (select distinct t from r) r on abs(l.t-r.t)<=90),
 m as (select t, r as match from c where k=1)"""
 
@@ -146,7 +146,8 @@ def level(v):
     return A.level_select(v.sql(_LEVELS), ["station_id", "h"], "lev", 925.0, "x")
 
 
-_RUNS = "select h-h%24-case when h%24<12 then 12 else 0 end as init_h, h as valid_h, station_id, t2m_k from v_field where h%5<>0"
+# Hours 100 to 103 lie off the axis (no file), every fifth value is missing.
+_RUNS = "select h-h%24-case when h%24<12 then 12 else 0 end as init_h, h+case when h between 100 and 103 then 1000 else 0 end as valid_h, station_id, case when h%5=0 then null else t2m_k end as t2m_k from v_field"
 
 
 @query("e15_cycle_stitch", f"with r as ({_RUNS}) select s.h, s.h-s.h%24-case when s.h%24<12 then 12 else 0 end as init_h, s.h%24+case when s.h%24<12 then 12 else 0 end as lead, r.station_id, r.t2m_k from (select distinct h from v_spine) s left join r on r.valid_h=s.h")
@@ -168,13 +169,12 @@ def check(v):
 _SWAP = lambda c, d: f"case when variant in ('{c}','all') then {d} else f.{c} end"
 
 
-@query("e18_donor_swap", """with f as (select station_id, h, u10, v10 from v_met), w as (select a.station_id, a.h, k.lag, l.u10, l.v10, l.h as lh from f a join (select unnest(range(-11,1)) as lag) k on true join f l on l.station_id=a.station_id and l.h=a.h+k.lag
-  where a.h%100=99),
+@query("e18_donor_swap", """with f as (select station_id, h, u10, v10 from v_met), w as (select a.station_id, a.h, k.lag, l.u10, l.v10, l.h as lh from f a join (select unnest(range(-11,1)) as lag) k on true join f l on l.station_id=a.station_id and l.h=a.h+k.lag),
 full_w as (select station_id, h from w group by 1,2 having count(*)=12)
 select w.station_id, w.h, variant, round(sum(case when variant in ('u10','all') then w.v10 else w.u10 end*(lag+12)),6) as u, round(sum(case when variant in ('v10','all') then w.u10 else w.v10 end*(lag+12)),6) as v
 from w join full_w using (station_id, h), (select unnest(['u10','v10','all']) as variant) x group by 1,2,3""")
 def swap(v):
-    w = S.sliding_window(v.v_met.select("station_id", "h", "u10", "v10"), ["u10", "v10"]).filter("h % 100 = 99").select("station_id", "h", "win")
+    w = S.sliding_window(v.v_met.select("station_id", "h", "u10", "v10"), ["u10", "v10"]).select("station_id", "h", "win")
     donor = w.withColumn("win", F.transform("win", lambda s: s.withField("u10", s["v10"]).withField("v10", s["u10"])))
     out = A.donor_swap(w, donor, ["station_id", "h"], "win", ["u10", "v10"])
     total = lambda c: F.round(F.aggregate(F.transform("win", lambda s, i: s[c] * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6)

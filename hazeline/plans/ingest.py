@@ -38,15 +38,15 @@ def axes(v):
     return station.axis_differences([v.v_field, v.v_obs])
 
 
-# Files of orders: two runs a day with names as the archive has them.
+# Files of orders: two runs a day with names as the archive has them; the names have no year, so leap days count as the day before.
 _FILES = """
 select concat('/in/', cast(n as varchar(20)), '/XXX', i, w, '1_', var, '.nc') as path from (
-  select o_orderkey % 7 as n, lpad(cast(month(o_orderdate) as varchar(2)),2,'0') || lpad(cast(day(o_orderdate) as varchar(2)),2,'0') ||
+  select o_orderkey % 7 as n, lpad(cast(month(o_orderdate) as varchar(2)),2,'0') || lpad(cast(d as varchar(2)),2,'0') ||
       case when o_orderkey%2=0 then '0000' else '1200' end as i,
-    lpad(cast(month(o_orderdate) as varchar(2)),2,'0') || lpad(cast(day(o_orderdate) as varchar(2)),2,'0') ||
+    lpad(cast(month(o_orderdate) as varchar(2)),2,'0') || lpad(cast(d as varchar(2)),2,'0') ||
       lpad(cast(12+o_orderkey%12 as varchar(2)),2,'0') || '00' as w,
     case o_orderkey%3 when 0 then 't925' when 1 then 'rh925' else 'tp' end as var
-  from orders where day(o_orderdate) < 29) f"""
+  from (select *, least(day(o_orderdate), case when month(o_orderdate)=2 then 28 else 31 end) as d from orders) o) f"""
 _MANIFEST = f"""
 select make_timestamp(2025, cast(substr(b,1,2) as int), cast(substr(b,3,2) as int), cast(substr(b,5,2) as int), cast(substr(b,7,2) as int), 0.0) as init_time,
   make_timestamp(2025, cast(substr(e,1,2) as int), cast(substr(e,3,2) as int), cast(substr(e,5,2) as int), cast(substr(e,7,2) as int), 0.0) as valid_time,
