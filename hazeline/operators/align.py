@@ -201,10 +201,18 @@ def idw_radius(stations: DataFrame, grid: DataFrame, field: DataFrame, keys: Seq
     field, the field's mean (0 if it has none).
     """
     near = _candidates(stations, grid.select("gi", "gj", "lat", "lon"), reach).select("station_id", "gi", "gj", "d")
+    near = near.withColumn("_place", F.row_number().over(Window.partitionBy("station_id").orderBy("d", "gi", "gj")))
+    near = near.withColumn("_all", F.count("*").over(Window.partitionBy("station_id"))).cache()
     held = field.filter(F.col(value).isNotNull()).select(*keys, "gi", "gj", value)
     means = field.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(value).alias("_cells"))
     order = Window.partitionBy(*keys, "station_id").orderBy("d", "gi", "gj")
-    best = held.join(near, ["gi", "gj"]).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    # The 2k nearest cells, and all within reach only where those hold fewer than k values.
+    first = near.filter(F.col("_place") <= 2 * k)
+    short = field.select(*keys, "gi", "gj", F.col(value).isNotNull().cast("int").alias("_held")).join(first.filter(F.col("_all") > 2 * k), ["gi", "gj"])
+    short = short.groupBy(*keys, "station_id").agg(F.sum("_held").alias("_n")).filter(F.col("_n") < k).select(*keys, "station_id")
+    rest = near.filter(F.col("_place") > 2 * k).join(short, "station_id").join(held, [*keys, "gi", "gj"])
+    columns = [*keys, "station_id", "gi", "gj", "d", value]
+    best = held.join(first, ["gi", "gj"]).select(columns).union(rest.select(columns)).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
     w = F.lit(1.0) / F.pow(F.greatest(F.col("d"), F.lit(1e-12)), power)
     at = F.avg(F.when(F.col("d") < 0.01, F.col(value)))
     some = best.groupBy(*keys, "station_id").agg(F.coalesce(at, F.sum(w * F.col(value)) / F.sum(w)).alias("_v"))

@@ -120,7 +120,7 @@ def static(v):
 
 _KNN = """d as (select station_id, gi, gj, sqrt(pow(g.lat-s.lat,2)+pow(g.lon-s.lon,2)) as d from v_station s, v_grid g),
 n as (select *, row_number() over (partition by station_id order by d, gi, gj) as r, 1/pow(greatest(d,1e-6),2) as w from d)"""
-_GF = "select gi, gj, t, case when (gi+gj+t)%17=0 then null else elev_m+t*10.0e0 end as x from v_grid cross join (select distinct h%4 as t from v_field) k"
+_GF = "select gi, gj, t, case when (gi+gj+t)%17=0 then null else elev_m+t*10.0e0 end as x from v_grid cross join (select distinct h as t from v_spine) k"
 
 
 @query("e12_idw_knn", f"with {_KNN}, q as (select *, w/sum(w) over (partition by station_id) as wn from n where r<=4), f as ({_GF}) select t, station_id, round(case when count(x)>=4 then sum(wn*x) end,6) as x from f join q on q.gi=f.gi and q.gj=f.gj group by 1,2")

@@ -22,10 +22,13 @@ select station_id, h, 273.0e0+((station_id*7+h*13)%97)/4.0e0 as t2m_k, 1000.0e0+
   case when (station_id+h)%50=0 then null else ((station_id*17+h*3)%64)/64.0e0 end as rh_frac,
   cast((h%12)*((station_id%4)+1) as double)/8.0e0 as precip_acc
 from v_spine""",
+    # A cell a part: the box stays, the spacing shrinks with the number of parts. The rectangle is full: its rows are the largest
+    # divisor of that number up to sqrt(n/1.25) (40 x 50 cells for 2,000, 125 x 160 for 20,000).
     "v_grid": """
-select cast(floor(p_partkey/50.0e0) as int) as gi, cast(p_partkey%50 as int) as gj, 17.0e0+floor(p_partkey/50.0e0)*0.75e0 as lat,
-  74.0e0+(p_partkey%50)*1.125e0 as lon, p_size*20.0e0+(p_partkey%97) as elev_m, 1+p_size%20 as veg
-from part where p_partkey<2000""",
+select gi, gj, 17.0e0+gi*(30.0e0/gr) as lat, 74.0e0+gj*(56.25e0/gc) as lon, elev_m, veg
+from (select cast(floor(p_partkey/(gc*1.0e0)) as int) as gi, cast(p_partkey%gc as int) as gj, p_size*20.0e0+(p_partkey%97) as elev_m, 1+p_size%20 as veg, gr, gc
+  from part cross join (select max(p_partkey) as gr, cast(max(m)/max(p_partkey) as bigint) as gc
+    from part cross join (select max(p_partkey)+1 as m from part) a where p_partkey>0 and p_partkey*p_partkey*1.25e0<=m and m%p_partkey=0) k) g""",
     "v_pred": """
 select source, sample_id, station_id, valid_time, y_cls, vis_m, w0/(w0+w1+w2) as p_fog, w1/(w0+w1+w2) as p_mist, w2/(w0+w1+w2) as p_clear
 from (select src as source, concat(cast(l_orderkey as varchar(20)),'-',cast(l_linenumber as varchar(20)),'-',

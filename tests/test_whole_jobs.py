@@ -1,8 +1,13 @@
 """Queries work on all rows of their input."""
 
+import math
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from hazeline import registry
+from hazeline.operators import align as joins
 from hazeline.plans import align, audit, ingest
 from hazeline.views import Data
 
@@ -38,3 +43,34 @@ def test_donor_swap_covers_every_complete_window(spark):
     got = registry.queries()["e18_donor_swap"](spark, SMALL).collect()
     assert len(got) == len(want) > 0
     assert {(r["station_id"], r["h"], r["variant"]): (r["u"], r["v"]) for r in got} == want
+
+
+def test_grid_has_a_cell_a_part_and_the_field_all_hours(spark):
+    v = Data(spark, "/root/testdata/sf0.1")
+    g = v.v_grid.agg(F.count("*").alias("n"), F.count_distinct("gi", "gj").alias("k"), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    assert g[0] == g[1] == v.table("part").count() > 2000
+    assert 17 == g[2] and g[3] < 47 and 74 == g[4] and g[5] < 130.25
+    assert v.v_grid.agg(F.count_distinct("gi") * F.count_distinct("gj")).first()[0] == g[0]
+    assert registry.queries()["d10_static_features"](spark, v.dir).count() == v.v_station.count()
+    small = Data(spark, SMALL)
+    assert small.sql(align._GF).count() == small.v_grid.count() * small.v_spine.select("h").distinct().count()
+
+
+def test_idw_radius_looks_past_missing_near_cells(spark):
+    """k = 2: the 4 nearest cells lack values at some times, so farther ones count; against brute force."""
+    cells = [(i, j, i * 0.5, j * 0.5) for i in range(8) for j in range(8)]
+    at = {1: (1.6, 1.7), 2: (3.1, 0.2), 3: (0.0, 0.0)}
+    field = [(t, i, j, None if (i * 3 + j * 5 + t) % 8 > t else i * 10.0 + j + t) for t in range(8) for i, j, _, _ in cells]
+    held = {(t, i, j): x for t, i, j, x in field if x is not None}
+    grid = spark.createDataFrame(cells, "gi int, gj int, lat double, lon double")
+    stations = spark.createDataFrame([(s, *p) for s, p in at.items()], "station_id int, lat double, lon double")
+    got = joins.idw_radius(stations, grid, spark.createDataFrame(field, "t int, gi int, gj int, x double"), ["t"], "x", k=2, reach=3.0).collect()
+    far = 0
+    for r in got:
+        a, b = at[r["station_id"]]
+        near = sorted((math.hypot(y - a, x - b), i, j) for i, j, y, x in cells if math.hypot(y - a, x - b) <= 3)
+        far += sum((r["t"], i, j) in held for _, i, j in near[:4]) < 2
+        best = [(d, held[r["t"], i, j]) for d, i, j in near if (r["t"], i, j) in held][:2]
+        on = [x for d, x in best if d < 0.01]
+        assert r["x"] == pytest.approx(sum(on) / len(on) if on else sum(x / d**2 for d, x in best) / sum(1 / d**2 for d, _ in best))
+    assert len(got) == 24 and far
