@@ -11,9 +11,9 @@ _W = "window w as (partition by station_id order by h), l as (partition by stati
 
 
 @query("f1_sliding_window", f"""with a as (select station_id, h, list(t2m) over l as xs, h-lag(h,11) over w as span, row_number() over w as r from v_met {_W})
-select station_id, h, list_sum(xs) as total, xs[1] as oldest, xs[12] as latest from a where len(xs)=12 and span=11 and (r-12)%3=0""")
+select station_id, h, list_sum(xs) as total, xs[1] as oldest, xs[12] as latest from a where len(xs)=12 and span=11""")
 def sliding(v):
-    out = S.sliding_window(v.v_met.select("station_id", "h", "t2m"), ["t2m"], step=3)
+    out = S.sliding_window(v.v_met.select("station_id", "h", "t2m"), ["t2m"])
     total = F.aggregate("win", F.lit(0.0), lambda a, x: a + x["t2m"])
     return out.select("station_id", "h", total.alias("total"), F.col("win")[0]["t2m"].alias("oldest"), F.col("win")[11]["t2m"].alias("latest"))
 

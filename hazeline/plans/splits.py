@@ -78,9 +78,9 @@ def codes(v):
 
 
 @query("b12_pack_row", """with a as (select station_id, h, list(t2m) over l as xs, list(mslp) over l as ys, h-lag(h,11) over w as span, row_number() over w as r, lcc from v_met window w as (partition by station_id order by h), l as (partition by station_id order by h rows between 11 preceding and current row)),
-f as (select * from a where len(xs)=12 and span=11 and (r-12)%12=0)
+f as (select * from a where len(xs)=12 and span=11)
 select station_id, h, name, cast(i-12 as int) as lag, case when name='t2m' then xs[i] else ys[i] end as value from f, (select unnest(range(1,13)) as i) k, (select unnest(['t2m','mslp']) as name) n""")
 def packed(v):
-    w = S.sliding_window(v.v_met.select("station_id", "h", "t2m", "mslp", "lcc"), ["t2m", "mslp"], step=12)
+    w = S.sliding_window(v.v_met.select("station_id", "h", "t2m", "mslp", "lcc"), ["t2m", "mslp"])
     flat = w.select("station_id", "h", N.pack_row(F.col("win"), ["t2m", "mslp"], [F.col("lcc")]).alias("row"))
     return N.unpack_row(flat, "row", ["station_id", "h"], ["t2m", "mslp"])

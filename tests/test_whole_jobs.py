@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hazeline import registry
 from hazeline.operators import align as joins
+from hazeline.operators import series
 from hazeline.plans import align, audit, ingest
 from hazeline.views import Data
 
@@ -74,3 +75,19 @@ def test_idw_radius_looks_past_missing_near_cells(spark):
         on = [x for d, x in best if d < 0.01]
         assert r["x"] == pytest.approx(sum(on) / len(on) if on else sum(x / d**2 for d, x in best) / sum(1 / d**2 for d, _ in best))
     assert len(got) == 24 and far
+
+
+def test_windows_are_of_every_complete_hour(spark):
+    v = Data(spark, SMALL)
+    hours = {(r[0], r[1]) for r in v.v_spine.collect()}
+    whole = {(s, h) for s, h in hours if all((s, h - k) in hours for k in range(12))}
+    found = registry.queries()["f1_sliding_window"](spark, SMALL).select("station_id", "h").collect()
+    assert len(found) == len(whole) and {tuple(r) for r in found} == whole
+    assert registry.queries()["b12_pack_row"](spark, SMALL).count() == 24 * len(whole)
+
+
+def test_a_step_takes_windows_by_position(spark):
+    df = spark.range(40).selectExpr("id % 2 as station_id", "id div 2 as h", "cast(id as double) as x")
+    found = series.sliding_window(df, ["x"], n=4, step=3).select("station_id", "h", F.col("win.x").alias("x")).collect()
+    assert sorted((r[0], r[1]) for r in found) == [(s, h) for s in (0, 1) for h in range(3, 20, 3)]
+    assert all(r["x"] == [2.0 * (r["h"] - k) + r["station_id"] for k in (3, 2, 1, 0)] for r in found)
