@@ -27,11 +27,10 @@ def _draws(rows: str, n_rep: int, seed: str) -> str:
 
 
 def daily_counts(v):
-    # Days of the month keep the table of draws small enough to check by SQL.
-    return scored(v).groupBy("source", F.dayofmonth("valid_time").alias("day"), "y_cls", "pred").agg(F.count("*").alias("n"))
+    return scored(v).groupBy("source", F.col("valid_time").cast("date").alias("day"), "y_cls", "pred").agg(F.count("*").alias("n"))
 
 
-_REPS = 200
+_REPS = 1000  # the operator's default
 
 
 def _weighted_metrics(names: list[str], rows: str, by: str) -> str:
@@ -40,14 +39,14 @@ def _weighted_metrics(names: list[str], rows: str, by: str) -> str:
     return text.replace("round(cast(", "(cast(").replace(" as double),6)", " as double))")
 
 
-@query("j2_bootstrap_dates", f"""with c as (select source, day(valid_time) as day, y_cls, pred, count(*) as n from {SCORED} s group by all), {_draws('c', _REPS, 'dates')},
+@query("j2_bootstrap_dates", f"""with c as (select source, cast(valid_time as date) as day, y_cls, pred, count(*) as n from {SCORED} s group by all), {_draws('c', _REPS, 'dates')},
 w as (select rep, source, y_cls, pred, sum(n*times) as n from c join drw using (day) group by all),
 m as ({_weighted_metrics(["accuracy", "low_vis_csi"], "w", "rep, source")}),
 l as (select rep, source, 'accuracy' as metric, accuracy as v from m union all select rep, source, 'low_vis_csi', low_vis_csi from m),
 d as (select a.source, a.metric, a.v-b.v as d from l a join l b on a.rep=b.rep and a.metric=b.metric and b.source='A' and a.source<>'A')
 select source, metric, round(avg(d),6) as mean, round(quantile_cont(d,0.025),6) as low, round(quantile_cont(d,0.975),6) as high, round(1.0e0*count(*) filter (where d>0)/count(*),6) as p_positive, count(*) as n_rep from d group by 1,2""")
 def dates(v):
-    out = R.bootstrap_dates(daily_counts(v), "A", ["accuracy", "low_vis_csi"], n_rep=_REPS)
+    out = R.bootstrap_dates(daily_counts(v), "A", ["accuracy", "low_vis_csi"])
     return out.select("source", "metric", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "p_positive")], "n_rep")
 
 

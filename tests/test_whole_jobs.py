@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hazeline import registry
 from hazeline.operators import align as joins
 from hazeline.operators import series
-from hazeline.plans import align, audit, ingest
+from hazeline.plans import align, audit, ingest, resample
 from hazeline.views import Data
 
 SMALL = "/root/testdata/sf0.001"
@@ -91,3 +91,10 @@ def test_a_step_takes_windows_by_position(spark):
     found = series.sliding_window(df, ["x"], n=4, step=3).select("station_id", "h", F.col("win.x").alias("x")).collect()
     assert sorted((r[0], r[1]) for r in found) == [(s, h) for s in (0, 1) for h in range(3, 20, 3)]
     assert all(r["x"] == [2.0 * (r["h"] - k) + r["station_id"] for k in (3, 2, 1, 0)] for r in found)
+
+
+def test_bootstrap_draws_dates_a_thousand_times(spark):
+    v = Data(spark, SMALL)
+    dates = v.v_pred.select("valid_time").distinct().count()
+    assert resample.daily_counts(v).select("day").distinct().count() == dates > 31
+    assert {r[0] for r in registry.queries()["j2_bootstrap_dates"](spark, SMALL).select("n_rep").collect()} == {1000}
