@@ -22,13 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many _ before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in tests, a temporary folder is set for this session.
+    Where the session names none, a temporary folder is set for this session if it is a local one, as in tests;
+    on a cluster that would be another folder on each machine, so it is an error there.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="hazeline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
