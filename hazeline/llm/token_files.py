@@ -16,10 +16,7 @@ document takes a block of its own.
 
 from __future__ import annotations
 
-import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -30,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazeline.llm.common import pieces, shared_dir, stored, table, texts
-from hazeline.llm.token_counts import TOKENIZER, tokenizer
+from hazeline.llm.units import TOKENIZER, tokenizer, unit_encoder
 
 END_ID = 0
 BLOCK_IDS = 1 << 18
@@ -69,65 +66,31 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-#: White space other than the space and the line end; texts that hold it are encoded whole.
-ODD_SPACE = re.compile(r"[^\S \n]")
-assert sys.byteorder == "little", "ids are written as the machine holds them"
-
-
-class UnitEncoder:
-    """Ids of whole texts as little-endian bytes by the tokenizers library.
-
-    The byte-level pattern always starts a new pre-token at a space that stands between two characters
-    other than white space. Such texts are cut there, and the library encodes each unit that it hasn't
-    met (the memory is bounded; it is emptied when full). Texts with longer runs of white space, or with
-    some at an end, are encoded whole.
-    """
-
-    def __init__(self, name: str, most: int = 1_000_000):
-        self.name, self.most = name, most
-        self.known: dict[str, bytes] = {}  # by unit, for units that follow a space
-        self.wide = tokenizer(name).get_vocab_size() > 1 << 16
-        self.width = np.dtype("<u4") if self.wide else np.dtype("<u2")
-
-    def library(self, xs: list[str]) -> list[bytes]:
-        found = tokenizer(self.name).encode_batch_fast(xs, add_special_tokens=False)
-        kind = "I" if self.wide else "H"
-        return [array(kind, e.ids).tobytes() for e in found]
-
-    def encode(self, xs: list[str]) -> list[bytes]:
-        odd = [bool(not x or x[0].isspace() or x[-1].isspace() or "  " in x or " \n" in x or "\n " in x or ODD_SPACE.search(x)) for x in xs]
-        parts = [None if o else x.split(" ") for x, o in zip(xs, odd, strict=True)]
-        new: set[str] = set()
-        new.update(*[p[1:] for p in parts if p])
-        if len(self.known) > self.most:
-            self.known = {}
-        missing = list(new.difference(self.known))
-        for start in range(0, len(missing), 20_000):
-            few = missing[start : start + 20_000]
-            self.known.update(zip(few, self.library([" " + x for x in few]), strict=True))
-        # Texts that can't be cut, and the first units of the others.
-        rest = iter(self.library([x if p is None else p[0] for x, p in zip(xs, parts, strict=True)]))
-        get = self.known.__getitem__
-        return [next(rest) if p is None else next(rest) + b"".join(map(get, p[1:])) for p in parts]
-
-
-_encoders: dict[str, UnitEncoder] = {}
-
-
 def _encode(name: str, end_id: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = _encoders.setdefault(name, UnitEncoder(name))  # lives as long as the worker
-    end = b"" if end_id is None else np.array([end_id], encoder.width).tobytes()
+    encoder = unit_encoder(name)
     for batch in batches:
-        for part in pieces(batch, "text", 1 << 21):
-            ids = [x + end for x in encoder.encode(texts(part, "text"))]
-            yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        for part in pieces(batch, "text"):
+            ids, n = encoder.encode(texts(part, "text"))
+            if end_id is not None:
+                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+            offsets = np.r_[0, np.cumsum(n) * ids.itemsize].astype(np.int32)
+            rows = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.record_batch([part.column("doc_id").cast(pa.int64()), rows], names=["doc_id", "ids"])
+
+
+def _flat(rows: pa.Array, width: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of all rows of a binary column end to end, and where each row starts and the last ends."""
+    offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    data = rows.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(width) if data else np.zeros(0, width)
+    return values, (offsets - offsets[0]) // width.itemsize
 
 
 def _frequencies(width: np.dtype, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for ids in batch.column("ids"):
-            n = np.bincount(np.frombuffer(ids.as_buffer(), width), minlength=len(total))
+        if batch.num_rows:
+            n = np.bincount(_flat(batch.column("ids"), width)[0], minlength=len(total))
             n[: len(total)] += total
             total = n
     at = np.flatnonzero(total)
@@ -150,8 +113,10 @@ def _write_blocks(width: np.dtype, rank_of: np.ndarray, batches: Iterator[pa.Rec
         return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
     for batch in batches:
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-            row = np.frombuffer(ids.as_buffer(), width)
+        if not batch.num_rows:
+            continue
+        values, at = _flat(batch.column("ids"), width)
+        for doc_id, row in zip(batch.column("doc_id").to_pylist(), np.split(values, at[1:-1]), strict=True):
             if held and held + len(row) > BLOCK_IDS:
                 yield block()
                 seq, before, docs, rows, held = seq + 1, before + held, [], [], 0
