@@ -21,29 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.llm.common import pieces, shared_dir, stored, table, texts
+from hazeline.llm.units import TOKENIZER, unit_encoder
 
-TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
+#: Digests that a task remembers.
+_SEEN = 200_000
 CACHE = "digest binary, version binary, n_tokens long"
 
 
-@lru_cache(maxsize=4)
-def tokenizer(name: str):
-    """The tokenizer of a .json file; name is a file of the public tokenizers or a path. Single-threaded,
-    as Spark runs one task a core."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
-
-
 @lru_cache(maxsize=4)
 def counter(name: str):
     """A function from texts to token counts, by the library of the file's kind."""
     if not name.endswith(".model"):
-        t = tokenizer(name)
-        return lambda xs: [len(e.ids) for e in t.encode_batch_fast(xs, add_special_tokens=False)]
+        return lambda xs: unit_encoder(name).encode(xs)[1].tolist()
     import public_tokenizers
     import sentencepiece
 
@@ -65,11 +55,16 @@ def tokenizer_version(name: str) -> bytes:
 def _encode(name: str, version: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(name)
+        seen: set[bytes] = set()  # rows equal in id and text come to one task, but for splits of very many
         for batch in batches:
             for part in pieces(batch, "text"):
-                n = part.num_rows
+                new = {d: i for i, d in enumerate(part.column("digest").to_pylist()) if d not in seen}
+                if len(seen) > _SEEN:
+                    seen.clear()
+                seen.update(new)
+                part = part.take(pa.array(list(new.values()), pa.int64()))
                 yield pa.record_batch(
-                    [part.column("digest"), pa.array([version] * n, pa.binary()), pa.array(count(texts(part, "text")), pa.int64())],
+                    [part.column("digest"), pa.array([version] * len(new), pa.binary()), pa.array(count(texts(part, "text")), pa.int64())],
                     names=["digest", "version", "n_tokens"],
                 )
 
@@ -96,7 +91,7 @@ def token_counts(docs: DataFrame, cache: str | None = None, name: str = TOKENIZE
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest"))
     misses = whole.join(first, same, "left_semi").select("digest", "text")
     fresh = misses.mapInArrow(_encode(name, version), CACHE)
-    fresh = fresh.groupBy("digest", "version").agg(F.max("n_tokens").alias("n_tokens"))  # rows equal in id and text
+    fresh = fresh.groupBy("digest", "version").agg(F.max("n_tokens").alias("n_tokens"))  # of split tasks
     fresh.write.mode("append").parquet(cache)
 
     # A folder that two runs grew at once can hold a digest twice; the counts are the same.
