@@ -1,20 +1,24 @@
 """Substring deduplication by content-defined chunks of a gear rolling hash.
 
-A gear hash rolls over the bytes of each text. A chunk starts at a word whose hash is the least among
-the REACH words to either side, so chunks follow content alone: an insertion moves the chunks beside it and
-no others. Chunks are keyed by digest; one that also occurs in a document with a smaller doc_id repeats. Runs
-of adjacent repeated chunks with MIN_WORDS words or more are spans that deduplication removes, so the
-first document keeps the passage, and single chunks that recur by chance stay.
-
-With chunks of 7 words on average, a repeated passage of 50 words holds whole chunks of over MIN_WORDS
-words wherever it stands; the words at its ends that share a chunk with other text remain.
+A gear hash rolls over the bytes of each text. Chunks may start at the places that follow content alone: at
+every word and, inside runs of over LONG_WORD bytes without a separator, at the characters before which the
+hash ends in three zero bits (every eighth on average). A chunk starts at a place whose hash is the least among
+the REACH places to either side, so an insertion moves the chunks beside it and no others. Chunks are keyed by
+digest; one that also occurs in a document with a smaller doc_id repeats. Runs of adjacent repeated chunks with
+MIN_WORDS places or more are spans that deduplication removes, so the first document keeps the passage, and
+single chunks that recur by chance stay.
+
+With chunks of 7 places on average, a repeated passage of 50 words holds whole chunks of over MIN_WORDS
+words wherever it stands; the words at its ends that share a chunk with other text remain. In texts without
+separators the same holds for passages of some 400 bytes.
 
 Only digests, ids and positions are shuffled. Counts by digest are combined before the shuffle; the join
 back is an equi-join that Spark may split at a hot digest.
 
-Defined cases: null, empty and blank texts have no chunk; text without a separator is one chunk; rows with
-equal doc_id are one document (texts with the same doc_id don't repeat each other); a null doc_id counts
-as the smallest; passages repeated within one document stay; an empty table gives an empty result.
+Defined cases: null, empty and blank texts have no chunk; rows with equal doc_id are one document (texts with
+the same doc_id don't repeat each other), but spans belong to the text that they were found in; a null
+doc_id counts as the smallest; passages repeated within one document stay; extra columns are kept whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import mix64, pieces, stored, table, texts
+from hazeline.llm.common import mix64, pieces, stored, table, texts, unused
 
-REACH, MIN_WORDS = 3, 15
+REACH, MIN_WORDS, LONG_WORD = 3, 15, 32
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 #: Bytes that a gear hash of 32 bits remembers when it shifts by 2.
 _MEMORY = 16
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
-CHUNKS = "doc_id long, chunk_from int, chunk_to int, n_words int, digest long"
+CHUNKS = "doc_id long, text_key long, chunk_from int, chunk_to int, n_words int, digest long"
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -47,8 +51,20 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h * np.uint32(0x9E3779B1)
 
 
+def _places(data: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where chunks may start: words, and characters inside long words that the hash of the bytes before picks."""
+    size = ends - starts - LONG_WORD
+    long_words = np.flatnonzero(size > 0)
+    if not len(long_words):
+        return starts
+    n = size[long_words]
+    inside = np.repeat(starts[long_words] + LONG_WORD, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    inside = inside[(h[inside - 1] >> np.uint32(29) == 0) & (data[inside] & 0xC0 != 0x80)]
+    return np.sort(np.r_[starts, inside])
+
+
 def chunk(rows: list[str]) -> tuple[np.ndarray, ...]:
-    """row, from, to (bytes), words and digest of every chunk of rows."""
+    """row, from, to (bytes), places and digest of every chunk of rows."""
     encoded = [x.encode("utf-8", "surrogatepass") for x in rows]
     gap = b"\n" * _MEMORY
     joined = gap + gap.join(encoded) + gap
@@ -60,9 +76,12 @@ def chunk(rows: list[str]) -> tuple[np.ndarray, ...]:
     if not len(starts):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    row = np.searchsorted(row_from, starts, side="right") - 1
-    h = gear_hash(data)[starts - 1].astype(np.int64)
-    least = np.ones(len(starts), bool)
+    rolled = gear_hash(data)
+    at = _places(data, rolled, starts, ends)
+    word = np.searchsorted(starts, at, side="right") - 1
+    row = np.searchsorted(row_from, at, side="right") - 1
+    h = rolled[at - 1].astype(np.int64)
+    least = np.ones(len(at), bool)
     for k in range(1, REACH + 1):
         same = row[k:] == row[:-k]
         least[k:] &= ~same | (h[k:] < h[:-k])
@@ -70,8 +89,11 @@ def chunk(rows: list[str]) -> tuple[np.ndarray, ...]:
     least[0] = True
     least[1:] |= row[1:] != row[:-1]
     first = np.flatnonzero(least)
-    last = np.append(first[1:], len(starts)) - 1
-    a, b = starts[first], ends[last]
+    last = np.append(first[1:], len(at)) - 1
+    a = at[first]
+    # A chunk ends with the word of its last place, or in that word where the next chunk starts.
+    b = ends[word[last]]
+    b[:-1] = np.minimum(b[:-1], a[1:])
     view = memoryview(joined)
     digest = np.array([xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.uint64)
     owner = row[first]
@@ -88,35 +110,38 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 [
                     part.column("doc_id").take(pa.array(row)),
+                    part.column("text_key").take(pa.array(row)),
                     pa.array(start, pa.int32()),
                     pa.array(end, pa.int32()),
                     pa.array(n, pa.int32()),
                     pa.array(digest, pa.int64()),
                 ],
-                names=["doc_id", "chunk_from", "chunk_to", "n_words", "digest"],
+                names=["doc_id", "text_key", "chunk_from", "chunk_to", "n_words", "digest"],
             )
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """The chunks of docs (doc_id, text); the smallest long stands for a null doc_id."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
+    """The chunks of docs (doc_id, text); the smallest long stands for a null doc_id. text_key tells texts
+    with the same doc_id apart."""
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     return rows.mapInArrow(_chunks, CHUNKS)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, first_doc_id, byte_from, byte_to, n_words, n_chunks of each span that repeats earlier text.
+    """doc_id, text_key, first_doc_id, byte_from, byte_to, n_words, n_chunks of each span that repeats earlier text.
 
-    first_doc_id is the smallest document that holds a chunk of the span; bytes are of the UTF-8 text.
+    text_key is xxhash64 of the text; n_words counts the places of the span. first_doc_id is the smallest document that holds a chunk of the span; bytes are of the UTF-8 text.
     """
     found = stored(chunks(docs), "chunks", compression="zstd")
     holders = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
     shared = holders.filter(F.col("first_doc_id") < F.col("last_doc_id")).select("digest", "first_doc_id")
     repeats = found.join(shared, "digest").filter(F.col("doc_id") > F.col("first_doc_id")).drop("digest")
-    repeats = repeats.groupBy("doc_id", "chunk_from", "chunk_to", "n_words").agg(F.min("first_doc_id").alias("first_doc_id"))
-    along = Window.partitionBy("doc_id").orderBy("chunk_from", "chunk_to")
+    repeats = repeats.groupBy("doc_id", "text_key", "chunk_from", "chunk_to", "n_words").agg(F.min("first_doc_id").alias("first_doc_id"))
+    along = Window.partitionBy("doc_id", "text_key").orderBy("chunk_from", "chunk_to")
     breaks = F.when(F.lag("chunk_to").over(along) == F.col("chunk_from"), 0).otherwise(1)
     runs = repeats.withColumn("_break", breaks).withColumn("_run", F.sum("_break").over(along))
-    spans = runs.groupBy("doc_id", "_run").agg(
+    spans = runs.groupBy("doc_id", "text_key", "_run").agg(
         F.min("first_doc_id").alias("first_doc_id"),
         F.min("chunk_from").cast("long").alias("byte_from"),
         F.max("chunk_to").cast("long").alias("byte_to"),
@@ -125,7 +150,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     none = lambda c: F.when(F.col(c) > -(1 << 63), F.col(c)).alias(c)
     spans = spans.filter(F.col("n_words") >= min_words)
-    return spans.select("doc_id", none("first_doc_id"), "byte_from", "byte_to", "n_words", "n_chunks")
+    return spans.select("doc_id", "text_key", none("first_doc_id"), "byte_from", "byte_to", "n_words", "n_chunks")
 
 
 def _without(spans: list[dict], text: str) -> str:
@@ -145,21 +170,23 @@ def _cut(text_at: int, n_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         columns[text_at] = pa.array(new, columns[text_at].type)
         if n_at >= 0:
             counts = zip(columns[n_at].to_pylist(), new, spans, strict=True)
-            columns[n_at] = pa.array([len(x) if s else n for n, x, s in counts], columns[n_at].type)
+            columns[n_at] = pa.array([len(x) if s and x is not None else n for n, x, s in counts], columns[n_at].type)
         yield pa.record_batch(columns, names=batch.schema.names[:-1])
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) without the spans; n_chars, where there is such a column, follows the text."""
-    per = spans.groupBy("doc_id").agg(F.collect_list(F.struct("byte_from", "byte_to")).alias("_spans"))
-    per = per.withColumnRenamed("doc_id", "_d").hint("shuffle_hash")
-    joined = docs.join(per, F.col("doc_id") == F.col("_d"), "left").select(*docs.columns, "_spans")
-    at = [docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1]
-    return joined.mapInArrow(partial(_cut, *at), docs.schema)
+    per = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("byte_from", "byte_to")).alias("spans"))
+    d, t, s = (unused(docs, x) for x in ("of_doc", "of_text", "spans"))
+    per = per.select(F.col("doc_id").alias(d), F.col("text_key").alias(t), F.col("spans").alias(s)).hint("shuffle_hash")
+    same = (docs["doc_id"].cast("long") == F.col(d)) & (F.xxhash64(docs["text"]) == F.col(t))
+    joined = docs.join(per, same, "left").select(*[docs[c] for c in docs.columns], s)
+    n_at = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else -1
+    return joined.mapInArrow(partial(_cut, docs.columns.index("text"), n_at), docs.schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"))
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def deduplicated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
