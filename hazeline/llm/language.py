@@ -4,9 +4,11 @@ For each language a suffix automaton of labelled text is built. A text is parsed
 automaton into phrases, each the longest match that the labelled text holds followed by a fresh start;
 the language that needs the fewest phrases a symbol wins.
 
-Fitting: MODEL_SYMBOLS symbols of whole, distinct labelled texts per language, taken in the order of a
-hash of their doc_id, bound the sample and so the automata that are sent to the tasks. Prediction reads
-every whole text. It is narrow: no shuffle, so hot sources or groups of copies cannot gather in one task.
+Fitting: labelled texts are cut into pieces of PIECE characters, from their first to their last; of each of the
+LANGUAGES most frequent languages the PIECES distinct pieces with the least digests are the sample. It comes from
+everywhere in long texts, copies count once, and its size and that of the automata sent to the tasks are bounded
+whatever the corpus: an automaton has three moves a symbol at most. Prediction reads every whole text. It is
+narrow: no shuffle, so hot sources or groups of copies cannot gather in one task.
 
 Texts are lower-cased and letters become symbols, every run of other characters one separator; letters
 that no sample holds end a phrase. Parsing restarts at every SEGMENT symbols, which adds one phrase at
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,25 +33,35 @@ from pyspark.sql import functions as F
 from hazeline.llm.common import pieces, table, texts
 
 UNKNOWN = "und"
-#: Symbols of labelled text a language, and documents a language from which they are taken.
-MODEL_SYMBOLS = 60_000
-MODEL_DOCS = 400
+#: Characters of a piece of labelled text, pieces of a language, and languages: the bounds of the sample.
+PIECE, PIECES, LANGUAGES = 1_000, 60, 200
 SEGMENT = 256
 #: In the code table: 0 is the separator, 1 an unknown letter.
 _SEPARATOR, _OTHER = 0, 1
 _PLANE = 0x110000
 
 
+@dataclass
+class Automaton:
+    """Moves of a suffix automaton with the rows of all states laid over each other: the move of state s on symbol
+    c stands at base[s] + c if owner there is s, and is to. start: the state after c from the start, or 0."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    to: np.ndarray
+    start: np.ndarray
+
+
 @dataclass
 class Model:
-    """languages; letters: their code points in code order from 2; steps: for each language the automaton as
-    a table from state and symbol to the next state, negative (its complement) where a phrase ends."""
+    """languages; letters: their code points in code order from 2; an automaton for each language."""
 
     languages: list[str]
     letters: np.ndarray
-    steps: list[np.ndarray]
+    automata: list[Automaton]
 
 
+@lru_cache(maxsize=1)
 def _is_letter() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(_PLANE)])
 
@@ -99,52 +111,92 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def _steps(symbols: np.ndarray, n_codes: int) -> np.ndarray:
-    moves = suffix_automaton(symbols.tolist())
-    out = np.full((len(moves), n_codes), -1, np.int32)
-    for state, to in enumerate(moves):
-        out[state, list(to)] = list(to.values())
-    start = np.where(out[0] > 0, out[0], 0)  # a symbol that the sample lacks leads back to the start
-    return np.where(out >= 0, out, ~start[None, :]).astype(np.int32)
+def overlaid(moves: list[dict[int, int]], n_codes: int) -> Automaton:
+    """The states with several moves are fitted first, each where its moves meet free places; the others fill the
+    places left."""
+    used = bytearray(2 * sum(map(len, moves)) + 4 * n_codes)
+    base = np.zeros(len(moves), np.int64)
+    low = n_codes  # so that no base is negative
+    for state in sorted(range(len(moves)), key=lambda s: -len(moves[s])):
+        codes = sorted(moves[state])
+        if len(codes) < 2:
+            break
+        gaps = [c - codes[0] for c in codes]
+        at, tries = low, 0
+        while any(used[at + g] for g in gaps):
+            at, tries = used.find(0, at + 1), tries + 1
+            if at < 0 or at + 2 * n_codes > len(used):
+                at = len(used) - n_codes if at < 0 else at
+                used.extend(bytes(len(used)))
+        for g in gaps:
+            used[at + g] = 1
+        base[state] = at - codes[0]
+        if tries > 32:  # crowded up to here
+            low = used.find(0, low + 1)
+    single = [s for s, m in enumerate(moves) if len(m) == 1]
+    free = np.flatnonzero(np.frombuffer(used, np.uint8) == 0)
+    free = np.r_[free[free >= n_codes], len(used) + np.arange(len(single))][: len(single)]
+    base[single] = free - np.array([next(iter(moves[s])) for s in single], np.int64)
+    size = int(base.max(initial=0)) + n_codes
+    owner, to = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    state = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+    at = base[state] + np.array([c for m in moves for c in m], np.int64)
+    owner[at], to[at] = state, [t for m in moves for t in m.values()]
+    start = np.zeros(n_codes, np.int32)
+    start[list(moves[0])] = list(moves[0].values())
+    return Automaton(base.astype(np.int32), owner, to, start)
+
+
+def _automaton(symbols: np.ndarray, n_codes: int) -> Automaton:
+    return overlaid(suffix_automaton(symbols.tolist()), n_codes)
+
+
+def sample(labelled: DataFrame) -> DataFrame:
+    """lang, at and piece: the distinct pieces of labelled text (text, lang) with the least digests by language."""
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    # A row a language name.
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    cut = F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    pieces_of = rows.select("lang", cut.alias("piece")).withColumn("at", F.xxhash64("piece"))
+    ids = pieces_of.select("lang", "at").distinct()
+    # First within each of many hash ranges, then over them: no task sorts the digests of a language.
+    salted = Window.partitionBy("lang", F.pmod("at", F.lit(61))).orderBy("at")
+    few = ids.withColumn("n", F.row_number().over(salted)).filter(F.col("n") <= PIECES)
+    by_lang = Window.partitionBy("lang").orderBy("at")
+    few = few.withColumn("n", F.row_number().over(by_lang)).filter(F.col("n") <= PIECES).drop("n")
+    few = few.join(often, "lang", "left_semi")
+    # PIECES * LANGUAGES rows at most.
+    return pieces_of.join(F.broadcast(few), ["lang", "at"]).groupBy("lang", "at").agg(F.first("piece").alias("piece"))
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model of labelled (doc_id, text, lang), from a bounded sample of it."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = rows.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")).alias("at"))
-    # First within each of many hash ranges, then over them: no task sorts the ids of a language. Texts are
-    # joined to the few ids that remain, MODEL_DOCS a language.
-    salted = Window.partitionBy("lang", F.pmod("at", F.lit(61))).orderBy("at", "doc_id")
-    few = ids.withColumn("n", F.row_number().over(salted)).filter(F.col("n") <= MODEL_DOCS)
-    by_lang = Window.partitionBy("lang").orderBy("at", "doc_id")
-    few = few.withColumn("n", F.row_number().over(by_lang)).filter(F.col("n") <= MODEL_DOCS).drop("at")
-    sample = rows.join(F.broadcast(few), ["lang", "doc_id"]).select("lang", "n", "text").orderBy("lang", "n").collect()
+    """A model of labelled (text, lang), from a bounded sample of it."""
     per: dict[str, list[str]] = {}
-    for r in sample:
-        per.setdefault(r["lang"], []).append(r["text"])
-    cut = {lang: "\n".join(dict.fromkeys(xs))[: 2 * MODEL_SYMBOLS] for lang, xs in sorted(per.items())}
-    letters = np.array(sorted({ord(c) for x in cut.values() for c in x.lower() if c.isalpha()}), np.int64)
+    for r in sample(labelled).orderBy("lang", "at").collect():
+        per.setdefault(r["lang"], []).append(r["piece"])
+    samples = {lang: "\n".join(xs) for lang, xs in sorted(per.items())}
+    letters = np.array(sorted({ord(c) for x in samples.values() for c in x.lower() if c.isalpha()}), np.int64)
     codes = _codes(letters)
-    steps = [_steps(_symbols(x, codes)[:MODEL_SYMBOLS], 2 + len(letters)) for x in cut.values()]
-    return Model(list(cut), letters, steps)
+    return Model(list(samples), letters, [_automaton(_symbols(x, codes), 2 + len(letters)) for x in samples.values()])
 
 
-def phrase_counts(symbols: np.ndarray, sizes: np.ndarray, steps: np.ndarray) -> np.ndarray:
+def phrase_counts(symbols: np.ndarray, sizes: np.ndarray, automaton: Automaton) -> np.ndarray:
     """Phrases of each of the segments that lie end to end in symbols."""
     n = len(sizes)
     order = np.argsort(-sizes, kind="stable")
     starts = (np.cumsum(sizes) - sizes)[order]
     longest = sizes[order]
-    flat, width = steps.ravel(), steps.shape[1]
-    state, ended = np.zeros(n, np.int64), np.ones(n, np.int64)
+    base, owner, to, start = automaton.base, automaton.owner, automaton.to, automaton.start
+    state, ended = np.zeros(n, np.int32), np.ones(n, np.int64)
     active = n
     for k in range(int(longest[0]) if n else 0):
         while active and longest[active - 1] <= k:
             active -= 1
-        to = flat[state[:active] * width + symbols[starts[:active] + k]]
-        miss = to < 0
+        symbol = symbols[starts[:active] + k]
+        at = base[state[:active]] + symbol
+        miss = owner[at] != state[:active]
         ended[:active] += miss
-        state[:active] = np.where(miss, ~to, to)
+        state[:active] = np.where(miss, start[symbol], to[at])
     out = np.empty(n, np.int64)
     out[order] = ended
     return out
@@ -163,13 +215,13 @@ def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             last = np.cumsum(segments)[segments > 0] - 1
             sizes[last] = n[segments > 0] - (segments[segments > 0] - 1) * SEGMENT
             owner = np.repeat(np.arange(len(rows)), segments)
-            joined = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+            joined = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
             if model.languages:
-                phrases = np.array([np.bincount(owner, phrase_counts(joined, sizes, s), len(rows)) for s in model.steps])
+                phrases = np.array([np.bincount(owner, phrase_counts(joined, sizes, a), len(rows)) for a in model.automata])
             else:
                 phrases, lettered = np.ones((1, len(rows))), np.zeros(len(rows), bool)
             best = phrases.argmin(axis=0)
-            rate = np.log1p(len(model.steps)) * np.maximum(n, 1) / np.maximum(phrases, 1)
+            rate = np.log1p(len(model.automata)) * np.maximum(n, 1) / np.maximum(phrases, 1)
             share = np.exp(rate - rate.max(axis=0))
             score = np.where(lettered, (share / share.sum(axis=0)).max(axis=0), 0.0)
             yield pa.record_batch(
@@ -195,4 +247,4 @@ def predict(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return predict(docs, fit(docs.filter(~held_out).select("doc_id", "text", "lang")), held_out)
+    return predict(docs, fit(docs.filter(~held_out).select("text", "lang")), held_out)
