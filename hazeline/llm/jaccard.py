@@ -15,8 +15,13 @@ over BLOCK sets are cut into blocks whose combinations are compared in separate
 
 Defined cases: texts are lower-cased and words split at white space; texts of one to four words are one
 shingle; null texts and texts without words link to nothing and are their own class; documents with equal
-sets are copies, linked to each other; rows with equal doc_id and equal text are one document twice; a
-null doc_id counts as the smallest; an empty table gives an empty result.
+sets are copies, linked to each other, also where they share a doc_id; a null doc_id counts as the smallest;
+of several texts with one doc_id the one with the least digest is first; very long texts are whole sets; extra
+columns don't matter, whatever their names; an empty table gives an empty result. The pipeline stage keeps one
+row of each class: the first text of the least doc_id, once where rows repeat; rows without words all stay.
+
+The number of links of a set is exact, so inside one dense group of sets that all differ the comparisons are
+quadratic in the sets (not in their copies); they are dealt to tasks by blocks.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import mix64, pieces, stored, table, texts
+from hazeline.llm.common import mix64, pieces, stored, table, texts, unused
 from hazeline.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -42,6 +47,8 @@ SKETCH, LEAST_MATCHES = 64, 36
 #: A large node is split only while the mean similarity of its sets is under this.
 DENSE = 0.4
 NO_ID = -(1 << 63)
+#: Types of the columns that choose among rows that repeat.
+_PLAIN = ("string", "bigint", "int", "double", "boolean", "date", "timestamp")
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -105,7 +112,7 @@ def set_ids(hashes: np.ndarray, n: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in both.astype(">u8")]
 
 
-SETS = "doc_id long, set_id binary, n int, sketch binary, nodes array<bigint>"
+SETS = "doc_id long, text_key long, set_id binary, n int, sketch binary, nodes array<bigint>"
 
 
 def _describe(n_runs: int, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +138,13 @@ def _describe(n_runs: int, threshold: float, batches: Iterator[pa.RecordBatch])
             yield pa.record_batch(
                 [
                     part.column("doc_id"),
+                    part.column("text_key"),
                     pa.array(set_ids(hashes, n), pa.binary()),
                     pa.array(n, pa.int32()),
                     pa.array([x.tobytes() for x in sketch], pa.binary()),
                     pa.array(nodes, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "set_id", "n", "sketch", "nodes"],
+                names=["doc_id", "text_key", "set_id", "n", "sketch", "nodes"],
             )
 
 
@@ -319,15 +327,17 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, n_text_links, class_size for each row of docs (doc_id, text).
+    """doc_id, class_id, n_links, n_text_links, class_size, text_key, is_first for each row of docs (doc_id, text).
 
     class_id is the least doc_id of the class; n_links counts other documents at the threshold, copies
-    included, n_text_links other sets of shingles.
+    included, n_text_links other sets of shingles. text_key is xxhash64 of the text; is_first marks the text that
+    stands for its class (more than one row where rows repeat).
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     described = stored(rows.mapInArrow(partial(_describe, runs(recall), THRESHOLD), SETS), "shingle-sets")
     some = described.filter(F.col("n") > 0)
-    pick = F.min_by(F.struct("n", "sketch", "nodes"), "doc_id").alias("s")
+    pick = F.min_by(F.struct("n", "sketch", "nodes", F.col("text_key").alias("first_key")), F.struct("doc_id", "text_key")).alias("s")
     sets = some.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), pick)
     sets = stored(sets.select("set_id", "first_id", "copies", "s.*"), "distinct-sets")
 
@@ -343,24 +353,27 @@ def near_duplicates(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame
     schema = "node long, a int, b int, block int, set_id binary, n int, copies long, leaves array<bigint>"
     near = stored(cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(_candidates, schema), "candidates")
 
-    wanted = near.select("set_id").distinct().join(sets.select("set_id", "first_id"), "set_id")
-    wanted = wanted.select(F.col("first_id")).hint("shuffle_hash")
-    whole = rows.join(wanted, F.col("doc_id") == F.col("first_id"), "left_semi").select("text")
+    wanted = near.select("set_id").distinct().join(sets.select("set_id", "first_id", "first_key"), "set_id")
+    wanted = wanted.select("first_id", "first_key").hint("shuffle_hash")
+    whole = rows.join(wanted, (F.col("doc_id") == F.col("first_id")) & (F.col("text_key") == F.col("first_key")), "left_semi").select("text")
     whole = whole.mapInArrow(_shingles, "set_id binary, shingles binary").dropDuplicates(["set_id"])
     both = near.join(whole, "set_id").select(*key, "block", "set_id", "copies", "leaves", "shingles")
     links = stored(both.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify, LINKS), "links")
 
     labels = components(links.select(F.col("set_id").alias("a"), F.col("least").alias("b")))
     counts = links.groupBy("set_id").agg(F.sum("n_links").alias("n_text_links"), F.sum("n_docs").alias("n_docs"))
-    labelled = sets.select("set_id", "first_id", "copies").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    labelled = sets.select("set_id", "first_id", "first_key", "copies").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "set_id"))
-    classes = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    first = F.min(F.struct("first_id", "first_key"))
+    classes = labelled.groupBy("label").agg(first.alias("f"), F.sum("copies").alias("class_size"))
+    classes = classes.select("label", F.col("f.first_id").alias("class_id"), F.col("f.first_key").alias("class_key"), "class_size")
     per_set = labelled.join(classes, "label").join(counts, "set_id", "left").select(
-        F.col("set_id").alias("_s"), "class_id", "class_size", F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"),
+        F.col("set_id").alias("_s"), "class_id", "class_key", "class_size", F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"),
         (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     same = (F.col("set_id") == F.col("_s")) & (F.col("n") > 0)
-    out = described.select("doc_id", "set_id", "n").join(per_set, same, "left")
+    out = described.select("doc_id", "text_key", "set_id", "n").join(per_set, same, "left")
+    is_first = (F.col("doc_id") == F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
     none = lambda c: F.when(c > NO_ID, c)
     return out.select(
         none(F.col("doc_id")).alias("doc_id"),
@@ -368,15 +381,24 @@ def near_duplicates(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        "text_key",
+        F.coalesce(is_first, F.lit(True)).alias("is_first"),
     )
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "is_first")
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the least doc_id stays."""
-    found = near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    """Pipeline stage: one row of each class stays, and all rows without words."""
+    d, t, n = (unused(docs, x) for x in ("first_doc", "first_text", "row"))
+    found = near_duplicates(docs).filter("is_first").select(F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct()
+    worded = F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(t))
+    kept = docs.filter(worded).join(found.hint("shuffle_hash"), same, "left_semi")
+    # Rows that repeat: each task leaves one of them before they meet.
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and kind in _PLAIN]
+    along = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*others, F.lit(0))
+    once = kept.withColumn(n, F.row_number().over(along)).filter(F.col(n) == 1).drop(n)
+    return once.unionByName(docs.filter(~worded))
