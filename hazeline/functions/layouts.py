@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-# The order of the dynamic slots, the sets that are named subsets of it, and aliases.
+# The order of the dynamic slots, the named sets, their synonyms, the sets of source profiles, and aliases.
 ORDER = (
     "RH2M", "T2M", "PRECIP", "MSLP", "SW_RAD", "U10", "WSPD10", "V10", "WDIR10", "CAPE", "LCC", "T_925", "RH_925", "U_925", "WSPD925",
     "V_925", "DP_1000", "DP_925", "Q_1000", "Q_925", "W_925", "W_1000", "DPD", "INVERSION",
 )
-_ABSENT = {
-    "common_core": {"PRECIP", "SW_RAD", "CAPE", "LCC", "T_925", "W_925", "W_1000", "INVERSION"},
-    "overlap_full": {"CAPE", "T_925", "INVERSION"},
-}
-SETS = {name: tuple(x for x in ORDER if x not in absent) for name, absent in _ABSENT.items()}
-SETS["compact_common_core"] = tuple(x for x in SETS["common_core"] if x != "RH2M")
-SETS["q_core_no_rh2m"] = tuple(x for x in SETS["compact_common_core"] if x != "DPD")
+SETS = {
+    "common_core": (
+        "RH2M", "T2M", "MSLP", "U10", "WSPD10", "V10", "WDIR10", "RH_925", "U_925", "WSPD925", "V_925", "DP_1000", "DP_925", "Q_1000", "Q_925", "DPD",
+    ),
+    "compact_common_core": (
+        "T2M", "MSLP", "U10", "WSPD10", "V10", "WDIR10", "RH_925", "U_925", "WSPD925", "V_925", "DP_1000", "DP_925", "Q_1000", "Q_925", "DPD",
+    ),
+    "q_core_no_rh2m": (
+        "T2M", "MSLP", "U10", "WSPD10", "V10", "WDIR10", "RH_925", "U_925", "WSPD925", "V_925", "DP_1000", "DP_925", "Q_1000", "Q_925",
+    ),
+    "overlap_full": (
+        "RH2M", "T2M", "PRECIP", "MSLP", "SW_RAD", "U10", "WSPD10", "V10", "WDIR10", "LCC", "RH_925", "U_925", "WSPD925", "V_925", "DP_1000",
+        "DP_925", "Q_1000", "Q_925", "W_925", "W_1000", "DPD",
+    ),
+}
+_PANGU_2021 = (
+    "RH2M", "T2M", "MSLP", "U10", "WSPD10", "V10", "WDIR10", "T_925", "RH_925", "U_925", "WSPD925", "V_925", "DP_1000", "DP_925", "Q_1000",
+    "Q_925", "DPD", "INVERSION",
+)
+_PANGU_2025 = (
+    "T2M", "MSLP", "U10", "WSPD10", "V10", "WDIR10", "T_925", "RH_925", "U_925", "WSPD925", "V_925", "DP_1000", "DP_925", "Q_1000", "Q_925",
+    "INVERSION",
+)
+PROFILES = {
+    "tianji": ORDER, "t2nd_rh2m": ORDER, "era5": ORDER, "era5_2025": ORDER, "ifs": SETS["overlap_full"], "pangu": _PANGU_2021,
+    "pangu2021": _PANGU_2021, "pangu2025": _PANGU_2025,
+}
 SYNONYMS = {
     "common_core": ("common", "core", "pangu_core", "common_overlap"),
     "compact_common_core": ("compact", "compact_common", "compact_core", "compact_common_core_no_rh2m", "compact_no_rh2m", "compact_common_no_rh2m", "compact_core_no_rh2m"),
@@ -24,11 +44,12 @@ SYNONYMS = {
     "source_full": ("all", "all_available", "source"),
 }
 ALIASES = {
-    "D2M": ("2D", "DEWPOINT2M", "DEW_POINT_2M"), "RH_925": ("RH925", "R925"), "RH_1000": ("RH1000", "R1000"), "T_925": ("T925",),
-    "T_1000": ("T1000",), "U_925": ("U925",), "V_925": ("V925",), "Q_1000": ("Q1000",), "Q_925": ("Q925",), "W_925": ("W925",),
-    "W_1000": ("W1000",), "DP_1000": ("DP1000",), "DP_925": ("DP925",), "PM10": ("PM10_UGM3", "PM10UGM3", "PM10_UG_M3"),
-    "PM25": ("PM25_UGM3", "PM25UGM3", "PM25_UG_M3", "PM2P5", "PM2_5"),
+    "2D": "D2M", "DEWPOINT2M": "D2M", "DEW_POINT_2M": "D2M", "RH925": "RH_925", "R925": "RH_925", "RH1000": "RH_1000", "R1000": "RH_1000",
+    "T925": "T_925", "T1000": "T_1000", "U925": "U_925", "V925": "V_925", "Q1000": "Q_1000", "Q925": "Q_925", "W925": "W_925", "W1000": "W_1000",
+    "DP1000": "DP_1000", "DP925": "DP_925", "PM10_UGM3": "PM10", "PM10UGM3": "PM10", "PM10_UG_M3": "PM10", "PM25_UGM3": "PM25",
+    "PM25UGM3": "PM25", "PM25_UG_M3": "PM25", "PM2P5": "PM25", "PM2_5": "PM25",
 }
+NAMES = {**{name: name for name in dict.fromkeys(ALIASES.values())}, **ALIASES}
 #: A slot and each set of fields that gives it.
 DERIVED = (
     ("WSPD10", ("U10", "V10")), ("WDIR10", ("U10", "V10")), ("WSPD925", ("U_925", "V_925")), ("RH2M", ("T2M", "D2M")), ("DPD", ("T2M", "D2M")),
@@ -42,12 +63,21 @@ def set_name(name: str | None) -> str:
     return next((k for k, also in SYNONYMS.items() if key == k or key in also), key)
 
 
-def feature_set(name: str | None, available: Iterable[str] | None = None) -> list[str]:
-    """The ordered columns of a named set; source_full is what is available of the canonical order."""
+def profile_set(profile: str | None) -> list[str]:
+    """The slots of a source profile; all without one. An unknown profile is an error."""
+    key = (profile or "").strip().lower().replace("-", "_")
+    if key and key not in PROFILES:
+        raise ValueError(f"unknown profile {profile!r}; known are {', '.join(sorted(PROFILES))}")
+    return list(PROFILES[key] if key else ORDER)
+
+
+def feature_set(name: str | None, available: Iterable[str] | None = None, profile: str | None = None) -> list[str]:
+    """The ordered columns of a named set; source_full is what is available of its profile's slots."""
     key = set_name(name)
     if key == "source_full":
-        held = set(ORDER if available is None else available)
-        return [x for x in ORDER if x in held]
+        slots = profile_set(profile)
+        held = set(slots if available is None else available)
+        return [x for x in slots if x in held]
     if key not in SETS:
         raise ValueError(f"unknown feature set {name!r}")
     return list(SETS[key])

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeline.functions.checks import described, failing
+
 
 def asof_times(left: DataFrame, right: DataFrame, tolerance: float, time: str = "t") -> DataFrame:
     """t, match: for each distinct left time the nearest right time within tolerance, the later on ties.
@@ -39,19 +41,19 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: Sequence[str], tolerance
 
 
 def override_field(left: DataFrame, right: DataFrame, field: str, on: Sequence[str], tolerance: float, time: str = "t", strict: bool = False) -> DataFrame:
-    """left with field from right where there is a value, else its own; strict raises on an unmatched row."""
+    """left with field from right where there is a value, else its own; strict fails on an unmatched row."""
     named = right.select(time, *on, F.col(field).alias("_new"))
     out = asof_nearest(left, named, on, tolerance, time)
-    if strict and out.filter(F.col("_new").isNull()).limit(1).count():
-        raise ValueError("a row of the left side has no override")
-    return out.withColumn(field, F.coalesce("_new", field)).drop("_new", "match")
+    kind = dict(out.dtypes)[field]
+    own = F.raise_error("a row of the left side has no override").cast(kind) if strict else F.col(field)
+    return out.withColumn(field, F.coalesce("_new", own)).drop("_new", "match")
 
 
 def station_reindex(left: DataFrame, right: DataFrame, key: str = "station_id") -> DataFrame:
-    """The inner join; raises where the right side lacks a station of the left."""
-    if missing := left.join(right, key, "left_anti").select(key).first():
-        raise ValueError(f"station is missing: {missing[0]}")
-    return left.join(right, key)
+    """The inner join; fails where the right side lacks a station of the left."""
+    held = right.withColumn("_held", F.lit(True))
+    missing = F.raise_error(described("station is missing: ", F.col(key))).cast("boolean")
+    return left.join(held, key, "left").filter(F.coalesce("_held", missing)).drop("_held")
 
 
 def common_stations(source: DataFrame, target: DataFrame, key: str = "station_id") -> DataFrame:
@@ -76,9 +78,10 @@ def exact_lookup(left: DataFrame, right: DataFrame, on: Sequence[str], value: st
 
 
 def paired_intersection(df: DataFrame, key: Sequence[str], n_sources: int) -> DataFrame:
-    """Rows whose key all sources have: one count by key and a semi-join."""
+    """Rows whose key all sources have: one count by key and a semi-join. Fails where there is no such key."""
     full = df.groupBy(*key).agg(F.count_distinct("source").alias("_n")).filter(F.col("_n") == n_sources)
-    return df.join(full, list(key), "left_semi")
+    none = full.agg(F.count("*").alias("_k")).filter("_k = 0")
+    return failing(df.join(full, list(key), "left_semi"), none, "no key is common to all sources")
 
 
 def pairing_coverage(df: DataFrame, key: Sequence[str], n_sources: int, by: Sequence[str] = ("source",)) -> DataFrame:
@@ -96,9 +99,11 @@ def pair_with_duplicates(left: DataFrame, right: DataFrame, key: Sequence[str],
     """Rows paired by key and order of appearance; the right side's other columns get the prefix r_."""
     a, b = with_occurrence(left, key, order), with_occurrence(right, key, order)
     b = b.select(*key, "occ", *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in key])
-    if strict and a.join(b, [*key, "occ"], "full").filter(F.col("occ").isNull()).limit(1).count():
-        raise ValueError("a key has unequal numbers of rows")
-    return a.join(b, [*key, "occ"])
+    if not strict:
+        return a.join(b, [*key, "occ"])
+    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), [*key, "occ"], "full")
+    unequal = F.raise_error("a key has unequal numbers of rows").cast("boolean")
+    return both.filter(F.coalesce(F.col("_a") & F.col("_b"), unequal)).drop("_a", "_b")
 
 
 def align_to_reference(df: DataFrame, reference: str, key: Sequence[str], order: Sequence[str], n_sources: int) -> DataFrame:
@@ -238,6 +243,12 @@ def cycle_stitch(spine: DataFrame, files: DataFrame, hour: str = "h") -> DataFra
     return out.join(files.withColumnRenamed("valid_h", hour), ["init_h", hour], "left")
 
 
+def stitch_counts(stitched: DataFrame, names: Sequence[str]) -> DataFrame:
+    """variable, n_ok, n_miss: the hours of stitched cycles that hold each variable, and those that don't."""
+    long = stitched.select(F.explode(F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).isNotNull().alias("held")) for n in names])).alias("v"))
+    return long.groupBy("v.variable").agg(F.count_if("v.held").alias("n_ok"), F.count_if(~F.col("v.held")).alias("n_miss"))
+
+
 def station_set_diff(ours: DataFrame, reference: DataFrame, key: str = "station_id") -> DataFrame:
     """key, status: missing (in the reference alone), extra or common."""
     a, b = ours.select(key).distinct().withColumn("_a", F.lit(True)), reference.select(key).distinct().withColumn("_b", F.lit(True))

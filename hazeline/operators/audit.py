@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeline.functions.quantiles import with_quantiles
+from hazeline.operators.splits import even_sample
+
 ISSUE = "stage string, severity string, message string"
 
 
@@ -18,7 +21,7 @@ def feature_quality_scan(long: DataFrame, bounds: DataFrame, by: Sequence[str] =
     """
     x = F.col("value")
     share = lambda c: F.count_if(c) / F.count("*")
-    joined = long.join(F.broadcast(bounds), "feature", "left")  # a row a feature of the layout
+    joined = long.join(bounds, "feature", "left")
     return joined.groupBy(*by).agg(
         F.count("*").alias("n"), share(x.isNotNull()).alias("finite_fraction"), share(F.abs(x) > 1e-12).alias("nonzero_fraction"),
         share((x < F.col("low")) | (x > F.col("high"))).alias("outside_fraction"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"),
@@ -78,31 +81,68 @@ def protocol_equality(configs: DataFrame, fields: Sequence[str]) -> DataFrame:
 MEAN_RANGES = {"MSLP": (5e4, 1.2e5), "Q_1000": (1e-5, 0.04), "Q_925": (1e-5, 0.04)}
 
 
-def cross_source_units(scan: DataFrame, expected: DataFrame) -> DataFrame:
-    """source, feature, issue: groups of expected (source, feature) that scan lacks or whose mean is out of range."""
+def cross_source_units(scan: DataFrame, expected: DataFrame, by: Sequence[str] = ("source", "split")) -> DataFrame:
+    """by, feature, issue: groups of expected (by, feature) that scan lacks or whose mean is out of range."""
     ok = reduce(lambda a, b: a | b, [(F.col("feature") == f) & (F.col("mean") > lo) & (F.col("mean") < hi) for f, (lo, hi) in MEAN_RANGES.items()])
-    both = expected.join(scan.select("source", "feature", "mean"), ["source", "feature"], "left").filter(F.col("feature").isin(*MEAN_RANGES))
+    keys = [*by, "feature"]
+    both = expected.join(scan.select(*keys, "mean"), keys, "left").filter(F.col("feature").isin(*MEAN_RANGES))
     issue = F.when(F.col("mean").isNull(), "missing").when(~ok, "mean out of range")
-    return both.withColumn("issue", issue).filter(F.col("issue").isNotNull()).select("source", "feature", "issue")
+    return both.withColumn("issue", issue).filter(F.col("issue").isNotNull()).select(*keys, "issue")
+
+
+#: A derived field and the native fields that its conversion needs.
+NEEDS = (
+    ("RH2M", ("T2M", "D2M")), ("Q_1000", ("T_1000", "RH_1000")), ("Q_925", ("T_925", "RH_925")), ("DP_1000", ("Q_1000",)), ("DP_925", ("Q_925",)),
+    ("WSPD10", ("U10", "V10")), ("WDIR10", ("U10", "V10")), ("WSPD925", ("U_925", "V_925")), ("INVERSION", ("T_925", "T2M")),
+)
 
 
-def lineage_rules(configs: DataFrame, policy: str) -> DataFrame:
+def lineage_rules(configs: DataFrame, policy: str, order: Sequence[str] | None = None, units: dict[str, str] | None = None, step: float | None = 1.0) -> DataFrame:
     """dataset, issue of configurations with arrays native, derived, zero_filled and texts unit_policy, time_zone.
 
-    A variable can't be both native and derived, none may be zero-filled, both humidities need their temperature."""
+    A field can't be both native and derived; a derived one needs the native or derived fields of its conversion; both
+    relative humidities need their temperature; none may be zero-filled; policy and UTC must be said. With order, the array
+    feature_order must equal it; with units, the map must hold them; with step, time_step must equal it, where configs has
+    these columns."""
     both = F.array_intersect("native", "derived")
-    has = lambda x: F.array_contains(F.concat("native", "derived"), x)
-    faults = F.array(
-        F.when(F.size(both) > 0, F.concat(F.lit("native and derived: "), F.array_join(F.array_sort(both), ","))),
-        F.when(F.size("zero_filled") > 0, F.concat(F.lit("zero-filled: "), F.array_join(F.array_sort("zero_filled"), ","))),
+    held = F.concat("native", "derived")
+    has = lambda x: F.array_contains(held, x)
+    lacks = lambda xs: ~F.array_contains(F.transform(F.array(*[F.lit(x) for x in xs]), lambda x: F.array_contains(held, x)), False)
+    listed = lambda c: F.array_join(F.array_sort(c), ",")
+    faults = [
+        F.when(F.size(both) > 0, F.concat(F.lit("native and derived: "), listed(both))),
+        F.when(F.size("zero_filled") > 0, F.concat(F.lit("zero-filled: "), listed("zero_filled"))),
         F.when(has("RH_925") & ~has("T_925"), "RH_925 without T_925"),
+        F.when(has("RH_1000") & ~has("T_1000"), "RH_1000 without T_1000"),
+        *[F.when(F.array_contains("derived", k) & ~lacks(xs), f"{k} derived without {','.join(xs)}") for k, xs in NEEDS],
         F.when(~F.col("unit_policy").eqNullSafe(F.lit(policy)), "unit policy differs"), F.when(~F.col("time_zone").eqNullSafe(F.lit("UTC")), "time isn't UTC"),
-    )
-    return configs.select("dataset", F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("issue"))
+    ]
+    if order is not None and "feature_order" in configs.columns:
+        faults.append(F.when(~F.col("feature_order").eqNullSafe(F.array(*[F.lit(x) for x in order])), "feature order differs"))
+    if units is not None and "units" in configs.columns:
+        faults += [F.when(~F.col("units").getItem(k).eqNullSafe(F.lit(u)), f"unit of {k} isn't {u}") for k, u in units.items()]
+    if step is not None and "time_step" in configs.columns:
+        faults.append(F.when(~F.coalesce(F.abs(F.col("time_step") - step) <= 1e-6, F.lit(False)), "time step differs"))
+    return configs.select("dataset", F.explode(F.filter(F.array(*faults), lambda x: x.isNotNull())).alias("issue"))
 
 
-def product_diff(old: DataFrame, new: DataFrame, key: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """variable, n, n_changed (> 1e-7), max_diff, mean_diff of the cells that both products hold."""
+def changed_stations(old: DataFrame, new: DataFrame, key: str = "station_id", tolerance: float = 1e-6) -> DataFrame:
+    """The stations of both products whose coordinates differ."""
+    n = new.select(key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    moved = (F.abs(F.col("lat") - F.col("_lat")) > tolerance) | (F.abs(F.col("lon") - F.col("_lon")) > tolerance)
+    return old.select(key, "lat", "lon").join(n, key).filter(moved).select(key).distinct()
+
+
+def common_times(old: DataFrame, new: DataFrame, time: str, n: int) -> DataFrame:
+    """n evenly spaced ones of the times that both products have."""
+    return even_sample(old.select(time).distinct().join(new.select(time).distinct(), time), time, n)
+
+
+def product_diff(old: DataFrame, new: DataFrame, key: Sequence[str], names: Sequence[str], only: Sequence[DataFrame] = ()) -> DataFrame:
+    """variable, n, n_changed (> 1e-7), max_diff, mean_diff of the cells that both products hold; of the rows in each of the
+    tables of only (common_times, changed_stations), where given."""
+    for rows in only:
+        old = old.join(rows, list(rows.columns), "left_semi")
     long = lambda d, out: d.unpivot(list(key), list(names), "variable", out)
     both = long(old, "a").join(long(new, "b"), [*key, "variable"]).filter("a is not null and b is not null")
     d = F.abs(F.col("b") - F.col("a"))
@@ -115,12 +155,12 @@ def feature_shift(long: DataFrame, scaler: DataFrame, by: Sequence[str] = ("popu
     z = (x - F.col("center")) / (F.col("scale") + 1e-6)
     rate = lambda c: F.count_if(c) / F.count("*")
     points = (1, 5, 50, 95, 99)
-    joined = long.join(F.broadcast(scaler), "name")  # a row a feature
-    return joined.groupBy(*by).agg(
+    joined = long.join(scaler, "name")
+    out = joined.groupBy(*by).agg(
         F.count("*").alias("n"), rate(x.isNotNull()).alias("finite_rate"), rate(x == 0).alias("zero_rate"),
-        *[F.percentile(x, p / 100).alias(f"p{p}") for p in points], *[F.percentile(z, p / 100).alias(f"z{p}") for p in points],
         rate(F.abs(z) > 3).alias("rate_3"), rate(F.abs(z) > 8).alias("rate_8"),
     )
+    return with_quantiles(out, joined, by, {"p": x, "z": z}, {f"{v}{p}": (v, p / 100) for v in "pz" for p in points})
 
 
 def dedupe_sources(runs: DataFrame, preferred: Sequence[str]) -> DataFrame:

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from hazeline.functions import layouts
 from hazeline.functions.physics import clip
+from hazeline.functions.quantiles import exact_quantiles
 
 
 def canonical_name(name: Column) -> Column:
     """Upper case with _ for - and space; its alias, or that of it without _, or the trimmed name itself."""
-    pairs = {a: k for k, also in layouts.ALIASES.items() for a in (k, *also)}
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs.items())])
+    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(layouts.NAMES.items())])
     upper = F.regexp_replace(F.upper(F.trim(name)), "[- ]", "_")
     return F.coalesce(F.element_at(table, upper), F.element_at(table, F.regexp_replace(upper, "_", "")), F.trim(name))
 
@@ -26,7 +26,7 @@ def station_key(name: Column) -> Column:
 
 def numeric_station_key(name: Column) -> Column:
     """Numbers as integer text, other names trimmed."""
-    number = F.expr("try_cast(_n as double)") if isinstance(name, str) else name.try_cast("double")
+    number = name.try_cast("double")
     return F.coalesce(number.cast("bigint").cast("string"), F.trim(name.cast("string")))
 
 
@@ -37,10 +37,9 @@ def time_key(time: Column, shift_hours: int = 0) -> Column:
 
 
 def checked_time_key(df: DataFrame, time: str, out: str = "time_key", shift_hours: int = 0) -> DataFrame:
-    df = df.withColumn(out, time_key(F.col(time), shift_hours))
-    if bad := df.filter(F.col(out).isNull()).limit(1).count():
-        raise ValueError(f"{time} can't be read in {bad} row or more")
-    return df
+    """df with its time key; the result fails on a time that can't be read."""
+    unread = F.raise_error(F.concat(F.lit(f"{time} can't be read: "), F.coalesce(F.col(time).cast("string"), F.lit("null"))))
+    return df.withColumn(out, F.coalesce(time_key(F.col(time), shift_hours), unread.cast("string")))
 
 
 def layout(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -58,6 +57,17 @@ def available_features(fields: DataFrame, by: str = "source", name: str = "varia
     return held.select(by, F.array_intersect(order, F.array_union("_held", derived)).alias("features"))
 
 
+def resolved_layouts(fields: DataFrame, names: Sequence[str], by: str = "source", name: str = "variable") -> DataFrame:
+    """by, feature_set, pos, name, held: the columns of named sets for each group of fields, and whether the group
+    holds or gives them; source_full is what it holds or gives."""
+    sets = [(s, i, x) for s in names if layouts.set_name(s) != "source_full" for i, x in enumerate(layouts.feature_set(s))]
+    fixed = F.array(*[F.struct(F.lit(s).alias("feature_set"), F.lit(i).alias("pos"), F.lit(x).alias("name")) for s, i, x in sets])
+    own = F.transform("features", lambda x, i: F.struct(F.lit("source_full").alias("feature_set"), i.cast("int").alias("pos"), x.alias("name")))
+    rows = F.concat(fixed, own) if any(layouts.set_name(s) == "source_full" for s in names) else fixed
+    out = available_features(fields, by, name).withColumn("r", F.explode(rows))
+    return out.select(by, "r.*", F.array_contains("features", F.col("r.name")).alias("held"))
+
+
 def scatter_fields(long: DataFrame, keys: Sequence[str], names: Sequence[str], fill: float | None = 0.0) -> DataFrame:
     """Long (keys, variable, value) to one column for each of names; slots without a field are fill."""
     wide = long.groupBy(*keys).pivot("variable", list(names)).agg(F.first("value", ignorenulls=True))
@@ -103,15 +113,19 @@ def logged(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def fit_robust_scaler(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """name, center (median), scale (P95 - P5) of each column."""
-    long = df.unpivot([], list(names), "name", "value")
-    q = lambda p: F.percentile("value", p)
-    return long.groupBy("name").agg(q(0.5).alias("center"), (q(0.95) - q(0.05)).alias("scale"))
+    return robust_scaler(df.unpivot([], list(names), "name", "value"))
+
+
+def robust_scaler(long: DataFrame) -> DataFrame:
+    """name, center, scale of long (name, value)."""
+    found = exact_quantiles(long, ["name"], {"v": F.col("value")}, {"center": ("v", 0.5), "low": ("v", 0.05), "high": ("v", 0.95)})
+    return found.select("name", "center", (F.col("high") - F.col("low")).alias("scale"))
 
 
 def model_input(long: DataFrame, scaler: DataFrame) -> DataFrame:
     """long (..., name, value) with scaled: (value - center) / (scale + 1e-6) within 10; missing is 0."""
     z = (F.col("value") - F.col("center")) / (F.col("scale") + 1e-6)
-    joined = long.join(F.broadcast(scaler), "name")  # a row a column of the layout
+    joined = long.join(scaler, "name")
     return joined.withColumn("scaled", F.coalesce(clip(F.nanvl(z, F.lit(None).cast("double")), -10.0, 10.0), F.lit(0.0))).drop("center", "scale")
 
 
@@ -129,9 +143,17 @@ def unpack_row(df: DataFrame, flat: str, keys: Sequence[str], names: Sequence[st
     return part.select(*keys, name.alias("name"), (F.floor(F.col("_at") / width) - (steps - 1)).cast("int").alias("lag"), "value")
 
 
-def station_filter(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Stations in 10-60 N, 65-145 E with finite coordinates."""
-    return df.filter(F.col(lat).between(10, 60) & F.col(lon).between(65, 145))
+def station_filter(df: DataFrame, lat: str = "lat", lon: str = "lon", key: str | None = "station_id") -> DataFrame:
+    """Stations in 10-60 N, 65-145 E with finite coordinates; the result fails where a key repeats among them."""
+    kept = df.filter(F.col(lat).between(10, 60) & F.col(lon).between(65, 145))
+    if key is None:
+        return kept
+    columns = [F.first(c).alias(c) for c in kept.columns if c != key]
+    once = kept.groupBy(key).agg(*columns, F.count("*").alias("_n"))
+    repeats = F.raise_error(F.concat(F.lit("station repeats: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    kind = dict(kept.dtypes)[key]
+    checked = once.withColumn(key, F.when(F.col("_n") == 1, F.col(key)).otherwise(repeats.cast(kind)))
+    return checked.select(*kept.columns)
 
 
 def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:

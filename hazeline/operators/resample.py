@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.operators.splits import draw
-from hazeline.operators.verify import argmax_class, metrics, ratio
+from hazeline.operators.verify import LOWER_IS_BETTER, argmax_class, metrics, ratio
 
 
 def bootstrap_rows(pairs: DataFrame, metric: str, n_rep: int = 500, seed: int = 17) -> DataFrame:
@@ -47,25 +47,44 @@ def date_draws(dates: DataFrame, day: str, n_rep: int, seed: str) -> DataFrame:
     return slots.groupBy("rep", "_r").agg(F.count("*").alias("times")).join(ranked, "_r").select("rep", day, "times")
 
 
-def _interval(reps: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
+def of_days(draws: DataFrame, rows: DataFrame, columns: Sequence[str], keep: Column | None = None) -> DataFrame:
+    """draws with the columns of rows of their day, those that keep (over both) lets through.
+
+    The rows of a day come as one array, so the draws meet a table of a row a date and nothing drawn is shuffled before it is
+    summed."""
+    per = rows.groupBy("day").agg(F.collect_list(F.struct(*columns)).alias("_cells"))
+    out = draws.join(per, "day").withColumn("_cell", F.explode("_cells")).select(*draws.columns, "_cell.*")
+    return out if keep is None else out.filter(keep)
+
+
+def _interval(reps: DataFrame, by: Sequence[str], value: Column, *more: Column) -> DataFrame:
     return reps.groupBy(*by).agg(
         F.avg(value).alias("mean"), F.percentile(value, 0.025).alias("low"), F.percentile(value, 0.975).alias("high"),
-        (F.count_if(value > 0) / F.count("*")).alias("p_positive"), F.count("*").alias("n_rep"),
+        (F.count_if(value > 0) / F.count("*")).alias("p_positive"), *more, F.count("*").alias("n_rep"),
     )
 
 
 def bootstrap_dates(counts: DataFrame, reference: str, names: Sequence[str], n_rep: int = 1000, seed: str = "dates") -> DataFrame:
-    """source, metric, mean, low, high, p_positive, n_rep of source minus reference over resampled dates.
+    """source, metric, mean, low, high, p_positive, p_better, n_blocks, n_rep of source minus reference over resampled dates.
 
-    counts: source, day, y_cls, pred, n.
+    counts: source, day, y_cls, pred, n and, for the Brier scores, the sums multiclass_sq and low_vis_sq. p_better is the
+    share of replicates in which the source is better by the metric's direction.
     """
     draws = date_draws(counts, "day", n_rep, seed)
-    drawn = counts.join(draws, "day").groupBy("rep", "source", "y_cls", "pred").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    sums = [c for c in ("multiclass_sq", "low_vis_sq") if c in counts.columns]
+    times = lambda c: F.sum(F.col(c) * F.col("times")).alias(c)
+    drawn = of_days(draws, counts, ["source", "y_cls", "pred", "n", *sums]).groupBy("rep", "source", "y_cls", "pred").agg(*[times(c) for c in ("n", *sums)])
     table = metrics(drawn, ["rep", "source"])
+    if sums:
+        scores = drawn.groupBy("rep", "source").agg(*[(F.sum(c) / F.sum("n")).alias(c.replace("_sq", "_brier")) for c in sums])
+        table = table.join(scores, ["rep", "source"])
     long = table.select("rep", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in names])).alias("m")).select("rep", "source", "m.*")
     ref = long.filter(F.col("source") == reference).select("rep", "metric", F.col("v").alias("_ref"))
     both = long.filter(F.col("source") != reference).join(ref, ["rep", "metric"])
-    return _interval(both, ["source", "metric"], F.col("v") - F.col("_ref"))
+    blocks = counts.agg(F.count_distinct("day").alias("n_blocks"))  # one row
+    d = F.col("v") - F.col("_ref")
+    better = F.count_if(F.when(F.col("metric").isin(*LOWER_IS_BETTER), d < 0).otherwise(d > 0)) / F.count("*")
+    return _interval(both, ["source", "metric"], d, better.alias("p_better")).crossJoin(F.broadcast(blocks))
 
 
 def linear_scores(df: DataFrame, names: Sequence[str], weights: Sequence[Sequence[float]], temperature: float = 1.0) -> DataFrame:
@@ -94,10 +113,11 @@ def batch_score(df: DataFrame, scorer, names: Sequence[str], temperature: float
     return df.mapInPandas(run, schema)
 
 
-def permuted(df: DataFrame, donor_map: DataFrame, key: str, group: Sequence[str]) -> DataFrame:
-    """df with the columns of group taken from each row's donor."""
-    given = df.select(F.col(key).alias("donor"), *[F.col(c).alias(f"_{c}") for c in group])
-    out = df.join(donor_map.select(key, "donor"), key).join(given, "donor")
+def permuted(df: DataFrame, donor_map: DataFrame, key: str, group: Sequence[str], strata: Sequence[str] = ()) -> DataFrame:
+    """df with the columns of group (which may be windows, arrays of steps) taken from each row's donor; key is unique within
+    strata, and donors are of the same strata."""
+    given = df.select(*strata, F.col(key).alias("donor"), *[F.col(c).alias(f"_{c}") for c in group])
+    out = df.join(donor_map.select(*strata, key, "donor"), [*strata, key]).join(given, [*strata, "donor"])
     return out.withColumns({c: F.col(f"_{c}") for c in group}).drop("donor", *[f"_{c}" for c in group])
 
 
@@ -114,76 +134,104 @@ def event_scores(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return s.select(*by, ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")).alias("csi"), (F.col("sq_error") / F.col("n")).alias("brier"))
 
 
-def permutation_importance(df: DataFrame, score, key: str, groups: dict[str, Sequence[str]], donor_maps: dict[int, DataFrame], by: Sequence[str] = ("day",)) -> DataFrame:
-    """feature, rep, by..., tp, fp, fn, sq_error, n: event counts by date with a group permuted (feature 'baseline': none).
+def permutation_importance(
+    df: DataFrame, score, key: str, groups: dict[str, Sequence[str]], donor_maps: dict[tuple[str, int], DataFrame], by: Sequence[str] = ("source", "day"), strata: Sequence[str] = ("source",)
+) -> DataFrame:
+    """feature, mode, rep, by..., tp, fp, fn, sq_error, n: event counts by date with a group permuted (feature 'baseline', mode
+    'none': nothing).
 
-    score adds probabilities to rows; donor_maps has a map (key, donor) for each repeat.
+    score adds probabilities to rows; donor_maps has a map (strata, key, donor) for each mode and repeat.
     """
-    out = event_counts(score(df), list(by)).select(F.lit("baseline").alias("feature"), F.lit(0).alias("rep"), "*")
+    out = event_counts(score(df), list(by)).select(F.lit("baseline").alias("feature"), F.lit("none").alias("mode"), F.lit(0).alias("rep"), "*")
     for name, cols in groups.items():
-        for rep, donor_map in donor_maps.items():
-            part = event_counts(score(permuted(df, donor_map, key, cols)), list(by))
-            out = out.union(part.select(F.lit(name).alias("feature"), F.lit(rep).alias("rep"), "*"))
+        for (mode, rep), donor_map in donor_maps.items():
+            part = event_counts(score(permuted(df, donor_map, key, cols, strata)), list(by))
+            out = out.union(part.select(F.lit(name).alias("feature"), F.lit(mode).alias("mode"), F.lit(rep).alias("rep"), "*"))
     return out
 
 
-def importance(daily: DataFrame) -> DataFrame:
-    """feature, csi_drop, brier_rise: means over repeats, against the baseline."""
-    s = event_scores(daily, ["feature", "rep"])
-    base = s.filter("feature = 'baseline'").select(F.col("csi").alias("_c"), F.col("brier").alias("_b"))  # one row
-    both = s.filter("feature <> 'baseline'").crossJoin(F.broadcast(base))
-    return both.groupBy("feature").agg(F.avg(F.col("_c") - F.col("csi")).alias("csi_drop"), F.avg(F.col("brier") - F.col("_b")).alias("brier_rise"))
+def importance(daily: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
+    """by, feature, mode, baseline_csi, csi_drop, brier_rise: means over repeats, against the baseline."""
+    s = event_scores(daily, [*by, "feature", "mode", "rep"])
+    base = s.filter("feature = 'baseline'").select(*by, F.col("csi").alias("_c"), F.col("brier").alias("_b"))
+    both = s.filter("feature <> 'baseline'").join(base, list(by))
+    return both.groupBy(*by, "feature", "mode").agg(
+        F.max("_c").alias("baseline_csi"), F.avg(F.col("_c") - F.col("csi")).alias("csi_drop"), F.avg(F.col("brier") - F.col("_b")).alias("brier_rise")
+    )
 
 
-def importance_replicates(daily: DataFrame, n_rep: int, seed: str, n_repeats: int) -> DataFrame:
-    """draw, feature, csi_drop: over resampled dates, shared by all features; each draw uses one repeat."""
+def importance_replicates(daily: DataFrame, n_rep: int, seed: str, n_repeats: int, by: Sequence[str] = ("source",)) -> DataFrame:
+    """draw, by, feature, mode, metric (csi_drop, brier_rise), value: over resampled dates, shared by all sources and features;
+    each draw uses one repeat."""
     draws = date_draws(daily, "day", n_rep, seed)
     chosen = draws.select("day", "times", F.col("rep").alias("draw"), (F.pmod("rep", F.lit(n_repeats)) + 1).alias("use"))
-    joined = daily.join(chosen, "day").filter((F.col("feature") == "baseline") | (F.col("rep") == F.col("use")))
-    weighted = joined.select("draw", "feature", *[(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn", "sq_error", "n")])
-    s = event_scores(weighted, ["draw", "feature"])
-    base = s.filter("feature = 'baseline'").select("draw", F.col("csi").alias("_c"))
-    return s.filter("feature <> 'baseline'").join(base, "draw").select("draw", "feature", (F.col("_c") - F.col("csi")).alias("csi_drop"))
-
-
-def importance_ci(daily: DataFrame, n_rep: int = 1000, seed: str = "importance", n_repeats: int = 1, least_dates: int = 5) -> DataFrame:
-    """feature, mean, low, high, p_positive, n_rep, excludes_zero; empty with fewer than least_dates dates."""
+    mine = (F.col("feature") == "baseline") | (F.col("rep") == F.col("use"))
+    joined = of_days(chosen, daily, [*by, "feature", "mode", "rep", "tp", "fp", "fn", "sq_error", "n"], mine)
+    weighted = joined.select("draw", *by, "feature", "mode", *[(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn", "sq_error", "n")])
+    s = event_scores(weighted, ["draw", *by, "feature", "mode"])
+    base = s.filter("feature = 'baseline'").select("draw", *by, F.col("csi").alias("_c"), F.col("brier").alias("_b"))
+    both = s.filter("feature <> 'baseline'").join(base, ["draw", *by])
+    metric = lambda name, value: F.struct(F.lit(name).alias("metric"), value.alias("value"))
+    pair = F.array(metric("csi_drop", F.col("_c") - F.col("csi")), metric("brier_rise", F.col("brier") - F.col("_b")))
+    return both.select("draw", *by, "feature", "mode", F.explode(pair).alias("m")).select("draw", *by, "feature", "mode", "m.*")
+
+
+def importance_ci(daily: DataFrame, n_rep: int = 1000, seed: str = "importance", n_repeats: int = 1, least_dates: int = 5, by: Sequence[str] = ("source",)) -> DataFrame:
+    """by, feature, mode, metric, mean, low, high, p_positive, n_rep, excludes_zero; empty with fewer than least_dates dates."""
     dates = daily.agg(F.count_distinct("day").alias("_d"))  # one row
-    out = _interval(importance_replicates(daily, n_rep, seed, n_repeats), ["feature"], F.col("csi_drop"))
+    out = _interval(importance_replicates(daily, n_rep, seed, n_repeats, by), [*by, "feature", "mode", "metric"], F.col("value"))
     out = out.withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
     return out.crossJoin(F.broadcast(dates)).filter(F.col("_d") >= least_dates).drop("_d")
 
 
 def importance_source_diff(reps: DataFrame, manifest: DataFrame) -> DataFrame:
-    """feature, left_source, right_source, scope, mean, low, high, p_positive, n_rep of left - right over paired draws.
+    """feature, mode, metric, left_source, right_source, scope, mean, low, high, p_positive, n_rep of left - right over paired draws.
 
-    reps: source, draw, feature, csi_drop; manifest: source, feature, members. Features are comparable where both sources
+    reps: importance_replicates by source; manifest: source, feature, members. Features are comparable where both sources
     have equal members; scope is global_shared when all sources do.
     """
     n = manifest.agg(F.count_distinct("source").alias("_all"))
     same = manifest.groupBy("feature", "members").agg(F.count_distinct("source").alias("_k")).crossJoin(F.broadcast(n))  # one row
     scope = same.select("feature", "members", F.when(F.col("_k") == F.col("_all"), "global_shared").otherwise("pair_shared").alias("scope"))
     tagged = reps.join(manifest, ["source", "feature"]).join(scope, ["feature", "members"])
-    l = tagged.select("draw", "feature", "members", "scope", F.col("source").alias("left_source"), F.col("csi_drop").alias("_l"))  # noqa: E741
-    r = tagged.select("draw", "feature", "members", F.col("source").alias("right_source"), F.col("csi_drop").alias("_r"))
-    both = l.join(r, ["draw", "feature", "members"]).filter(F.col("left_source") < F.col("right_source"))
-    return _interval(both, ["feature", "left_source", "right_source", "scope"], F.col("_l") - F.col("_r"))
-
+    keys = ["draw", "feature", "mode", "metric", "members"]
+    l = tagged.select(*keys, "scope", F.col("source").alias("left_source"), F.col("value").alias("_l"))  # noqa: E741
+    r = tagged.select(*keys, F.col("source").alias("right_source"), F.col("value").alias("_r"))
+    both = l.join(r, keys).filter(F.col("left_source") < F.col("right_source"))
+    return _interval(both, ["feature", "mode", "metric", "left_source", "right_source", "scope"], F.col("_l") - F.col("_r"))
 
-def feature_group_manifest(available: DataFrame, packages: DataFrame) -> DataFrame:
-    """source, feature, members, kind, rank: each variable of a source and each package (name, member) all of whose
-    members it has, numbered within the source, variables first."""
-    single = available.select("source", F.col("name").alias("feature"), F.col("name").alias("members"), F.lit("variable").alias("kind"))
-    sizes = packages.groupBy("package").agg(F.count("*").alias("_n"))
-    held = available.join(packages, F.col("name") == F.col("member")).groupBy("source", "package")
-    held = held.agg(F.count("*").alias("_k"), F.array_join(F.array_sort(F.collect_set("member")), ",").alias("members")).join(sizes, "package").filter("_k = _n")
-    out = single.union(held.select("source", F.col("package").alias("feature"), "members", F.lit("package").alias("kind")))
-    order = Window.partitionBy("source").orderBy(F.col("kind").desc(), "feature")
-    return out.withColumn("rank", F.row_number().over(order).cast("long"))
 
+def feature_group_manifest(available: DataFrame, packages: DataFrame, steps: int = 12, importances: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """source, feature, members, kind, n_columns, rank and, with importances (source, feature, value), importance_rank and
+    selected: each variable of a source and each package (name, member) with its members that the source has.
 
-def top_k_features(importances: DataFrame, populated: DataFrame, k: int) -> DataFrame:
-    """The k features of largest importance, name on ties, among those populated in all sources of populated (source, feature)."""
+    A group is permuted with the whole window, so it has steps columns a member. rank numbers the groups of a source,
+    variables first; importance_rank those with a value, the largest first; the first k of them are selected (all without k).
+    """
+    single = available.select("source", F.col("name").alias("feature"), F.array("name").alias("_m"), F.lit("variable").alias("kind"))
+    held = available.join(packages, F.col("name") == F.col("member")).groupBy("source", "package")
+    held = held.agg(F.array_sort(F.collect_set("member")).alias("_m"))
+    shared = F.when(F.col("package").startswith("shared_"), "shared_package").otherwise("package")
+    out = single.union(held.select("source", F.col("package").alias("feature"), "_m", shared.alias("kind")))
+    order = Window.partitionBy("source").orderBy(F.col("kind").desc(), "feature")  # a row a group of the source
+    out = out.select("source", "feature", F.array_join("_m", ",").alias("members"), "kind", (F.size("_m") * steps).cast("long").alias("n_columns"))
+    out = out.withColumn("rank", F.row_number().over(order).cast("long"))
+    if importances is None:
+        return out
+    out = out.join(importances.select("source", "feature", "value"), ["source", "feature"], "left")
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc_nulls_last("value"), "feature")).cast("long")
+    out = out.withColumn("importance_rank", F.when(F.col("value").isNotNull(), place)).drop("value")
+    chosen = F.col("importance_rank").isNotNull() if k is None else F.coalesce(F.col("importance_rank") <= k, F.lit(False))
+    return out.withColumn("selected", chosen)
+
+
+def top_k_features(importances: DataFrame, populated: DataFrame, k: int, explicit: Sequence[str] = (), default: Sequence[str] = ()) -> DataFrame:
+    """feature, value: at most k features populated in all sources of populated (source, feature): those of explicit in its
+    order, then by importance, the largest first and by name on ties, then those of default in its order."""
     n = populated.agg(F.count_distinct("source").alias("_n"))
-    everywhere = populated.groupBy("feature").agg(F.count_distinct("source").alias("_k")).crossJoin(F.broadcast(n)).filter("_k = _n")  # one row
-    return importances.join(everywhere, "feature", "left_semi").orderBy(F.desc("value"), "feature").limit(k)
+    everywhere = populated.groupBy("feature").agg(F.count_distinct("source").alias("_k")).crossJoin(F.broadcast(n)).filter("_k = _n").select("feature")  # one row
+    rows = everywhere.join(importances.select("feature", "value"), "feature", "left")
+    place = lambda xs: F.nullif(F.array_position(F.array(*[F.lit(x) for x in xs]).cast("array<string>"), F.col("feature")), F.lit(0))
+    first, last = place(explicit), place(default)
+    rows = rows.filter(first.isNotNull() | F.col("value").isNotNull() | last.isNotNull())
+    return rows.orderBy(F.asc_nulls_last(first), F.desc_nulls_last("value"), F.asc_nulls_last(last), "feature").limit(k)

@@ -1,6 +1,7 @@
 """Hourly station series: windows, time axes, leads and fog features.
 
-All windows of a station share one partitioning and order, so a feature table is one shuffle and one sort.
+All windows of a station share one partitioning and order, so a feature table is one shuffle and one sort; the last 12
+rows are collected once, and every statistic is arithmetic on that array.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeline.functions.checks import described, failing
 from hazeline.functions.physics import clip, sigmoid
+from hazeline.functions.quantiles import exact_quantiles
 
 STEPS = 12
 
@@ -31,19 +34,33 @@ def sliding_window(df: DataFrame, names: Sequence[str], n: int = STEPS, step: in
     return df.filter(whole & (F.pmod(F.col("_row") - n, F.lit(step)) == 0)).drop("_first", "_row")
 
 
-def window_stats(name: str, n: int = STEPS, station: str = "station_id", time: str = "h") -> dict[str, Column]:
-    """Change over 3 and 6 steps, population spread and range of a column over the last n steps."""
-    w, x = along(station, time), F.col(name)
-    last = w.rowsBetween(-(n - 1), 0)
+def with_last(df: DataFrame, names: Sequence[str], n: int = STEPS, station: str = "station_id", time: str = "h", out: str = "_last") -> DataFrame:
+    """df with out: the last n rows of the station as an array of structs of names. One frame serves all statistics of a row."""
+    return df.withColumn(out, F.collect_list(F.struct(*names)).over(along(station, time).rowsBetween(-(n - 1), 0)))
+
+
+def before(name: str, k: int, last: str = "_last") -> Column:
+    """The value k rows before; null where there is none."""
+    return F.get(F.col(last)[name], F.size(last) - (1 + k))
+
+
+def window_stats(name: str, last: str = "_last") -> dict[str, Column]:
+    """Change over 3 and 6 steps, population spread and range of a column over the rows of with_last."""
+    x, xs = F.col(name), F.col(last)[name]
+    low, n = F.array_min(xs), F.size(F.array_compact(xs))
+    # Distances to the least value: exact for short decimals, and 0 for a constant.
+    total = lambda f: F.aggregate(xs, F.lit(0.0), lambda s, y: s + F.coalesce(f(y), F.lit(0.0)))
+    away = lambda y: y - low
+    mean = total(away) / n
+    spread = F.sqrt(F.greatest(total(lambda y: away(y) * away(y)) / n - mean * mean, F.lit(0.0)))
     return {
-        f"{name}_d3": x - F.lag(x, 3).over(w), f"{name}_d6": x - F.lag(x, 6).over(w),
-        f"{name}_std": F.stddev_pop(x).over(last), f"{name}_range": F.max(x).over(last) - F.min(x).over(last),
+        f"{name}_d3": x - before(name, 3, last), f"{name}_d6": x - before(name, 6, last), f"{name}_std": F.when(n > 0, spread),
+        f"{name}_range": F.array_max(xs) - low,
     }
 
 
-def acceleration(name: str, station: str = "station_id", time: str = "h") -> Column:
-    w, x = along(station, time), F.col(name)
-    return (x - F.lag(x, 3).over(w)) - (F.lag(x, 3).over(w) - F.lag(x, 6).over(w))
+def acceleration(name: str, last: str = "_last") -> Column:
+    return (F.col(name) - before(name, 3, last)) - (before(name, 3, last) - before(name, 6, last))
 
 
 def time_axis_steps(df: DataFrame, time: str = "h", by: Sequence[str] = ()) -> DataFrame:
@@ -64,12 +81,11 @@ def time_axis_summary(df: DataFrame, time: str = "h", step: int = 1, by: Sequenc
 
 
 def require_regular(df: DataFrame, time: str = "h", step: int = 1) -> DataFrame:
-    """df; raises on a null time, or a step of the axis other than step."""
-    if df.filter(F.col(time).isNull()).limit(1).count():
-        raise ValueError("a time is null")
-    if bad := time_axis_steps(df, time).filter(F.col("delta") != step).first():
-        raise ValueError(f"the axis steps by {bad['delta']} to {bad[time]}")
-    return df
+    """df; fails on a null time, or a step of the axis other than step."""
+    kind = dict(df.dtypes)[time]
+    known = df.withColumn(time, F.coalesce(time, F.raise_error("a time is null").cast(kind)))
+    odd = time_axis_steps(df, time).filter(F.col("delta") != step)
+    return failing(known, odd, described("the axis steps by ", F.col("delta"), " to ", F.col(time)))
 
 
 def segment_cadence(df: DataFrame, by: Sequence[str], time: str = "minute", unit: int = 60) -> DataFrame:
@@ -94,6 +110,21 @@ def lead_evidence(df: DataFrame, valid: str, init: str | None, declared: str | N
     return df.withColumns({"lead": F.coalesce(made, said, guess), "provenance": origin, "disagrees": differs})
 
 
+def lead_summary(leads: DataFrame, by: Sequence[str] = (), low: float | None = None, high: float | None = None) -> DataFrame:
+    """by, provenance, n, lead_min, lead_max, n_disagree and leads, the rows by lead (6 digits) as a map; leads: lead_evidence's
+    result. With low and high, fails where a group's leads don't range from one to the other."""
+    per = leads.groupBy(*by, "provenance", F.round("lead", 6).alias("lead")).agg(F.count("*").alias("n"), F.count_if("disagrees").alias("d"))
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("lead").isNotNull(), F.struct("lead", "n")))))
+    out = per.groupBy(*by, "provenance").agg(
+        F.sum("n").alias("n"), F.min("lead").alias("lead_min"), F.max("lead").alias("lead_max"), F.sum("d").alias("n_disagree"), counts.alias("leads")
+    )
+    if low is None and high is None:
+        return out
+    near = lambda c, x: F.lit(True) if x is None else F.coalesce(F.abs(F.col(c) - x) <= 1e-6, F.lit(False))
+    wrong = F.raise_error(described("leads range from ", F.col("lead_min"), " to ", F.col("lead_max"))).cast("boolean")
+    return out.filter(F.when(near("lead_min", low) & near("lead_max", high), True).otherwise(wrong))
+
+
 #: Weights of the fog potential's terms (fixed values).
 FOG_WEIGHTS = {"rh": 0.40, "dpd": 0.25, "dpd_alone": 0.45, "wind": 0.20, "stability": 0.15, "night": 0.15}
 
@@ -139,10 +170,11 @@ def _weighted(terms: list[tuple[float, Column]]) -> Column:
 
 
 def _finished(df: DataFrame, keys: Sequence[str], cols: dict[str, Column]) -> DataFrame:
-    finite = lambda x: F.coalesce(clip(F.nanvl(x, F.lit(None).cast("double")), -1e300, 1e300), F.lit(0.0))
+    """The features, missing as 0 and infinite ones as 10; computed in a projection of their own, then cleaned."""
     inf = float("inf")
-    safe = lambda x: F.when(x == inf, 10.0).when(x == -inf, -10.0).otherwise(finite(x))
-    return df.select(*keys, *[safe(x).alias(k) for k, x in cols.items()])
+    safe = lambda x: F.when(x == inf, 10.0).when(x == -inf, -10.0).when(x.isNull() | F.isnan(x), 0.0).otherwise(x)
+    raw = df.select(*keys, *[x.alias(k) for k, x in cols.items()])
+    return raw.select(*keys, *[safe(F.col(k)).alias(k) for k in cols])
 
 
 def _stats(names: Sequence[str]) -> dict[str, Column]:
@@ -154,6 +186,8 @@ def _stats(names: Sequence[str]) -> dict[str, Column]:
 
 def fog_features_native(df: DataFrame, keys: Sequence[str] = ("station_id", "h")) -> DataFrame:
     """Fog features of the columns that df has (canonical names, ZENITH), from rows in series; missing is 0."""
+    series = [n for n in ("RH2M", "T2M", "WSPD10", "DPD", "RH_925", "Q_1000", "Q_925") if n in df.columns]
+    df = with_last(df, series) if series else df
     t = _helpers(df)
     cols: dict[str, Column] = {}
     terms: list[tuple[float, Column]] = []
@@ -171,7 +205,7 @@ def fog_features_native(df: DataFrame, keys: Sequence[str] = ("station_id", "h")
         cols["rh_contrast"] = t["rh_contrast"]
     if terms:
         cols["fog_potential"] = _weighted(terms)
-    cols |= _stats([n for n in ("RH2M", "T2M", "WSPD10", "DPD", "RH_925", "Q_1000", "Q_925") if n in df.columns])
+    cols |= _stats(series)
     if "shear" in t:
         cols |= {"shear": F.tanh(t["shear"] / 8.0), "turn": t["turn"]}
     cols |= {k: t[k] for k in ("vent", "convective", "mixing", "strat", "omega", "warm", "moist_heat", "rh_cloud") if k in t}
@@ -180,6 +214,7 @@ def fog_features_native(df: DataFrame, keys: Sequence[str] = ("station_id", "h")
 
 def fog_features_full(df: DataFrame, keys: Sequence[str] = ("station_id", "h")) -> DataFrame:
     """The 32 features of the full layout."""
+    df = with_last(df, ["RH2M", "T2M", "WSPD10"])
     t, c = _helpers(df), F.col
     flag = (c("RH2M") > 90) & (t["t_c"] < 10) & (c("WSPD10") < 4)
     cols = {"moist": t["rh"] * t["dpd"], "wind": t["wind"], "stability": t["stability"], "night_rad": t["night_rad"], "rh_contrast": t["rh_contrast"],
@@ -193,8 +228,8 @@ def fog_features_full(df: DataFrame, keys: Sequence[str] = ("station_id", "h"))
 
 def fog_features_compact(df: DataFrame, keys: Sequence[str] = ("station_id", "h")) -> DataFrame:
     """The 27 features of the layout without RH2M; the pressure anomaly is from the median of the whole table."""
-    median = df.agg(F.percentile("MSLP", 0.5).alias("_median"))  # one row
-    df = df.crossJoin(F.broadcast(median))
+    median = exact_quantiles(df, [], {"v": F.col("MSLP")}, {"_median": ("v", 0.5)})  # one row
+    df = with_last(df.crossJoin(F.broadcast(median)), ["T2M", "WSPD10", "DPD"])
     t, c = _helpers(df), F.col
     cols = {"dpd_weight": t["dpd"], "wind": t["wind"], "rh925": t["rh925"], "fog_potential": t["dpd"] * 0.45 + t["rh925"] * 0.25 + t["wind"] * 0.15 + t["night"] * 0.15}
     cols |= _stats(["T2M", "WSPD10", "DPD"])

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeline.functions.checks import described, failing
 from hazeline.functions.prefix import running_sums
+from hazeline.functions.quantiles import exact_quantiles
 
 
 def draw(*parts: Column | str) -> Column:
@@ -42,12 +44,18 @@ def merge_splits(df: DataFrame, names: Sequence[str], into: str, split: str = "s
     return df.withColumn(split, F.when(F.col(split).isin(*names), into).otherwise(F.col(split)))
 
 
-def uniform_sample(df: DataFrame, key: Sequence[str], n: int, seed: str, min_events: int = 0, event: Column | None = None) -> DataFrame:
-    """n rows without replacement, by the order of draw(seed, key): a top-k. Raises with under min_events events."""
-    chosen = df.orderBy(draw(seed, *[F.col(k) for k in key]), *key).limit(n)
-    if min_events and event is not None and (found := chosen.filter(event).count()) < min_events:
-        raise ValueError(f"{found} events in the sample; {min_events} are needed")
-    return chosen
+def uniform_sample(df: DataFrame, key: Sequence[str], n: int, seed: str, min_events: int = 0, event: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """n rows of each group without replacement, by the order of draw(seed, key): a top-k, taken within hash ranges first, so
+    that a group may hold all rows. Fails with under min_events events in a group."""
+    placed = df.withColumn("_d", draw(seed, *[F.col(k) for k in key]))
+    for part in ([F.pmod("_d", F.lit(64))], []):
+        w = Window.partitionBy(*by, *part).orderBy("_d", *key)
+        placed = placed.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    chosen = placed.drop("_d", "_r")
+    if not min_events or event is None:
+        return chosen
+    few = chosen.groupBy(*by).agg(F.count_if(event).alias("_n")).filter(F.col("_n") < min_events)
+    return failing(chosen, few, described(F.col("_n"), f" events in the sample; {min_events} are needed"))
 
 
 def even_sample(values: DataFrame, column: str, n: int) -> DataFrame:
@@ -72,17 +80,19 @@ def df_of_ranks(df: DataFrame, n: int, total: int) -> DataFrame:
     return df.sparkSession.range(n).select(F.floor(i * step + 1e-9).alias("at")).distinct()
 
 
-def class_balanced_sample(df: DataFrame, key: str, n_batches: int, batch: int, seed: str, shares: Sequence[float] = (0.18, 0.22)) -> DataFrame:
-    """batch, slot, y_cls, key: slots of each batch dealt to the classes by their shares (the rest clear), each filled with
+def class_balanced_sample(
+    df: DataFrame, key: str, n_batches: int, batch: int, seed: str, shares: Sequence[float] = (0.18, 0.22), by: Sequence[str] = ()
+) -> DataFrame:
+    """by, batch, slot, y_cls, key: slots of each batch dealt to the classes by their shares (the rest clear), each filled with
     replacement from its class by draw modulo the class's size."""
-    sizes = df.groupBy("y_cls").agg(F.count("*").alias("n"))
-    rows = df.select("y_cls", key, draw(seed, F.col(key)).alias("_d"), F.lit(1).alias("_one"))
-    ranked = running_sums(rows, ["y_cls"], F.floor(F.col("_d") / (1 << 22)), F.struct("_d", key), {"_rank": "_one"})
+    sizes = df.groupBy(*by, "y_cls").agg(F.count("*").alias("n"))
+    rows = df.select(*by, "y_cls", key, draw(seed, F.col(key)).alias("_d"), F.lit(1).alias("_one"))
+    ranked = running_sums(rows, [*by, "y_cls"], F.floor(F.col("_d") / (1 << 22)), F.struct("_d", key), {"_rank": "_one"})
     fog, mist = round(batch * shares[0]), round(batch * shares[1])
     slots = df.sparkSession.range(n_batches * batch).select(F.floor(F.col("id") / batch).alias("batch"), F.pmod("id", F.lit(batch)).alias("slot"))
     slots = slots.withColumn("y_cls", F.when(F.col("slot") < fog, 0).when(F.col("slot") < fog + mist, 1).otherwise(2))
-    slots = slots.join(F.broadcast(sizes), "y_cls").withColumn("_rank", F.pmod(draw(seed, F.col("batch"), F.col("slot")), F.col("n")) + 1)
-    return slots.join(ranked, ["y_cls", "_rank"]).select("batch", "slot", "y_cls", key)
+    slots = slots.join(sizes, "y_cls").withColumn("_rank", F.pmod(draw(seed, F.col("batch"), F.col("slot")), F.col("n")) + 1)
+    return slots.join(ranked, [*by, "y_cls", "_rank"]).select(*by, "batch", "slot", "y_cls", key)
 
 
 def donors(df: DataFrame, key: str, seed: str, strata: Sequence[str] = ()) -> DataFrame:
@@ -100,23 +110,35 @@ def donors(df: DataFrame, key: str, seed: str, strata: Sequence[str] = ()) -> Da
     return a.join(b, same).select(*strata, key, "donor")
 
 
-def stratified_donors(df: DataFrame, key: str, seed: str, fine: Sequence[str], coarse: Sequence[str]) -> DataFrame:
-    """key, donor, level: donors within the fine strata; rows alone there are permuted within the coarse ones, among themselves;
+def donor_summary(found: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, n, moved_fraction (rows whose donor is another row) and, with levels, fallback_fraction (rows alone in their fine
+    stratum)."""
+    moved = [F.avg((F.col(key) != F.col("donor")).cast("double")).alias("moved_fraction")]
+    if "level" in found.columns:
+        moved.append(F.avg((F.col("level") != "fine").cast("double")).alias("fallback_fraction"))
+    return found.groupBy(*by).agg(F.count("*").alias("n"), *moved)
+
+
+def stratified_donors(df: DataFrame, key: str, seed: str, fine: Sequence[str], coarse: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """by, key, donor, level: donors within the fine strata; rows alone there are permuted within the coarse ones, among themselves;
     rows alone there too stay (level 'none')."""
     sized = lambda d, s: d.join(d.groupBy(*s).agg(F.count("*").alias("_n")), list(s))
+    fine, coarse = [*by, *fine], [*by, *coarse]
     first = sized(df, fine)
     many, alone = first.filter("_n > 1").drop("_n"), first.filter("_n = 1").drop("_n")
     second = sized(alone, coarse)
-    out = donors(many, key, seed, fine).select(key, "donor", F.lit("fine").alias("level"))
-    out = out.union(donors(second.filter("_n > 1").drop("_n"), key, seed, coarse).select(key, "donor", F.lit("coarse").alias("level")))
-    return out.union(second.filter("_n = 1").select(key, F.col(key).alias("donor"), F.lit("none").alias("level")))
+    out = donors(many, key, seed, fine).select(*by, key, "donor", F.lit("fine").alias("level"))
+    out = out.union(donors(second.filter("_n > 1").drop("_n"), key, seed, coarse).select(*by, key, "donor", F.lit("coarse").alias("level")))
+    return out.union(second.filter("_n = 1").select(*by, key, F.col(key).alias("donor"), F.lit("none").alias("level")))
 
 
 def quantile_code(df: DataFrame, column: str, bins: int = 4, out: str = "code") -> DataFrame:
     """The number of inner edges under a value, of the distinct quantiles of the column; -1 for null, under 4 values, or
     two edges or fewer."""
     points = [i / bins for i in range(bins + 1)]
-    stats = df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(p) for p in points]))).alias("_e"), F.count(column).alias("_n"))
+    edges = exact_quantiles(df, [], {"v": F.col(column)}, {f"e{i}": ("v", p) for i, p in enumerate(points)})
+    edges = edges.select(F.array_distinct(F.array(*[F.col(f"e{i}") for i in range(len(points))])).alias("_e"))
+    stats = df.agg(F.count(column).alias("_n")).crossJoin(edges)
     inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
     code = F.size(F.filter(inner, lambda e: e < F.col(column)))
     ok = F.col(column).isNotNull() & (F.col("_n") >= 4) & (F.size("_e") > 2)

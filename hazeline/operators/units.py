@@ -1,7 +1,8 @@
 """Unit policy and quality control: statistics of a group of values decide how the group is scaled.
 
 A group is given by columns (a source and variable), never by chunks of rows, so results don't depend on
-partitioning. Statistics are one aggregate a group, joined back by an equi-join on the group.
+partitioning. Quantiles are exact and computed without a task that holds a group; they are joined back by an
+equi-join on the group.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.functions.physics import clip, dewpoint_from_q
+from hazeline.functions.quantiles import exact_quantiles, with_quantiles
 
 TEMPERATURES = ("T2M", "D2M", "T_925", "T_1000", "DP_925", "DP_1000")
 HUMIDITIES = ("RH2M", "RH_925", "RH_1000")
@@ -20,22 +22,22 @@ PM_MOST = 10_000.0
 LEGACY = "legacy_kgm3_times_1e12"
 
 
-def _with_stats(df: DataFrame, group: Sequence[str], **stats: Column) -> DataFrame:
-    per = df.groupBy(*group).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(per, list(group))
+def _with_quantile(df: DataFrame, group: Sequence[str], value: Column, point: float, name: str) -> DataFrame:
+    """df with the quantile of value over its group."""
+    return df.join(exact_quantiles(df, group, {"x": value}, {name: ("x", point)}), list(group))
 
 
 def canonicalize_units(df: DataFrame, group: Sequence[str] = ("source", "variable"), check: bool = True) -> DataFrame:
     """df (..., variable, value) with pressure in Pa, temperature in K, humidity in % and kg/kg.
 
-    The median of |value| of a group decides; with check, a pressure group of neither hPa nor Pa raises.
+    The median of |value| of a group decides; with check, the result fails on a pressure group of neither hPa nor Pa.
     """
-    df = _with_stats(df, group, _m=F.percentile(F.abs(F.col("value")), 0.5))
+    df = _with_quantile(df, group, F.abs(F.col("value")), 0.5, "_m")
     name, x, m = F.col("variable"), F.col("value"), F.col("_m")
-    if check and (bad := df.filter((name == "MSLP") & ~m.between(500, 2000) & ~m.between(20_000, 120_000)).select("_m").first()):
-        raise ValueError(f"pressure with median {bad[0]} is neither hPa nor Pa")
+    unknown = (name == "MSLP") & ~m.between(500, 2000) & ~m.between(20_000, 120_000) if check else F.lit(False)
     value = (
-        F.when((name == "MSLP") & m.between(500, 2000), x * 100.0)
+        F.when(unknown, F.raise_error(F.concat(F.lit("pressure is neither hPa nor Pa; its median is "), m.cast("string"))).cast("double"))
+        .when((name == "MSLP") & m.between(500, 2000), x * 100.0)
         .when(name.isin(*TEMPERATURES) & (m < 150), x + 273.15)
         .when(name.isin(*HUMIDITIES) & (m <= 1.5), x * 100.0)
         .when(name.isin(*SPECIFIC) & (m > 0.2), x / 1000.0)
@@ -47,7 +49,7 @@ def canonicalize_units(df: DataFrame, group: Sequence[str] = ("source", "variabl
 def canonicalize_pm(df: DataFrame, value: str, declared: str, group: Sequence[str]) -> DataFrame:
     """Concentrations in ug m-3: negatives are missing; the declared unit and the median of positives decide."""
     x = F.when(F.col(value) >= 0, F.col(value))
-    df = _with_stats(df.withColumn(value, x), group, _m=F.percentile(F.when(F.col(value) > 0, F.col(value)), 0.5))
+    df = _with_quantile(df.withColumn(value, x), group, F.when(F.col(value) > 0, F.col(value)), 0.5, "_m")
     unit, m = F.lower(F.coalesce(F.col(declared), F.lit(""))), F.col("_m")
     factor = (
         F.when(unit == LEGACY, 1e-3).when(m.isNull(), 1.0).when(m < 1e-3, 1e9).when(m > 1e4, 1e-3).when(unit.startswith("kg"), 1e9).otherwise(1.0)
@@ -64,19 +66,19 @@ def sanitize_pm(df: DataFrame, value: str, declared: str, group: Sequence[str],
     valid = F.when(F.col(value).between(0, PM_MOST), F.col(value))
     if fill is not None:
         return df.withColumn(value, F.coalesce(valid, F.lit(float(fill))))
-    df = _with_stats(df.withColumn(value, valid), group, _m=F.percentile(value, 0.5))
+    df = _with_quantile(df.withColumn(value, valid), group, F.col(value), 0.5, "_m")
     return df.withColumn(value, F.coalesce(F.col(value), F.col("_m"), F.lit(0.0))).drop("_m")
 
 
 def normalize_rh(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     """Percent within 0 to 100; a group whose P99 is 2 at most holds fractions."""
-    df = _with_stats(df, group, _p=F.percentile(value, 0.99))
+    df = _with_quantile(df, group, F.col(value), 0.99, "_p")
     return df.withColumn(value, clip(F.when(F.col("_p") <= 2, F.col(value) * 100.0).otherwise(F.col(value)), 0.0, 100.0)).drop("_p")
 
 
 def q_to_gkg(df: DataFrame, value: str, declared: str, group: Sequence[str]) -> DataFrame:
     """g/kg by the declared unit, or by P99 of |value| where none is; with provenance."""
-    df = _with_stats(df, group, _p=F.percentile(F.abs(F.col(value)), 0.99))
+    df = _with_quantile(df, group, F.abs(F.col(value)), 0.99, "_p")
     unit = F.lower(F.trim(F.coalesce(F.col(declared), F.lit(""))))
     known = F.when(unit.isin("kg kg-1", "kg/kg", "1"), "declared kg/kg").when(unit.isin("g kg-1", "g/kg"), "declared g/kg")
     origin = F.coalesce(known, F.when(F.col("_p") < 0.2, "inferred kg/kg").otherwise("inferred g/kg"))
@@ -100,24 +102,27 @@ def train_only_fill(df: DataFrame, value: str, split: str = "split") -> DataFram
 
 def physical_range_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     x = F.col(value)
-    q = lambda p: F.percentile(value, p)
+    points = {"p0_1": 0.001, "p1": 0.01, "p99": 0.99, "p99_9": 0.999}
     outside = lambda c: F.count_if(c) / F.count(x)
-    return df.groupBy(*by).agg(
-        F.count(x).alias("n"), F.min(x).alias("min"), q(0.001).alias("p0_1"), q(0.01).alias("p1"), q(0.99).alias("p99"), q(0.999).alias("p99_9"),
-        F.max(x).alias("max"), F.count_if(x < 0).alias("n_negative"), F.count_if(x < -0.01).alias("n_under"), F.count_if(x > 40).alias("n_over_40"),
+    out = df.groupBy(*by).agg(
+        F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(x < 0).alias("n_negative"), F.count_if(x < -0.01).alias("n_under"), F.count_if(x > 40).alias("n_over_40"),
         F.count_if(x > 80).alias("n_over_80"), outside((x < -0.01) | (x > 40)).alias("outside_fraction"),
     )
+    return with_quantiles(out, df, by, {"x": x}, {name: ("x", p) for name, p in points.items()})
 
 
-def encoding_stats(df: DataFrame, value: str, factor: float, by: Sequence[str]) -> DataFrame:
+def encoding_stats(df: DataFrame, value: str, factor: float, by: Sequence[str], time: str | None = None) -> DataFrame:
+    """Counts, quantiles q0 to q6 (0, 0.1, 1, 50, 99, 99.9 and 100 %), rates of negatives and of values outside the bounds in
+    ug m-3, and the first and last time where one is given."""
     x = F.col(value)
     points = (0.0, 0.001, 0.01, 0.5, 0.99, 0.999, 1.0)
     share = lambda c: F.count_if(c) / F.count("*")
-    return df.groupBy(*by).agg(
+    ends = [F.min(time).alias("time_min"), F.max(time).alias("time_max")] if time else []
+    out = df.groupBy(*by).agg(
         F.count("*").alias("n"), (F.count(x) / F.count("*")).alias("finite_fraction"),
-        *[F.percentile(value, p).alias(f"q{i}") for i, p in enumerate(points)],
-        share(x < 0).alias("negative_fraction"), share((x * factor < 0) | (x * factor > PM_MOST)).alias("outside_fraction"),
+        share(x < 0).alias("negative_fraction"), share((x * factor < 0) | (x * factor > PM_MOST)).alias("outside_fraction"), *ends,
     )
+    return with_quantiles(out, df, by, {"x": x}, {f"q{i}": ("x", p) for i, p in enumerate(points)})
 
 
 def dewpoint_consistency(df: DataFrame, dew_point: str, q: str, p_hpa: float, by: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.functions.prefix import running_sums
+from hazeline.functions.quantiles import exact_quantiles, with_quantiles
 
 CLASSES = ("fog", "mist", "clear")
 PROBS = ("p_fog", "p_mist", "p_clear")
@@ -22,14 +23,19 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def _whole(p: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, [x.isNotNull() & ~F.isnan(x) for x in p])
+
+
 def argmax_class(p: Sequence[Column]) -> Column:
-    """The class of the largest probability, the first on ties."""
-    return F.when((p[0] >= p[1]) & (p[0] >= p[2]), 0).when(p[1] >= p[2], 1).otherwise(2)
+    """The class of the largest probability, the first on ties; null where one is null or no number."""
+    return F.when(_whole(p), F.when((p[0] >= p[1]) & (p[0] >= p[2]), 0).when(p[1] >= p[2], 1).otherwise(2))
 
 
 def threshold_class(p: Sequence[Column], fog: Column, mist: Column) -> Column:
-    """Fog over its threshold and over mist; else mist likewise; else clear. Without thresholds the argmax."""
-    fixed = F.when((p[0] > fog) & (p[0] > p[1]), 0).when((p[1] > mist) & (p[1] > p[0]), 1).otherwise(2)
+    """Fog over its threshold and over mist; else mist likewise; else clear. Without thresholds the argmax. Null where a
+    probability is null or no number."""
+    fixed = F.when(_whole(p), F.when((p[0] > fog) & (p[0] > p[1]), 0).when((p[1] > mist) & (p[1] > p[0]), 1).otherwise(2))
     return F.when(fog.isNull() | mist.isNull() | F.isnan(fog) | F.isnan(mist), argmax_class(p)).otherwise(fixed)
 
 
@@ -119,15 +125,19 @@ def threshold_grid(policy: str = "operational") -> list[float]:
     return low + [0.50 + 0.03 * i for i in range(16)]
 
 
-def _threshold_counts(df: DataFrame, grid: list[float], by: Sequence[str]) -> DataFrame:
-    """n by (by, side, y_cls, i): rows that threshold number i of their side would call; and all rows as side 'all'.
-
-    A row matters through its class, the side of its larger low-visibility probability, and the number of
-    thresholds under it: at most 3 * 3 * (points + 1) counts a group.
-    """
+def _threshold_cells(df: DataFrame, grid: list[float], by: Sequence[str]) -> DataFrame:
+    """n by (by, y_cls, side, k): a row matters through its class, the side of its larger low-visibility probability, and
+    the number k of thresholds under it: at most 3 * 3 * (points + 1) counts a group."""
     side = F.when(F.col("p_fog") > F.col("p_mist"), "fog").when(F.col("p_mist") > F.col("p_fog"), "mist").otherwise("none")
-    under = sum((F.greatest("p_fog", "p_mist") > g).cast("int") for g in grid)
-    cells = df.groupBy(*by, "y_cls", side.alias("side"), under.alias("k")).agg(F.count("*").alias("n"))
+    larger = df.select(*by, "y_cls", side.alias("side"), F.greatest("p_fog", "p_mist").alias("_p"))
+    under = F.lit(len(grid))  # the thresholds ascend: the first that isn't under the probability says how many are
+    for i in reversed(range(len(grid))):
+        under = F.when(F.coalesce(F.col("_p") <= grid[i], F.lit(True)), i).otherwise(under)
+    return larger.groupBy(*by, "y_cls", "side", under.alias("k")).agg(F.count("*").alias("n"))
+
+
+def _threshold_counts(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """n by (by, side, y_cls, i): rows that threshold number i of their side would call; and all rows as side 'all'."""
     called = cells.filter("side <> 'none' and k > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     called = called.groupBy(*by, "side", "y_cls", "i").agg(F.sum("n").alias("n"))
     every = cells.groupBy(*by, "y_cls").agg(F.sum("n").alias("n")).select(*by, F.lit("all").alias("side"), "y_cls", F.lit(0).alias("i"), "n")
@@ -137,11 +147,17 @@ def _threshold_counts(df: DataFrame, grid: list[float], by: Sequence[str]) -> Da
 def threshold_table(df: DataFrame, by: Sequence[str] = ("source",), grid: list[float] | None = None) -> DataFrame:
     """The metrics of every pair of thresholds (fog_i, mist_i index the grid) for each group; exact."""
     grid = grid or threshold_grid()
-    counts = _threshold_counts(df, grid, by)
+    return _threshold_table(_threshold_cells(df, grid, by), by, grid)
+
+
+def _threshold_table(cells: DataFrame, by: Sequence[str], grid: list[float]) -> DataFrame:
+    # A row a group: filters on sides stay above it, so the rows are counted once for all uses.
+    packed = cells.groupBy(*by).agg(F.collect_list(F.struct("y_cls", "side", "k", "n")).alias("_c"))
+    counts = _threshold_counts(packed.select(*by, F.explode("_c").alias("_c")).select(*by, "_c.*"), by)
     pick = lambda s, y: F.coalesce(F.sum(F.when((F.col("side") == s) & (F.col("y_cls") == y), F.col("n"))), F.lit(0))
-    points = df.sparkSession.range(len(grid)).select(F.col("id").cast("int").alias("i"))  # the grid's own size
+    points = F.explode(F.array(*[F.lit(i) for i in range(len(grid))])).alias("i")
     totals = counts.filter("side = 'all'").groupBy(*by).agg(*[pick("all", y).alias(f"t{y}") for y in range(3)])
-    frame = totals.select(*by).crossJoin(F.broadcast(points))
+    frame = totals.select(*by, points)
     side = lambda s: (
         frame.join(counts.filter(F.col("side") == s), [*by, "i"], "left")
         .groupBy(*by, F.col("i").alias(f"{s}_i")).agg(*[pick(s, y).alias(f"{s}{y}") for y in range(3)])
@@ -162,7 +178,7 @@ def _first_best(table: DataFrame, score: Column, allowed: Column, by: Sequence[s
 def threshold_search(df: DataFrame, by: Sequence[str] = ("source",), policy: str = "operational") -> DataFrame:
     """fog_th, mist_th, score, stage of each group; null thresholds (argmax) where no pair is allowed."""
     grid = threshold_grid(policy)
-    table = threshold_table(df, by, grid).cache()  # a few hundred rows a group, read several times
+    table = threshold_table(df, by, grid)
     if policy == "response":
         score = F.col("fog_pod") * 0.30 + F.col("mist_pod") * 0.30 + F.col("low_vis_csi") * 0.25 + F.col("low_vis_precision") * 0.15 - F.col("low_vis_fpr") * 0.10
         found = [_first_best(table, score, F.col("fog_predicted") + F.col("mist_predicted") > 0, by, "response")]
@@ -185,6 +201,15 @@ def threshold_search(df: DataFrame, by: Sequence[str] = ("source",), policy: str
     )
 
 
+def mean_thresholds(found: DataFrame, members: Sequence[str]) -> DataFrame:
+    """One row fog_th, mist_th: the means over the members of threshold_search's result. Fails where a member has none."""
+    held = found.filter(F.col("source").isin(*members)).agg(
+        F.avg("fog_th").alias("fog_th"), F.avg("mist_th").alias("mist_th"), (F.count("fog_th") + F.count("mist_th")).alias("_n")
+    )
+    missing = F.raise_error("a member has no thresholds").cast("double")
+    return held.select(F.when(F.col("_n") == 2 * len(members), F.col("fog_th")).otherwise(missing).alias("fog_th"), "mist_th")
+
+
 SEASON_GRID = [0.10 + 0.03 * i for i in range(29)]
 
 
@@ -192,23 +217,29 @@ def season(month: Column) -> Column:
     return F.when(month.isin(12, 1, 2), "DJF").when(month.isin(3, 4, 5), "MAM").when(month.isin(6, 7, 8), "JJA").when(month.isNotNull(), "SON")
 
 
-def season_threshold_search(df: DataFrame, precision_floor: float = 0.20, recall_floor: float = 0.08, most_mist: float = 1.0, least_rows: int = 50) -> DataFrame:
-    """Thresholds by season of df (season, y_cls, p_*): strict floors, then floors lower by 0.03, then the best of all rows."""
-    table = threshold_table(df, ["season"], SEASON_GRID).cache()
-    sizes = df.groupBy("season").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least_rows)
+def season_threshold_search(
+    df: DataFrame, precision_floor: float = 0.20, recall_floor: float = 0.08, most_mist: float = 1.0, least_rows: int = 50, by: Sequence[str] = ()
+) -> DataFrame:
+    """Thresholds by group and season of df (by, season, y_cls, p_*): strict floors, then floors lower by 0.03, then the best of
+    all rows of the group."""
+    cells = _threshold_cells(df, SEASON_GRID, [*by, "season"])
+    table = _threshold_table(cells, [*by, "season"], SEASON_GRID)
+    sizes = cells.groupBy(*by, "season").agg(F.sum("n").alias("rows")).filter(F.col("rows") >= least_rows)
     points = F.array(*[F.lit(g) for g in SEASON_GRID])
     mist_th = F.get(points, F.col("mist_i"))
     ok = lambda p, r: (F.col("fog_precision") >= 0.05) & (F.col("mist_precision") >= p) & (F.col("mist_pod") >= r) & (F.col("clear_recall") >= 0.85)
     score = F.col("target_achievement")
     capped = mist_th <= most_mist
-    strict = _first_best(table, score, ok(precision_floor, recall_floor) & capped, ["season"], "seasonal_strict")
-    relaxed = _first_best(table, score, ok(max(0.10, precision_floor - 0.03), max(0.05, recall_floor - 0.03)) & capped, ["season"], "seasonal_relaxed")
-    whole = threshold_table(df.select(F.lit("all").alias("all"), "y_cls", *PROBS), ["all"], SEASON_GRID)
-    fallback = _first_best(whole, score, ok(0.15, 0.0), ["all"], "global_fallback").drop("all")
-    best = strict.union(relaxed.join(strict.select("season"), "season", "left_anti"))
-    rest = sizes.select("season").join(best.select("season"), "season", "left_anti").crossJoin(F.broadcast(fallback))  # a row a season
+    keys = [*by, "season"]
+    strict = _first_best(table, score, ok(precision_floor, recall_floor) & capped, keys, "seasonal_strict")
+    relaxed = _first_best(table, score, ok(max(0.10, precision_floor - 0.03), max(0.05, recall_floor - 0.03)) & capped, keys, "seasonal_relaxed")
+    group = [*by, "all"]
+    whole = _threshold_table(cells.drop("season").withColumn("all", F.lit("all")), group, SEASON_GRID)
+    fallback = _first_best(whole, score, ok(0.15, 0.0), group, "global_fallback")
+    best = strict.union(relaxed.join(strict.select(*keys), keys, "left_anti"))
+    rest = sizes.select(*keys, F.lit("all").alias("all")).join(best.select(*keys), keys, "left_anti").join(fallback, group)
     best = best.union(rest.select(*best.columns))
-    return sizes.join(best, "season").select("season", F.get(points, F.col("fog_i")).alias("fog_th"), mist_th.alias("mist_th"), "score", F.col("stage").alias("origin"))
+    return sizes.join(best, keys).select(*keys, F.get(points, F.col("fog_i")).alias("fog_th"), mist_th.alias("mist_th"), "score", F.col("stage").alias("origin"))
 
 
 def scenario_tags(df: DataFrame, time: Column, utc_shift: int = 8) -> DataFrame:
@@ -250,11 +281,11 @@ def daily_event_stats(df: DataFrame, day: Column, by: Sequence[str] = ("source",
 
 def class_distribution(df: DataFrame, by: Sequence[str]) -> DataFrame:
     rate = lambda i: F.count_if(F.col("y_cls") == i) / F.count("*")
-    return df.groupBy(*by).agg(
+    out = df.groupBy(*by).agg(
         F.count("*").alias("n"), *[F.count_if(F.col("y_cls") == i).alias(f"n_{c}") for i, c in enumerate(CLASSES)],
         *[rate(i).alias(f"rate_{c}") for i, c in enumerate(CLASSES)],
-        F.percentile("vis_m", 0.5).alias("vis_p50"), F.percentile("vis_m", 0.9).alias("vis_p90"),
     )
+    return with_quantiles(out, df, by, {"v": F.col("vis_m")}, {"vis_p50": ("v", 0.5), "vis_p90": ("v", 0.9)})
 
 
 def extreme_contingency(pairs: DataFrame, month: str, value: str, reference: str, level: float, own_quantile: bool = False) -> DataFrame:
@@ -263,7 +294,7 @@ def extreme_contingency(pairs: DataFrame, month: str, value: str, reference: str
     pairs has a row a source and sample with its value and the reference's; an event of the reference is over
     its monthly quantile, one of the source over the same (or its own) quantile.
     """
-    per = pairs.groupBy("source", month).agg(F.percentile(value, level).alias("_own"), F.percentile(reference, level).alias("_ref"))
+    per = exact_quantiles(pairs, ["source", month], {"own": F.col(value), "ref": F.col(reference)}, {"_own": ("own", level), "_ref": ("ref", level)})
     both = pairs.join(per, ["source", month])
     event, call = F.col(reference) > F.col("_ref"), F.col(value) > (F.col("_own") if own_quantile else F.col("_ref"))
     n = both.groupBy("source").agg(
@@ -285,7 +316,7 @@ def extreme_contingency(pairs: DataFrame, month: str, value: str, reference: str
 def distribution_table(df: DataFrame, value: Column, by: Sequence[str], low: float, high: float, bins: int) -> tuple[DataFrame, DataFrame]:
     """Quantiles (p50, p90, p95, p99) and a histogram of value by group."""
     rows = df.select(*by, value.alias("_v")).filter(F.col("_v").isNotNull())
-    quantiles = rows.groupBy(*by).agg(*[F.percentile("_v", q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)])
+    quantiles = banded_quantiles(rows, "_v", by)
     place = F.least(F.floor((F.col("_v") - low) / ((high - low) / bins)), F.lit(bins - 1))
     inside = rows.filter(F.col("_v").between(low, high)).withColumn("bin", place)
     return quantiles, inside.groupBy(*by, "bin").agg(F.count("*").alias("n"))
@@ -300,25 +331,31 @@ def elevation_bands(df: DataFrame, elevation: Column) -> DataFrame:
 def paired_error_metrics(df: DataFrame, by: Sequence[str], value: str, reference: str) -> DataFrame:
     """Bias, MAE, RMSE, correlation, P95 of both and their difference, against the reference."""
     d = F.col(value) - F.col(reference)
-    p95 = lambda c: F.percentile(c, 0.95)
-    return df.filter(F.col(value).isNotNull() & F.col(reference).isNotNull()).groupBy(*by).agg(
+    df = df.filter(F.col(value).isNotNull() & F.col(reference).isNotNull())
+    out = df.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(d).alias("bias"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"),
-        F.corr(value, reference).alias("r"), p95(value).alias("p95"), p95(reference).alias("ref_p95"), (p95(value) - p95(reference)).alias("p95_delta"),
+        F.corr(value, reference).alias("r"),
     )
+    out = with_quantiles(out, df, by, {"v": F.col(value), "r": F.col(reference)}, {"p95": ("v", 0.95), "ref_p95": ("r", 0.95)})
+    return out.withColumn("p95_delta", F.col("p95") - F.col("ref_p95"))
 
 
 def mean_ensemble(df: DataFrame, members: Sequence[str], key: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """Mean probabilities of the keys that all members have, re-normalised, with y_cls and the argmax class."""
+    """Mean probabilities of the keys that all members have, re-normalised, with y_cls and the argmax class.
+
+    The result fails on a member without a probability and on probabilities whose sum isn't above 0."""
     some = df.filter(F.col("source").isin(*members)).groupBy(*key).agg(
-        F.count_distinct("source").alias("_n"), F.min("y_cls").alias("y_cls"), *[F.avg(p).alias(f"_{p}") for p in PROBS]
+        F.count_distinct("source").alias("_n"), F.min("y_cls").alias("y_cls"), *[F.avg(p).alias(f"_{p}") for p in PROBS],
+        F.count_if(reduce(lambda a, b: a | b, [F.col(p).isNull() | F.isnan(p) for p in PROBS])).alias("_bad"),
     )
     total = reduce(lambda a, b: a + b, [F.col(f"_{p}") for p in PROBS])
-    out = some.filter(F.col("_n") == len(members)).select(*key, "y_cls", *[F.try_divide(F.col(f"_{p}"), total).alias(p) for p in PROBS])
-    return with_pred(out)
+    ok = F.assert_true((F.col("_bad") == 0) & (total > 0), F.lit("a member's probabilities are missing or sum to 0"))
+    some = some.filter(F.col("_n") == len(members)).withColumns({"_total": total, "_ok": ok})
+    return with_pred(some.select(*key, "y_cls", *[F.coalesce(F.col("_ok").cast("double"), F.col(f"_{p}") / F.col("_total")).alias(p) for p in PROBS]))
 
 
 def banded_quantiles(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by).agg(*[F.percentile(value, q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)])
+    return exact_quantiles(df, by, {"v": F.col(value)}, {f"p{q}": ("v", q / 100) for q in (50, 90, 95, 99)})
 
 
 def fit_temperature(df: DataFrame, rounds: int = 3, points: int = 21, low: float = 0.05, high: float = 20.0) -> float:

@@ -141,7 +141,7 @@ def radius(v):
 _LEVELS = "select station_id, h, lev, q_gkg*lev as x from v_field cross join (select 850.0e0 as lev union all select 900.0e0 union all select 950.0e0 union all select 1000.0e0) l"
 
 
-@query("e14_level_select", "select station_id, h, 900.0e0 as lev, q_gkg*900.0e0 as x from v_field")
+@query("e14_level_select", f"select station_id, h, lev, x from (select *, row_number() over (partition by station_id, h order by abs(lev-925), lev) as k from ({_LEVELS}) l) r where k=1")
 def level(v):
     return A.level_select(v.sql(_LEVELS), ["station_id", "h"], "lev", 925.0, "x")
 
@@ -155,6 +155,11 @@ def stitch(v):
     return A.cycle_stitch(v.v_spine.select("h").distinct(), v.sql(_RUNS)).select("h", "init_h", "lead", "station_id", "t2m_k")
 
 
+@query("e15_stitch_counts", f"with r as ({_RUNS}), s as (select r.station_id, r.t2m_k from (select distinct h from v_spine) s left join r on r.valid_h=s.h) select 'station_id' as variable, count(station_id) as n_ok, count(*)-count(station_id) as n_miss from s union all select 't2m_k', count(t2m_k), count(*)-count(t2m_k) from s")
+def stitch_counts(v):
+    return A.stitch_counts(A.cycle_stitch(v.v_spine.select("h").distinct(), v.sql(_RUNS)), ["station_id", "t2m_k"])
+
+
 @query("e16_station_set_diff", "select station_id, case when station_id%3=0 then 'missing' when station_id%5=0 then 'extra' else 'common' end as status from v_station")
 def diff(v):
     return A.station_set_diff(v.v_station.filter("station_id % 3 <> 0"), v.v_station.filter("station_id % 5 <> 0 or station_id % 3 = 0"))

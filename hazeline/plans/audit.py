@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazeline.operators import audit as A
+from hazeline.operators.normalise import robust_scaler
 from hazeline.registry import query
 
 _LONG = "select source, case when h<400 then 'train' else 'test' end as split, variable as feature, case when variable='T2M' and source='B' then 0.0e0 else value end as value from v_units"
@@ -58,33 +59,59 @@ def protocol(v):
     return A.protocol_equality(v.sql(_CONFIGS), ["window_size", "unit_policy", "parity"])
 
 
-@query("k7_cross_source_units", "with m as (select source, variable as feature, avg(value) as mean from v_units group by 1,2), e as (select source, feature from (select unnest(['A','B','C']) as source) s, (select unnest(['MSLP','Q_1000']) as feature) f) select e.source, e.feature, case when mean is null then 'missing' else 'mean out of range' end as issue from e left join m using (source, feature) where mean is null or not case when e.feature='MSLP' then mean>5e4 and mean<1.2e5 else mean>1e-5 and mean<0.04 end")
+_SPLIT_MEANS = "select source, case when h<400 then 'train' else 'test' end as split, variable as feature, case when source='B' and h>=400 and variable='MSLP' then value/100 else value end as value from v_units where not (source='A' and variable='Q_1000' and h>=400)"
+
+
+@query("k7_cross_source_units", f"with m as (select source, split, feature, avg(value) as mean from ({_SPLIT_MEANS}) u group by 1,2,3), e as (select source, split, feature from (select distinct source, split from ({_SPLIT_MEANS}) u) s, (select unnest(['MSLP','Q_1000']) as feature) f) select e.source, e.split, e.feature, case when mean is null then 'missing' else 'mean out of range' end as issue from e left join m using (source, split, feature) where mean is null or not case when e.feature='MSLP' then mean>5e4 and mean<1.2e5 else mean>1e-5 and mean<0.04 end")
 def cross_units(v):
-    means = v.v_units.groupBy("source", F.col("variable").alias("feature")).agg(F.avg("value").alias("mean"))
-    expected = v.spark.sql("select * from (values ('A'),('B'),('C')) as s(source) cross join (values ('MSLP'),('Q_1000')) as f(feature)")
+    rows = v.sql(_SPLIT_MEANS)
+    means = rows.groupBy("source", "split", "feature").agg(F.avg("value").alias("mean"))
+    expected = rows.select("source", "split").distinct().withColumn("feature", F.explode(F.array(F.lit("MSLP"), F.lit("Q_1000"))))
     return A.cross_source_units(means, expected)
 
 
-_LINEAGE = "select source as dataset, max(y_cls) as top, count(*) % 2 as odd from v_pred group by source"
+# Variables as sources hold them: native where some value is there, zero-filled where all values are 0; dew points count as derived.
+_HELD = """select source as dataset, variable, count(value) as n, count(*) filter (where value<>0) as k from (
+  select source, variable, value from v_units union all select 'C', 'RH_925', rh_frac from v_field union all select 'C', 'CAPE', q_gkg*0 from v_field union all select 'C', 'DPD', t2m_k from v_field) x group by 1,2"""
+_DERIVABLE = (("DPD", ("T2M", "RH2M")), ("DP_1000", ("Q_1000",)))
+_DERIVED_SQL = " union all ".join(f"select dataset, '{k}' as variable from h where n>0 and variable in ({','.join(repr(x) for x in xs)}) group by 1 having count(*)={len(xs)}" for k, xs in _DERIVABLE)
 
 
-@query("k8_lineage_rules", f"with c as ({_LINEAGE}) select dataset, 'native and derived: DPD' as issue from c where dataset='A' union all select dataset, 'zero-filled: CAPE' from c where dataset='B' union all select dataset, 'RH_925 without T_925' from c where dataset='C' union all select dataset, 'unit policy differs' from c where dataset='B' union all select dataset, 'time isn''t UTC' from c where dataset='C'")
+@query("k8_lineage_rules", f"""with h as ({_HELD}), d as ({_DERIVED_SQL} union all select 'C', 'DPD'), nat as (select dataset, variable from h where n>0),
+al as (select * from nat union all select * from d), z as (select dataset, variable from h where n>0 and k=0)
+select dataset, 'native and derived: '||string_agg(variable, ',' order by variable) as issue from (select * from nat intersect select * from d) b group by 1
+union all select dataset, 'zero-filled: '||string_agg(variable, ',' order by variable) from z group by 1
+union all select dataset, 'RH_925 without T_925' from al group by 1 having count(*) filter (where variable='RH_925')>0 and count(*) filter (where variable='T_925')=0
+union all select dataset, 'unit policy differs' from h group by 1 having count(*) filter (where variable='CAPE')>0
+union all select dataset, 'time isn''t UTC' from h group by 1 having count(*) filter (where variable='RH2M')=0""")
 def lineage(v):
-    is_ = lambda s: F.col("dataset") == s
-    arr = lambda *x: F.array(*[F.lit(i) for i in x]).cast("array<string>")
-    configs = v.sql(_LINEAGE).select(
-        "dataset", F.when(is_("A"), arr("T2M", "DPD")).when(is_("C"), arr("RH_925")).otherwise(arr("T2M")).alias("native"),
-        F.when(is_("A"), arr("DPD")).otherwise(arr()).alias("derived"), F.when(is_("B"), arr("CAPE")).otherwise(arr()).alias("zero_filled"),
-        F.when(is_("B"), "v1").otherwise("v2").alias("unit_policy"), F.when(is_("C"), "BJT").otherwise("UTC").alias("time_zone"),
+    held = v.sql(_HELD)
+    names = held.groupBy("dataset").agg(
+        F.collect_set(F.when(F.col("n") > 0, F.col("variable"))).alias("native"), F.collect_set(F.when((F.col("n") > 0) & (F.col("k") == 0), F.col("variable"))).alias("zero_filled"),
+        F.collect_set("variable").alias("named"),
+    )
+    has = lambda xs: F.size(F.array_intersect("native", F.array(*[F.lit(x) for x in xs]))) == len(xs)
+    given = [F.when(has(xs), F.lit(k)) for k, xs in _DERIVABLE] + [F.when(F.col("dataset") == "C", F.lit("DPD"))]
+    derived = F.filter(F.array_distinct(F.array(*given)), lambda x: x.isNotNull())
+    configs = names.select(
+        "dataset", "native", "zero_filled", derived.alias("derived"), F.when(F.array_contains("named", "CAPE"), "v1").otherwise("v2").alias("unit_policy"),
+        F.when(F.array_contains("named", "RH2M"), "UTC").otherwise("local").alias("time_zone"),
     )
     return A.lineage_rules(configs, "v2")
 
 
-@query("k10_product_diff", "select 't2m' as variable, count(*) as n, count(*) filter (where h%6=0) as n_changed, round(max(case when h%6=0 then 0.5e0 else 0 end),6) as max_diff, round(avg(case when h%6=0 then 0.5e0 else 0 end),6) as mean_diff from v_met where h%2=0 union all select 'mslp', count(*), 0, 0.0, 0.0 from v_met where h%2=0")
+# The new product has the even hours, some values of its own, and a third of its stations elsewhere.
+_NEW = "select station_id, h, t2m+case when h%6=0 and station_id%2=0 then 0.5e0 else 0.0e0 end as t2m, mslp from v_met where h%2=0"
+_MOVED = "select station_id, lat+case when station_id%3=0 then 0.25e0 else 0.0e0 end as lat, lon from v_station"
+
+
+@query("k10_product_diff", f"""with t as (select h, row_number() over (order by h) as r, count(*) over () as n from (select distinct h from v_met where h%2=0) a), p as (select h from t where r-1 in (select cast(floor(i*(select max(n)-1 from t)/59.0e0+1e-9) as bigint) from (select unnest(range(60)) as i) z)),
+d as (select abs(b.t2m-a.t2m) as t2m, abs(b.mslp-a.mslp) as mslp from v_met a join ({_NEW}) b on a.station_id=b.station_id and a.h=b.h join p on p.h=a.h join v_station s on s.station_id=a.station_id join ({_MOVED}) m on m.station_id=a.station_id and abs(m.lat-s.lat)>1e-6)
+select 't2m' as variable, count(*) as n, count(*) filter (where t2m>1e-7) as n_changed, round(max(t2m),6) as max_diff, round(avg(t2m),6) as mean_diff from d union all select 'mslp', count(*), count(*) filter (where mslp>1e-7), round(max(mslp),6), round(avg(mslp),6) from d""")
 def product(v):
-    old = v.v_met.select("station_id", "h", "t2m", "mslp")
-    new = old.filter("h % 2 = 0").withColumn("t2m", F.col("t2m") + F.when(F.col("h") % 6 == 0, 0.5).otherwise(0.0))
-    out = A.product_diff(old, new, ["station_id", "h"], ["t2m", "mslp"])
+    old, new = v.v_met.select("station_id", "h", "t2m", "mslp"), v.sql(_NEW)
+    only = [A.common_times(old, new, "h", 60), A.changed_stations(v.v_station, v.sql(_MOVED))]
+    out = A.product_diff(old, new, ["station_id", "h"], ["t2m", "mslp"], only)
     return out.select("variable", "n", "n_changed", F.round("max_diff", 6).alias("max_diff"), F.round("mean_diff", 6).alias("mean_diff"))
 
 
@@ -95,9 +122,7 @@ _POINTS = (1, 5, 50, 95, 99)
 @query("k11_feature_shift", f"with p as ({_POP}), s as (select name, quantile_cont(value,0.5) as c, quantile_cont(value,0.95)-quantile_cont(value,0.05) as w from p where population='old' group by 1), z as (select p.*, (value-c)/(w+1e-6) as z from p join s using (name)) select population, name, count(*) as n, round(1.0e0*count(value)/count(*),6) as finite_rate, round(1.0e0*count(*) filter (where value=0)/count(*),6) as zero_rate, " + ", ".join(f"round(quantile_cont(value,{p / 100}),6) as p{p}, round(quantile_cont(z,{p / 100}),6) as z{p}" for p in _POINTS) + ", round(1.0e0*count(*) filter (where abs(z)>3)/count(*),6) as rate_3, round(1.0e0*count(*) filter (where abs(z)>8)/count(*),6) as rate_8 from z group by 1,2")
 def shift(v):
     long = v.sql(_POP)
-    old = long.filter("population = 'old'")
-    q = lambda p: F.percentile("value", p)
-    scaler = old.groupBy("name").agg(q(0.5).alias("center"), (q(0.95) - q(0.05)).alias("scale"))
+    scaler = robust_scaler(long.filter("population = 'old'"))
     out = A.feature_shift(long, scaler)
     return out.select("population", "name", "n", *[F.round(c, 6).alias(c) for c in out.columns[3:]])
 
@@ -105,9 +130,7 @@ def shift(v):
 @query("k12_core_shift_summary", f"with p as ({_POP}), s as (select name, quantile_cont(value,0.5) as c, quantile_cont(value,0.95)-quantile_cont(value,0.05) as w from p where population='old' group by 1), z as (select p.population, (value-c)/(w+1e-6) as z from p join s using (name)) select population, count(*) as n, round(quantile_cont(z,0.5),6) as z50, round(quantile_cont(z,0.99),6) as z99, round(1.0e0*count(*) filter (where abs(z)>3)/count(*),6) as rate_3 from z group by 1")
 def core(v):
     long = v.sql(_POP)
-    q = lambda p: F.percentile("value", p)
-    per = long.filter("population = 'old'").groupBy("name").agg(q(0.5).alias("center"), (q(0.95) - q(0.05)).alias("scale"))
-    out = A.feature_shift(long, per, ["population"])
+    out = A.feature_shift(long, robust_scaler(long.filter("population = 'old'")), ["population"])
     return out.select("population", "n", *[F.round(c, 6).alias(c) for c in ("z50", "z99", "rate_3")])
 
 

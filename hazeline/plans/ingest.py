@@ -76,6 +76,16 @@ def coverage(v):
     return station.catalog_coverage(manifest(v), v.spark.sql(f"select * from {_ALIASES}"))
 
 
+@query("a5_cycle_counts", f"select cast(extract(hour from init_time) as int) as cycle, count(distinct init_time) as n_cycles, count(*) as n_files from ({_MANIFEST}) m group by 1")
+def cycle_counts(v):
+    return station.cycle_counts(manifest(v))
+
+
+@query("a5_folders_by_name", f"select name, string_agg(distinct variable, ',' order by variable) as folders from ({_MANIFEST}) m join (select * from {_ALIASES}) a on contains(m.variable, a.pattern) group by name")
+def folders(v):
+    return station.folders_by_name(station.catalog_coverage(manifest(v), v.spark.sql(f"select * from {_ALIASES}")))
+
+
 _WANTED = "(values ('T_925','t925'),('PRECIP','tp'),('CAPE','cape'),('LCC',null)) as w(name, variable)"
 
 
@@ -94,14 +104,43 @@ def predictions(v):
     return station.checked_predictions(unique).withColumns({p: F.round(p, 6) for p in ("p_fog", "p_mist", "p_clear")} | {"valid_time": F.col("valid_time").cast("date").cast("string")})
 
 
-@query("a10_paired_predictions", """
+_SAMPLES = "select source, split, sample_id, station_id, cast(valid_time as date) as valid_time, y_cls from (select *, case when day(valid_time)<=20 then 'train' when day(valid_time)<=25 then 'val' else 'test' end as split from v_pred) s"
+
+
+@query("a8_write_split_dataset", f"select source, split, sample_id, station_id, cast(valid_time as varchar) as valid_time, y_cls from ({_SAMPLES}) s")
+def split_dataset(v):
+    """The samples as read back from what was written."""
+    path = sinks.shared_path(v.spark, "split-dataset")
+    sinks.write_split_dataset(v.sql(_SAMPLES), path)
+    return v.spark.read.parquet(path).select("source", "split", "sample_id", "station_id", F.col("valid_time").cast("string").alias("valid_time"), "y_cls")
+
+
+@query("a9_write_config", "select 'v2' as unit_policy, 12 as window_size, string_agg(distinct variable, ',' order by variable) as variables, min(h) as first_hour, max(h) as last_hour, count(*) as n_values, count(value) as n_finite from v_units")
+def config(v):
+    """The configuration of a dataset as read back from its JSON."""
+    found = v.v_units.agg(
+        F.array_sort(F.collect_set("variable")).alias("variables"), F.struct(F.min("h").alias("first"), F.max("h").alias("last")).alias("time_axis"),
+        F.struct(F.count("*").alias("total"), F.count("value").alias("finite")).alias("values"),
+    )
+    path = sinks.shared_path(v.spark, "config")
+    sinks.write_config(found.select(F.lit("v2").alias("unit_policy"), F.lit(12).alias("window_size"), "*"), path)
+    return v.spark.read.json(path).select(
+        "unit_policy", F.col("window_size").cast("int").alias("window_size"), F.array_join("variables", ",").alias("variables"),
+        F.col("time_axis.first").alias("first_hour"), F.col("time_axis.last").alias("last_hour"), F.col("values.total").alias("n_values"), F.col("values.finite").alias("n_finite"),
+    )
+
+
+_SOURCES = ("A", "B", "C")
+_PAIRED = ", ".join(f"{s}.pred as {s}_pred, " + ", ".join(f"round({s}.{p},6) as {s}_{p}" for p in ("p_fog", "p_mist", "p_clear")) for s in _SOURCES)
+
+
+@query("a10_paired_predictions", f"""
 with p as (select source, sample_id, case when p_fog>=p_mist and p_fog>=p_clear then 0 when p_mist>=p_clear then 1 else 2 end as pred,
   p_fog, p_mist, p_clear from v_pred)
-select a.sample_id, a.pred as A_pred, round(a.p_fog,6) as A_p_fog, round(a.p_mist,6) as A_p_mist, round(a.p_clear,6) as A_p_clear,
-  b.pred as B_pred, round(b.p_fog,6) as B_p_fog, round(b.p_mist,6) as B_p_mist, round(b.p_clear,6) as B_p_clear
-from p a join p b on a.sample_id=b.sample_id and a.source='A' and b.source='B'""")
+select a.sample_id, {_PAIRED}
+from p a join p b on a.sample_id=b.sample_id and a.source='A' and b.source='B' join p c on c.sample_id=a.sample_id and c.source='C'""")
 def paired(v):
-    wide = sinks.paired_predictions(with_pred(v.v_pred.filter("source in ('A','B')")), ["A", "B"])
+    wide = sinks.paired_predictions(with_pred(v.v_pred), list(_SOURCES))
     return wide.withColumns({c: F.round(c, 6) for c in wide.columns if "_p_" in c})
 
 

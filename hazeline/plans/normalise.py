@@ -34,34 +34,40 @@ def times(v):
 
 
 _SETS = ("common_core", "compact_common_core", "q_core_no_rh2m", "overlap_full", "source_full")
+_FIELDS = "select source, replace(variable,'_','') as variable from v_units union all select 'C', case when h%5=0 then 'u10' when h%5=1 then 'v10' when h%5=2 then 't925' when h%5=3 then 'rh925' else 't2m' end from v_field"
 
 
-@query("b4_feature_sets", """
-with o(pos, name) as (select unnest(range(24)), unnest([""" + ",".join(f"'{x}'" for x in layouts.ORDER) + """])),
-s(feature_set, absent) as (values ('common_core',['PRECIP','SW_RAD','CAPE','LCC','T_925','W_925','W_1000','INVERSION']),
- ('compact_common_core',['PRECIP','SW_RAD','CAPE','LCC','T_925','W_925','W_1000','INVERSION','RH2M']),
- ('q_core_no_rh2m',['PRECIP','SW_RAD','CAPE','LCC','T_925','W_925','W_1000','INVERSION','RH2M','DPD']),('overlap_full',['CAPE','T_925','INVERSION']),('source_full',[])),
-n as (select distinct h % 24 as pos from v_field)
-select feature_set, cast(row_number() over (partition by feature_set order by o.pos)-1 as int) as pos, name from s, o join n on n.pos=o.pos where not list_contains(absent, name)""")
-def sets(v):
-    seen = v.v_field.select((F.col("h") % 24).alias("at")).distinct()
-    order = F.get(F.array(*[F.lit(x) for x in layouts.ORDER]), F.col("at").cast("int"))
-    return N.layout(v.v_field, _SETS).join(F.broadcast(seen.select(order.alias("name"))), "name").select("feature_set", "pos", "name")
+def _listed(*values) -> str:
+    return "(" + ",".join(f"'{x}'" if isinstance(x, str) else str(x) for x in values) + ")"
 
 
-_FIELDS = "select source, replace(variable,'_','') as variable from v_units union all select 'C', case when h%5=0 then 'u10' when h%5=1 then 'v10' when h%5=2 then 't925' when h%5=3 then 'rh925' else 't2m' end from v_field"
+def _available() -> str:
+    upper = "replace(replace(upper(trim(variable)),'-','_'),' ','_')"
+    given = [f"select source, '{slot}' as name from c where name in {_listed(*needs)} group by source having count(*)={len(needs)}" for slot, needs in layouts.DERIVED]
+    return f"""n(alias, name) as (values {",".join(_listed(*x) for x in layouts.NAMES.items())}),
+o(pos, name) as (values {",".join(_listed(i, x) for i, x in enumerate(layouts.ORDER))}),
+c as (select distinct source, coalesce(a.name, b.name, trim(variable)) as name from ({_FIELDS}) f left join n a on a.alias={upper} left join n b on b.alias=replace({upper},'_','')),
+d as (select source, name from c union {" union ".join(given)}), av as (select source, o.pos, name from d join o using (name))"""
+
+
+@query("b4_feature_sets", f"""with {_available()},
+s(feature_set, pos, name) as (values {",".join(_listed(k, i, x) for k, xs in layouts.SETS.items() for i, x in enumerate(xs))})
+select g.source, feature_set, cast(s.pos as int) as pos, s.name, av.name is not null as held from (select distinct source from av) g cross join s left join av on av.source=g.source and av.name=s.name
+union all select source, 'source_full', cast(row_number() over (partition by source order by pos)-1 as int), name, true from av""")
+def sets(v):
+    return N.resolved_layouts(v.sql(_FIELDS), _SETS)
 
 
-@query("b5_available_features", "select 'A' as source, 'RH2M,T2M,MSLP,DP_1000,Q_1000,DPD' as features from (select count(*) c from v_field) x where c>0 union all select 'B', 'RH2M,T2M,MSLP,DP_1000,Q_1000,DPD' union all select 'C','T_925,RH_925,DP_925,Q_925'")
+@query("b5_available_features", f"with {_available()} select source, string_agg(name, ',' order by pos) as features from av group by source")
 def available(v):
     out = N.available_features(v.sql(_FIELDS))
     return out.select("source", F.array_join("features", ",").alias("features"))
 
 
-@query("b6_scatter_fields", """select station_id, h, coalesce(max(case when variable='T2M' then value end),0) as T2M, coalesce(max(case when variable='RH2M' then value end),0) as RH2M,
-  coalesce(max(case when variable='CAPE' then value end),0) as CAPE from v_units where source='A' group by 1,2""")
+@query("b6_scatter_fields", """select source, station_id, h, coalesce(max(case when variable='T2M' then value end),0) as T2M, coalesce(max(case when variable='RH2M' then value end),0) as RH2M,
+  coalesce(max(case when variable='CAPE' then value end),0) as CAPE from v_units group by 1,2,3""")
 def scatter(v):
-    return N.scatter_fields(v.v_units.filter("source = 'A'"), ["station_id", "h"], ["T2M", "RH2M", "CAPE"])
+    return N.scatter_fields(v.v_units, ["source", "station_id", "h"], ["T2M", "RH2M", "CAPE"])
 
 
 @query("b7_select_layout", "select station_id, h, 'U10' as variable, u10 as value from v_met union all select station_id, h, 'T2M', t2m from v_met")

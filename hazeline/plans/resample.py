@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from hazeline.operators import resample as R
 from hazeline.operators import splits as P
 from hazeline.operators import verify as V
-from hazeline.plans.verify import PRED, SCORED, pairs, scored, sql_metrics
+from hazeline.plans.splits import stratified_sql
+from hazeline.plans.verify import PRED, SCORED, pairs, scored, sql_weighted_metrics
 from hazeline.registry import query
+from hazeline.sources.sinks import stored
 
 
 @query("j1_bootstrap_rows")
@@ -26,33 +26,33 @@ def _draws(rows: str, n_rep: int, seed: str) -> str:
   drw as (select rep, dts.day, count(*) as times from (select s.r as slot, rep, {_MD5(seed, 'rep', 's.r')} % n as pick from dts s, (select unnest(range({n_rep})) as rep) k, nd) z join dts on dts.r=z.pick group by 1,2)"""
 
 
-def daily_counts(v):
-    return scored(v).groupBy("source", F.col("valid_time").cast("date").alias("day"), "y_cls", "pred").agg(F.count("*").alias("n"))
+_SQ = {"multiclass_sq": "+".join(f"pow({p}-case when y_cls={i} then 1 else 0 end,2)" for i, p in enumerate(V.PROBS)), "low_vis_sq": "pow(p_fog+p_mist-case when y_cls<=1 then 1 else 0 end,2)"}
 
 
-_REPS = 1000  # the operator's default
+def daily_counts(v):
+    sums = [F.sum(F.expr(x)).alias(k) for k, x in _SQ.items()]
+    return scored(v).groupBy("source", F.col("valid_time").cast("date").alias("day"), "y_cls", "pred").agg(F.count("*").alias("n"), *sums)
 
 
-def _weighted_metrics(names: list[str], rows: str, by: str) -> str:
-    """sql_metrics of rows that stand for n samples each, not rounded."""
-    text = re.sub(r"count\(\*\) filter \((where y_cls=\d and pred=\d)\)", r"coalesce(sum(n) filter (\1),0)", sql_metrics(names, rows, by))
-    return text.replace("round(cast(", "(cast(").replace(" as double),6)", " as double))")
+_REPS = 1000  # the operator's default
+_BOOTED = ["accuracy", "low_vis_csi", "low_vis_far", "multiclass_brier", "low_vis_brier"]
 
 
-@query("j2_bootstrap_dates", f"""with c as (select source, cast(valid_time as date) as day, y_cls, pred, count(*) as n from {SCORED} s group by all), {_draws('c', _REPS, 'dates')},
-w as (select rep, source, y_cls, pred, sum(n*times) as n from c join drw using (day) group by all),
-m as ({_weighted_metrics(["accuracy", "low_vis_csi"], "w", "rep, source")}),
-l as (select rep, source, 'accuracy' as metric, accuracy as v from m union all select rep, source, 'low_vis_csi', low_vis_csi from m),
-d as (select a.source, a.metric, a.v-b.v as d from l a join l b on a.rep=b.rep and a.metric=b.metric and b.source='A' and a.source<>'A')
-select source, metric, round(avg(d),6) as mean, round(quantile_cont(d,0.025),6) as low, round(quantile_cont(d,0.975),6) as high, round(1.0e0*count(*) filter (where d>0)/count(*),6) as p_positive, count(*) as n_rep from d group by 1,2""")
+@query("j2_bootstrap_dates", f"""with c as (select source, cast(valid_time as date) as day, y_cls, pred, count(*) as n, {", ".join(f"sum({x}) as {k}" for k, x in _SQ.items())} from {SCORED} s group by 1,2,3,4), {_draws('c', _REPS, 'dates')},
+w as (select rep, source, y_cls, pred, sum(n*times) as n, sum(multiclass_sq*times) as ms, sum(low_vis_sq*times) as ls from c join drw using (day) group by 1,2,3,4),
+m as ({sql_weighted_metrics(_BOOTED[:3], "w", "rep, source")}), b as (select rep, source, sum(ms)/sum(n) as multiclass_brier, sum(ls)/sum(n) as low_vis_brier from w group by 1,2),
+l as ({" union all ".join(f"select rep, source, '{k}' as metric, {k} as v from {'m' if k in _BOOTED[:3] else 'b'}" for k in _BOOTED)}),
+d as (select a.source, a.metric, a.v-b.v as d, a.metric in ('low_vis_far','multiclass_brier','low_vis_brier') as lower from l a join l b on a.rep=b.rep and a.metric=b.metric and b.source='A' and a.source<>'A')
+select source, metric, round(avg(d),6) as mean, round(quantile_cont(d,0.025),6) as low, round(quantile_cont(d,0.975),6) as high, round(1.0e0*count(*) filter (where d>0)/count(*),6) as p_positive,
+  round(1.0e0*count(*) filter (where case when lower then d<0 else d>0 end)/count(*),6) as p_better, (select n from nd) as n_blocks, count(*) as n_rep from d group by 1,2""")
 def dates(v):
-    out = R.bootstrap_dates(daily_counts(v), "A", ["accuracy", "low_vis_csi"])
-    return out.select("source", "metric", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "p_positive")], "n_rep")
+    out = R.bootstrap_dates(daily_counts(v), "A", _BOOTED)
+    return out.select("source", "metric", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "p_positive", "p_better")], "n_blocks", "n_rep")
 
 
 _NAMES = ["x1", "x2", "x3"]
 _WEIGHTS = [[0.25, 1.5, -0.5, 0.25], [0.5, 0.5, 0.75, -0.25], [1.0, -1.0, 0.25, 0.5]]
-_SAMPLE = "(select sample_id, station_id, day(valid_time) as day, y_cls, p_fog*2 as x1, p_mist*2-0.5e0 as x2, p_clear+p_fog*p_mist as x3 from v_pred where source='A')"
+_SAMPLE = "(select source, sample_id, cast(valid_time as date) as day, y_cls, p_fog*2 as x1, p_mist*2-0.5e0 as x2, p_clear+p_fog*p_mist as x3, concat(cast(month(valid_time) as varchar(3)),'-',cast(station_id%10 as varchar(20)),'-',cast(day(valid_time) as varchar(3))) as g, cast(month(valid_time) as varchar(3)) as c from v_pred)"
 
 
 def sample(v):
@@ -69,9 +69,9 @@ def sql_scores(rows: str) -> str:
     return f"(select *, {', '.join(f'{x}/({"+".join(e)}) as {p}' for x, p in zip(e, V.PROBS, strict=True))} from {rows} s)"
 
 
-@query("j6_batch_score", f"select sample_id, {', '.join(f'round({p},6) as {p}' for p in V.PROBS)} from {sql_scores(_SAMPLE)} x")
+@query("j6_batch_score", f"select source, sample_id, {', '.join(f'round({p},6) as {p}' for p in V.PROBS)} from {sql_scores(_SAMPLE)} x")
 def linear(v):
-    return score(sample(v)).select("sample_id", *[F.round(p, 6).alias(p) for p in V.PROBS])
+    return score(sample(v)).select("source", "sample_id", *[F.round(p, 6).alias(p) for p in V.PROBS])
 
 
 def _scorer(x):
@@ -81,74 +81,99 @@ def _scorer(x):
     return x @ w[:, 1:].T + w[:, 0]
 
 
-@query("j6_batch_score_user", f"select sample_id, {', '.join(f'round({p},6) as {p}' for p in V.PROBS)} from {sql_scores(_SAMPLE)} x")
+@query("j6_batch_score_user", f"select source, sample_id, {', '.join(f'round({p},6) as {p}' for p in V.PROBS)} from {sql_scores(_SAMPLE)} x")
 def user(v):
-    return R.batch_score(sample(v), _scorer, _NAMES).select("sample_id", *[F.round(p, 6).alias(p) for p in V.PROBS])
+    return R.batch_score(sample(v), _scorer, _NAMES).select("source", "sample_id", *[F.round(p, 6).alias(p) for p in V.PROBS])
 
 
 _DRAW = lambda s: f"cast(('0x'||substr(md5('{s}|'||sample_id),1,8))::UBIGINT as bigint)"
-_MAP = lambda seed: f"(select a.sample_id, b.sample_id as donor from (select sample_id, row_number() over (order by {_DRAW('order')}, sample_id) as r from smp) a join (select sample_id, row_number() over (order by {_DRAW(seed)}, sample_id) as r from smp) b on a.r=b.r)"
+_ORDER = lambda s: f"(select source, sample_id, row_number() over (partition by source order by {_DRAW(s)}, sample_id) as r from smp)"
+_MAP = lambda seed: f"(select a.source, a.sample_id, b.sample_id as donor from {_ORDER('order')} a join {_ORDER(seed)} b on a.source=b.source and a.r=b.r)"
 _EVENT = f"""count(*) filter (where y_cls<=1 and {PRED}<=1) as tp, count(*) filter (where y_cls>1 and {PRED}<=1) as fp, count(*) filter (where y_cls<=1 and {PRED}>1) as fn,
   sum(pow(p_fog+p_mist-case when y_cls<=1 then 1 else 0 end,2)) as sq_error, count(*) as n"""
+_MODES = {"marginal": ("m1", "m2"), "stratified": ("s1", "s2")}
 
 
 def _sql_daily() -> str:
-    parts = [f"select 'baseline' as feature, 0 as rep, day, {_EVENT} from {sql_scores('smp')} b group by day"]
+    parts = [f"select 'baseline' as feature, 'none' as mode, 0 as rep, source, day, {_EVENT} from {sql_scores('smp')} b group by source, day"]
     for f in ("x1", "x2"):
-        for rep in (1, 2):
-            cols = ", ".join(f"d.{n}" if n == f else f"s.{n}" for n in _NAMES)
-            rows = f"(select s.sample_id, s.day, s.y_cls, {cols} from smp s join m{rep} m on m.sample_id=s.sample_id join smp d on d.sample_id=m.donor)"
-            parts.append(f"select '{f}', {rep}, day, {_EVENT} from {sql_scores(rows)} b group by day")
-    return f"smp as {_SAMPLE}, m1 as {_MAP('r1')}, m2 as {_MAP('r2')}, dly as ({' union all '.join(parts)})"
+        for mode, maps in _MODES.items():
+            for rep, donors in enumerate(maps, 1):
+                cols = ", ".join(f"d.{n}" if n == f else f"s.{n}" for n in _NAMES)
+                rows = f"(select s.source, s.day, s.y_cls, {cols} from smp s join {donors} m on m.source=s.source and m.sample_id=s.sample_id join smp d on d.source=m.source and d.sample_id=m.donor)"
+                parts.append(f"select '{f}', '{mode}', {rep}, source, day, {_EVENT} from {sql_scores(rows)} b group by source, day")
+    strata = "(select source, sample_id, g, c from smp)"
+    return f"smp as {_SAMPLE}, m1 as {_MAP('r1')}, m2 as {_MAP('r2')}, s1 as ({stratified_sql(strata, 'r1')}), s2 as ({stratified_sql(strata, 'r2')}), dly as ({' union all '.join(parts)})"
 
 
 def daily(v):
     df = sample(v)
-    maps = {r: P.donors(df, "sample_id", f"r{r}") for r in (1, 2)}
-    # One row a feature, repeat and date, read several times.
-    return R.permutation_importance(df, score, "sample_id", {"x1": ["x1"], "x2": ["x2"]}, maps).cache()
+    maps = {("marginal", r): P.donors(df, "sample_id", f"r{r}", ["source"]) for r in (1, 2)}
+    keyed = df.select("source", "sample_id", "g", "c")
+    maps |= {("stratified", r): P.stratified_donors(keyed, "sample_id", f"r{r}", ["g"], ["c"], by=["source"]) for r in (1, 2)}
+    # One row a source, feature, mode, repeat and date.
+    return stored(R.permutation_importance(df.drop("g", "c"), score, "sample_id", {"x1": ["x1"], "x2": ["x2"]}, maps), "daily-importance")
 
 
 _SC = "coalesce(1.0e0*sum(tp)/nullif(sum(tp)+sum(fp)+sum(fn),0),0) as csi, sum(sq_error)/sum(n) as brier"
 
 
-@query("j3_permutation_importance", f"with {_sql_daily()}, s as (select feature, rep, {_SC} from dly group by 1,2) select s.feature, round(avg(b.csi-s.csi),6) as csi_drop, round(avg(s.brier-b.brier),6) as brier_rise from s, (select * from s where feature='baseline') b where s.feature<>'baseline' group by 1")
+@query("j3_permutation_importance", f"with {_sql_daily()}, s as (select source, feature, mode, rep, {_SC} from dly group by 1,2,3,4) select s.source, s.feature, s.mode, round(max(b.csi),6) as baseline_csi, round(avg(b.csi-s.csi),6) as csi_drop, round(avg(s.brier-b.brier),6) as brier_rise from s join (select * from s where feature='baseline') b on b.source=s.source where s.feature<>'baseline' group by 1,2,3")
 def permutation(v):
-    return R.importance(daily(v)).select("feature", F.round("csi_drop", 6).alias("csi_drop"), F.round("brier_rise", 6).alias("brier_rise"))
+    return R.importance(daily(v)).select("source", "feature", "mode", *[F.round(c, 6).alias(c) for c in ("baseline_csi", "csi_drop", "brier_rise")])
 
 
-_REPD = f"""{_draws('dly', 100, 'imp')}, u as (select d.feature, drw.rep as draw, sum(tp*times) as tp, sum(fp*times) as fp, sum(fn*times) as fn from dly d join drw using (day) where d.feature='baseline' or d.rep=drw.rep%2+1 group by 1,2),
-c as (select feature, draw, coalesce(1.0e0*tp/nullif(tp+fp+fn,0),0) as csi from u), k as (select c.feature, c.draw, b.csi-c.csi as d from c join c b on b.draw=c.draw and b.feature='baseline' and c.feature<>'baseline')"""
+_REPD = f"""{_draws('dly', _REPS, 'imp')}, u as (select source, d.feature, d.mode, drw.rep as draw, sum(tp*times) as tp, sum(fp*times) as fp, sum(fn*times) as fn, sum(sq_error*times) as sq, sum(n*times) as n from dly d join drw using (day) where d.feature='baseline' or d.rep=drw.rep%2+1 group by 1,2,3,4),
+c as (select source, feature, mode, draw, coalesce(1.0e0*tp/nullif(tp+fp+fn,0),0) as csi, sq/n as brier from u), p as (select c.source, c.feature, c.mode, c.draw, b.csi-c.csi as dc, c.brier-b.brier as db from c join c b on b.source=c.source and b.draw=c.draw and b.feature='baseline' and c.feature<>'baseline'),
+k as (select source, feature, mode, draw, 'csi_drop' as metric, dc as d from p union all select source, feature, mode, draw, 'brier_rise', db from p)"""
 _CI = "round(avg(d),6) as mean, round(quantile_cont(d,0.025),6) as low, round(quantile_cont(d,0.975),6) as high, round(1.0e0*count(*) filter (where d>0)/count(*),6) as p_positive, count(*) as n_rep"
 
 
-@query("j4_importance_ci", f"with {_sql_daily()}, {_REPD} select feature, {_CI}, quantile_cont(d,0.025)>0 or quantile_cont(d,0.975)<0 as excludes_zero from k group by 1")
+@query("j4_importance_ci", f"with {_sql_daily()}, {_REPD} select source, feature, mode, metric, {_CI}, quantile_cont(d,0.025)>0 or quantile_cont(d,0.975)<0 as excludes_zero from k group by 1,2,3,4")
 def ci(v):
-    out = R.importance_ci(daily(v), 100, "imp", n_repeats=2)
-    return out.select("feature", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "p_positive")], "n_rep", "excludes_zero")
+    out = R.importance_ci(daily(v), _REPS, "imp", n_repeats=2)
+    return out.select("source", "feature", "mode", "metric", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "p_positive")], "n_rep", "excludes_zero")
 
 
-@query("j5_importance_source_diff", f"with {_sql_daily()}, {_REPD}, t as (select 'L' as source, feature, draw, d from k union all select 'R', feature, draw, d*0.5e0+0.125e0 from k) select a.feature, 'L' as left_source, 'R' as right_source, 'global_shared' as scope, {_CI.replace('(d', '(a.d-b.d').replace('where d', 'where a.d-b.d')} from t a join t b on a.feature=b.feature and a.draw=b.draw and a.source='L' and b.source='R' group by 1")
+# x1 is one variable for all sources; x2 has other members in C.
+_MEMBERS = "case when source='C' and feature='x2' then 'x2,x3' else feature end as members"
+
+
+@query("j5_importance_source_diff", f"""with {_sql_daily()}, {_REPD}, mf as (select distinct source, feature, {_MEMBERS} from k), al as (select feature, members, count(distinct source) as n from mf group by 1,2),
+t as (select k.*, mf.members, case when al.n=(select count(distinct source) from mf) then 'global_shared' else 'pair_shared' end as scope from k join mf using (source, feature) join al using (feature, members))
+select a.feature, a.mode, a.metric, a.source as left_source, b.source as right_source, a.scope, {_CI.replace('(d', '(a.d-b.d').replace('where d', 'where a.d-b.d')} from t a join t b on a.feature=b.feature and a.mode=b.mode and a.metric=b.metric and a.members=b.members and a.draw=b.draw and a.source<b.source group by 1,2,3,4,5,6""")
 def source_diff(v):
-    reps = R.importance_replicates(daily(v), 100, "imp", 2)
-    both = reps.select(F.lit("L").alias("source"), "draw", "feature", "csi_drop").union(reps.select(F.lit("R").alias("source"), "draw", "feature", F.col("csi_drop") * 0.5 + 0.125))
-    manifest = both.select("source", "feature").distinct().withColumn("members", F.col("feature"))
-    out = R.importance_source_diff(both, manifest)
-    return out.select("feature", "left_source", "right_source", "scope", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "p_positive")], "n_rep")
+    reps = R.importance_replicates(daily(v), _REPS, "imp", 2)
+    manifest = reps.select("source", "feature").distinct().selectExpr("source", "feature", _MEMBERS)
+    out = R.importance_source_diff(reps, manifest)
+    return out.select("feature", "mode", "metric", "left_source", "right_source", "scope", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "p_positive")], "n_rep")
 
 
 _AVAILABLE = "select distinct source, variable as name from v_units where source='A' or variable<>'RH2M'"
-_PACKAGES = "(values ('thermal','T2M'),('thermal','RH2M'),('mass','MSLP'),('mass','Q_1000')) as p(package, member)"
+_PACKAGES = "(values ('thermal','T2M'),('thermal','RH2M'),('mass','MSLP'),('mass','Q_1000'),('mass','CAPE'),('shared_all','T2M'),('shared_all','MSLP'),('aerosol','PM10')) as p(package, member)"
+_VALUES = "select source, variable as feature, round(avg(abs(value)),6) as value from v_units where variable<>'MSLP' group by 1,2"
 
 
-@query("j10_feature_group_manifest", f"""with a as ({_AVAILABLE}), p as (select * from {_PACKAGES}), h as (select source, package, string_agg(member, ',' order by member) as members, count(*) as k from a join p on a.name=p.member group by 1,2),
-o as (select source, name as feature, name as members, 'variable' as kind from a union all select source, h.package, members, 'package' from h where k=(select count(*) from p where p.package=h.package))
-select *, row_number() over (partition by source order by kind desc, feature) as rank from o""")
+@query("j10_feature_group_manifest", f"""with a as ({_AVAILABLE}), p as (select * from {_PACKAGES}), i as ({_VALUES}),
+h as (select source, package, string_agg(member, ',' order by member) as members, count(*) as k from a join p on a.name=p.member group by 1,2),
+o as (select source, name as feature, name as members, 'variable' as kind, 12 as n_columns from a union all select source, package, members, case when package like 'shared%' then 'shared_package' else 'package' end, 12*k from h),
+r as (select o.*, i.value, row_number() over (partition by o.source order by kind desc, o.feature) as rank, row_number() over (partition by o.source order by i.value desc nulls last, o.feature) as p from o left join i on i.source=o.source and i.feature=o.feature)
+select source, feature, members, kind, n_columns, rank, case when value is not null then p end as importance_rank, coalesce(case when value is not null then p end<=2, false) as selected from r""")
 def manifest(v):
-    return R.feature_group_manifest(v.sql(_AVAILABLE), v.spark.sql(f"select * from {_PACKAGES}"))
+    return R.feature_group_manifest(v.sql(_AVAILABLE), v.spark.sql(f"select * from {_PACKAGES}"), importances=v.sql(_VALUES), k=2)
 
 
-@query("j11_top_k_features", f"with a as ({_AVAILABLE}), i as (select variable as feature, round(avg(abs(value)),6) as value from v_units group by 1) select feature, value from i where feature in (select name from a group by 1 having count(distinct source)=2) order by value desc, feature limit 2")
+@query("j11_top_k_features", f"with a as ({_AVAILABLE}), i as (select variable as feature, round(avg(abs(value)),6) as value from v_units group by 1), e as (select name as feature from a group by 1 having count(distinct source)=2) select feature, value from i join e using (feature) order by value desc, feature limit 2")
 def top(v):
     values = v.v_units.groupBy(F.col("variable").alias("feature")).agg(F.round(F.avg(F.abs("value")), 6).alias("value"))
     return R.top_k_features(values, v.sql(_AVAILABLE).withColumnRenamed("name", "feature"), 2)
+
+
+@query("j11_chosen_features", f"""with a as ({_AVAILABLE}), i as (select variable as feature, round(avg(abs(value)),6) as value from v_units where variable='MSLP' group by 1), e as (select name as feature from a group by 1 having count(distinct source)=2),
+x(feature, first, last) as (values ('RH2M',1,null),('T2M',2,1),('MSLP',null,2),('Q_1000',null,3))
+select e.feature, i.value from e left join i using (feature) left join x on x.feature=e.feature where x.first is not null or value is not null or x.last is not null order by x.first nulls last, value desc nulls last, x.last nulls last, e.feature limit 3""")
+def chosen(v):
+    """An explicit list (one of it not populated everywhere), then by importance, then in the default order."""
+    values = v.v_units.filter("variable = 'MSLP'").groupBy(F.col("variable").alias("feature")).agg(F.round(F.avg(F.abs("value")), 6).alias("value"))
+    held = v.sql(_AVAILABLE).withColumnRenamed("name", "feature")
+    return R.top_k_features(values, held, 3, explicit=["RH2M", "T2M"], default=["T2M", "MSLP", "Q_1000"])

@@ -25,12 +25,12 @@ def sql_stats(c: str) -> str:
 @query("f2_window_stats", f"select station_id, h, {sql_stats('t2m')} from v_met {_W}")
 def stats(v):
     cols = S.window_stats("t2m")
-    return v.v_met.select("station_id", "h", *[(F.round(x, 6) if k.endswith("std") else x).alias(k) for k, x in cols.items()])
+    return S.with_last(v.v_met.select("station_id", "h", "t2m"), ["t2m"]).select("station_id", "h", *[(F.round(x, 6) if k.endswith("std") else x).alias(k) for k, x in cols.items()])
 
 
 @query("f3_acceleration", f"select station_id, h, (rh2m-lag(rh2m,3) over w)-(lag(rh2m,3) over w-lag(rh2m,6) over w) as accel from v_met {_W}")
 def accel(v):
-    return v.v_met.select("station_id", "h", S.acceleration("rh2m").alias("accel"))
+    return S.with_last(v.v_met.select("station_id", "h", "rh2m"), ["rh2m"]).select("station_id", "h", S.acceleration("rh2m").alias("accel"))
 
 
 _OBS_AXIS = """with x as (select station_id, h, h-lag(h) over (partition by station_id order by h) as d from (select distinct station_id, h from v_obs) a)"""
@@ -64,6 +64,16 @@ def leads(v):
     return S.lead_evidence(v.sql(_LEAD), "h", "init", "said", stitched=True).select("station_id", "h", "lead", "provenance", "disagrees")
 
 
+@query("f6_lead_summary", f"""with x as (select *, h-init as made, (case when h%24<12 then h%24+12 else h%24 end)*1.0e0 as guess from ({_LEAD}) l),
+e as (select station_id%3 as grp, cast(coalesce(made, said, guess) as double) as lead, case when made is not null then 'valid minus init' when said is not null then 'declared' else 'stitched runs' end as provenance,
+  coalesce(abs(made-said)>1e-6,false) as bad from x), p as (select grp, provenance, lead, count(*) as n, count(*) filter (where bad) as d from e group by 1,2,3)
+select grp, provenance, cast(sum(n) as bigint) as n, min(lead) as lead_min, max(lead) as lead_max, cast(sum(d) as bigint) as n_disagree, string_agg(cast(cast(lead as bigint) as varchar)||':'||cast(n as varchar), ',' order by lead) as leads from p group by 1,2""")
+def lead_ranges(v):
+    leads = S.lead_evidence(v.sql(_LEAD), "h", "init", "said", stitched=True).withColumn("grp", F.col("station_id") % 3)
+    text = F.transform(F.array_sort(F.map_entries("leads")), lambda e: F.concat_ws(":", e["key"].cast("long").cast("string"), e["value"].cast("string")))
+    return S.lead_summary(leads, ["grp"]).withColumn("leads", F.array_join(text, ","))
+
+
 _CANON = {"rh2m": "RH2M", "t2m": "T2M", "precip": "PRECIP", "mslp": "MSLP", "sw_rad": "SW_RAD", "u10": "U10", "v10": "V10", "wspd10": "WSPD10", "wdir10": "WDIR10",
           "cape": "CAPE", "lcc": "LCC", "t_925": "T_925", "rh_925": "RH_925", "u_925": "U_925", "v_925": "V_925", "wspd925": "WSPD925", "dp_1000": "DP_1000",
           "dp_925": "DP_925", "q_1000": "Q_1000", "q_925": "Q_925", "w_925": "W_925", "w_1000": "W_1000", "dpd": "DPD", "inversion": "INVERSION", "zenith": "ZENITH"}

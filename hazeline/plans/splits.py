@@ -35,9 +35,9 @@ def merged(v):
 _DRAW = lambda s, k: f"cast(('0x'||substr(md5('{s}|'||{k}),1,8))::UBIGINT as bigint)"
 
 
-@query("h4_uniform_sample", f"select sample_id from v_pred where source='A' order by {_DRAW('7', 'sample_id')}, sample_id limit 500")
+@query("h4_uniform_sample", f"select source, sample_id from (select source, sample_id, row_number() over (partition by source order by {_DRAW('7', 'sample_id')}, sample_id) as k from v_pred) s where k<=500")
 def uniform(v):
-    return P.uniform_sample(v.v_pred.filter("source = 'A'"), ["sample_id"], 500, "7").select("sample_id")
+    return P.uniform_sample(v.v_pred, ["sample_id"], 500, "7", by=["source"]).select("source", "sample_id")
 
 
 @query("h5_even_sample", "with k as (select x, row_number() over (order by x) as r, count(*) over () as n from (select distinct l_extendedprice as x from lineitem) a) select x from k where r-1 in (select cast(floor(i*(select max(n)-1 from k)/100.0e0+1e-9) as bigint) from (select unnest(range(101)) as i) z)")
@@ -45,31 +45,55 @@ def even(v):
     return P.even_sample(v.table("lineitem").select(F.col("l_extendedprice").alias("x")), "x", 101)
 
 
-@query("h6_class_balanced_sample")
+@query("h6_class_balanced_sample", f"""with r as (select source, y_cls, sample_id, row_number() over (partition by source, y_cls order by {_DRAW('3', 'sample_id')}, sample_id) as k, count(*) over (partition by source, y_cls) as n from v_pred),
+s as (select b.batch, t.slot, case when slot<12 then 0 when slot<26 then 1 else 2 end as y_cls, cast(('0x'||substr(md5('3|'||cast(b.batch as varchar)||'|'||cast(t.slot as varchar)),1,8))::UBIGINT as bigint) as d from (select unnest(range(50)) as batch) b cross join (select unnest(range(64)) as slot) t)
+select r.source, s.batch, s.slot, s.y_cls, r.sample_id from s join r on r.y_cls=s.y_cls and r.k=s.d % r.n + 1""")
 def balanced(v):
-    return P.class_balanced_sample(v.v_pred.filter("source = 'A'"), "sample_id", 50, 64, "3")
+    return P.class_balanced_sample(v.v_pred, "sample_id", 50, 64, "3", by=["source"])
 
 
 def _donor(rows: str, seed: str, strata: str) -> str:
-    return f"""select a.sample_id, b.sample_id as donor from (select *, row_number() over (partition by {strata} order by {_DRAW('order', 'sample_id')}, sample_id) as r from {rows} x) a
-  join (select *, row_number() over (partition by {strata} order by {_DRAW(seed, 'sample_id')}, sample_id) as r from {rows} x) b on a.r=b.r and a.{strata}=b.{strata}"""
+    return f"""select a.source, a.sample_id, b.sample_id as donor from (select *, row_number() over (partition by source, {strata} order by {_DRAW('order', 'sample_id')}, sample_id) as r from {rows} x) a
+  join (select *, row_number() over (partition by source, {strata} order by {_DRAW(seed, 'sample_id')}, sample_id) as r from {rows} x) b on a.r=b.r and a.source=b.source and a.{strata}=b.{strata}"""
 
 
-@query("h7_marginal_donor", _donor("(select sample_id, 1 as g from v_pred where source='A')", "5", "g"))
+_MARGINAL = _donor("(select source, sample_id, 1 as g from v_pred)", "5", "g")
+
+
+@query("h7_marginal_donor", _MARGINAL)
 def marginal(v):
-    return P.donors(v.v_pred.filter("source = 'A'"), "sample_id", "5")
+    return P.donors(v.v_pred, "sample_id", "5", ["source"])
+
+
+@query("h7_moved_fraction", f"select source, count(*) as n, round(avg(case when sample_id<>donor then 1.0e0 else 0.0e0 end),6) as moved_fraction from ({_MARGINAL}) m group by source")
+def moved(v):
+    return P.donor_summary(marginal(v), "sample_id", ["source"]).withColumn("moved_fraction", F.round("moved_fraction", 6))
+
 
+_STRATA = "(select source, sample_id, concat(cast(month(valid_time) as varchar(3)),'-',cast(station_id as varchar(20)),'-',cast(day(valid_time) as varchar(3))) as g, cast(month(valid_time) as varchar(3)) as c from v_pred)"
 
-_STRATA = "(select sample_id, concat(cast(month(valid_time) as varchar(3)),'-',cast(station_id as varchar(20)),'-',cast(day(valid_time) as varchar(3))) as g, cast(month(valid_time) as varchar(3)) as c from v_pred where source='A')"
 
+def stratified_sql(rows: str, seed: str) -> str:
+    """Donors of rows (source, sample_id, g, c), as a query that starts with `with`."""
+    return f"""with s as {rows}, n as (select *, count(*) over (partition by source, g) as k from s), m as (select * from n where k>1), o as (select source, sample_id, c as g, count(*) over (partition by source, c) as k from n where k=1)
+select *, 'fine' as level from ({_donor('m', seed, 'g')}) f union all select *, 'coarse' from ({_donor('(select * from o where k>1)', seed, 'g')}) c union all select source, sample_id, sample_id, 'none' from o where k=1"""
 
-@query("h8_stratified_donor", f"""with s as {_STRATA}, n as (select *, count(*) over (partition by g) as k from s), m as (select * from n where k>1), o as (select sample_id, c as g, count(*) over (partition by c) as k from n where k=1)
-select *, 'fine' as level from ({_donor('m', '9', 'g')}) f union all select *, 'coarse' from ({_donor('(select * from o where k>1)', '9', 'g')}) c union all select sample_id, sample_id, 'none' from o where k=1""")
+
+_STRATIFIED = stratified_sql(_STRATA, "9")
+
+
+@query("h8_stratified_donor", _STRATIFIED)
 def stratified(v):
     t = F.col("valid_time")
     fine = F.concat_ws("-", F.month(t).cast("string"), F.col("station_id").cast("string"), F.dayofmonth(t).cast("string"))
-    df = v.v_pred.filter("source = 'A'").select("sample_id", fine.alias("g"), F.month(t).cast("string").alias("c"))
-    return P.stratified_donors(df, "sample_id", "9", ["g"], ["c"])
+    df = v.v_pred.select("source", "sample_id", fine.alias("g"), F.month(t).cast("string").alias("c"))
+    return P.stratified_donors(df, "sample_id", "9", ["g"], ["c"], by=["source"])
+
+
+@query("h8_moved_fraction", f"with f as (select * from ({_STRATIFIED}) d) select source, count(*) as n, round(avg(case when sample_id<>donor then 1.0e0 else 0.0e0 end),6) as moved_fraction, round(avg(case when level<>'fine' then 1.0e0 else 0.0e0 end),6) as fallback_fraction from f group by source")
+def moved_stratified(v):
+    out = P.donor_summary(stratified(v), "sample_id", ["source"])
+    return out.withColumns({c: F.round(c, 6) for c in ("moved_fraction", "fallback_fraction")})
 
 
 @query("h9_quantile_code", "with e as (select list_distinct([" + ",".join(f"quantile_cont(rh_frac,{i / 4})" for i in range(5)) + "]) as e from v_field), s as (select list_sort(e) as e from e) select station_id, h, cast(case when rh_frac is null then -1 else len(list_filter(e[2:len(e)-1], lambda x: x<rh_frac)) end as int) as code from v_field, s")

@@ -62,13 +62,13 @@ def fill(v):
 @query("c7_physical_range_summary", "select station_id%3 as g, count(q_gkg) as n, min(q_gkg) as min, " + ", ".join(f"round(quantile_cont(q_gkg,{p}),6) as {n}" for p, n in ((0.001, "p0_1"), (0.01, "p1"), (0.99, "p99"), (0.999, "p99_9"))) + ", max(q_gkg) as max, count(*) filter (where q_gkg<0) as n_negative, count(*) filter (where q_gkg<-0.01) as n_under, count(*) filter (where q_gkg>40) as n_over_40, count(*) filter (where q_gkg>80) as n_over_80, 1.0e0*count(*) filter (where q_gkg<-0.01 or q_gkg>40)/count(q_gkg) as outside_fraction from v_field group by 1")
 def ranges(v):
     out = U.physical_range_summary(v.v_field.withColumn("g", F.col("station_id") % 3), "q_gkg", ["g"])
-    return out.select(*[F.round(c, 6).alias(c) if c[0] == "p" else c for c in out.columns])
+    return out.select(*[F.round(c, 6).alias(c) if c[0] == "p" else F.col(c) for c in out.columns])
 
 
-@query("c8_encoding_stats", "select source, count(*) as n, round(1.0e0*count(pm10)/count(*),6) as finite_fraction, " + ", ".join(f"round(quantile_cont(pm10,{p}),9) as q{i}" for i, p in enumerate((0.0, 0.001, 0.01, 0.5, 0.99, 0.999, 1.0))) + ", round(1.0e0*count(*) filter (where pm10<0)/count(*),6) as negative_fraction, round(1.0e0*count(*) filter (where pm10<0 or pm10>10000)/count(*),6) as outside_fraction from v_pm group by 1")
+@query("c8_encoding_stats", "select source, count(*) as n, round(1.0e0*count(pm10)/count(*),6) as finite_fraction, " + ", ".join(f"round(quantile_cont(pm10,{p}),9) as q{i}" for i, p in enumerate((0.0, 0.001, 0.01, 0.5, 0.99, 0.999, 1.0))) + ", round(1.0e0*count(*) filter (where pm10<0)/count(*),6) as negative_fraction, round(1.0e0*count(*) filter (where pm10<0 or pm10>10000)/count(*),6) as outside_fraction, min(h) as time_min, max(h) as time_max from v_pm group by 1")
 def encoding(v):
-    out = U.encoding_stats(v.v_pm, "pm10", 1.0, ["source"])
-    return out.select("source", "n", *[F.round(c, 9 if c[0] == "q" else 6).alias(c) for c in out.columns[2:]])
+    out = U.encoding_stats(v.v_pm, "pm10", 1.0, ["source"], "h")
+    return out.select("source", "n", "time_min", "time_max", *[F.round(c, 9 if c[0] == "q" else 6).alias(c) for c in out.columns if c[0] == "q" or c.endswith("fraction")])
 
 
 _ES = lambda t: f"(6.112*exp(17.67*({t}-273.15)/({t}-273.15+243.5)))"

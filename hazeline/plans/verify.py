@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from hazeline.operators import verify as V
@@ -42,6 +44,12 @@ def sql_metrics(names: list[str], rows: str = SCORED, by: str = "source") -> str
       (c00+c01+c02+c10+c11+c12+c20+c21+c22)*1.0e0 as total from (select {by}, {_CELLS} from {rows} r group by {by}) a) b"""
 
 
+def sql_weighted_metrics(names: list[str], rows: str, by: str) -> str:
+    """sql_metrics of rows that stand for n samples each, not rounded."""
+    text = re.sub(r"count\(\*\) filter \((where y_cls=\d and pred=\d)\)", r"coalesce(sum(n) filter (\1),0)", sql_metrics(names, rows, by))
+    return text.replace("round(cast(", "(cast(").replace(" as double),6)", " as double))")
+
+
 def rounded(df, names, by=("source",)):
     return df.select(*by, *[F.col(n).cast("long").alias(n) if n in COUNTS else F.round(n, 6).alias(n) for n in names])
 
@@ -86,12 +94,19 @@ def ece_multiclass(v):
     return V.expected_calibration_error(scored(v), F.greatest(*V.PROBS), hit).select("source", F.round("ece", 6).alias("ece"))
 
 
-@query("i7_average_precision", """
-with s as (select source, p_fog as s, sum(case when y_cls=0 then 1 else 0 end) as pos, count(*) as n from v_pred group by 1,2),
+_EVENTS = {"fog": ("p_fog", "y_cls=0"), "mist": ("p_mist", "y_cls=1"), "low_vis": ("p_fog+p_mist", "y_cls<=1")}
+
+
+def _ap_sql(score: str, event: str) -> str:
+    return f"""with s as (select source, {score} as s, sum(case when {event} then 1 else 0 end) as pos, count(*) as n from v_pred group by 1,2),
 c as (select *, sum(pos) over w as tp, sum(n) over w as seen from s window w as (partition by source order by s desc))
-select source, round(sum(pos*tp/seen)/sum(pos),6) as ap from c group by source""")
-def ap(v):
-    return V.average_precision(v.v_pred, F.col("p_fog"), F.col("y_cls") == 0).select("source", F.round("ap", 6).alias("ap"))
+select source, round(sum(pos*tp/seen)/sum(pos),6) as ap from c group by source"""
+
+
+for _event, (_score, _is) in _EVENTS.items():
+    query("i7_average_precision" if _event == "fog" else f"i7_average_precision_{_event}", _ap_sql(_score, _is))(
+        lambda v, score=_score, event=_is: V.average_precision(v.v_pred, F.expr(score), F.expr(event)).select("source", F.round("ap", 6).alias("ap"))
+    )
 
 
 @query("i9_threshold_decision", f"""
@@ -101,12 +116,12 @@ def decision(v):
     return v.v_pred.select("source", "sample_id", V.argmax_class(p).alias("by_argmax"), V.threshold_class(p, F.lit(0.4), F.lit(0.3)).alias("by_threshold"))
 
 
-def _grid_sql(grid: list[float], rows: str, by: str) -> str:
-    """Brute force: every row against every pair of thresholds."""
+def _grid_sql(grid: list[float], rows: str, by: str, names: tuple[str, ...] = ("fog_precision", "mist_precision", "clear_recall", "mist_pod", "target_achievement")) -> str:
+    """Brute force: every distinct row, with its number, against every pair of thresholds."""
     points = f"(select i-1 as i, g from (select unnest([{', '.join(repr(g) for g in grid)}]) as g, unnest(range(1,{len(grid) + 1})) as i))"
-    called = f"""(select {by}, y_cls, f.i as fog_i, m.i as mist_i, case when p_fog>f.g and p_fog>p_mist then 0 when p_mist>m.g and p_mist>p_fog then 1 else 2 end as pred
-      from {rows} r cross join {points} f cross join {points} m)"""
-    return sql_metrics(["fog_precision", "mist_precision", "clear_recall", "mist_pod", "target_achievement"], called, f"{by}, fog_i, mist_i").replace("round(cast(", "(cast(").replace(" as double),6)", " as double))")
+    called = f"""(select {by}, y_cls, n, f.i as fog_i, m.i as mist_i, case when p_fog>f.g and p_fog>p_mist then 0 when p_mist>m.g and p_mist>p_fog then 1 else 2 end as pred
+      from (select {by}, y_cls, p_fog, p_mist, count(*) as n from {rows} q group by all) r cross join {points} f cross join {points} m)"""
+    return sql_weighted_metrics(list(names), called, f"{by}, fog_i, mist_i")
 
 
 _BEST = "row_number() over (partition by {by} order by {s} desc, fog_i, mist_i)"
@@ -128,31 +143,41 @@ def search(v):
     return found.select("source", *[F.round(c, 6).alias(c) for c in ("fog_th", "mist_th", "score")], "stage")
 
 
-def by_season(v):
-    return v.v_pred.filter("source = 'A'").withColumn("season", V.season(F.month("valid_time")))
+_RESPONSE = f"""with t as ({_grid_sql(V.threshold_grid("response"), "v_pred", "source", ("fog_pod", "mist_pod", "low_vis_csi", "low_vis_precision", "low_vis_fpr", "fog_predicted", "mist_predicted"))}),
+k as (select *, round(fog_pod*0.3+mist_pod*0.3+low_vis_csi*0.25+low_vis_precision*0.15-low_vis_fpr*0.1,12) as score from t where fog_predicted+mist_predicted>0),
+b as (select * from (select *, {_BEST.format(by="source", s="score")} as r from k) x where r=1),
+g as (select [{", ".join(repr(g) for g in V.threshold_grid("response"))}] as g)
+select s.source, round(g[cast(fog_i+1 as int)],6) as fog_th, round(g[cast(mist_i+1 as int)],6) as mist_th, round(score,6) as score, case when score is null then 'argmax' else 'response' end as stage
+from (select distinct source from v_pred) s cross join g left join b on s.source=b.source"""
 
 
-_SEASONED = "(select *, case when month(valid_time) in (12,1,2) then 'DJF' when month(valid_time)<=5 then 'MAM' when month(valid_time)<=8 then 'JJA' else 'SON' end as season from v_pred where source='A')"
+@query("i10_threshold_search_response", _RESPONSE)
+def response(v):
+    found = V.threshold_search(v.v_pred, policy="response")
+    return found.select("source", *[F.round(c, 6).alias(c) for c in ("fog_th", "mist_th", "score")], "stage")
+
+
+_SEASONED = "(select *, case when month(valid_time) in (12,1,2) then 'DJF' when month(valid_time)<=5 then 'MAM' when month(valid_time)<=8 then 'JJA' else 'SON' end as season from v_pred)"
 
 
 @query("i11_season_threshold_search", f"""
-with t as ({_grid_sql(V.SEASON_GRID, _SEASONED, "season")}),
-w as ({_grid_sql(V.SEASON_GRID, "(select *, 'all' as grp from v_pred where source='A')", "grp")}),
-ok as (select season from {_SEASONED} s group by season having count(*)>=50),
-strict as (select * from (select *, 'seasonal_strict' as origin, {_BEST.format(by="season", s="round(target_achievement,12)")} as k from t
+with t as ({_grid_sql(V.SEASON_GRID, _SEASONED, "source, season")}),
+w as ({_grid_sql(V.SEASON_GRID, "v_pred", "source")}),
+ok as (select source, season from {_SEASONED} s group by source, season having count(*)>=50),
+strict as (select * from (select *, 'seasonal_strict' as origin, {_BEST.format(by="source, season", s="round(target_achievement,12)")} as k from t
   where fog_precision>=0.05 and mist_precision>=0.2 and mist_pod>=0.08 and clear_recall>=0.85) where k=1),
-relaxed as (select * from (select *, 'seasonal_relaxed' as origin, {_BEST.format(by="season", s="round(target_achievement,12)")} as k from t
-  where fog_precision>=0.05 and mist_precision>=0.17 and mist_pod>=0.05 and clear_recall>=0.85 and season not in (select season from strict)) where k=1),
-fallback as (select * from (select *, 'global_fallback' as origin, {_BEST.format(by="grp", s="round(target_achievement,12)")} as k from w
+relaxed as (select * from (select *, 'seasonal_relaxed' as origin, {_BEST.format(by="source, season", s="round(target_achievement,12)")} as k from t
+  where fog_precision>=0.05 and mist_precision>=0.17 and mist_pod>=0.05 and clear_recall>=0.85 and (source, season) not in (select (source, season) from strict)) where k=1),
+fallback as (select * from (select *, 'global_fallback' as origin, {_BEST.format(by="source", s="round(target_achievement,12)")} as k from w
   where fog_precision>=0.05 and mist_precision>=0.15 and clear_recall>=0.85) where k=1),
-best as (select season, fog_i, mist_i, target_achievement, origin from strict union all select season, fog_i, mist_i, target_achievement, origin from relaxed
-  union all select ok.season, fog_i, mist_i, target_achievement, origin from ok cross join fallback where season not in (select season from strict union all select season from relaxed)),
+best as (select source, season, fog_i, mist_i, target_achievement, origin from strict union all select source, season, fog_i, mist_i, target_achievement, origin from relaxed
+  union all select ok.source, ok.season, fog_i, mist_i, target_achievement, origin from ok join fallback on ok.source=fallback.source where (ok.source, ok.season) not in (select (source, season) from strict union all select (source, season) from relaxed)),
 g as (select [{", ".join(repr(g) for g in V.SEASON_GRID)}] as g)
-select season, round(g[cast(fog_i+1 as int)],6) as fog_th, round(g[cast(mist_i+1 as int)],6) as mist_th, round(target_achievement,6) as score, origin
-from best cross join g where season in (select season from ok)""")
+select source, season, round(g[cast(fog_i+1 as int)],6) as fog_th, round(g[cast(mist_i+1 as int)],6) as mist_th, round(target_achievement,6) as score, origin
+from best cross join g where (source, season) in (select (source, season) from ok)""")
 def season_search(v):
-    found = V.season_threshold_search(by_season(v))
-    return found.select("season", *[F.round(c, 6).alias(c) for c in ("fog_th", "mist_th", "score")], "origin")
+    found = V.season_threshold_search(v.v_pred.withColumn("season", V.season(F.month("valid_time"))), by=["source"])
+    return found.select("source", "season", *[F.round(c, 6).alias(c) for c in ("fog_th", "mist_th", "score")], "origin")
 
 
 _SCENARIO = f"""(select s.*, tag as scenario from (select *, valid_time + to_hours(8) as lt from {SCORED} p) s,
@@ -293,6 +318,47 @@ def ensemble(v):
     return rounded(V.metrics(V.confusion_matrix(steady)), ["n", "accuracy", "fog_csi", "low_vis_csi"])
 
 
+@query("j8_ensemble_thresholds", f"""
+with r as (select * from ({_RESPONSE}) x where source in ('A','B')), th as (select avg(fog_th) as fog_th, avg(mist_th) as mist_th from r),
+m as (select sample_id, min(y_cls) as y_cls, avg(p_fog) as f, avg(p_mist) as m, avg(p_clear) as c from v_pred where source in ('A','B') group by sample_id having count(distinct source)=2),
+e as (select 'ensemble' as source, y_cls, fog_th, mist_th, round(f/(f+m+c),9) as p_fog, round(m/(f+m+c),9) as p_mist from m cross join th),
+k as (select *, case when p_fog>fog_th and p_fog>p_mist then 0 when p_mist>mist_th and p_mist>p_fog then 1 else 2 end as pred from e)
+{sql_metrics(["n", "accuracy", "fog_csi", "low_vis_csi"], "k", "source, fog_th, mist_th")}""".replace("select source, fog_th, mist_th, cast", "select source, round(fog_th,6) as fog_th, round(mist_th,6) as mist_th, cast", 1))
+def ensemble_thresholds(v):
+    """The mean of the members' thresholds, applied to their ensemble."""
+    mean = V.mean_thresholds(response(v), ["A", "B"])
+    found = V.mean_ensemble(v.v_pred, ["A", "B"]).select(F.lit("ensemble").alias("source"), "y_cls", *[F.round(p, 9).alias(p) for p in V.PROBS])
+    called = found.crossJoin(F.broadcast(mean))  # one row
+    called = called.withColumn("pred", V.threshold_class([F.col(p) for p in V.PROBS], F.col("fog_th"), F.col("mist_th")))
+    by = ["source", "fog_th", "mist_th"]
+    out = rounded(V.metrics(V.confusion_matrix(called, by), by), ["n", "accuracy", "fog_csi", "low_vis_csi"], by)
+    return out.withColumns({c: F.round(c, 6) for c in by[1:]})
+
+
+@query("j8_searched_thresholds", f"""
+with m as (select sample_id, min(y_cls) as y_cls, avg(p_fog) as f, avg(p_mist) as m, avg(p_clear) as c from v_pred where source in ('A','B') group by sample_id having count(distinct source)=2),
+e as (select 'ensemble' as source, y_cls, round(f/(f+m+c),9) as p_fog, round(m/(f+m+c),9) as p_mist from m), {_RESPONSE.replace("v_pred", "e").removeprefix("with ")}""")
+def searched_thresholds(v):
+    """Thresholds searched again on the ensemble."""
+    found = V.mean_ensemble(v.v_pred, ["A", "B"]).select(F.lit("ensemble").alias("source"), "y_cls", *[F.round(p, 9).alias(p) for p in V.PROBS])
+    return V.threshold_search(found, policy="response").select("source", *[F.round(c, 6).alias(c) for c in ("fog_th", "mist_th", "score")], "stage")
+
+
+def _fit_sql(rounds: int = 3, points: int = 21) -> str:
+    """The search on distinct rows: each round a geometric grid between the bounds of the one before."""
+    text = "b0 as (select 0.05e0 as lo, 20.0e0 as hi), q as (select y_cls, p_fog, p_mist, p_clear, count(*) as n from v_pred group by all)"
+    for i in range(rounds):
+        text += f""", g{i} as (select lo*pow(pow(hi/lo,1/{points - 1}.0e0),k) as t, pow(hi/lo,1/{points - 1}.0e0) as step from b{i} cross join (select unnest(range({points})) as k) z),
+l{i} as (select t, step, sum(n*(ln(pow(p_fog,1/t)+pow(p_mist,1/t)+pow(p_clear,1/t))-ln(case y_cls when 0 then p_fog when 1 then p_mist else p_clear end)/t))/sum(n) as loss from q cross join g{i} group by 1,2),
+m{i} as (select t, step from l{i} order by loss, t limit 1), b{i + 1} as (select greatest(0.05e0, t/step) as lo, least(20.0e0, t*step) as hi from m{i})"""
+    return f"with {text} select round(t,6) as t from m{rounds - 1}"
+
+
+@query("j7_fit_temperature", _fit_sql())
+def temperature(v):
+    return v.spark.createDataFrame([(V.fit_temperature(v.v_pred),)], "t double").select(F.round("t", 6).alias("t"))
+
+
 _TEMPERATURES = [0.25, 0.5, 1.0, 2.0, 4.0]
 
 

@@ -60,8 +60,8 @@ def test_canonicalize_units(spark, name, xs, want):
 
 
 def test_pressure_of_no_known_unit_raises(spark):
-    with pytest.raises(ValueError):
-        units.canonicalize_units(long(spark, "MSLP", [5.0, 6.0]))
+    with pytest.raises(Exception, match="neither hPa nor Pa"):
+        units.canonicalize_units(long(spark, "MSLP", [5.0, 6.0])).collect()
 
 
 def test_results_do_not_depend_on_partitioning(spark):
@@ -75,6 +75,10 @@ def test_feature_sets():
     assert layouts.feature_set("source_full", ["DPD", "T2M"]) == ["T2M", "DPD"]
     with pytest.raises(ValueError):
         layouts.feature_set("nothing")
+    assert [len(layouts.feature_set("source_full", profile=p)) for p in (None, "tianji", "ifs", "Pangu", "pangu2025")] == [24, 24, 21, 18, 16]
+    assert layouts.feature_set("source_full", ["DPD", "T2M"], "pangu2025") == ["T2M"]
+    with pytest.raises(ValueError, match="unknown profile"):
+        layouts.feature_set("source_full", profile="nobody")
 
 
 def test_month_tail_split_keeps_gaps(spark):
@@ -151,14 +155,14 @@ def test_bootstrap_interval_holds_the_difference(spark):
 
 def test_sources_reject_what_is_ambiguous(spark):
     a = spark.createDataFrame([(1, 1, 2.0)], "station_id int, h int, x double")
-    with pytest.raises(ValueError):
-        station.concat_time([a, a])
+    with pytest.raises(Exception, match="key occurs 2 times: 1 1"):
+        station.concat_time([a, a]).collect()
     with pytest.raises(ValueError):
         station.merge_variables([a, a])
     with pytest.raises(ValueError):
         station.checked_predictions(a)
-    with pytest.raises(ValueError):
-        align.station_reindex(a, a.filter("h > 5"))
+    with pytest.raises(Exception, match="station is missing: 1"):
+        align.station_reindex(a, a.filter("h > 5")).collect()
 
 
 def test_sinks_round_trip(spark, tmp_path):
@@ -203,3 +207,100 @@ def test_normalise_names(spark):
     names = [" rh925", "2D", "pm2_5", "wind"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(normalise.canonical_name(F.col("n")).alias("c"))
     assert [r["c"] for r in df.collect()] == ["RH_925", "D2M", "PM25", "wind"]
+
+
+def test_missing_probabilities_have_no_class(spark):
+    rows = [("A", "k", 2, 0.2, 0.3, 0.5), ("A", "n", 2, None, 0.3, 0.5), ("A", "z", 2, float("nan"), 0.3, 0.5)]
+    df = spark.createDataFrame(rows, "source string, sample_id string, y_cls int, p_fog double, p_mist double, p_clear double")
+    assert {r["sample_id"]: r["pred"] for r in verify.with_pred(df).collect()} == {"k": 2, "n": None, "z": None}
+    called = df.select("sample_id", verify.threshold_class([F.col(p) for p in verify.PROBS], F.lit(0.4), F.lit(0.25)).alias("c"))
+    assert {r["sample_id"]: r["c"] for r in called.collect()} == {"k": 1, "n": None, "z": None}
+
+
+@pytest.mark.parametrize("bad", [(None, 0.5, 0.5), (0.0, 0.0, 0.0), (float("nan"), 0.5, 0.5)])
+def test_ensemble_of_missing_or_zero_probabilities_fails(spark, bad):
+    rows = [("A", "k", 2, 0.2, 0.3, 0.5), ("B", "k", 2, *bad)] if bad != (0.0, 0.0, 0.0) else [("A", "k", 2, *bad), ("B", "k", 2, *bad)]
+    df = spark.createDataFrame(rows, "source string, sample_id string, y_cls int, p_fog double, p_mist double, p_clear double")
+    with pytest.raises(Exception, match="missing or sum to 0"):
+        verify.mean_ensemble(df, ["A", "B"]).collect()
+    assert verify.mean_ensemble(df, ["A", "C"]).count() == 0
+
+
+def test_thresholds_of_an_ensemble_need_all_members(spark):
+    found = spark.createDataFrame([("A", 0.2, 0.4), ("B", 0.4, 0.6), ("C", None, None)], "source string, fog_th double, mist_th double")
+    assert [tuple(r) for r in verify.mean_thresholds(found, ["A", "B"]).collect()] == [(pytest.approx(0.3), pytest.approx(0.5))]
+    with pytest.raises(Exception, match="no thresholds"):
+        verify.mean_thresholds(found, ["A", "C"]).collect()
+
+
+def test_no_common_key_fails(spark):
+    df = spark.createDataFrame([("A", 1), ("B", 2)], "source string, k int")
+    with pytest.raises(Exception, match="no key is common"):
+        align.paired_intersection(df, ["k"], 2).collect()
+    assert align.paired_intersection(df.union(df.filter("k = 1").selectExpr("'B'", "k")), ["k"], 2).count() == 2
+
+
+def test_repeated_stations_fail(spark):
+    df = spark.createDataFrame([(1, 30.0, 100.0), (2, 30.0, 100.0), (2, 31.0, 100.0), (3, 80.0, 100.0), (3, 81.0, 100.0)], "station_id int, lat double, lon double")
+    assert normalise.station_filter(df.filter("station_id <> 2")).collect() == [(1, 30.0, 100.0)]
+    with pytest.raises(Exception, match="station repeats: 2"):
+        normalise.station_filter(df).collect()
+
+
+def test_lead_range_is_asserted(spark):
+    df = spark.createDataFrame([(12, 0, 12.0), (23, 0, None)], "valid int, init int, said double")
+    leads = series.lead_evidence(df, "valid", "init", "said")
+    got = series.lead_summary(leads, low=12.0, high=23.0).first()
+    assert got["leads"] == {12.0: 1, 23.0: 1} and got["n_disagree"] == 0
+    with pytest.raises(Exception, match="leads range from 12.0 to 23.0"):
+        series.lead_summary(leads, low=12.0, high=24.0).collect()
+
+
+def test_axis_with_a_gap_fails(spark):
+    df = spark.createDataFrame([(1,), (2,), (4,)], "h int")
+    assert series.require_regular(df.filter("h < 3")).count() == 2
+    with pytest.raises(Exception, match="steps by 2 to 4"):
+        series.require_regular(df).collect()
+
+
+def test_sample_with_few_events_fails(spark):
+    df = spark.range(100).selectExpr("id", "id % 2 as s", "id < 4 as event")
+    assert {tuple(r) for r in splits.uniform_sample(df, ["id"], 10, "1", by=["s"]).groupBy("s").count().collect()} == {(0, 10), (1, 10)}
+    with pytest.raises(Exception, match="50 are needed"):
+        splits.uniform_sample(df, ["id"], 60, "1", 50, F.col("event")).collect()
+
+
+def test_moved_and_fallback_fractions(spark):
+    df = spark.createDataFrame([(str(i), "a" if i < 6 else f"g{i}", "c" if i < 8 else f"d{i}") for i in range(10)], "k string, fine string, coarse string")
+    rows = splits.stratified_donors(df, "k", "4", ["fine"], ["coarse"])
+    got = splits.donor_summary(rows, "k").first()
+    moved = sum(r["k"] != r["donor"] for r in rows.collect())
+    assert (got["n"], got["moved_fraction"], got["fallback_fraction"]) == (10, moved / 10, 0.4)
+
+
+def test_lineage_names_every_fault(spark):
+    schema = "dataset string, native array<string>, derived array<string>, zero_filled array<string>, unit_policy string, time_zone string, feature_order array<string>, units map<string,string>, time_step double"
+    good = ("good", ["T2M", "D2M", "T_1000", "RH_1000", "U10", "V10"], ["RH2M", "Q_1000", "DP_1000", "WSPD10"], [], "v2", "UTC", ["T2M", "RH2M"], {"T2M": "K"}, 1.0)
+    bad = ("bad", ["T2M", "RH_1000", "RH_925"], ["T2M", "Q_1000"], ["CAPE"], "v1", None, ["RH2M", "T2M"], {}, 3.0)
+    found = audit.lineage_rules(spark.createDataFrame([good, bad], schema), "v2", ["T2M", "RH2M"], {"T2M": "K"}).collect()
+    assert {r["dataset"] for r in found} == {"bad"}
+    assert {r["issue"] for r in found} == {
+        "native and derived: T2M", "zero-filled: CAPE", "RH_925 without T_925", "RH_1000 without T_1000", "Q_1000 derived without T_1000,RH_1000", "unit policy differs",
+        "time isn't UTC", "feature order differs", "unit of T2M isn't K", "time step differs",
+    }
+
+
+def test_permutation_takes_whole_windows_of_the_stratum(spark):
+    df = spark.createDataFrame([("A", "1", [1, 2]), ("A", "2", [3, 4]), ("B", "1", [5, 6])], "source string, k string, win array<int>")
+    donors = spark.createDataFrame([("A", "1", "2"), ("A", "2", "1"), ("B", "1", "1")], "source string, k string, donor string")
+    got = {(r["source"], r["k"]): r["win"] for r in resample.permuted(df, donors, "k", ["win"], ["source"]).collect()}
+    assert got == {("A", "1"): [3, 4], ("A", "2"): [1, 2], ("B", "1"): [5, 6]}
+
+
+def test_importance_of_few_dates_is_empty(spark):
+    rows = [("A", f, m, rep, d, 5 - rep, 1, 1, 0.5, 9) for f, m, rep in (("baseline", "none", 0), ("x", "marginal", 1)) for d in range(4)]
+    daily = spark.createDataFrame(rows, "source string, feature string, mode string, rep int, day int, tp long, fp long, fn long, sq_error double, n long")
+    assert resample.importance_ci(daily, 20).count() == 0
+    more = daily.union(daily.withColumn("day", F.col("day") + 4))
+    got = {r["metric"]: r for r in resample.importance_ci(more, 20).collect()}
+    assert got["csi_drop"]["excludes_zero"] and got["csi_drop"]["mean"] == pytest.approx(5 / 7 - 4 / 6) and not got["brier_rise"]["excludes_zero"]
