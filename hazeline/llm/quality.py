@@ -5,8 +5,8 @@ one scan whatever the sizes of sources, texts or groups of copies.
 
 Defined cases: null text has no word (all counts 0, base_failed); empty text and text of separators
 alone likewise; a word is a run of characters other than space and \\t \\n \\v \\f \\r. Every input row
-gives one output row, repeated rows included; an empty table gives none. Other columns are untouched
-unless asked for; names of this module are taken only in the result.
+gives one output row, repeated rows included; an empty table gives none. Other columns stay as they are, but
+for those named like a result, which the result replaces; the pipeline stage returns all of them unchanged.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ class Rule:
 
 #: Bounds as published for large web corpora; ratios are a word or a line.
 RULES = (
-    Rule("length", "n_words", 20, 100_000),
+    Rule("length", "n_words", 20, None),
     Rule("word_length", "mean_word_chars", 2.0, 12.0),
     Rule("symbols", "symbol_ratio", None, 0.1),
     Rule("letters", "letter_word_ratio", 0.7, None),
@@ -88,8 +88,27 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(F.when(F.size("_starts") > 0, covered), F.lit(0)).cast("long")).drop("_starts")
 
 
+#: What text_statistics adds.
+STATISTICS = (
+    "n_repeat_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_letter_words", "n_stop_words",
+    "mean_word_chars", "symbol_ratio", "letter_word_ratio", "stop_word_ratio", "dup_line_ratio",
+)
+
+
+def _numbered(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """df with its columns numbered, so that no name clashes with another, and their way back to their names."""
+    plain = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)])
+    return plain, [F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)]
+
+
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the counts and ratios that rules may name."""
+    plain, back = _numbered(df)
+    out = _statistics(plain, f"_c{df.columns.index(text)}")
+    return out.select(*[c for c, name in zip(back, df.columns, strict=True) if name not in STATISTICS], *STATISTICS)
+
+
+def _statistics(df: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     symbols = "#*$%&|<>"
     df = df.withColumn("_words", words(F.col(text)))
@@ -98,7 +117,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_lines", lines)
     among = F.lit(f" {' '.join(STOP_WORDS)} ")
     bare = lambda w: F.lower(F.trim(w, F.lit(".,;:!?")))
-    stop = lambda w: (F.octet_length(w) <= 12) & among.contains(F.concat(F.lit(" "), bare(w), F.lit(" ")))
+    stop = lambda w: among.contains(F.concat(F.lit(" "), bare(w), F.lit(" ")))
     df = df.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
@@ -140,7 +159,16 @@ def quality_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated windows of 8.
     """
-    df = text_statistics(df, text)
+    plain, back = _numbered(df)
+    kept = [c for c, name in zip(back, df.columns, strict=True) if name not in (*STATISTICS, *VERDICT)]
+    return _ruled(plain, f"_c{df.columns.index(text)}", rules).select(*kept, *STATISTICS, *VERDICT)
+
+
+VERDICT = ("base_failed", "failed_rules", "kept")
+
+
+def _ruled(df: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    df = _statistics(df, text)
     tests = compiled(rules)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     failed = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in tests.items()]), lambda x: x.isNotNull())
@@ -163,8 +191,9 @@ def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A filter on kept alone would be pushed below the projections, where it would hold a copy of every
     statistic for each of its uses; it isn't pushed below a column that isn't deterministic.
     """
-    ruled = quality_rules(docs).withColumn("_row", F.monotonically_increasing_id())
-    return ruled.filter(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    plain, back = _numbered(docs)
+    ruled = _ruled(plain, f"_c{docs.columns.index('text')}", RULES).withColumn("_row", F.monotonically_increasing_id())
+    return ruled.filter(F.col("kept") & (F.col("_row") >= 0)).select(*back)
 
 
 _W = "[^\\x20\\x09-\\x0D]+"
@@ -191,14 +220,14 @@ with d as (
     cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(len(ls) as double) as n_lines,
     cast(coalesce(c.n_repeat_words, 0) as bigint) as n_repeat_words,
     len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) as n_letter_words,
-    len(list_filter(ws, lambda x: list_contains([{", ".join(f"'{x}'" for x in STOP_WORDS)}], lower(trim(x, '.,;:!?'))) and strlen(x) <= 12)) as n_stop_words
+    len(list_filter(ws, lambda x: list_contains([{", ".join(f"'{x}'" for x in STOP_WORDS)}], lower(trim(x, '.,;:!?'))))) as n_stop_words
   from w left join c using (rid)
 ), b as (
   select *, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
     case when n_words = 0 then 0 else cast(n_words as double) end as nw from s
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (not base_failed and n_words <= 100000 and word_chars / nw between 2.0 and 12.0 and n_symbols / nw <= 0.1
+  (not base_failed and word_chars / nw between 2.0 and 12.0 and n_symbols / nw <= 0.1
    and n_letter_words / nw >= 0.7 and n_stop_words / nw >= 0.01
    and n_dup_lines / n_lines <= 0.3) as kept
 from b
