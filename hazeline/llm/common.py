@@ -43,7 +43,26 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="hazeline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Folders that this process named, oldest first.
+_made: list[str] = []
+
+
+def n_folders() -> int:
+    return len(_made)
+
+
+def remove_folders(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the folders named since there were so many (n_folders). DataFrames that read them can't be used afterwards."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _made[since:]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del _made[since:]
 
 
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:

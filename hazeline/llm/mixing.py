@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import stored, table, word_count
+from hazeline.llm.common import stored, table, unused, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_EPOCHS = 1.5, 2.0
@@ -150,12 +150,18 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
 
 
-def mixed_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs (doc_id, source, text)."""
+def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sizes of docs (doc_id, source, text), the targets of its sources, and the mix."""
     rows = stored(sized(docs), "mix-sizes")
     targets = stored(source_targets(rows), "mix-targets")
     lines = stored(source_lines(rows), "mix-lines")
-    used = mix(schedule(targets), block_parts(lines)).groupBy("source", "doc_id", "size").agg(F.sum("taken").alias("taken"))
+    return rows, targets, mix(schedule(targets), block_parts(lines))
+
+
+def mixed_sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of docs (doc_id, source, text)."""
+    rows, targets, parts = mixed(docs)
+    used = parts.groupBy("source", "doc_id", "size").agg(F.sum("taken").alias("taken"))
     # Rows that agree in source, doc_id and size share what they took.
     rows = rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n"))
     used = used.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_z"), "taken")
@@ -175,14 +181,16 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, rounded up to whole documents."""
-    taken = mixed_sizes(docs).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "taken")
-    share = F.ceil(F.avg(F.col("taken") / F.col("_z")))
-    taken = taken.filter(F.col("taken") > 0).groupBy("_d", "_s", "_z").agg(share.cast("int").alias("_n"))
-    rows = docs.withColumn("_size", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    rows = rows.join(taken.hint("shuffle_hash"), same)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    """Pipeline stage: each document as often as the mix takes it, rounded up to whole documents, in the order
+    of the mix: a document stands at the slot that first takes it in each round of its source."""
+    _, _, parts = mixed(docs)
+    places = parts.groupBy("source", "doc_id", "size", "epoch").agg(F.min("slot").alias("slot"))
+    s, d, z, at, size = (unused(docs, x) for x in ("of_source", "of_doc", "of_size", "slot", "size"))
+    places = places.select(F.col("source").alias(s), F.col("doc_id").alias(d), F.col("size").alias(z), F.col("slot").alias(at))
+    rows = docs.withColumn(size, word_count(F.col("text")))
+    same = docs["doc_id"].eqNullSafe(F.col(d)) & docs["source"].eqNullSafe(F.col(s)) & (F.col(size) == F.col(z))
+    placed = rows.join(places.hint("shuffle_hash"), same).select(*[docs[c] for c in docs.columns], at)
+    return placed.repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id").drop(at)
 
 
 SQL = {
