@@ -3,7 +3,7 @@
 Documents are sets of SHINGLE-word shingles. A run samples from each set the shingles whose hash lies under
 1 / (threshold * size), so two sets that reach the threshold expect one sampled shingle in common; every
 sampled shingle is a node that holds the sets which sampled it. A node with more than SMALL sets whose
-mean similarity is low is split again on sampled min-hash coordinates, up to DEPTH times; every other
+mean similarity is low is split again on pairs of sampled min-hash coordinates, up to DEPTH times; every other
 node is a leaf, and its pairs are compared. Runs repeat until the chance that a pair at the threshold has met is
 TARGET_RECALL. (Christiani and Pagh 2017; Christiani, Pagh and Sivertsen 2018.)
 
@@ -41,8 +41,8 @@ from hazeline.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 TARGET_RECALL = 0.9999
 SMALL, BLOCK, DEPTH = 2_000, 2_500, 3
-#: Samplings of a node that is split again: more than one, as a pair must pass every level.
-RESAMPLE = 3
+#: Samplings of a node that is split again: a pair at the threshold passes one of them with 0.8 * 0.8, all but 1 in 20 one of three.
+SAMPLINGS = 3
 SKETCH, LEAST_MATCHES = 64, 36
 #: A large node is split only while the mean similarity of its sets is under this.
 DENSE = 0.4
@@ -149,17 +149,23 @@ def _describe(n_runs: int, threshold: float, batches: Iterator[pa.RecordBatch])
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes that each row of a large node goes to, by min-hash coordinates that the node's hash chooses."""
-    coordinate = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64))
-    under = np.uint64(min(1.0, RESAMPLE / (THRESHOLD * SKETCH)) * (2.0**64 - 2048))
+    """The nodes that each row of a large node goes to: for each sampling two min-hash coordinates that the node's hash
+    chooses, so that a token that most sets of the node share seldom keeps them together."""
+    sampling = mix64(np.arange(1, SAMPLINGS + 1, dtype=np.uint64))
     for batch in batches:
         node = batch.column("node").to_numpy().view(np.uint64)
         sketch = np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("sketch")]).reshape(-1, SKETCH)
-        row, k = np.nonzero(mix64(node[:, None] ^ coordinate[None]) < under)
-        value = sketch[row, k].astype(np.uint64)
-        child = mix64(node[row] + (value * np.uint64(SKETCH) + k.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
-        out = batch.take(pa.array(row))
-        yield out.set_column(out.schema.get_field_index("node"), "node", pa.array(child.view(np.int64)))
+        rows = np.arange(len(node))
+        children = []
+        for i, salt in enumerate(sampling):
+            h = mix64(node ^ salt)
+            first = (h % np.uint64(SKETCH)).astype(np.int64)
+            second = (first + 1 + ((h >> np.uint64(32)) % np.uint64(SKETCH - 1)).astype(np.int64)) % SKETCH
+            value = sketch[rows, first].astype(np.uint64) * np.uint64(256) + sketch[rows, second]
+            children.append(mix64(node + (value + np.uint64(i * 65536 + 1)) * np.uint64(_BASE)))
+        out = batch.take(pa.array(np.tile(rows, SAMPLINGS)))
+        child = pa.array(np.concatenate(children).view(np.int64))
+        yield out.set_column(out.schema.get_field_index("node"), "node", child)
 
 
 def _mean_similarity(members: DataFrame) -> DataFrame:
