@@ -50,6 +50,25 @@ ALIASES = {
     "PM25UGM3": "PM25", "PM25_UG_M3": "PM25", "PM2P5": "PM25", "PM2_5": "PM25",
 }
 NAMES = {**{name: name for name in dict.fromkeys(ALIASES.values())}, **ALIASES}
+# The groups of variables that are permuted together, and the candidates of the group of shared low-level moisture.
+PACKAGES = {
+    "native_near_surface_moisture": ("RH2M", "D2M", "DPD", "Q_1000", "DP_1000"),
+    "native_low_level_moisture_structure": ("RH_925", "Q_1000", "Q_925", "DP_1000", "DP_925"),
+    "native_thermodynamics": ("T2M", "T_925", "INVERSION", "MSLP"),
+    "native_wind_ventilation": ("U10", "V10", "WSPD10", "WDIR10", "U_925", "V_925", "WSPD925", "W_925", "W_1000"),
+    "native_cloud_precip_radiation": ("PRECIP", "SW_RAD", "CAPE", "LCC"),
+    "native_aerosol": ("PM10", "PM25"),
+}
+SHARED_MOISTURE = ("RH2M", "DPD", "RH_925", "Q_1000", "Q_925", "DP_1000", "DP_925")
+
+
+def packages(shared: Iterable[str]) -> list[tuple[str, str]]:
+    """(package, member) of all groups, given the variables that all sources share."""
+    held = list(shared)
+    groups = {**PACKAGES, "shared_low_level_moisture": [x for x in SHARED_MOISTURE if x in held], "shared_dynamic_all": held}
+    return [(name, member) for name, members in groups.items() for member in members]
+
+
 #: A slot and each set of fields that gives it.
 DERIVED = (
     ("WSPD10", ("U10", "V10")), ("WDIR10", ("U10", "V10")), ("WSPD925", ("U_925", "V_925")), ("RH2M", ("T2M", "D2M")), ("DPD", ("T2M", "D2M")),

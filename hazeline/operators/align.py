@@ -6,13 +6,13 @@ compares all pairs of two tables.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.functions.checks import described, failing
+from hazeline.sources.sinks import stored
 
 
 def asof_times(left: DataFrame, right: DataFrame, tolerance: float, time: str = "t") -> DataFrame:
@@ -157,35 +157,44 @@ def _candidates(stations: DataFrame, grid: DataFrame, reach: float) -> DataFrame
     s = stations.select("station_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
     s = s.withColumn("_a", F.explode(F.transform(near, lambda k: box(F.col("slat")) + k))).withColumn("_b", F.explode(F.transform(near, lambda k: box(F.col("slon")) + k)))
     g = grid.withColumns({"_a": box(F.col("lat")), "_b": box(F.col("lon"))})
-    d = F.sqrt(F.pow(F.col("lat") - F.col("slat"), 2.0) + F.pow(F.col("lon") - F.col("slon"), 2.0))
-    return s.join(g, ["_a", "_b"]).withColumn("d", d).filter(F.col("d") <= reach).drop("_a", "_b")
+    return s.join(g, ["_a", "_b"]).withColumn("d", _apart()).filter(F.col("d") <= reach).drop("_a", "_b")
+
+
+def _apart() -> Column:
+    return F.sqrt(F.pow(F.col("lat") - F.col("slat"), 2.0) + F.pow(F.col("lon") - F.col("slon"), 2.0))
+
+
+#: Box sizes of the search for nearest cells, as powers of two of degrees.
+_SIZES = (-10, 9)
+
+
+def _boxes(df: DataFrame, lat: str, lon: str, size: Column, around: bool) -> DataFrame:
+    """df with the box (_a, _b) of its point in boxes of 2^size degrees; with around, a row for that box and each beside it."""
+    place = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), size))
+    if not around:
+        return df.withColumns({"_a": place(lat), "_b": place(lon)})
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    return df.withColumn("_a", F.explode(F.transform(near, lambda k: place(lat) + k))).withColumn("_b", F.explode(F.transform(near, lambda k: place(lon) + k)))
 
 
 def knn_weights(stations: DataFrame, grid: DataFrame, k: int = 4, eps: float = 1e-6) -> DataFrame:
     """station_id, gi, gj, w: the k nearest cells by degrees and their normalised weights 1 / max(d, eps)^2.
 
-    The reach of a station is its distance to the grid's box and a few cells more, rounded up to a power of two; on a grid
-    with holes it is doubled for the stations that find fewer than k cells.
+    The least box size at which a station's box and those beside it hold k cells bounds the distance of the k nearest by
+    2 * sqrt(2) boxes, so they are among the cells of the nine boxes of four times that size. On a grid of fewer than k
+    cells all count.
     """
     grid = grid.select("gi", "gj", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    s0, s1, w0, w1, n = grid.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon"), F.count("*")).first()
-    k = min(k, n)
-    cell = math.sqrt(max((s1 - s0) * (w1 - w0), 1e-6) / n)
-    out = lambda c, lo, hi: F.greatest(F.lit(lo) - F.col(c), F.col(c) - F.lit(hi), F.lit(0.0))
-    need = F.hypot(out("lat", s0, s1), out("lon", w0, w1)) + 1.5 * cell * (math.sqrt(k) + 2)
-    rest = stations.withColumn("_class", F.ceil(F.log2(need)).cast("int")).cache()
-    found = None
-    while classes := sorted(r[0] for r in rest.select("_class").distinct().collect()):  # powers of two of degrees: a dozen at most
-        some = None
-        for c in classes:
-            part = _candidates(rest.filter(F.col("_class") == c), grid, 2.0**c)
-            some = part if some is None else some.union(part)
-        full = some.groupBy("station_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= k)
-        part = some.join(full, "station_id", "left_semi").select("station_id", "gi", "gj", "d")
-        found = part if found is None else found.union(part)
-        rest = rest.join(full, "station_id", "left_anti").withColumn("_class", F.col("_class") + 1).cache()
-    if found is None:
-        found = _candidates(stations, grid, 1.0).select("station_id", "gi", "gj", "d")
+    s = stations.select("station_id", F.col("lat").cast("double").alias("slat"), F.col("lon").cast("double").alias("slon"))
+    sizes = F.explode(F.sequence(F.lit(_SIZES[0]), F.lit(_SIZES[1]))).alias("_size")
+    held = _boxes(grid.select("lat", "lon", sizes), "lat", "lon", F.col("_size"), False).groupBy("_size", "_a", "_b").agg(F.count("*").alias("_n"))
+    seen = _boxes(s.select("*", sizes), "slat", "slon", F.col("_size"), True).join(held, ["_size", "_a", "_b"])
+    seen = seen.groupBy("station_id", "_size").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= k)
+    least = s.join(seen.groupBy("station_id").agg(F.min("_size").alias("_size")), "station_id", "left")
+    least = least.withColumn("_size", F.coalesce("_size", F.lit(_SIZES[1])) + 2)
+    used = least.select("_size").distinct()
+    cells = _boxes(grid.select("*", F.explode(F.sequence(F.lit(_SIZES[0] + 2), F.lit(_SIZES[1] + 2))).alias("_size")).join(used, "_size", "left_semi"), "lat", "lon", F.col("_size"), False)
+    found = _boxes(least, "slat", "slon", F.col("_size"), True).join(cells, ["_size", "_a", "_b"]).select("station_id", "gi", "gj", _apart().alias("d"))
     order = Window.partitionBy("station_id").orderBy("d", "gi", "gj")
     best = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
     w = F.lit(1.0) / F.pow(F.greatest(F.col("d"), F.lit(eps)), 2.0)
@@ -207,7 +216,7 @@ def idw_radius(stations: DataFrame, grid: DataFrame, field: DataFrame, keys: Seq
     """
     near = _candidates(stations, grid.select("gi", "gj", "lat", "lon"), reach).select("station_id", "gi", "gj", "d")
     near = near.withColumn("_place", F.row_number().over(Window.partitionBy("station_id").orderBy("d", "gi", "gj")))
-    near = near.withColumn("_all", F.count("*").over(Window.partitionBy("station_id"))).cache()
+    near = stored(near.withColumn("_all", F.count("*").over(Window.partitionBy("station_id"))), "near-cells")  # read three times
     held = field.filter(F.col(value).isNotNull()).select(*keys, "gi", "gj", value)
     means = field.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(value).alias("_cells"))
     order = Window.partitionBy(*keys, "station_id").orderBy("d", "gi", "gj")
@@ -221,7 +230,7 @@ def idw_radius(stations: DataFrame, grid: DataFrame, field: DataFrame, keys: Seq
     w = F.lit(1.0) / F.pow(F.greatest(F.col("d"), F.lit(1e-12)), power)
     at = F.avg(F.when(F.col("d") < 0.01, F.col(value)))
     some = best.groupBy(*keys, "station_id").agg(F.coalesce(at, F.sum(w * F.col(value)) / F.sum(w)).alias("_v"))
-    every = means.crossJoin(F.broadcast(stations.select("station_id").distinct()))  # the result's own rows
+    every = means.crossJoin(stations.select("station_id").distinct())  # the result's own rows
     out = every.join(some, [*keys, "station_id"], "left")
     return out.select(*keys, "station_id", F.when(F.col("_cells") >= least_cells, F.coalesce("_v", "_mean")).otherwise(F.coalesce("_mean", F.lit(0.0))).alias(value))
 

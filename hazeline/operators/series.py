@@ -35,8 +35,16 @@ def sliding_window(df: DataFrame, names: Sequence[str], n: int = STEPS, step: in
 
 
 def with_last(df: DataFrame, names: Sequence[str], n: int = STEPS, station: str = "station_id", time: str = "h", out: str = "_last") -> DataFrame:
-    """df with out: the last n rows of the station as an array of structs of names. One frame serves all statistics of a row."""
-    return df.withColumn(out, F.collect_list(F.struct(*names)).over(along(station, time).rowsBetween(-(n - 1), 0)))
+    """df with what window_stats needs: out, the last n rows of the station as an array of structs of names, and for each name
+    the sums of its distances to the station's first value and of their squares (exact for short decimals, 0 for a constant).
+
+    All share one partitioning and order."""
+    w = along(station, time)
+    df = df.withColumns({f"{out}_away_{c}": F.col(c) - F.first(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in names})
+    last = w.rowsBetween(-(n - 1), 0)
+    sums = {f"{out}_sum_{c}": F.sum(f"{out}_away_{c}").over(last) for c in names}
+    squares = {f"{out}_square_{c}": F.sum(F.col(f"{out}_away_{c}") * F.col(f"{out}_away_{c}")).over(last) for c in names}
+    return df.withColumns({out: F.collect_list(F.struct(*names)).over(last), **sums, **squares})
 
 
 def before(name: str, k: int, last: str = "_last") -> Column:
@@ -47,15 +55,12 @@ def before(name: str, k: int, last: str = "_last") -> Column:
 def window_stats(name: str, last: str = "_last") -> dict[str, Column]:
     """Change over 3 and 6 steps, population spread and range of a column over the rows of with_last."""
     x, xs = F.col(name), F.col(last)[name]
-    low, n = F.array_min(xs), F.size(F.array_compact(xs))
-    # Distances to the least value: exact for short decimals, and 0 for a constant.
-    total = lambda f: F.aggregate(xs, F.lit(0.0), lambda s, y: s + F.coalesce(f(y), F.lit(0.0)))
-    away = lambda y: y - low
-    mean = total(away) / n
-    spread = F.sqrt(F.greatest(total(lambda y: away(y) * away(y)) / n - mean * mean, F.lit(0.0)))
+    n = F.nullif(F.size(F.array_compact(xs)), F.lit(0))  # null without a value
+    total, square = F.col(f"{last}_sum_{name}"), F.col(f"{last}_square_{name}")
+    spread = F.sqrt(F.greatest(n * square - total * total, F.lit(0.0))) / n
     return {
-        f"{name}_d3": x - before(name, 3, last), f"{name}_d6": x - before(name, 6, last), f"{name}_std": F.when(n > 0, spread),
-        f"{name}_range": F.array_max(xs) - low,
+        f"{name}_d3": x - before(name, 3, last), f"{name}_d6": x - before(name, 6, last), f"{name}_std": F.when(square.isNotNull(), spread),
+        f"{name}_range": F.array_max(xs) - F.array_min(xs),
     }
 
 

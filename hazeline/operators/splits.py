@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.functions.checks import described, failing
-from hazeline.functions.prefix import running_sums
+from hazeline.functions.prefix import running_sums, with_even_buckets
 from hazeline.functions.quantiles import exact_quantiles
 
 
@@ -61,23 +61,16 @@ def uniform_sample(df: DataFrame, key: Sequence[str], n: int, seed: str, min_eve
 def even_sample(values: DataFrame, column: str, n: int) -> DataFrame:
     """The values at n evenly spaced ranks of the distinct ascending values, first and last among them.
 
-    Values are numbered within ranges; only the ranges' counts are summed in one place."""
+    Values are numbered within buckets of even size; only the buckets' counts are summed in one place."""
     distinct = values.select(column).distinct()
-    low, high, total = distinct.agg(F.min(column), F.max(column), F.count("*")).first()
-    if not total:
-        return distinct
-    width = max((high - low) / 1000.0, 1e-9)
-    ranked = running_sums(distinct.withColumn("_one", F.lit(1)), [], F.floor((F.col(column) - low) / width), F.col(column), {"_rank": "_one"})
-    if total <= n:
-        return ranked.select(column)
-    ranks = df_of_ranks(values, n, total)
-    return ranked.join(F.broadcast(ranks), F.col("_rank") == F.col("at") + 1, "left_semi").select(column)  # n rows
-
-
-def df_of_ranks(df: DataFrame, n: int, total: int) -> DataFrame:
-    i = F.col("id")
-    step = (total - 1) / max(n - 1, 1)
-    return df.sparkSession.range(n).select(F.floor(i * step + 1e-9).alias("at")).distinct()
+    total = distinct.agg(F.count("*").alias("_total"))  # one row
+    bucketed = with_even_buckets(distinct.withColumn("_one", F.lit(1)), F.col(column))
+    ranked = running_sums(bucketed, [], F.col("_even"), F.col(column), {"_rank": "_one"})
+    # The i-th of n ranks is floor(i * step + 1e-9): the value of rank r is taken where some i gives r.
+    step = (F.col("_total") - 1) / float(max(n - 1, 1))
+    i = F.greatest(F.ceil(F.try_divide(F.col("_rank") - 1 - 1e-9, step)), F.lit(0))
+    taken = (F.col("_total") <= n) | ((i < n) & (F.floor(i * step + 1e-9) == F.col("_rank") - 1))
+    return ranked.crossJoin(F.broadcast(total)).filter(taken).select(column)
 
 
 def class_balanced_sample(

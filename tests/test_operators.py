@@ -81,6 +81,16 @@ def test_feature_sets():
         layouts.feature_set("source_full", profile="nobody")
 
 
+def test_packages_of_shared_variables(spark):
+    rows = layouts.packages(["T2M", "Q_1000"])
+    assert [m for p, m in rows if p == "shared_low_level_moisture"] == ["Q_1000"] and [m for p, m in rows if p == "shared_dynamic_all"] == ["T2M", "Q_1000"]
+    available = spark.createDataFrame([("A", "T2M"), ("A", "Q_1000"), ("B", "T2M"), ("B", "Q_1000"), ("B", "D2M")], "source string, name string")
+    found = resample.feature_group_manifest(available, spark.createDataFrame(rows, "package string, member string")).collect()
+    got = {(r["source"], r["feature"]): (r["members"], r["kind"], r["n_columns"]) for r in found}
+    assert got["A", "native_near_surface_moisture"] == ("Q_1000", "package", 12) and got["B", "native_near_surface_moisture"] == ("D2M,Q_1000", "package", 24)
+    assert got["A", "shared_dynamic_all"] == ("Q_1000,T2M", "shared_package", 24) and ("A", "native_aerosol") not in got
+
+
 def test_month_tail_split_keeps_gaps(spark):
     days = spark.sql("select explode(sequence(date'2024-01-01', date'2024-12-31')) as d").select("d", splits.month_tail_split(F.col("d")).alias("s"))
     found = {r["d"]: r["s"] for r in days.collect()}
