@@ -2,14 +2,16 @@
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hazeline.llm import language, pieces, quality, token_counts, token_files, warc
+from hazeline.llm import language, pieces, quality, token_counts, token_files, units, warc
 from hazeline.llm.registry import QUERIES, SQL
 from tests.oracle import assert_equal
 
@@ -50,13 +52,27 @@ def test_quality_counts_equal_brute_force(spark):
 
 
 def test_quality_edge_cases(spark, docs):
-    assert quality.quality_rules(docs.drop("n_words")).count() == len(CASES)
+    ruled = quality.quality_rules(docs.withColumn("_words", F.lit("mine")))
+    assert ruled.count() == len(CASES) and len(set(ruled.columns)) == len(ruled.columns)
+    assert dict(ruled.dtypes)["n_words"] == "bigint" and {r["_words"] for r in ruled.collect()} == {"mine"}
+    prose = "The cat and the dog sat on it, while others of them were at the far end by that house for a day in June"
+    clash = spark.createDataFrame([(1, prose, "mine", 7.5, "h")], "doc_id long, text string, n_words string, kept double, _hashes string")
+    kept = quality.kept_documents(spark, clash, "")
+    assert kept.schema == clash.schema and kept.collect() == clash.collect()
     assert quality.quality_rules(docs.limit(0)).count() == 0
     assert quality.kept_documents(spark, docs, "").columns == docs.columns
 
 
+def test_quality_of_marked_and_many_words(spark):
+    """A stop word counts whatever marks follow it, and length alone rejects no text."""
+    names = ["".join(chr(97 + (i * k) % 26) for k in (1, 3, 5, 7, 11, 17)) + chr(97 + i % 26) * (i % 3) for i in range(30)]
+    rows = [(1, " ".join("the..........." for _ in range(30))), (2, "\n".join(f"{n}{i} the{'.' * (i % 20)}" for i in range(60_000) for n in names[:1]))]
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_stop_words"] == 30 and got[2]["n_words"] == 120_000 and got[2]["n_stop_words"] == 60_000 and got[2]["kept"]
+
+
 def test_token_counts(spark, docs, tmp_path):
-    t = token_counts.tokenizer(token_counts.TOKENIZER)
+    t = units.tokenizer(units.TOKENIZER)
     cache = str(tmp_path / "cache")
     for _ in range(2):  # the second run finds everything in the cache
         got = token_counts.token_counts(docs, cache).collect()
@@ -67,7 +83,7 @@ def test_token_counts(spark, docs, tmp_path):
 
 
 def test_token_files_round_trip(spark, docs, tmp_path):
-    t = token_counts.tokenizer(token_counts.TOKENIZER)
+    t = units.tokenizer(units.TOKENIZER)
     rows = [*CASES, (8, "x<|endoftext|> y"), (9, "two\n\nlines  and spaces ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     token_files.write_token_files(df, str(tmp_path / "f"))
@@ -81,21 +97,58 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     assert token_files.read_token_files(spark, str(tmp_path / "e"), digests=True).count() == 0
 
 
+def library_ids(spark):
+    """Every text of the smallest documents table with its ids by the library, in order of doc_id."""
+    t = units.tokenizer(units.TOKENIZER)
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    return [(i, x, e.ids) for (i, x), e in zip(rows, t.encode_batch([x for _, x in rows], add_special_tokens=False), strict=True)]
+
+
+def test_token_queries_equal_library_on_whole_texts(spark):
+    want = library_ids(spark)
+    got = {r["doc_id"]: r for r in QUERIES["op8_token_counts"](spark, SF).collect()}
+    assert {i: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for i, r in got.items()} == {i: (len(x.encode()), len(ids), len(ids) > 1024) for i, x, ids in want}
+    assert {r["over_limit"] for r in got.values()} == {True, False}
+    got = {r["doc_id"]: r for r in QUERIES["op9_token_files"](spark, SF).collect()}
+    start = 0
+    for i, _, ids in want:
+        ids = [*ids, 0]
+        r = got[i]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert len(got) == len(want)
+
+
+def test_equal_rows_are_encoded_once(spark, monkeypatch, tmp_path):
+    df = spark.createDataFrame([(None, "some words " * 9)] * 400 + [(1, "other"), (2, None)], "doc_id long, text string").repartition(3)
+    fresh = str(tmp_path / "cache")
+    got = token_counts.token_counts(df, fresh).collect()
+    assert len(got) == 402 and {r["n_tokens"] for r in got if r["doc_id"] is None} == {len(units.tokenizer(units.TOKENIZER).encode("some words " * 9).ids)}
+    run = token_counts._encode(units.TOKENIZER, b"v")
+    batch = pa.record_batch([pa.array([b"d"] * 5 + [b"e"]), pa.array(["x y"] * 5 + ["z"])], names=["digest", "text"])
+    assert sum(b.num_rows for b in run(iter([batch, batch]))) == 2
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=300))
 def test_pack_round_trip(values):
     control, data = token_files.pack(np.array(values, np.uint32))
     assert token_files.unpack(control, data, len(values)).tolist() == values
 
 
+@lru_cache
+def unit_encoder():
+    return units.UnitEncoder(units.TOKENIZER, most=200)
+
+
 SNIPPETS = ["a", "the", " ", "  ", "\n", "\t", "é", "1", "23", "!?", "<|endoftext|>", "'s", "日本", "😀", "\r\n", "x y", " ", " "]
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(SNIPPETS), max_size=14).map("".join))
 def test_unit_encoder_equals_library(text):
-    want = token_counts.tokenizer(token_counts.TOKENIZER).encode(text, add_special_tokens=False).ids
-    got = token_files.UnitEncoder(token_counts.TOKENIZER).encode([text])[0]
-    assert np.frombuffer(got, "<u2").tolist() == want
+    want = units.tokenizer(units.TOKENIZER).encode(text, add_special_tokens=False).ids
+    ids, n = unit_encoder().encode([text, "", text])
+    assert ids.tolist() == 2 * want and n.tolist() == [len(want), 0, len(want)]
 
 
 @pytest.fixture(scope="module")
@@ -159,7 +212,7 @@ def test_suffix_automaton_holds_exactly_the_substrings():
 def test_phrase_counts_equal_brute_force():
     rng = np.random.default_rng(1)
     model = rng.integers(0, 3, 60)
-    steps = language._steps(model, 4)
+    steps = language._automaton(model, 4)
     text = "".join(map(str, model))
     rows = [rng.integers(0, 4, n) for n in (1, 5, 40, 40)]
 
@@ -176,12 +229,36 @@ def test_phrase_counts_equal_brute_force():
     assert got.tolist() == [brute(r) for r in rows]
 
 
+@pytest.mark.parametrize("letters", [2, 40, 3000])
+def test_overlaid_moves_equal_the_automaton(letters):
+    text = np.random.default_rng(4).zipf(1.3, 4000) % letters
+    moves = language.suffix_automaton(text.tolist())
+    a = language.overlaid(moves, letters)
+    for state, to in enumerate(moves):
+        at = a.base[state] + np.arange(letters)
+        assert at.min() >= 0
+        found = np.flatnonzero(a.owner[at] == state)
+        assert {int(c): int(a.to[at[c]]) for c in found} == to
+    assert a.start.tolist() == [moves[0].get(c, 0) for c in range(letters)]
+
+
+def test_language_sample_is_spread_and_bounded(spark, monkeypatch):
+    """Long texts give pieces from all over, copies count once, every piece is whole text of its row."""
+    monkeypatch.setattr(language, "PIECES", 30)
+    long_text = " ".join(f"w{i}" for i in range(20_000))
+    rows = [("a", long_text)] + [("a", "copy " * 300)] * 500 + [("b", "été"), ("b", None), (None, "x y z"), ("c", "")]
+    got = language.sample(spark.createDataFrame(rows, "lang string, text string")).collect()
+    places = [long_text.index(r["piece"]) for r in got if r["lang"] == "a" and not r["piece"].strip().startswith(("copy", "opy", "py", "y"))]
+    assert len(places) >= 28 and max(places) > 0.7 * len(long_text) and sum(r["lang"] == "a" for r in got) == 30
+    assert [r["piece"] for r in got if r["lang"] == "b"] == ["été"] and {r["lang"] for r in got} == {"a", "b"}
+
+
 def test_language_id_is_accurate_and_defined(spark, docs):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.op1_language_id(spark, "/root/testdata/sf0.01").join(real.select("doc_id", "lang"), "doc_id")
     held = got.filter("held_out")
     assert held.filter("lang_pred = lang").count() >= 0.98 * held.count() > 0
-    model = language.fit(real.select("doc_id", "text", "lang"))
+    model = language.fit(real.select("text", "lang"))
     odd = language.predict(docs, model, F.lit(False)).collect()
     assert len(odd) == len(CASES)
     assert {r["lang_pred"] for r in odd if r["doc_id"] in (1, 2, 3)} == {"und"} and all(0 <= r["score"] <= 1 for r in odd)
@@ -190,17 +267,55 @@ def test_language_id_is_accurate_and_defined(spark, docs):
     assert language.predict(docs.limit(0), model, F.lit(False)).count() == 0
 
 
+def pages_of(spark, *pages):
+    rows = [(i, "http://a/", html) for i, html in enumerate(pages)]
+    return warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
 def test_warc_records(spark, tmp_path):
     html = "<html><title>A &amp; B</title><script>x</script><body><p>One&nbsp;&#233;&#x41;</p><!-- no --><a href=\"/y\">two</a></body>"
     rows = [(1, "http://a/", html), (2, None, None), (3, "http://b/", ""), (3, "http://b/", "")]
     records = warc.derivatives(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string")))
     assert records.count() == 8
     one = {r["warc_type"]: r for r in records.filter("page_id = 1").collect()}
-    assert one["conversion"]["block"] == "A & B\nOne é&#x41;\ntwo"
+    assert one["conversion"]["block"] == "A & B\nOne éA\ntwo"
     assert one["conversion"]["refers_to"] == one["metadata"]["refers_to"] != one["metadata"]["derived_id"]
-    assert "outlink: /y" in one["metadata"]["block"] and "source-status: 200" in one["metadata"]["block"]
+    for a, b in (("conversion", "metadata"), ("metadata", "conversion")):
+        assert f"WARC-Concurrent-To: {one[a]['derived_id']}\r\n" in one[b]["headers"]
+    assert one["metadata"]["block"].startswith("title: A & B\r\nsource-status: 200\r\n") and "\r\noutlink: /y\r\n" in one["metadata"]["block"]
     assert "WARC-Target-URI" not in records.filter("page_id = 2").first()["headers"]
     warc.write_warc(records, str(tmp_path / "w"))
     text = "".join(r["value"] for r in spark.read.text(str(tmp_path / "w"), wholetext=True).collect())
     assert text.count("WARC/1.1\r\n") == 8 and text.endswith("\r\n\r\n")
     assert warc.derivatives(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_warc_links_and_entities(spark):
+    page = (
+        "<a href='/one'>x</a><A class=b HREF = /two>x</A><a data-href=\"/no\" href=\"/a?b&amp;c=&#x27;d\">x</a><a name=z>x</a>"
+        "<!-- <a href=/comment> --><script>'<a href=\"/script\">'</script>"
+        "&amp;lt; &#38;#65; &#x1F600; &#0; &#xD800; &nothing; &eacute; &#9999999; a &b; c"
+    )
+    got = {r["warc_type"]: r["block"] for r in warc.derivatives(pages_of(spark, page)).collect()}
+    links = [x[9:] for x in got["metadata"].split("\r\n") if x.startswith("outlink: ")]
+    assert links == ["/one", "/two", "/a?b&c='d"]
+    assert got["conversion"] == "xxxx&lt; &#65; \U0001f600 &#0; &#xD800; &nothing; é &#9999999; a &b; c"
+
+
+def test_warc_keeps_source_headers_and_given_digest(spark):
+    head = "HTTP/1.0 404 Not Found\r\nServer: x/1\r\nETag: \"a:b\"\r\nX-Long: one\r\n two\r\nContent-Type: text/plain\r\nbroken"
+    rows = [("<urn:1>", "http://a/", "2020-01-01T00:00:00Z", head, "1 < 2 <b>\n", "sha1:GIVEN", "own block", "own text", "h")]
+    names = "record_id string, target_uri string, date string, http_headers string, payload string, payload_digest string, block string, _text string, headers string"
+    records = warc.derivatives(spark.createDataFrame(rows, names))
+    assert sorted(records.columns) == sorted(set(records.columns))
+    got = {r["warc_type"]: r for r in records.collect()}
+    fields = got["metadata"]["block"].split("\r\n")
+    assert fields[:6] == ["title: ", "source-status: 404", "source-server: x/1", 'source-etag: "a:b"', "source-x-long: one two", "source-content-type: text/plain"]
+    assert "WARC-Source-Payload-Digest: sha1:GIVEN" in got["metadata"]["headers"] and got["metadata"]["refers_to"] == "<urn:1>"
+    assert got["conversion"]["block"] == "1 < 2 <b>\n" and got["conversion"]["_text"] == "own text"
+
+
+def test_warc_of_a_very_long_page(spark):
+    words = " ".join(f"w{i}" for i in range(200_000))
+    got = {r["warc_type"]: r["block"] for r in warc.derivatives(pages_of(spark, f"<p>{words}<p>&copy;{'<b>x</b> ' * 50_000}")).collect()}
+    assert got["conversion"] == words + "\n©" + "x " * 49_999 + "x"
