@@ -1,26 +1,32 @@
 """Approximate nearest neighbours with a hierarchical k-means tree and best-bin-first traversal.
 
-The tree is fitted on FIT_ROWS rows at most, the first in the order of a hash of vec_id; its size depends on
-that bound alone, so it can be sent to every task. Every row is then filed under its leaf. A query
-walks the tree through a priority queue that always opens the closest unopened branch, and so orders all
-leaves; it visits a prefix of that order. The prefix is calibrated: for CALIBRATION queries the true
-neighbours are found by brute force over all rows, and the visits widen until RECALL of them are covered.
-A query whose prefix holds too few candidates widens further until it has k.
+The top of the tree is fitted on FIT_ROWS rows at most, the first in the order of a hash of vec_id, so it can be sent to
+every task. Every row is then filed under its leaf. A leaf with over GROW_ROWS rows is split by a tree of its own, fitted in
+one task on about FIT_ROWS of its rows, up to LEVELS levels: leaves stay small however large the table, and no more
+of the tree than one node's part is ever in one place.
 
-Leaves of any size are searched: a leaf is cut into parts of about PART_ROWS rows, and each query goes to
-every part of the leaves it visits, so identical vectors don't gather in one task.
+A query walks the tree level by level: through a priority queue that always opens the closest unopened branch it orders the
+leaves of a node, and keeps the closest ones over all its nodes. How many it keeps is calibrated at each level: for
+CALIBRATION queries the true neighbours are found by brute force over all rows, and the visits widen until RECALL of them
+are covered. A query whose leaves hold too few candidates widens further until it has k.
+
+Leaves of any size are searched: a leaf is cut into parts of about PART_ROWS rows, its queries into parts of
+QUERY_ROWS, and each part of queries meets each part of rows in a task, so identical vectors don't gather in one.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, neither
-do those whose length isn't the commonest; rows with null vec_id take no part; distance ties go to the
-smaller vec_id; fewer than k candidates give all of them; an empty table gives an empty result. Distances
-are Euclidean in double precision on the stored vectors.
+do those whose length isn't the commonest (distances between lengths aren't defined); rows with null vec_id take no part;
+distance ties go to the smaller vec_id; a repeated vec_id is several rows; fewer than k candidates give all of them; an
+empty table gives an empty result; extra columns don't matter, whatever their names. Distances are Euclidean in double
+precision on the stored vectors.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,8 +38,11 @@ from hazeline.llm.common import stored, table
 
 K, QUERY_STEP = 10, 100
 FIT_ROWS, BRANCHES, LEAF_ROWS = 20_000, 8, 150
-CALIBRATION, RECALL = 100, 0.97
-PART_ROWS = 2_000
+GROW_ROWS, LEVELS = 3_000, 4
+CALIBRATION, RECALL = 100, 0.95
+PART_ROWS, QUERY_ROWS = 2_000, 2_000
+#: Rows of a part beyond k that are compared exactly for each query.
+SLACK = 16
 
 
 class Tree:
@@ -81,13 +90,13 @@ class Tree:
                 at[mine] = self.first[node] + _distances(rows[mine], self.centres[few]).argmin(axis=1)
         return self.leaf[at]
 
-    def best_bin_first(self, row: np.ndarray) -> Iterator[int]:
-        """All leaves, the closest unopened branch first."""
+    def best_bin_first(self, row: np.ndarray) -> Iterator[tuple[int, float]]:
+        """All leaves with their squared distance, the closest unopened branch first."""
         queue = [(0.0, 0)]
         while queue:
-            _, node = heapq.heappop(queue)
+            distance, node = heapq.heappop(queue)
             if not self.count[node]:
-                yield int(self.leaf[node])
+                yield int(self.leaf[node]), distance
                 continue
             few = slice(self.first[node], self.first[node] + self.count[node])
             for j, d in enumerate(_distances(row[None], self.centres[few])[0].tolist()):
@@ -113,33 +122,72 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.filter(F.size("embedding") == (sizes["n"] if sizes else 0))
 
 
+ROWS = "vec_id long, embedding array<double>, node string"
+
+
 def _file_rows(tree: Tree, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        leaf = pa.array(tree.leaf_of(_matrix(batch.column("embedding"))), pa.int32())
-        yield batch.append_column("leaf", leaf)
+        leaf = tree.leaf_of(_matrix(batch.column("embedding")))
+        yield batch.append_column("node", pa.array(leaf.astype(str).tolist(), pa.string()))
+
+
+def _fit_node(rows: pd.DataFrame) -> pd.DataFrame:
+    tree = Tree(np.stack(rows["embedding"].to_numpy()))
+    return pd.DataFrame({"node": [rows["node"].iloc[0]], "tree": [pickle.dumps(tree)], "n_leaves": [tree.n_leaves]})
+
+
+def _file_below(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    if not len(rows):
+        return rows[["vec_id", "embedding", "node"]]
+    leaf = pickle.loads(trees["tree"].iloc[0]).leaf_of(np.stack(rows["embedding"].to_numpy()))
+    return pd.DataFrame({"vec_id": rows["vec_id"], "embedding": rows["embedding"], "node": rows["node"] + "/" + pd.Series(leaf.astype(str), rows.index)})
+
+
+def grown(filed: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """filed with the rows of its large nodes filed under nodes below them, and the trees of these (node, tree); None where no
+    node is large or can be split."""
+    sizes = filed.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > GROW_ROWS)
+    rank = F.pmod(F.xxhash64("vec_id", F.lit("tree")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = filed.join(sizes, "node").filter(rank < FIT_ROWS / F.col("n")).select("node", "embedding")
+    trees = stored(chosen.groupBy("node").applyInPandas(_fit_node, "node string, tree binary, n_leaves int"), "trees").filter("n_leaves > 1")
+    if not trees.limit(1).count():
+        return None
+    parts = trees.join(sizes, "node").select("node", "tree", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
+    dealt = filed.join(parts.select("node", "parts"), "node").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+    copies = parts.select("node", "tree", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    below = dealt.groupBy("node", "part").cogroup(copies.groupBy("node", "part")).applyInPandas(_file_below, ROWS)
+    rest = filed.join(parts.select("node"), "node", "left_anti").select("vec_id", "embedding", "node")
+    return stored(rest.union(below), "filed-vectors"), trees.select("node", "tree")
 
 
 def _top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """For each query its k nearest of rows, its own id left out."""
+    """For each query its k nearest of rows, its own id left out; ties go to the smaller id."""
     order = np.argsort(ids, kind="stable")  # equal distances then come in the order of ids
     rows, ids = rows[order], ids[order]
+    few = min(k + SLACK, len(ids))
+    norms = (rows * rows).sum(axis=1)
     out = []
     for start in range(0, len(queries), 256):
         q, qi = queries[start : start + 256], query_ids[start : start + 256]
-        rough = _distances(q, rows)
+        squares = (q * q).sum(axis=1)
+        rough = squares[:, None] - 2 * (q @ rows.T) + norms[None]
         rough[qi[:, None] == ids[None]] = np.inf
-        # The rough order picks some more than k; all within rounding of the k-th are compared exactly.
-        most = min(k, len(ids)) - 1
-        edge = np.partition(rough, most, axis=1)[:, most]
-        scale = (q * q).sum(axis=1) + (rows * rows).sum(axis=1).max()
-        for i in range(len(q)):
-            few = np.flatnonzero((rough[i] <= edge[i] + 1e-9 * scale[i]) & np.isfinite(rough[i]))
-            if len(few) > 4 * k:  # many equal vectors: the smallest ids of each distance are enough
-                d = np.sqrt(((rows[few] - q[i]) ** 2).sum(axis=1))
-                few = few[np.lexsort((ids[few], d))[:k]]
-            d = np.sqrt(((rows[few] - q[i]) ** 2).sum(axis=1))
-            best = np.lexsort((ids[few], d))[:k]
-            out.append(pd.DataFrame({"query_id": qi[i], "vec_id": ids[few][best], "score": d[best]}))
+        # The rough order picks some more than k, which are compared exactly.
+        near = np.sort(np.argpartition(rough, few - 1, axis=1)[:, :few], axis=1)
+        picked = np.take_along_axis(rough, near, axis=1)
+        exact = np.sqrt(((rows[near] - q[:, None]) ** 2).sum(axis=2))
+        exact[~np.isfinite(picked)] = np.inf
+        best = np.argsort(exact, axis=1, kind="stable")[:, :k]
+        found, score = np.take_along_axis(near, best, axis=1), np.take_along_axis(exact, best, axis=1)
+        # Rows within rounding of the k-th may have been left out: such queries are done over all their rows.
+        edge = np.partition(picked, min(k, few) - 1, axis=1)[:, min(k, few) - 1] + 1e-9 * (squares + norms.max(initial=0.0))
+        unsure = np.flatnonzero((picked.max(axis=1) <= edge) & (few < len(ids)))
+        for i in unsure.tolist():
+            d = np.where(qi[i] == ids, np.inf, np.sqrt(((rows - q[i]) ** 2).sum(axis=1)))
+            found[i] = np.argsort(d, kind="stable")[: found.shape[1]]
+            score[i] = d[found[i]]
+        real = np.isfinite(score)
+        out.append(pd.DataFrame({"query_id": np.repeat(qi, real.sum(axis=1)), "vec_id": ids[found[real]], "score": score[real]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
@@ -158,47 +206,104 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def calibrated_visits(tree: Tree, filed: DataFrame, queries: DataFrame, k: int, recall: float = RECALL) -> int:
-    """Leaves to visit so that recall of the true neighbours of CALIBRATION queries lie in them."""
-    few = queries.orderBy(F.xxhash64("vec_id", F.lit("calibration")), "vec_id").limit(CALIBRATION).collect()
-    if not few:
-        return 1
-    rows = np.array([r["embedding"] for r in few], float)
-    ids = np.array([r["vec_id"] for r in few], np.int64)
-    truth = _best(filed.mapInArrow(partial(_brute, rows, ids, k), FOUND), k)
-    near = truth.select("query_id", "vec_id").hint("broadcast")  # CALIBRATION * k rows
-    leaves = filed.join(near, "vec_id").groupBy("query_id").agg(F.collect_list("leaf").alias("leaves"))
-    held = {r["query_id"]: r["leaves"] for r in leaves.collect()}
-    depth = []
-    for row, i in zip(rows, ids.tolist(), strict=True):
-        place = {leaf: n for n, leaf in enumerate(tree.best_bin_first(row), 1)}
-        depth += [place[x] for x in held.get(i, [])]
-    return int(np.quantile(depth, recall, method="higher")) if depth else 1
-
-
-def _route(tree: Tree, visits: int, sizes: np.ndarray, parts: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]):
+OPENED = "query_id long, node string, d double"
+
+
+def _open_top(tree: Tree, visits: int, sizes: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first leaves of each query's walk: visits of them, and more until they hold over k rows."""
     for batch in batches:
-        rows = _matrix(batch.column("embedding"))
-        at, leaf, part = [], [], []
-        for i, row in enumerate(rows):
+        query, node, distance = [], [], []
+        for i, row in zip(batch.column("vec_id").to_pylist(), _matrix(batch.column("embedding")), strict=True):
             have = 0
-            for n, x in enumerate(tree.best_bin_first(row)):
+            for n, (leaf, d) in enumerate(tree.best_bin_first(row)):
                 if n >= visits and have > k:  # its own row may be among them
                     break
-                have += sizes[x]
-                if sizes[x]:
-                    at += [i] * parts[x]
-                    leaf += [x] * parts[x]
-                    part += range(parts[x])
-        routed = batch.take(pa.array(at, pa.int64()))
-        yield routed.append_column("leaf", pa.array(leaf, pa.int32())).append_column("part", pa.array(part, pa.int32()))
+                have += sizes[leaf]
+                if sizes[leaf]:
+                    query.append(i)
+                    node.append(str(leaf))
+                    distance.append(d)
+        yield pa.record_batch([pa.array(query, pa.int64()), pa.array(node, pa.string()), pa.array(distance, pa.float64())], names=["query_id", "node", "d"])
+
+
+def _open_node(visits: int, queries: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    query, node, distance = [], [], []
+    if len(queries):
+        tree = pickle.loads(trees["tree"].iloc[0])
+        for i, at, row in zip(queries["query_id"], queries["node"], queries["embedding"], strict=True):
+            for leaf, d in islice(tree.best_bin_first(np.asarray(row)), visits):
+                query.append(i)
+                node.append(f"{at}/{leaf}")
+                distance.append(d)
+    return pd.DataFrame({"query_id": np.array(query, np.int64), "node": np.array(node, object), "d": np.array(distance, float)})
+
+
+def opened_below(opened: DataFrame, queries: DataFrame, trees: DataFrame, visits: int) -> DataFrame:
+    """query_id, node, d, place: the nodes that queries opened, with those that have a tree replaced by its first leaves, in the
+    order of their distance; visits of them for each query."""
+    inner = opened.join(trees.select("node"), "node", "left_semi").join(queries.withColumnRenamed("vec_id", "query_id"), "query_id")
+    inner = inner.withColumn("part", F.pmod(F.xxhash64("query_id", F.lit("part")), F.lit(64)).cast("int"))
+    copies = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    below = inner.groupBy("node", "part").cogroup(copies.groupBy("node", "part")).applyInPandas(partial(_open_node, visits), OPENED)
+    both = opened.join(trees.select("node"), "node", "left_anti").select("query_id", "node", "d").union(below)
+    along = Window.partitionBy("query_id").orderBy("d", "node")  # a query's own nodes: its visits times a node's leaves at most
+    return both.withColumn("place", F.row_number().over(along)).filter(F.col("place") <= visits)
+
+
+def _covering(places: list[int], recall: float) -> int:
+    return int(np.quantile(places, recall, method="higher")) if places else 1
+
+
+class Index:
+    """A tree over filed rows (vec_id, embedding, node) and the visits of each of its levels."""
+
+    def __init__(self, vectors: DataFrame, queries: DataFrame, sample: list[list[float]], k: int, recall: float):
+        self.k = k
+        self.top = Tree(np.array(sample, float))
+        filed = [stored(vectors.mapInArrow(partial(_file_rows, self.top), ROWS), "filed-vectors")]
+        self.trees: list[DataFrame] = []
+        while len(filed) < LEVELS and (below := grown(filed[-1])):
+            filed.append(below[0])
+            self.trees.append(below[1])
+        self.filed = filed[-1]
+        self.sizes = np.zeros(self.top.n_leaves, np.int64)
+        for r in filed[0].groupBy("node").count().collect():  # a row a leaf of the top; their number is bounded by the sample
+            self.sizes[int(r["node"])] = r["count"]
+        self.visits: list[int] = []
+        self._calibrate(filed, queries, recall)
+
+    def _calibrate(self, filed: list[DataFrame], queries: DataFrame, recall: float) -> None:
+        """The visits of each level that cover recall (shared by the levels) of the true neighbours of CALIBRATION queries."""
+        few = queries.orderBy(F.xxhash64("vec_id", F.lit("calibration")), "vec_id").limit(CALIBRATION)
+        rows = few.collect()
+        if not rows:
+            self.visits = [1] * len(filed)
+            return
+        each = recall ** (1 / len(filed))
+        x, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows], np.int64)
+        truth = stored(_best(filed[0].mapInArrow(partial(_brute, x, ids, self.k), FOUND), self.k), "true-neighbours")
+        near = truth.select("query_id", "vec_id").hint("broadcast")  # CALIBRATION * k rows
+        held = filed[0].join(near, "vec_id").select("query_id", "node").collect()
+        place = {(int(i), str(leaf)): n for i, row in zip(ids, x, strict=True) for n, (leaf, _) in enumerate(self.top.best_bin_first(row), 1)}
+        self.visits = [_covering([place[r["query_id"], r["node"]] for r in held], each)]
+        for level, rows_below in enumerate(filed[1:]):
+            opened = opened_below(self.opened(few, level), few, self.trees[level], 1 << 30)
+            found = rows_below.join(near, "vec_id").select("query_id", "node").join(opened, ["query_id", "node"]).select("place").collect()
+            self.visits.append(max(_covering([r["place"] for r in found], each), self.k + 1))
+
+    def opened(self, queries: DataFrame, levels: int | None = None) -> DataFrame:
+        """query_id, node, d: what each query opens at the last level, or below so many levels."""
+        out = queries.mapInArrow(partial(_open_top, self.top, self.visits[0], self.sizes, self.k), OPENED)
+        for trees, visits in list(zip(self.trees, self.visits[1:], strict=False))[:levels]:
+            out = opened_below(out, queries, trees, visits).drop("place")
+        return out
 
 
 def _search(k: int, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     if not len(queries) or not len(rows):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
     a, b = np.stack(queries["embedding"].to_numpy()), np.stack(rows["embedding"].to_numpy())
-    return _top(a, queries["vec_id"].to_numpy(), b, rows["vec_id"].to_numpy(), k)
+    return _top(a, queries["query_id"].to_numpy(), b, rows["vec_id"].to_numpy(), k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float = RECALL) -> DataFrame:
@@ -208,19 +313,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float =
     sample = vectors.orderBy(F.xxhash64("vec_id", F.lit("tree")), "vec_id").limit(FIT_ROWS).select("embedding").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = Tree(np.array([r["embedding"] for r in sample], float))
-    filed = stored(vectors.mapInArrow(partial(_file_rows, tree), "vec_id long, embedding array<double>, leaf int"), "filed-vectors")
-    visits = calibrated_visits(tree, filed, queries, k, recall)
-    sizes = np.zeros(tree.n_leaves, np.int64)
-    for r in filed.groupBy("leaf").count().collect():  # a row a leaf; their number is bounded by the sample
-        sizes[r["leaf"]] = r["count"]
-    parts = -(-sizes // PART_ROWS)
-    routed = queries.mapInArrow(
-        partial(_route, tree, visits, sizes, parts, k), "vec_id long, embedding array<double>, leaf int, part int"
-    )
-    count = F.element_at(F.array(*[F.lit(int(n)) for n in np.maximum(parts, 1)]), F.col("leaf") + 1)
-    dealt = filed.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), count).cast("int"))
-    near = routed.groupBy("leaf", "part").cogroup(dealt.groupBy("leaf", "part")).applyInPandas(partial(_search, k), FOUND)
+    index = Index(vectors, queries, [r["embedding"] for r in sample], k, recall)
+    opened = stored(index.opened(queries).select("query_id", "node"), "opened-nodes")
+
+    # Each part of a node's queries meets each part of its rows.
+    parts = lambda df, most, name: df.groupBy("node").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    blocks = stored(parts(index.filed, PART_ROWS, "n_rows").join(parts(opened, QUERY_ROWS, "n_queries"), "node"), "blocks")
+    of = lambda key, n: F.pmod(F.xxhash64(key, F.lit("part")), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = opened.join(queries.withColumnRenamed("vec_id", "query_id"), "query_id").join(blocks, "node")
+    asked = asked.select("node", "query_id", "embedding", of("query_id", "n_queries").alias("b"), every("n_rows").alias("a"))
+    dealt = index.filed.join(blocks, "node").select("node", "vec_id", "embedding", of("vec_id", "n_rows").alias("a"), every("n_queries").alias("b"))
+    key = ["node", "a", "b"]
+    near = asked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(partial(_search, k), FOUND)
     return _best(near, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
