@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,6 @@ _PLAIN = ("string", "bigint", "int", "double", "boolean", "date", "timestamp")
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD_PLACES = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _PERMUTATIONS = mix64(np.arange(101, 101 + SKETCH, dtype=np.uint64)) | np.uint64(1)
 
@@ -63,11 +62,19 @@ def runs(recall: float = TARGET_RECALL) -> int:
     return math.ceil(-math.log(1 - recall))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)])
-    down = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE_INVERSE, np.uint64)])
-    return up, down
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)])
+
+
+def _word_hashes(data: np.ndarray, space: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash of the bytes of each word."""
+    size = np.diff(np.r_[starts, len(data)])
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, size)
+    weight = _powers(int((ends - starts).max()))
+    inside = ~space[starts[0] :]
+    terms = np.zeros(len(place), np.uint64)
+    terms[inside] = (data[starts[0] :][inside].astype(np.uint64) + np.uint64(1)) * weight[place[inside]]
+    return mix64(np.add.reduceat(terms, starts - starts[0]))
 
 
 def shingle_sets(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +90,7 @@ def shingle_sets(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n_rows = len(rows)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n_rows, np.int64)
-    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
-    sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])
-    word = mix64((sums[ends - 1] - sums[starts - 1]) * down[starts])
+    word = _word_hashes(data, space, starts, ends)
     row = np.searchsorted(row_from, starts, side="right") - 1
     n_words = np.bincount(row, minlength=n_rows)
     first = np.cumsum(n_words) - n_words
