@@ -10,7 +10,7 @@ from hazeline.operators import normalise as N
 from hazeline.registry import query
 
 _RAW = """select n, count(*) as k from (select case user_id % 6 when 0 then ' rh925' when 1 then 'Dew-Point 2M' when 2 then 'pm2.5' when 3 then 'T 1000' when 4 then 'pm10_ugm3' else 't2m' end as n from events) x group by n"""
-_ALIAS_ROWS = ", ".join(f"('{a}','{k}')" for k, also in layouts.ALIASES.items() for a in (k, *also))
+_ALIAS_ROWS = ", ".join(f"('{alias}','{name}')" for alias, name in layouts.NAMES.items())
 
 
 @query("b1_canonical_name", f"""
