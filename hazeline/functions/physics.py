@@ -17,13 +17,12 @@ Q_LEAST, Q_MOST = 1e-8, 0.08
 
 
 def clip(c: Column, low: float | Column | None = None, high: float | Column | None = None) -> Column:
-    """c within bounds; null stays null (greatest and least would skip it)."""
-    out = c
-    if low is not None:
-        out = F.greatest(out, F.lit(low) if not isinstance(low, Column) else low)
-    if high is not None:
-        out = F.least(out, F.lit(high) if not isinstance(high, Column) else high)
-    return F.when(c.isNotNull(), out)
+    """c within bounds; null stays null (greatest and least would skip it, so the bounds are null with it).
+
+    c stands in no branch, so Spark evaluates it once however clips are nested."""
+    bound = lambda b: F.when(c.isNotNull(), b if isinstance(b, Column) else F.lit(b))
+    out = c if low is None else F.greatest(c, bound(low))
+    return out if high is None else F.least(out, bound(high))
 
 
 def vapour_pressure(t_c: Column) -> Column:
