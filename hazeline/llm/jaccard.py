@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from hazeline.llm.common import mix64, pieces, stored, table, texts, unused
 from hazeline.llm.components import components
+from hazeline.llm.shingles import BASE, set_ids, shingle_sets
 
 SHINGLE, THRESHOLD = 5, 0.8
 TARGET_RECALL = 0.9999
@@ -50,10 +51,6 @@ NO_ID = -(1 << 63)
 #: Types of the columns that choose among rows that repeat.
 _PLAIN = ("string", "bigint", "int", "double", "boolean", "date", "timestamp")
 
-_SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
-_WORD_PLACES = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _PERMUTATIONS = mix64(np.arange(101, 101 + SKETCH, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -62,59 +59,8 @@ def runs(recall: float = TARGET_RECALL) -> int:
     return math.ceil(-math.log(1 - recall))
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)])
-
-
-def _word_hashes(data: np.ndarray, space: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash of the bytes of each word."""
-    size = np.diff(np.r_[starts, len(data)])
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, size)
-    weight = _powers(int((ends - starts).max()))
-    inside = ~space[starts[0] :]
-    terms = np.zeros(len(place), np.uint64)
-    terms[inside] = (data[starts[0] :][inside].astype(np.uint64) + np.uint64(1)) * weight[place[inside]]
-    return mix64(np.add.reduceat(terms, starts - starts[0]))
-
-
-def shingle_sets(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, ascending, end to end, and their number a row."""
-    encoded = [x.lower().encode("utf-8", "surrogatepass") for x in rows]
-    joined = b"\n" + b"\n".join(encoded) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    sizes = np.array([len(x) + 1 for x in encoded], np.int64)
-    row_from = np.cumsum(sizes) - sizes + 1
-    space = _SPACES[data]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    n_rows = len(rows)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(n_rows, np.int64)
-    word = _word_hashes(data, space, starts, ends)
-    row = np.searchsorted(row_from, starts, side="right") - 1
-    n_words = np.bincount(row, minlength=n_rows)
-    first = np.cumsum(n_words) - n_words
-    padded = np.r_[word, np.zeros(SHINGLE - 1, np.uint64)]
-    left = np.repeat(first + n_words, n_words) - np.arange(len(word))  # words of the row from here on
-    total = np.zeros(len(word), np.uint64)
-    for k in range(SHINGLE):
-        total += np.where(left > k, padded[k : k + len(word)], np.uint64(0)) * _WORD_PLACES[k]
-    whole = (left >= SHINGLE) | ((n_words[row] < SHINGLE) & (np.arange(len(word)) == first[row]))
-    hashes, owner = mix64(total[whole]), row[whole]
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[new], np.bincount(owner[new], minlength=n_rows)
-
-
-def set_ids(hashes: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """16 bytes that name each set, whatever the order or repetition of its shingles in the text."""
-    sums = np.r_[np.uint64(0), np.cumsum(hashes)]
-    mixed = np.r_[np.uint64(0), np.cumsum(mix64(hashes))]
-    ends = np.cumsum(n)
-    both = np.stack([sums[ends] - sums[ends - n], mixed[ends] - mixed[ends - n] + n.astype(np.uint64)], axis=1)
-    return [x.tobytes() for x in both.astype(">u8")]
+def _lower(rows: list[str]) -> list[bytes]:
+    return [x.lower().encode("utf-8", "surrogatepass") for x in rows]
 
 
 SETS = "doc_id long, text_key long, set_id binary, n int, sketch binary, nodes array<bigint>"
@@ -124,7 +70,7 @@ def _describe(n_runs: int, threshold: float, batches: Iterator[pa.RecordBatch])
     seeds = mix64(np.arange(1001, 1001 + n_runs, dtype=np.uint64)) | np.uint64(1)
     for batch in batches:
         for part in pieces(batch, "text", 1 << 21):
-            hashes, n = shingle_sets(texts(part, "text"))
+            hashes, n = shingle_sets(_lower(texts(part, "text")), SHINGLE)
             full = np.flatnonzero(n)
             first = (np.cumsum(n) - n)[full]
             owner = np.repeat(np.arange(len(n)), n)
@@ -137,7 +83,7 @@ def _describe(n_runs: int, threshold: float, batches: Iterator[pa.RecordBatch])
             nodes: list[list[int]] = [[] for _ in range(len(n))]
             for r, seed in enumerate(seeds):
                 chosen = np.flatnonzero(hashes * seed < rate)
-                node = mix64(hashes[chosen] + np.uint64((r + 1) * _BASE % (1 << 64))).view(np.int64)
+                node = mix64(hashes[chosen] + np.uint64((r + 1) * BASE % (1 << 64))).view(np.int64)
                 for i, x in zip(owner[chosen].tolist(), node.tolist(), strict=True):
                     nodes[i].append(x)
             yield pa.record_batch(
@@ -167,7 +113,7 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = (h % np.uint64(SKETCH)).astype(np.int64)
             second = (first + 1 + ((h >> np.uint64(32)) % np.uint64(SKETCH - 1)).astype(np.int64)) % SKETCH
             value = sketch[rows, first].astype(np.uint64) * np.uint64(256) + sketch[rows, second]
-            children.append(mix64(node + (value + np.uint64(i * 65536 + 1)) * np.uint64(_BASE)))
+            children.append(mix64(node + (value + np.uint64(i * 65536 + 1)) * np.uint64(BASE)))
         out = batch.take(pa.array(np.tile(rows, SAMPLINGS)))
         child = pa.array(np.concatenate(children).view(np.int64))
         yield out.set_column(out.schema.get_field_index("node"), "node", child)
@@ -331,7 +277,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text", 1 << 21):
-            hashes, n = shingle_sets(texts(part, "text"))
+            hashes, n = shingle_sets(_lower(texts(part, "text")), SHINGLE)
             sets = [x.tobytes() for x in np.split(hashes, np.cumsum(n)[:-1])]
             columns = [pa.array(set_ids(hashes, n), pa.binary()), pa.array(sets, pa.binary())]
             yield pa.record_batch(columns, names=["set_id", "shingles"])
