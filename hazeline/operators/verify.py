@@ -24,7 +24,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def _whole(p: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [x.isNotNull() & ~F.isnan(x) for x in p])
+    """Whether no probability is null or NaN, by one test of their sum: NaN sorts above infinity, null gives null."""
+    return p[0] + p[1] + p[2] <= F.lit(float("inf"))
 
 
 def argmax_class(p: Sequence[Column]) -> Column:
@@ -45,8 +46,10 @@ def with_pred(df: DataFrame) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
     """n by (by, y_cls, pred) for codes 0 to 2."""
-    known = df.filter(F.col("y_cls").between(0, 2) & F.col("pred").between(0, 2))
-    return known.groupBy(*by, "y_cls", "pred").agg(F.count("*").alias("n"))
+    counts = df.groupBy(*by, "y_cls", "pred").agg(F.count("*").alias("n"))
+    # The few groups are filtered, not the rows; `having` on codes of the groups alone would be pushed below the count.
+    known = F.col("n").isNotNull() & F.col("y_cls").between(0, 2) & F.col("pred").between(0, 2)
+    return counts.filter(F.when(F.col("n") > 0, known))
 
 
 def _cells(counts: DataFrame, by: Sequence[str]) -> DataFrame:

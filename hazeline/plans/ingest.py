@@ -30,7 +30,13 @@ def duplicates(v):
 
 @query("a3_merge_variables", "select f.station_id, f.h, f.t2m_k, f.mslp_hpa, o.vis_m from v_field f left join v_obs o on f.station_id=o.station_id and f.h=o.h")
 def merge(v):
-    return station.merge_variables([v.v_field.select("station_id", "h", "t2m_k"), v.v_field.select("station_id", "h", "mslp_hpa"), v.v_obs])
+    return station.merge_variables([v.v_field.select("station_id", "h", "t2m_k"), v.v_field.select("station_id", "h", "mslp_hpa"), v.v_obs], equal_axes=False)
+
+
+@query("a3_merge_equal_axes", "select station_id, h, t2m_k, mslp_hpa, q_gkg from v_field")
+def merge_equal(v):
+    """Three variables on one axis; a key that one lacks would fail the result."""
+    return station.merge_variables([v.v_field.select("station_id", "h", c) for c in ("t2m_k", "mslp_hpa", "q_gkg")])
 
 
 @query("a3_axis_differences", "select f.station_id, f.h, cast(1 as bigint) as n_parts from v_field f left join v_obs o on f.station_id=o.station_id and f.h=o.h where o.h is null")
@@ -131,14 +137,15 @@ def config(v):
 
 
 _SOURCES = ("A", "B", "C")
-_PAIRED = ", ".join(f"{s}.pred as {s}_pred, " + ", ".join(f"round({s}.{p},6) as {s}_{p}" for p in ("p_fog", "p_mist", "p_clear")) for s in _SOURCES)
+_MINE = ", ".join(
+    f"max(pred) filter (where source='{s}') as {s}_pred, " + ", ".join(f"round(max({p}) filter (where source='{s}'),6) as {s}_{p}" for p in ("p_fog", "p_mist", "p_clear"))
+    for s in _SOURCES
+)
 
 
 @query("a10_paired_predictions", f"""
-with p as (select source, sample_id, case when p_fog>=p_mist and p_fog>=p_clear then 0 when p_mist>=p_clear then 1 else 2 end as pred,
-  p_fog, p_mist, p_clear from v_pred)
-select a.sample_id, {_PAIRED}
-from p a join p b on a.sample_id=b.sample_id and a.source='A' and b.source='B' join p c on c.sample_id=a.sample_id and c.source='C'""")
+select sample_id, {_MINE} from (select *, case when p_fog>=p_mist and p_fog>=p_clear then 0 when p_mist>=p_clear then 1 else 2 end as pred from v_pred) p
+group by sample_id having {" and ".join(f"count(*) filter (where source='{s}')>0" for s in _SOURCES)}""")
 def paired(v):
     wide = sinks.paired_predictions(with_pred(v.v_pred), list(_SOURCES))
     return wide.withColumns({c: F.round(c, 6) for c in wide.columns if "_p_" in c})
@@ -151,8 +158,56 @@ union all
 select source, null, round(m,6), round(f,6), case when source='A' then 'own' else source end, 'run2' from m""")
 def runs(v):
     m = v.v_pred.groupBy("source").agg(F.round(F.avg("p_fog"), 6).alias("f"), F.round(F.avg("p_mist"), 6).alias("m"))
-    one = m.select("source", F.col("f").alias("Fog_R"))
     label = F.when(F.col("source") == "A", "own")
-    two = m.select("source", F.col("m").alias("Mist_R"), F.col("f").alias("false_positive_rate"), label.alias("label"))
-    out = station.metric_runs({"run1": one, "run2": two, "merged": one}, own="merged")
-    return out.select("source", "fog_pod", "mist_pod", "low_vis_fpr", "label", "run_dir")
+    root = sinks.shared_path(v.spark, "runs")
+    _write_run(m.select("source", F.col("f").alias("Fog_R")), f"{root}/run1")
+    _write_run(m.select("source", F.col("m").alias("Mist_R"), F.col("f").alias("false_positive_rate"), label.alias("label")), f"{root}/more/run2")
+    _write_run(m.select("source", F.col("f").alias("Fog_R")), f"{root}/merged")
+    out = station.read_metric_runs(v.spark, root, own=f"{root}/merged")
+    return out.select("source", "fog_pod", "mist_pod", "low_vis_fpr", "label", F.substring_index("run_dir", "/", -1).alias("run_dir"))
+
+
+def _write_run(metrics, folder):
+    metrics.coalesce(1).write.option("header", True).csv(f"{folder}/overall_metrics.csv")
+
+
+_BY_DATE = "select source, cast(valid_time as date) as d, avg(p_fog) as f, avg(p_mist) as q, avg(p_clear) as c from v_pred where day(valid_time)=1 group by 1, 2"
+
+
+@query("a11_runs_by_wildcard", f"""
+select source, 'run='||d as run_dir, round(f,6) as fog_pod, case when month(d)%3<>0 then round(q,6) end as mist_pod, case when month(d)%2=0 then round(c,6) end as low_vis_pod from ({_BY_DATE}) x""")
+def many_runs(v):
+    """A run for each first of a month, with headers of four kinds, read by one wildcard."""
+    m = v.sql(_BY_DATE)
+    root = sinks.shared_path(v.spark, "runs")
+    for even in (True, False):
+        for third in (True, False):
+            names = {"f": "Fog_R" if even else "fog_pod"} | ({} if third else {"q": "Mist_R" if even else "mist_pod"}) | ({"c": "low_vis_recall"} if even else {})
+            rows = m.filter(((F.month("d") % 2 == 0) == even) & ((F.month("d") % 3 == 0) == third))
+            rows = rows.select("source", *[F.round(c, 6).alias(n) for c, n in names.items()], F.col("d").cast("string").alias("run"))
+            rows.repartition("run").write.partitionBy("run").option("header", True).csv(f"{root}/kind{int(even)}{int(third)}")
+    out = station.read_metric_runs(v.spark, f"{root}/kind*", name=None)
+    return out.select("source", F.substring_index("run_dir", "/", -1).alias("run_dir"), "fog_pod", "mist_pod", "low_vis_pod")
+
+
+# Orders of the months' first ten days, in files that are named as an archive's are: init at 00 or 12 hours, valid 12 to 23 hours later
+# in the same month, so December's last file is the only one of its year's end.
+_CYCLE_ROWS = """select o_orderkey, o_totalprice, lpad(cast(month(o_orderdate) as varchar(2)),2,'0') as mm, case when o_orderkey%2=0 then '0100' else '3112' end as ih,
+  case when o_orderkey%2=0 then '0112' else '0106' end as vh, case when o_orderkey%2=0 then lpad(cast(month(o_orderdate) as varchar(2)),2,'0') else lpad(cast(month(o_orderdate)%12+1 as varchar(2)),2,'0') end as vm,
+  case o_orderkey%3 when 0 then 't925' when 1 then 'rh925' else 'tp' end as var from orders where o_orderkey%2=0 or month(o_orderdate) in (1,3,5,7,8,10,12)"""
+
+
+@query("a4_read_cycle_files", f"""
+select strftime(make_timestamp(2025, cast(mm as int), cast(substr(ih,1,2) as int), cast(substr(ih,3,2) as int), 0, 0.0),'%Y-%m-%d %H:%M') as init_time,
+  strftime(make_timestamp(case when vm<mm then 2026 else 2025 end, cast(vm as int), cast(substr(vh,1,2) as int), cast(substr(vh,3,2) as int), 0, 0.0),'%Y-%m-%d %H:%M') as valid_time,
+  var as variable, count(*) as n_rows, round(sum(o_totalprice),2) as total, count(case when var='tp' then 1 end) as n_rain from ({_CYCLE_ROWS}) r group by all""")
+def cycle_files(v):
+    """Files of two schemas and two folders, found and read by one wildcard; init and valid times from their names."""
+    root = sinks.shared_path(v.spark, "cycles")
+    rows = v.sql(_CYCLE_ROWS).withColumn("file", F.concat(F.lit("XXX"), "mm", "ih", F.lit("00"), "vm", "vh", F.lit("001_"), "var", F.lit(".nc")))
+    for rain, folder in ((True, "surface"), (False, "levels")):
+        some = rows.filter((F.col("var") == "tp") == rain).select("file", "o_totalprice", *([F.lit(1).alias("rain")] if rain else []))
+        some.repartition("file").write.partitionBy("file").parquet(f"{root}/{folder}")
+    found = station.read_cycle_files(v.spark, f"{root}/*", 2025)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    return found.groupBy(stamp("init_time"), stamp("valid_time"), "variable").agg(F.count("*").alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count("rain").alias("n_rain"))

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazeline.functions.checks import described
+
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir); only a local session, which has no
@@ -19,7 +21,23 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="hazeline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Paths that this process named and hasn't removed, oldest first.
+_made: list[str] = []
+
+
+def remove_stored(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what was written to the shared folder after the first since paths; DataFrames that read it can't be used
+    afterwards."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _made[since:]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del _made[since:]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -40,10 +58,14 @@ def write_config(config: DataFrame, path: str) -> None:
 
 
 def paired_predictions(pred: DataFrame, sources: Sequence[str], key: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """One row a key that all sources have, with <source>_pred and <source>_p_* columns."""
+    """One row a key that all sources have, with <source>_pred and <source>_p_* columns; fails where a source repeats a key."""
     values = ("pred", "p_fog", "p_mist", "p_clear")
-    wide = pred.groupBy(*key).pivot("source", list(sources)).agg(*[F.first(v).alias(v) for v in values])
-    return wide.dropna(subset=[f"{s}_pred" for s in sources])
+    mine = lambda s, v: F.max(F.when(F.col("source") == s, F.col(v))).alias(f"{s}_{v}")
+    counts = [F.count_if(F.col("source") == s).alias(f"_n_{s}") for s in sources]
+    wide = pred.filter(F.col("source").isin(*sources)).groupBy(*key).agg(*[mine(s, v) for s in sources for v in values], *counts)
+    repeated = F.raise_error(described("a source repeats key ", *[F.col(k) for k in key])).cast("boolean")
+    once = F.when(F.greatest(*[F.col(f"_n_{s}") for s in sources], F.lit(0)) > 1, repeated).otherwise(True)
+    return wide.filter(once).dropna(subset=[f"{s}_pred" for s in sources]).drop(*[f"_n_{s}" for s in sources])
 
 
 def write_paired_predictions(paired: DataFrame, path: str) -> None:
