@@ -55,8 +55,11 @@ _PERMUTATIONS = mix64(np.arange(101, 101 + SKETCH, dtype=np.uint64)) | np.uint64
 
 
 def runs(recall: float = TARGET_RECALL) -> int:
-    """Runs after which a pair at the threshold has met with this probability: one run misses it with 1/e."""
-    return math.ceil(-math.log(1 - recall))
+    """Runs after which a pair at the threshold has met with this probability, even if its nodes are split at every level.
+
+    Of one run it shares a sampled shingle with 1 - 1/e, and passes each split with 1 - (1 - 0.8 * 0.8) ** SAMPLINGS."""
+    met = (1 - math.exp(-1)) * (1 - (1 - THRESHOLD**2) ** SAMPLINGS) ** DEPTH
+    return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
 def _lower(rows: list[str]) -> list[bytes]:

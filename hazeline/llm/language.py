@@ -2,13 +2,16 @@
 
 For each language a suffix automaton of labelled text is built. A text is parsed greedily against each
 automaton into phrases, each the longest match that the labelled text holds followed by a fresh start;
-the language that needs the fewest phrases a symbol wins.
+the language that needs the fewest normalised phrases a symbol wins. A phrase points into the labelled text and names the symbol
+that ends it, so it counts as the logarithms of that text's length and of the alphabet: a language with little labelled
+text needs more phrases, each of which says less.
 
-Fitting: labelled texts are cut into pieces of PIECE characters, from their first to their last; of each of the
-LANGUAGES most frequent languages the PIECES distinct pieces with the least digests are the sample. It comes from
-everywhere in long texts, copies count once, and its size and that of the automata sent to the tasks are bounded
-whatever the corpus: an automaton has three moves a symbol at most. Prediction reads every whole text. It is
-narrow: no shuffle, so hot sources or groups of copies cannot gather in one task.
+Fitting: labelled texts are cut into pieces of PIECE characters, from their first to their last; of each
+language the PIECES distinct pieces with the least digests are the sample. It comes from everywhere in long texts,
+copies count once, and its size is bounded whatever the corpus; an automaton has three moves a symbol at most. Languages are
+dealt into models of BLOCK languages, which are broadcast one after the other. Prediction reads every whole text. With one model
+it is narrow: no shuffle, so hot sources or groups of copies cannot gather in one task; with more, each gives its best language for a
+document and text, and the best of them is taken.
 
 Texts are lower-cased and letters become symbols, every run of other characters one separator; letters
 that no sample holds end a phrase. Parsing restarts at every SEGMENT symbols, which adds one phrase at
@@ -21,20 +24,23 @@ row every text is `und`; an empty table gives an empty result. Repeated rows giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import pieces, table, texts
+from hazeline.llm.common import pieces, stored, table, texts
 
 UNKNOWN = "und"
-#: Characters of a piece of labelled text, pieces of a language, and languages: the bounds of the sample.
-PIECE, PIECES, LANGUAGES = 1_000, 60, 200
+#: Characters of a piece of labelled text and pieces of a language: the bounds of the sample.
+PIECE, PIECES = 1_000, 60
+#: Languages of a model, which each task holds whole (1.3 MB a language).
+BLOCK = 100
 SEGMENT = 256
 #: In the code table: 0 is the separator, 1 an unknown letter.
 _SEPARATOR, _OTHER = 0, 1
@@ -54,11 +60,14 @@ class Automaton:
 
 @dataclass
 class Model:
-    """languages; letters: their code points in code order from 2; an automaton for each language."""
+    """languages; letters: their code points in code order from 2; an automaton for each language and what one of its phrases
+    counts; how many languages there are in all models."""
 
     languages: list[str]
     letters: np.ndarray
     automata: list[Automaton]
+    weight: np.ndarray
+    n_languages: int
 
 
 @lru_cache(maxsize=1)
@@ -154,8 +163,6 @@ def _automaton(symbols: np.ndarray, n_codes: int) -> Automaton:
 def sample(labelled: DataFrame) -> DataFrame:
     """lang, at and piece: the distinct pieces of labelled text (text, lang) with the least digests by language."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    # A row a language name.
-    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     cut = F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
     pieces_of = rows.select("lang", cut.alias("piece")).withColumn("at", F.xxhash64("piece"))
     ids = pieces_of.select("lang", "at").distinct()
@@ -164,20 +171,28 @@ def sample(labelled: DataFrame) -> DataFrame:
     few = ids.withColumn("n", F.row_number().over(salted)).filter(F.col("n") <= PIECES)
     by_lang = Window.partitionBy("lang").orderBy("at")
     few = few.withColumn("n", F.row_number().over(by_lang)).filter(F.col("n") <= PIECES).drop("n")
-    few = few.join(often, "lang", "left_semi")
-    # PIECES * LANGUAGES rows at most.
-    return pieces_of.join(F.broadcast(few), ["lang", "at"]).groupBy("lang", "at").agg(F.first("piece").alias("piece"))
+    # PIECES rows a language at most.
+    return pieces_of.join(few, ["lang", "at"]).groupBy("lang", "at").agg(F.first("piece").alias("piece"))
 
 
-def fit(labelled: DataFrame) -> Model:
-    """A model of labelled (text, lang), from a bounded sample of it."""
-    per: dict[str, list[str]] = {}
-    for r in sample(labelled).orderBy("lang", "at").collect():
-        per.setdefault(r["lang"], []).append(r["piece"])
-    samples = {lang: "\n".join(xs) for lang, xs in sorted(per.items())}
+def fit(labelled: DataFrame) -> Iterator[Model]:
+    """Models of labelled (text, lang), BLOCK languages each, from a bounded sample of each language."""
+    found = stored(sample(labelled), "language-sample")
+    names = [r["lang"] for r in found.select("lang").distinct().orderBy("lang").collect()]  # a name a language
+    for start in range(0, len(names), BLOCK):
+        per: dict[str, list[str]] = {}
+        for r in found.filter(F.col("lang").isin(names[start : start + BLOCK])).orderBy("lang", "at").collect():
+            per.setdefault(r["lang"], []).append(r["piece"])
+        yield model({lang: "\n".join(xs) for lang, xs in sorted(per.items())}, len(names))
+
+
+def model(samples: dict[str, str], n_languages: int) -> Model:
+    """The model of a sample of each language, ascending, of n_languages in all."""
     letters = np.array(sorted({ord(c) for x in samples.values() for c in x.lower() if c.isalpha()}), np.int64)
     codes = _codes(letters)
-    return Model(list(samples), letters, [_automaton(_symbols(x, codes), 2 + len(letters)) for x in samples.values()])
+    symbols = [_symbols(x, codes) for x in samples.values()]
+    weight = np.array([np.log(len(x) + 1.0) + np.log(len(np.unique(x)) + 1.0) for x in symbols])
+    return Model(list(samples), letters, [_automaton(x, 2 + len(letters)) for x in symbols], weight, n_languages)
 
 
 def phrase_counts(symbols: np.ndarray, sizes: np.ndarray, automaton: Automaton) -> np.ndarray:
@@ -202,7 +217,8 @@ def phrase_counts(symbols: np.ndarray, sizes: np.ndarray, automaton: Automaton)
     return out
 
 
-def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _predict(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = shared.value
     codes = _codes(model.letters)
     names = np.array([*model.languages, UNKNOWN], object)
     for batch in batches:
@@ -216,32 +232,57 @@ def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             sizes[last] = n[segments > 0] - (segments[segments > 0] - 1) * SEGMENT
             owner = np.repeat(np.arange(len(rows)), segments)
             joined = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
-            if model.languages:
-                phrases = np.array([np.bincount(owner, phrase_counts(joined, sizes, a), len(rows)) for a in model.automata])
-            else:
-                phrases, lettered = np.ones((1, len(rows))), np.zeros(len(rows), bool)
-            best = phrases.argmin(axis=0)
-            rate = np.log1p(len(model.automata)) * np.maximum(n, 1) / np.maximum(phrases, 1)
-            share = np.exp(rate - rate.max(axis=0))
-            score = np.where(lettered, (share / share.sum(axis=0)).max(axis=0), 0.0)
+            phrases = np.array([np.bincount(owner, phrase_counts(joined, sizes, a), len(rows)) for a in model.automata])
+            cost = phrases * model.weight[:, None]
+            best, least = cost.argmin(axis=0), cost.min(axis=0)
+            # The logarithm of a language's share: more, the more symbols a normalised phrase covers.
+            rate = np.log1p(model.n_languages) * _FULL * np.maximum(n, 1) / np.maximum(cost, 1e-9)
+            top = rate.max(axis=0)
+            total = top + np.log(np.exp(rate - top).sum(axis=0))
+            score = np.where(lettered, np.exp(top - total), 0.0)
             yield pa.record_batch(
                 [
-                    part.column("doc_id"),
-                    part.column("held_out"),
+                    *(part.column(c) for c in _KEPT),
                     pa.array(names[np.where(lettered, best, -1)], pa.string()),
                     pa.array(score, pa.float64()),
-                    pa.array(np.where(lettered, phrases.min(axis=0), 0).astype(np.int64)),
+                    pa.array(np.where(lettered, phrases[best, np.arange(len(rows))], 0).astype(np.int64)),
+                    pa.array(np.where(lettered, least, np.inf)),
+                    pa.array(total),
                 ],
-                names=["doc_id", "held_out", "lang_pred", "score", "n_phrases"],
+                names=[*_KEPT, "lang_pred", "score", "n_phrases", "cost", "total"],
             )
 
 
-def predict(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
+#: What a phrase of a full sample over some thirty letters counts.
+_FULL = np.log(PIECE * PIECES) + np.log(32)
+_KEPT = ("doc_id", "held_out", "text_key")
+
+
+def predict(docs: DataFrame, models: Iterable[Model], held_out: Column) -> DataFrame:
     """doc_id, held_out, lang_pred, score (0 to 1) and n_phrases for each row of docs (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, held_out boolean, lang_pred string, score double, n_phrases long"
-    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
-    return rows.mapInArrow(partial(_predict, model), schema)
+    schema = f"doc_id {kind}, held_out boolean, text_key long, lang_pred string, score double, n_phrases long, cost double, total double"
+    rows = docs.select("doc_id", held_out.alias("held_out"), F.xxhash64("text").alias("text_key"), "text")
+    out = ["doc_id", "held_out", "lang_pred", "score", "n_phrases"]
+    parts: list[DataFrame] = []
+    for m in models:
+        shared = docs.sparkSession.sparkContext.broadcast(m)
+        found = rows.mapInArrow(partial(_predict, shared), schema)
+        if len(m.languages) == m.n_languages:
+            return found.select(*out)
+        parts.append(stored(found, "languages"))
+        shared.unpersist()
+    if not parts:
+        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_phrases"))
+    # Rows that repeat have equal results; one of them is enough.
+    key = ["doc_id", "held_out", "text_key"]
+    best = F.min(F.struct("cost", "lang_pred", "score", "n_phrases", "total")).alias("b")
+    per = reduce(DataFrame.union, parts).dropDuplicates([*key, "lang_pred"]).groupBy(*key).agg(best, F.collect_list("total").alias("totals"))
+    shares = F.transform("totals", lambda x: F.exp(x - F.array_max("totals")))
+    per = per.withColumn("all", F.array_max("totals") + F.log(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)))
+    return rows.drop("text").join(per.withColumnsRenamed({k: f"_{k}" for k in key}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]).select(
+        "doc_id", "held_out", "b.lang_pred", (F.col("b.score") * F.exp(F.col("b.total") - F.col("all"))).alias("score"), "b.n_phrases"
+    )
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

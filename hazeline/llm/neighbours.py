@@ -14,7 +14,8 @@ Leaves of any size are searched: a leaf is cut into parts of about PART_ROWS row
 QUERY_ROWS, and each part of queries meets each part of rows in a task, so identical vectors don't gather in one.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, neither
-do those whose length isn't the commonest (distances between lengths aren't defined); rows with null vec_id take no part;
+do those whose length isn't the commonest among the vectors (distances between lengths aren't defined; queries of another
+length have no result); rows with null vec_id take no part;
 distance ties go to the smaller vec_id; a repeated vec_id is several rows; fewer than k candidates give all of them; an
 empty table gives an empty result; extra columns don't matter, whatever their names. Distances are Euclidean in double
 precision on the stored vectors.
@@ -114,12 +115,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id (long) and embedding (doubles) of the rows that take part."""
+    """vec_id (long) and embedding (doubles) of the rows that take part, of whatever length."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    v = v.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0))
-    sizes = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return v.filter(F.size("embedding") == (sizes["n"] if sizes else 0))
+    return v.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0))
+
+
+def commonest_length(vectors: DataFrame) -> int:
+    """The length of most vectors, the smaller on ties; 0 without vectors."""
+    sizes = vectors.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return sizes["n"] if sizes else 0
 
 
 ROWS = "vec_id long, embedding array<double>, node string"
@@ -242,8 +247,10 @@ def opened_below(opened: DataFrame, queries: DataFrame, trees: DataFrame, visits
     """query_id, node, d, place: the nodes that queries opened, with those that have a tree replaced by its first leaves, in the
     order of their distance; visits of them for each query."""
     inner = opened.join(trees.select("node"), "node", "left_semi").join(queries.withColumnRenamed("vec_id", "query_id"), "query_id")
-    inner = inner.withColumn("part", F.pmod(F.xxhash64("query_id", F.lit("part")), F.lit(64)).cast("int"))
-    copies = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    # A copy of a tree for each QUERY_ROWS of its queries; trees that no query opens aren't copied.
+    parts = inner.groupBy("node").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
+    inner = inner.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("query_id", F.lit("part")), "parts").cast("int"))
+    copies = trees.join(parts, "node").select("node", "tree", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     below = inner.groupBy("node", "part").cogroup(copies.groupBy("node", "part")).applyInPandas(partial(_open_node, visits), OPENED)
     both = opened.join(trees.select("node"), "node", "left_anti").select("query_id", "node", "d").union(below)
     along = Window.partitionBy("query_id").orderBy("d", "node")  # a query's own nodes: its visits times a node's leaves at most
@@ -295,7 +302,8 @@ class Index:
         """query_id, node, d: what each query opens at the last level, or below so many levels."""
         out = queries.mapInArrow(partial(_open_top, self.top, self.visits[0], self.sizes, self.k), OPENED)
         for trees, visits in list(zip(self.trees, self.visits[1:], strict=False))[:levels]:
-            out = opened_below(out, queries, trees, visits).drop("place")
+            # Stored, as the queries of each node are counted before they are dealt.
+            out = opened_below(stored(out, "opened-above"), queries, trees, visits).drop("place")
         return out
 
 
@@ -310,6 +318,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float =
     """query_id, rank, vec_id, score: the k nearest of vectors found for each of queries (vec_id, embedding)."""
     spark = vectors.sparkSession
     vectors, queries = usable(vectors), usable(queries)
+    same = F.size("embedding") == commonest_length(vectors)
+    vectors, queries = vectors.filter(same), queries.filter(same)
     sample = vectors.orderBy(F.xxhash64("vec_id", F.lit("tree")), "vec_id").limit(FIT_ROWS).select("embedding").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -14,7 +14,7 @@ either is used. This gives exactly the library's ids (tested against it on whole
 
 Defined cases: null and empty texts have no ids; characters that the model lacks are written as the bytes
 of their UTF-8; strings of control symbols in texts are ordinary text; repeated rows and very long texts
-are encoded like others; an empty table gives an empty result. Decoding returns the text, with the
+are encoded like others; extra columns stay, but for those that the results' names replace; an empty table gives an empty result. Decoding returns the text, with the
 model's space sign (U+2581) as a space.
 """
 
@@ -320,8 +320,9 @@ def _encode(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def encoded(docs: DataFrame, name: str = MODEL) -> DataFrame:
-    """docs with ids, little-endian 32-bit integers end to end."""
-    return docs.mapInArrow(partial(_encode, name), docs.withColumn("ids", F.lit(b"")).schema)
+    """docs with ids, little-endian 32-bit integers end to end, as the last column; a column of that name is replaced."""
+    rest = docs.drop(*[c for c in docs.columns if c.lower() == "ids"])
+    return rest.mapInArrow(partial(_encode, name), rest.withColumn("ids", F.lit(b"")).schema)
 
 
 def _decode(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,8 +333,9 @@ def _decode(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def decoded(docs: DataFrame, name: str = MODEL) -> DataFrame:
-    """docs (..., ids) with decoded, the text of the ids."""
-    return docs.mapInArrow(partial(_decode, name), docs.withColumn("decoded", F.lit("")).schema)
+    """docs (..., ids) with decoded, the text of the ids, as the last column; a column of that name is replaced."""
+    rest = docs.drop(*[c for c in docs.columns if c.lower() == "decoded"])
+    return rest.mapInArrow(partial(_decode, name), rest.withColumn("decoded", F.lit("")).schema)
 
 
 def _round_trips(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

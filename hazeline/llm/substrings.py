@@ -4,7 +4,7 @@ A gear hash rolls over the bytes of each text. Chunks may start at the places th
 every word and, inside runs of over LONG_WORD bytes without a separator, at the characters before which the
 hash ends in three zero bits (every eighth on average). A chunk starts at a place whose hash is the least among
 the REACH places to either side, so an insertion moves the chunks beside it and no others. Chunks are keyed by
-digest; one that also occurs in a document with a smaller doc_id repeats. Runs of adjacent repeated chunks with
+digest; one that also occurs in an earlier document, by doc_id, repeats. Runs of adjacent repeated chunks with
 MIN_WORDS places or more are spans that deduplication removes, so the first document keeps the passage, and
 single chunks that recur by chance stay.
 
@@ -15,8 +15,8 @@ separators the same holds for passages of some 400 bytes.
 Only digests, ids and positions are shuffled. Counts by digest are combined before the shuffle; the join
 back is an equi-join that Spark may split at a hot digest.
 
-Defined cases: null, empty and blank texts have no chunk; rows with equal doc_id are one document (texts with
-the same doc_id don't repeat each other), but spans belong to the text that they were found in; a null
+Defined cases: null, empty and blank texts have no chunk; a document is a doc_id with a text, so texts that
+share a doc_id, or have none, are documents of their own (in the order of their text_key) and rows that repeat are one; a null
 doc_id counts as the smallest; passages repeated within one document stay; extra columns are kept whatever
 their names; an empty table gives an empty result.
 """
@@ -134,9 +134,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text_key is xxhash64 of the text; n_words counts the places of the span. first_doc_id is the smallest document that holds a chunk of the span; bytes are of the UTF-8 text.
     """
     found = stored(chunks(docs), "chunks", compression="zstd")
-    holders = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    shared = holders.filter(F.col("first_doc_id") < F.col("last_doc_id")).select("digest", "first_doc_id")
-    repeats = found.join(shared, "digest").filter(F.col("doc_id") > F.col("first_doc_id")).drop("digest")
+    document = F.struct("doc_id", "text_key")
+    holders = found.groupBy("digest").agg(F.min(document).alias("first"), F.max(document).alias("last"))
+    shared = holders.filter(F.col("first") < F.col("last")).select("digest", "first", F.col("first.doc_id").alias("first_doc_id"))
+    repeats = found.join(shared, "digest").filter(document > F.col("first")).drop("digest", "first")
     repeats = repeats.groupBy("doc_id", "text_key", "chunk_from", "chunk_to", "n_words").agg(F.min("first_doc_id").alias("first_doc_id"))
     along = Window.partitionBy("doc_id", "text_key").orderBy("chunk_from", "chunk_to")
     breaks = F.when(F.lag("chunk_to").over(along) == F.col("chunk_from"), 0).otherwise(1)
@@ -150,7 +151,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     none = lambda c: F.when(F.col(c) > -(1 << 63), F.col(c)).alias(c)
     spans = spans.filter(F.col("n_words") >= min_words)
-    return spans.select("doc_id", "text_key", none("first_doc_id"), "byte_from", "byte_to", "n_words", "n_chunks")
+    return spans.select(none("doc_id"), "text_key", none("first_doc_id"), "byte_from", "byte_to", "n_words", "n_chunks")
 
 
 def _without(spans: list[dict], text: str) -> str:
@@ -179,7 +180,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     per = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("byte_from", "byte_to")).alias("spans"))
     d, t, s = (unused(docs, x) for x in ("of_doc", "of_text", "spans"))
     per = per.select(F.col("doc_id").alias(d), F.col("text_key").alias(t), F.col("spans").alias(s)).hint("shuffle_hash")
-    same = (docs["doc_id"].cast("long") == F.col(d)) & (F.xxhash64(docs["text"]) == F.col(t))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(t))
     joined = docs.join(per, same, "left").select(*[docs[c] for c in docs.columns], s)
     n_at = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else -1
     return joined.mapInArrow(partial(_cut, docs.columns.index("text"), n_at), docs.schema)

@@ -190,6 +190,13 @@ def test_pieces_query(spark, docs, processor):
     assert pieces.digests(docs.limit(0)).count() == 0
 
 
+def test_columns_named_as_results_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "old")], "doc_id long, text string, IDS int, decoded string")
+    out = pieces.decoded(pieces.encoded(df))
+    assert out.columns == ["doc_id", "text", "ids", "decoded"]
+    assert out.first()["decoded"] == "a b"
+
+
 def test_suffix_automaton_holds_exactly_the_substrings():
     text = [0, 1, 1, 0, 2, 1, 1, 0, 1]
     moves = language.suffix_automaton(text)
@@ -258,15 +265,77 @@ def test_language_id_is_accurate_and_defined(spark, docs):
     got = language.op1_language_id(spark, "/root/testdata/sf0.01").join(real.select("doc_id", "lang"), "doc_id")
     held = got.filter("held_out")
     assert held.filter("lang_pred = lang").count() >= 0.98 * held.count() > 0
-    model = language.fit(real.select("text", "lang"))
+    model = list(language.fit(real.select("text", "lang")))
     odd = language.predict(docs, model, F.lit(False)).collect()
     assert len(odd) == len(CASES)
     assert {r["lang_pred"] for r in odd if r["doc_id"] in (1, 2, 3)} == {"und"} and all(0 <= r["score"] <= 1 for r in odd)
-    empty = language.fit(docs.filter("lang = 'none'"))
+    empty = list(language.fit(docs.filter("lang = 'none'")))
     assert {r["lang_pred"] for r in language.predict(docs, empty, F.lit(False)).collect()} == {"und"}
     assert language.predict(docs.limit(0), model, F.lit(False)).count() == 0
 
 
+def made_up(seed, n, syllables):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(400)]
+    return [" ".join(rng.choice(words, 40)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("few", [400, 3, 1])
+def test_languages_with_little_labelled_text_are_found(spark, few):
+    """Two languages of the same letters, one of them with few labelled rows."""
+    a, b = made_up(1, 500, ["ta", "no", "ri", "sel", "mu"]), made_up(2, 500, ["at", "on", "ir", "les", "um"])
+    labelled = [("aa", x) for x in a[:400]] + [("bb", x) for x in b[:few]]
+    models = list(language.fit(spark.createDataFrame(labelled, "lang string, text string")))
+    asked = spark.createDataFrame([(i, x) for i, x in enumerate(a[400:] + b[400:])], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(asked, models, F.lit(False)).collect()}
+    assert sum(got[i] == "aa" for i in range(100)) > 90
+    assert sum(got[i] == "bb" for i in range(100, 200)) > 90
+
+
+def brute_language(samples, text):
+    """The cheapest language by greedy parsing with plain string search, and its phrases."""
+    import math
+
+    fold = lambda x: re.sub(r"\x00+", "\x00", "".join(c if c.isalpha() else "\x00" for c in x.lower()))
+    known = {c for x in samples.values() for c in fold(x)}
+    text = "".join(c if c in known or c == "\x00" else "\x01" for c in fold(text))
+    if not text.strip("\x00"):
+        return "und", 0
+    costs = []
+    for lang, x in sorted(samples.items()):
+        held = fold(x)
+        phrases = 0
+        for at in range(0, len(text), language.SEGMENT):
+            phrase, phrases = "", phrases + 1
+            for c in text[at : at + language.SEGMENT]:
+                if phrase + c in held:
+                    phrase += c
+                else:
+                    phrase, phrases = c if c in held else "", phrases + 1
+        costs.append((phrases * (math.log(len(held) + 1) + math.log(len(set(held)) + 1)), lang, phrases))
+    _, lang, phrases = min(costs)
+    return lang, phrases
+
+
+@pytest.mark.parametrize("block", [100, 1])
+def test_predictions_equal_brute_force_on_whole_texts(spark, monkeypatch, block):
+    """In one model, and in one for each language."""
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labelled = real.filter("doc_id % 3 = 0").select("text", "lang")
+    monkeypatch.setattr(language, "PIECES", 8)
+    monkeypatch.setattr(language, "BLOCK", block)
+    per = {}
+    for r in language.sample(labelled).orderBy("lang", "at").collect():
+        per.setdefault(r["lang"], []).append(r["piece"])
+    samples = {k: "\n".join(x) for k, x in per.items()}
+    odd = [(9001, None), (9002, "12 !"), (9003, "ünï 漢字 x"), (9003, "ünï 漢字 x"), (9003, "the other")]
+    asked = real.filter("doc_id % 20 = 1").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = language.predict(asked, language.fit(labelled), F.lit(False)).collect()
+    wanted = sorted((r["doc_id"], *brute_language(samples, r["text"] or "")) for r in asked.collect())
+    assert sorted((r["doc_id"], r["lang_pred"], r["n_phrases"]) for r in got) == wanted
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
 def pages_of(spark, *pages):
     rows = [(i, "http://a/", html) for i, html in enumerate(pages)]
     return warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))
