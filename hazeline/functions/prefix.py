@@ -8,14 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_even_buckets(df: DataFrame, value: Column, n: int = 256, out: str = "_even") -> DataFrame:
-    """df with a bucket that ascends with value and holds about a share 1 / n of the rows (more where values are equal), however
-    the values are spread."""
-    points = F.array(*[F.lit(i / n) for i in range(1, n)])
-    edges = df.agg(F.array_distinct(F.percentile_approx(value, points, 20 * n)).alias("_edges"))  # one row of n - 1 numbers
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.size(F.filter("_edges", lambda e: e < value))).drop("_edges")
-
-
 def running_sums(df: DataFrame, keys: Sequence[str], bucket: Column, order: Column, sums: dict[str, str]) -> DataFrame:
     """df with, for each new name -> column of sums, the sum over the rows of the same keys up to this one.
 

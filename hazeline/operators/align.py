@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.functions.checks import described, failing
+from hazeline.functions.ranks import numbered
 from hazeline.sources.sinks import stored
 
 
@@ -79,7 +80,8 @@ def exact_lookup(left: DataFrame, right: DataFrame, on: Sequence[str], value: st
 
 def paired_intersection(df: DataFrame, key: Sequence[str], n_sources: int) -> DataFrame:
     """Rows whose key all sources have: one count by key and a semi-join. Fails where there is no such key."""
-    full = df.groupBy(*key).agg(F.count_distinct("source").alias("_n")).filter(F.col("_n") == n_sources)
+    full = df.groupBy(*key).agg(F.count_distinct("source").alias("_n"))
+    full = full.filter(F.when(F.col("_n") == n_sources, True).otherwise(False))
     none = full.agg(F.count("*").alias("_k")).filter("_k = 0")
     return failing(df.join(full, list(key), "left_semi"), none, "no key is common to all sources")
 
@@ -91,8 +93,8 @@ def pairing_coverage(df: DataFrame, key: Sequence[str], n_sources: int, by: Sequ
 
 
 def with_occurrence(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """occ: the number of rows of the key before this one."""
-    return df.withColumn("occ", (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).cast("long"))
+    """occ: the number of rows of the key before this one; a key may hold all rows."""
+    return numbered(df, key, order, "occ", lambda d: stored(d, "key-ranges"))
 
 
 def pair_with_duplicates(left: DataFrame, right: DataFrame, key: Sequence[str], order: Sequence[str], strict: bool = False) -> DataFrame:

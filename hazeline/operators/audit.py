@@ -54,10 +54,17 @@ def label_agreement(df: DataFrame, reference: str, key: Sequence[str], tolerance
     )
 
 
+def _paired_columns(left: DataFrame, right: DataFrame, key: Sequence[str], names: Sequence[str], name: str) -> DataFrame:
+    """name, a, b for each column of the rows that both sides have: joined once by key, unpivoted after it."""
+    theirs = right.select(*key, *[F.col(n).alias(f"_{n}") for n in names])
+    both = left.select(*key, *names).join(theirs, list(key))
+    pair = lambda n: F.struct(F.lit(n).alias(name), F.col(n).cast("double").alias("a"), F.col(f"_{n}").cast("double").alias("b"))
+    return both.select(F.inline(F.array(*[pair(n) for n in names])))
+
+
 def shared_covariate_diff(left: DataFrame, right: DataFrame, key: Sequence[str], names: Sequence[str], atol: float = 1e-4, rtol: float = 1e-5) -> DataFrame:
     """name, n, n_bad (|a - b| > atol + rtol |b|), max_diff, mean_diff, mean_left, mean_right of paired columns."""
-    long = lambda d, out: d.unpivot(list(key), list(names), "name", out)
-    both = long(left, "a").join(long(right, "b"), [*key, "name"])
+    both = _paired_columns(left, right, key, names, "name")
     d = F.abs(F.col("a") - F.col("b"))
     return both.groupBy("name").agg(
         F.count("*").alias("n"), F.count_if(d > F.abs(F.col("b")) * rtol + atol).alias("n_bad"), F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"),
@@ -143,8 +150,7 @@ def product_diff(old: DataFrame, new: DataFrame, key: Sequence[str], names: Sequ
     tables of only (common_times, changed_stations), where given."""
     for rows in only:
         old = old.join(rows, list(rows.columns), "left_semi")
-    long = lambda d, out: d.unpivot(list(key), list(names), "variable", out)
-    both = long(old, "a").join(long(new, "b"), [*key, "variable"]).filter("a is not null and b is not null")
+    both = _paired_columns(old, new, key, names, "variable").filter("a is not null and b is not null")
     d = F.abs(F.col("b") - F.col("a"))
     return both.groupBy("variable").agg(F.count("*").alias("n"), F.count_if(d > 1e-7).alias("n_changed"), F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"))
 

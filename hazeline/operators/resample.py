@@ -6,9 +6,11 @@ table of one row a date (or cell).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import partial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,23 +40,59 @@ def bootstrap_rows(pairs: DataFrame, metric: str, n_rep: int = 500, seed: int =
     )
 
 
-def date_draws(dates: DataFrame, day: str, n_rep: int, seed: str) -> DataFrame:
-    """rep, day, times: how often each replicate draws each of the dates, by md5; with n dates n are drawn."""
-    ranked = dates.select(day).distinct().withColumn("_r", F.row_number().over(Window.orderBy(day)) - 1)  # one row a date
-    n = ranked.agg(F.count("*").alias("_n"))
-    slots = ranked.select(F.col("_r").alias("slot")).crossJoin(F.broadcast(dates.sparkSession.range(n_rep).select(F.col("id").alias("rep"))))  # the draws themselves
-    slots = slots.crossJoin(F.broadcast(n)).withColumn("_r", F.pmod(draw(seed, F.col("rep"), F.col("slot")), F.col("_n")))
-    return slots.groupBy("rep", "_r").agg(F.count("*").alias("times")).join(ranked, "_r").select("rep", day, "times")
-
-
-def of_days(draws: DataFrame, rows: DataFrame, columns: Sequence[str], keep: Column | None = None) -> DataFrame:
-    """draws with the columns of rows of their day, those that keep (over both) lets through.
-
-    The rows of a day come as one array, so the draws meet a table of a row a date and nothing drawn is shuffled before it is
-    summed."""
-    per = rows.groupBy("day").agg(F.collect_list(F.struct(*columns)).alias("_cells"))
-    out = draws.join(per, "day").withColumn("_cell", F.explode("_cells")).select(*draws.columns, "_cell.*")
-    return out if keep is None else out.filter(keep)
+#: Blocks that the cells of a bootstrap are dealt into; each is multiplied by all draws in a task.
+BLOCKS = 16
+
+
+def date_picks(dates: DataFrame, day: str, n_rep: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(rep, picks): the places of the dates that each replicate draws, by md5; with n dates n are drawn. And (day, place)."""
+    placed = dates.select(day).distinct().withColumn("place", F.row_number().over(Window.orderBy(day)) - 1)  # one row a date
+    n = placed.agg(F.count("*").alias("_n"))
+    reps = dates.sparkSession.range(n_rep).select(F.col("id").alias("rep")).crossJoin(F.broadcast(n))
+    slot = lambda s: F.pmod(draw(seed, F.col("rep"), s), F.col("_n")).cast("int")
+    picks = reps.filter("_n > 0").select("rep", F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), slot).alias("picks"))
+    return picks, placed
+
+
+def drawn_sums(counts: DataFrame, cell: Sequence[str], values: Sequence[str], n_rep: int, seed: str, day: str = "day") -> DataFrame:
+    """rep, cell, values: the sums of each cell over the dates that each replicate draws (a date as often as it is drawn); cells
+    without a drawn date have no row.
+
+    The replicates are rows of a matrix (times by date), the cells columns of another, and blocks of cells are multiplied in
+    tasks: neither the draws nor the drawn rows are joined or shuffled. A task holds a block of cells over all dates and
+    some replicates at a time."""
+    picks, placed = date_picks(counts, day, n_rep, seed)
+    kinds = dict(counts.dtypes)
+    rows = counts.join(placed, day).select(*cell, "place", *values).withColumn("_block", F.pmod(F.xxhash64(*cell), F.lit(BLOCKS)).cast("int"))
+    drawn = picks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    schema = ", ".join(["rep long", *(f"`{c}` {kinds[c]}" for c in cell), *(f"`{v}` {'double' if kinds[v] == 'double' else 'long'}" for v in values)])
+    whole = [v for v in values if kinds[v] != "double"]
+    return rows.groupBy("_block").cogroup(drawn.groupBy("_block")).applyInPandas(partial(_multiplied, list(cell), list(values), whole), schema)
+
+
+def _multiplied(cell: list[str], values: list[str], whole: list[str], rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+    if not len(rows) or not len(drawn):
+        return pd.DataFrame({c: pd.Series([], dtype=object) for c in ["rep", *cell, *values]})
+    number, names = pd.factorize(pd.MultiIndex.from_frame(rows[cell]))
+    n_dates = len(drawn["picks"].iloc[0])
+    at = rows["place"].to_numpy(), number
+    held = np.zeros((n_dates, len(names)))
+    np.add.at(held, at, 1.0)
+    sums = []
+    for v in values:
+        m = np.zeros_like(held)
+        np.add.at(m, at, rows[v].to_numpy(float))
+        sums.append(m)
+    out = []
+    for start in range(0, len(drawn), 128):
+        part = drawn.iloc[start : start + 128]
+        times = np.array([np.bincount(x, minlength=n_dates) for x in part["picks"]], float)
+        rep, c = np.nonzero(times @ held)
+        found = {"rep": part["rep"].to_numpy()[rep]} | {k: names.get_level_values(i).to_numpy()[c] for i, k in enumerate(cell)}
+        found |= {v: (times @ m)[rep, c] for v, m in zip(values, sums, strict=True)}
+        out.append(pd.DataFrame(found))
+    table = pd.concat(out, ignore_index=True)
+    return table.astype({v: "int64" for v in whole})
 
 
 def _interval(reps: DataFrame, by: Sequence[str], value: Column, *more: Column) -> DataFrame:
@@ -70,10 +108,8 @@ def bootstrap_dates(counts: DataFrame, reference: str, names: Sequence[str], n_r
     counts: source, day, y_cls, pred, n and, for the Brier scores, the sums multiclass_sq and low_vis_sq. p_better is the
     share of replicates in which the source is better by the metric's direction.
     """
-    draws = date_draws(counts, "day", n_rep, seed)
     sums = [c for c in ("multiclass_sq", "low_vis_sq") if c in counts.columns]
-    times = lambda c: F.sum(F.col(c) * F.col("times")).alias(c)
-    drawn = of_days(draws, counts, ["source", "y_cls", "pred", "n", *sums]).groupBy("rep", "source", "y_cls", "pred").agg(*[times(c) for c in ("n", *sums)])
+    drawn = drawn_sums(counts, ["source", "y_cls", "pred"], ["n", *sums], n_rep, seed)
     table = metrics(drawn, ["rep", "source"])
     if sums:
         scores = drawn.groupBy("rep", "source").agg(*[(F.sum(c) / F.sum("n")).alias(c.replace("_sq", "_brier")) for c in sums])
@@ -96,29 +132,43 @@ def linear_scores(df: DataFrame, names: Sequence[str], weights: Sequence[Sequenc
     return df.withColumns({p: x / total for p, x in zip(("p_fog", "p_mist", "p_clear"), e, strict=True)})
 
 
-def batch_score(df: DataFrame, scorer, names: Sequence[str], temperature: float = 1.0) -> DataFrame:
+def batch_score(df: DataFrame, scorer, names: Sequence[str], temperature: float = 1.0, scaler: DataFrame | None = None) -> DataFrame:
     """df with probabilities by a user's scorer: a function from a numpy matrix (rows, names) to logits (rows, 3).
 
-    It runs on Arrow batches in the tasks; the only place of user code.
+    It runs on Arrow batches in the tasks; the only place of user code. With a scaler (name, center, scale) the scorer
+    gets the fitted transform of the columns, and df keeps its own.
     """
     schema = df.withColumns({p: F.lit(0.0) for p in ("p_fog", "p_mist", "p_clear")}).schema
+    given = df
+    inputs = list(names)
+    if scaler is not None:
+        inputs = [f"_in_{n}" for n in names]
+        given = scaled_inputs(df, names, scaler, "_in_")
 
     def run(batches):
         for pdf in batches:
-            z = np.asarray(scorer(pdf[list(names)].to_numpy(float)), float) / temperature
+            z = np.asarray(scorer(pdf[inputs].to_numpy(float)), float) / temperature
             e = np.exp(z - z.max(axis=1, keepdims=True))
             p = e / e.sum(axis=1, keepdims=True)
-            yield pdf.assign(p_fog=p[:, 0], p_mist=p[:, 1], p_clear=p[:, 2])
+            yield pdf.assign(p_fog=p[:, 0], p_mist=p[:, 1], p_clear=p[:, 2])[schema.names]
+
+    return given.mapInPandas(run, schema)
+
 
-    return df.mapInPandas(run, schema)
+def scaled_inputs(df: DataFrame, names: Sequence[str], scaler: DataFrame, prefix: str = "") -> DataFrame:
+    """df with <prefix><name> for each of names as a model takes it: (value - center) / (scale + 1e-6) within 10, missing as 0;
+    scaler has a row (name, center, scale) for each. Fails where it lacks one."""
+    entry = F.struct("name", F.struct(F.col("center").cast("double").alias("center"), F.col("scale").cast("double").alias("scale")).alias("s"))
+    packed = scaler.filter(F.col("name").isin(*names)).agg(F.map_from_entries(F.collect_list(entry)).alias("_scaler"))
+    joined = df.crossJoin(F.broadcast(packed))  # one row
 
+    def scaled(n: str) -> Column:
+        s = F.coalesce(F.element_at("_scaler", n), F.raise_error(f"the scaler lacks {n}").cast("struct<center:double,scale:double>"))
+        value = F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double"))
+        z = (F.coalesce(value, s["center"]) - s["center"]) / (s["scale"] + 1e-6)
+        return F.least(F.greatest(z, F.lit(-10.0)), F.lit(10.0))
 
-def permuted(df: DataFrame, donor_map: DataFrame, key: str, group: Sequence[str], strata: Sequence[str] = ()) -> DataFrame:
-    """df with the columns of group (which may be windows, arrays of steps) taken from each row's donor; key is unique within
-    strata, and donors are of the same strata."""
-    given = df.select(*strata, F.col(key).alias("donor"), *[F.col(c).alias(f"_{c}") for c in group])
-    out = df.join(donor_map.select(*strata, key, "donor"), [*strata, key]).join(given, [*strata, "donor"])
-    return out.withColumns({c: F.col(f"_{c}") for c in group}).drop("donor", *[f"_{c}" for c in group])
+    return joined.withColumns({f"{prefix}{n}": scaled(n) for n in names}).drop("_scaler")
 
 
 def event_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -134,20 +184,42 @@ def event_scores(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return s.select(*by, ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")).alias("csi"), (F.col("sq_error") / F.col("n")).alias("brier"))
 
 
+def permuted(df: DataFrame, donors: DataFrame, key: str, groups: Mapping[str, Sequence[str]], strata: Sequence[str] = ("source",), anchors: Mapping[str, str | None] | None = None) -> DataFrame:
+    """mode, rep, feature and the columns of df, once for each row of donors and each group: those of the group are the donor's,
+    whole windows where they are arrays of steps. Mode 'none' has its row once, as feature 'baseline'.
+
+    donors: mode, rep, strata, key, donor and, where anchors names one for each group, the anchor that chose it. One join for all
+    modes, repeats and groups: a row meets its donor's values once and the groups are rewrites of it in the same task.
+    """
+    columns = list(dict.fromkeys(c for cs in groups.values() for c in cs))
+    given = df.select(*[F.col(c).alias(f"_{c}") for c in (*strata, key)], F.struct(*columns).alias("_given"))
+    chosen = donors.select("mode", "rep", *(["anchor"] if anchors else []), *strata, key, "donor")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in strata]
+    met = chosen.join(df, [*strata, key]).join(given, [*same, F.col("donor") == F.col(f"_{key}")])
+    own = F.struct(*columns)
+    rewrites = []
+    for name, cs in groups.items():
+        values = F.struct(*[(F.col(f"_given.{c}") if c in cs else F.col(c)).alias(c) for c in columns])
+        mine = F.col("mode") != "none"
+        if anchors:
+            mine = mine & ((F.col("mode") != "stratified") | (F.col("anchor") == (anchors[name] or "")))
+        rewrites.append(F.when(mine, F.struct(F.lit(name).alias("feature"), values.alias("x"))))
+    rewrites.append(F.when(F.col("mode") == "none", F.struct(F.lit("baseline").alias("feature"), own.alias("x"))))
+    rest = [c for c in df.columns if c not in columns]
+    out = met.select("mode", "rep", *rest, F.explode(F.filter(F.array(*rewrites), lambda r: r.isNotNull())).alias("_r"))
+    return out.select("mode", "rep", "_r.feature", *rest, "_r.x.*")
+
+
 def permutation_importance(
-    df: DataFrame, score, key: str, groups: dict[str, Sequence[str]], donor_maps: dict[tuple[str, int], DataFrame], by: Sequence[str] = ("source", "day"), strata: Sequence[str] = ("source",)
+    df: DataFrame, score, key: str, groups: Mapping[str, Sequence[str]], donors: DataFrame, by: Sequence[str] = ("source", "day"), strata: Sequence[str] = ("source",), anchors: Mapping[str, str | None] | None = None
 ) -> DataFrame:
     """feature, mode, rep, by..., tp, fp, fn, sq_error, n: event counts by date with a group permuted (feature 'baseline', mode
     'none': nothing).
 
-    score adds probabilities to rows; donor_maps has a map (strata, key, donor) for each mode and repeat.
+    score adds probabilities to rows; donors is a donor_table. All rewrites are scored in one pass and counted before
+    they are shuffled.
     """
-    out = event_counts(score(df), list(by)).select(F.lit("baseline").alias("feature"), F.lit("none").alias("mode"), F.lit(0).alias("rep"), "*")
-    for name, cols in groups.items():
-        for (mode, rep), donor_map in donor_maps.items():
-            part = event_counts(score(permuted(df, donor_map, key, cols, strata)), list(by))
-            out = out.union(part.select(F.lit(name).alias("feature"), F.lit(mode).alias("mode"), F.lit(rep).alias("rep"), "*"))
-    return out
+    return event_counts(score(permuted(df, donors, key, groups, strata, anchors)), ["feature", "mode", "rep", *by])
 
 
 def importance(daily: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
@@ -163,11 +235,10 @@ def importance(daily: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
 def importance_replicates(daily: DataFrame, n_rep: int, seed: str, n_repeats: int, by: Sequence[str] = ("source",)) -> DataFrame:
     """draw, by, feature, mode, metric (csi_drop, brier_rise), value: over resampled dates, shared by all sources and features;
     each draw uses one repeat."""
-    draws = date_draws(daily, "day", n_rep, seed)
-    chosen = draws.select("day", "times", F.col("rep").alias("draw"), (F.pmod("rep", F.lit(n_repeats)) + 1).alias("use"))
-    mine = (F.col("feature") == "baseline") | (F.col("rep") == F.col("use"))
-    joined = of_days(chosen, daily, [*by, "feature", "mode", "rep", "tp", "fp", "fn", "sq_error", "n"], mine)
-    weighted = joined.select("draw", *by, "feature", "mode", *[(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn", "sq_error", "n")])
+    again = daily.withColumnRenamed("rep", "repeat")
+    drawn = drawn_sums(again, [*by, "feature", "mode", "repeat"], ["tp", "fp", "fn", "sq_error", "n"], n_rep, seed)
+    mine = (F.col("feature") == "baseline") | (F.col("repeat") == F.pmod("rep", F.lit(n_repeats)) + 1)
+    weighted = drawn.filter(mine).withColumnRenamed("rep", "draw")
     s = event_scores(weighted, ["draw", *by, "feature", "mode"])
     base = s.filter("feature = 'baseline'").select("draw", *by, F.col("csi").alias("_c"), F.col("brier").alias("_b"))
     both = s.filter("feature <> 'baseline'").join(base, ["draw", *by])

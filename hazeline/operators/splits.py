@@ -5,14 +5,16 @@ Random choices come from md5 of the seed and the row's key, so any engine, and a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.functions.checks import described, failing
-from hazeline.functions.prefix import running_sums, with_even_buckets
+from hazeline.functions.prefix import running_sums
 from hazeline.functions.quantiles import exact_quantiles
+from hazeline.functions.ranks import running_totals
+from hazeline.sources.sinks import stored
 
 
 def draw(*parts: Column | str) -> Column:
@@ -61,11 +63,10 @@ def uniform_sample(df: DataFrame, key: Sequence[str], n: int, seed: str, min_eve
 def even_sample(values: DataFrame, column: str, n: int) -> DataFrame:
     """The values at n evenly spaced ranks of the distinct ascending values, first and last among them.
 
-    Values are numbered within buckets of even size; only the buckets' counts are summed in one place."""
+    Values are numbered by ranges; only the ranges' counts are summed in one place."""
     distinct = values.select(column).distinct()
     total = distinct.agg(F.count("*").alias("_total"))  # one row
-    bucketed = with_even_buckets(distinct.withColumn("_one", F.lit(1)), F.col(column))
-    ranked = running_sums(bucketed, [], F.col("_even"), F.col(column), {"_rank": "_one"})
+    ranked = running_totals(distinct, [], [column], {"_rank": F.lit(1).cast("long")}, lambda d: stored(d, "value-ranges"))
     # The i-th of n ranks is floor(i * step + 1e-9): the value of rank r is taken where some i gives r.
     step = (F.col("_total") - 1) / float(max(n - 1, 1))
     i = F.greatest(F.ceil(F.try_divide(F.col("_rank") - 1 - 1e-9, step)), F.lit(0))
@@ -88,7 +89,7 @@ def class_balanced_sample(
     return slots.join(ranked, [*by, "y_cls", "_rank"]).select(*by, "batch", "slot", "y_cls", key)
 
 
-def donors(df: DataFrame, key: str, seed: str, strata: Sequence[str] = ()) -> DataFrame:
+def donors(df: DataFrame, key: str, seed: Column | str, strata: Sequence[str] = ()) -> DataFrame:
     """strata, key, donor: a permutation of the keys within each stratum: the i-th key gets the i-th in draw order.
 
     Both ranks are prefix sums, so one stratum may hold all rows."""
@@ -112,7 +113,7 @@ def donor_summary(found: DataFrame, key: str, by: Sequence[str] = ()) -> DataFra
     return found.groupBy(*by).agg(F.count("*").alias("n"), *moved)
 
 
-def stratified_donors(df: DataFrame, key: str, seed: str, fine: Sequence[str], coarse: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def stratified_donors(df: DataFrame, key: str, seed: Column | str, fine: Sequence[str], coarse: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """by, key, donor, level: donors within the fine strata; rows alone there are permuted within the coarse ones, among themselves;
     rows alone there too stay (level 'none')."""
     sized = lambda d, s: d.join(d.groupBy(*s).agg(F.count("*").alias("_n")), list(s))
@@ -125,14 +126,64 @@ def stratified_donors(df: DataFrame, key: str, seed: str, fine: Sequence[str], c
     return out.union(second.filter("_n = 1").select(*by, key, F.col(key).alias("donor"), F.lit("none").alias("level")))
 
 
-def quantile_code(df: DataFrame, column: str, bins: int = 4, out: str = "code") -> DataFrame:
-    """The number of inner edges under a value, of the distinct quantiles of the column; -1 for null, under 4 values, or
+def donor_table(df: DataFrame, key: str, seed: str, repeats: int, by: Sequence[str] = (), strata: Mapping[str, tuple[Sequence[str], Sequence[str]]] | None = None) -> DataFrame:
+    """mode, anchor, rep, by, key, donor: the donors of all modes and repeats from one permutation of (key, mode, anchor, repeat).
+
+    Mode 'marginal' permutes within by. strata names fine and coarse strata for each anchor ('': none): mode 'stratified' permutes
+    within these. Mode 'none', repeat 0, gives each row to itself.
+    """
+    text = lambda cs: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cs]) if cs else F.lit("")
+    way = lambda mode, anchor, fine, coarse: F.struct(F.lit(mode).alias("mode"), F.lit(anchor).alias("anchor"), text(fine).alias("_fine"), text(coarse).alias("_coarse"))
+    ways = [way("marginal", "", (), ()), *[way("stratified", a, fine, coarse) for a, (fine, coarse) in (strata or {}).items()]]
+    rows = df.select(*by, key, F.explode(F.array(*ways)).alias("_w")).select(*by, key, "_w.*")
+    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("_seed", F.concat(F.lit(seed), F.col("rep").cast("string")))
+    rows = stored(rows, "donor-keys")  # counted and ranked several times
+    found = stratified_donors(rows, key, F.col("_seed"), ["_fine"], ["_coarse"], by=[*by, "rep", "mode", "anchor"])
+    columns = ["mode", "anchor", "rep", *by, key, "donor"]
+    own = df.select(*by, key).withColumns({"mode": F.lit("none"), "anchor": F.lit(""), "rep": F.lit(0), "donor": F.col(key)})
+    return found.select(*columns).union(own.select(*columns))
+
+
+#: Features whose last value tells strata of the air's moisture or warmth apart, the first that is at hand (fixed values).
+ANCHORS = ("Q_1000", "RH2M", "RH_925", "DP_1000", "T2M")
+
+
+def anchor_of(members: Sequence[str], held: Sequence[str]) -> str | None:
+    """The anchor of the strata in which a group of features is permuted: the first that is held and isn't one of them."""
+    taken, there = {m.upper() for m in members}, {h.upper() for h in held}
+    return next((a for a in ANCHORS if a in there and a not in taken), None)
+
+
+def with_strata(df: DataFrame, time: str, anchors: Mapping[str, Column], by: Sequence[str] = ("source",), lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """df with season (0 from December), hour_bin (of 6 hours), lat_bin and lon_bin (of 10 degrees), and code_<anchor>: the quartile
+    of each anchor's value within by. A missing month counts as January, missing hours and coordinates as 0."""
+    number = lambda c, none: F.coalesce(c, F.lit(none))
+    out = df.withColumns({
+        "season": F.floor((number(F.month(time), 1) % 12) / 3).cast("int"), "hour_bin": F.floor(number(F.hour(time), 0) / 6).cast("int"),
+        "lat_bin": F.floor(number(F.col(lat), 0) / 10).cast("int"), "lon_bin": F.floor(number(F.col(lon), 0) / 10).cast("int"),
+    } | {f"_anchor_{a}": x for a, x in anchors.items()})
+    for a in anchors:
+        out = quantile_code(out, f"_anchor_{a}", out=f"code_{a}", by=by)
+    return out.drop(*[f"_anchor_{a}" for a in anchors])
+
+
+def strata_of(anchor: str | None) -> tuple[list[str], list[str]]:
+    """The fine and coarse strata of with_strata for an anchor."""
+    code = [f"code_{anchor}"] if anchor else []
+    return ["season", "hour_bin", "lat_bin", "lon_bin", *code], ["season", "hour_bin", *code]
+
+
+def quantile_code(df: DataFrame, column: str, bins: int = 4, out: str = "code", by: Sequence[str] = ()) -> DataFrame:
+    """The number of inner edges under a value, of the distinct quantiles of the column within by; -1 for null, under 4 values, or
     two edges or fewer."""
     points = [i / bins for i in range(bins + 1)]
-    edges = exact_quantiles(df, [], {"v": F.col(column)}, {f"e{i}": ("v", p) for i, p in enumerate(points)})
-    edges = edges.select(F.array_distinct(F.array(*[F.col(f"e{i}") for i in range(len(points))])).alias("_e"))
-    stats = df.agg(F.count(column).alias("_n")).crossJoin(edges)
+    edges = exact_quantiles(df, by, {"v": F.col(column)}, {f"e{i}": ("v", p) for i, p in enumerate(points)})
+    edges = edges.select(*[F.col(b).alias(f"_of_{b}") for b in by], F.array_distinct(F.array(*[F.col(f"e{i}") for i in range(len(points))])).alias("_e"))
+    stats = df.groupBy(*[F.col(b).alias(f"_in_{b}") for b in by]).agg(F.count(column).alias("_n"))
+    stats = stats.join(edges, [F.col(f"_in_{b}").eqNullSafe(F.col(f"_of_{b}")) for b in by]).drop(*[f"_of_{b}" for b in by]) if by else stats.crossJoin(edges)
     inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
     code = F.size(F.filter(inner, lambda e: e < F.col(column)))
     ok = F.col(column).isNotNull() & (F.col("_n") >= 4) & (F.size("_e") > 2)
-    return df.crossJoin(F.broadcast(stats)).withColumn(out, F.when(ok, code).otherwise(-1)).drop("_e", "_n")  # one row of stats
+    # One row of stats, or a row a group.
+    joined = df.join(stats, [F.col(b).eqNullSafe(F.col(f"_in_{b}")) for b in by]) if by else df.crossJoin(F.broadcast(stats))
+    return joined.withColumn(out, F.when(ok, code).otherwise(-1)).drop("_e", "_n", *[f"_in_{b}" for b in by])

@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.functions.prefix import running_sums, with_even_buckets
 from hazeline.functions.quantiles import exact_quantiles, with_quantiles
+from hazeline.functions.ranks import running_totals
+from hazeline.sources.sinks import stored
 
 CLASSES = ("fog", "mist", "clear")
 PROBS = ("p_fog", "p_mist", "p_clear")
@@ -118,8 +119,7 @@ def average_precision(df: DataFrame, score: Column, positive: Column, by: Sequen
     """ap: precision summed over the steps of recall, distinct scores descending; null with one class alone."""
     rows = df.select(*by, score.alias("_s"), positive.cast("long").alias("_p"))
     steps = rows.groupBy(*by, "_s").agg(F.sum("_p").alias("pos"), F.count("*").alias("n"))
-    steps = with_even_buckets(steps, -F.col("_s"))
-    steps = running_sums(steps, by, F.col("_even"), -F.col("_s"), {"tp": "pos", "seen": "n"})
+    steps = running_totals(steps, by, [-F.col("_s")], {"tp": F.col("pos"), "seen": F.col("n")}, lambda d: stored(d, "score-ranges"))
     out = steps.groupBy(*by).agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("a"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return out.select(*by, F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.col("a") / F.col("p")).alias("ap"))
 

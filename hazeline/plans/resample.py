@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hazeline.operators import normalise as N
 from hazeline.operators import resample as R
 from hazeline.operators import splits as P
 from hazeline.operators import verify as V
@@ -59,12 +60,34 @@ def sample(v):
     return v.sql(f"select * from {_SAMPLE} s")
 
 
+_STEPS = 12
+#: Windows of 12 steps for x1 to x3, the last of which is the row's own value; scores see three of the steps.
+_STEP = lambda n, i: f"{n}*{(i + 5) / 16!r}+{(11 - i) / 32!r}"
+_WINDOWS = "(select source, sample_id, day, y_cls, g, c, " + ", ".join(f"[{', '.join(_STEP(n, i) for i in range(_STEPS))}] as {n}" for n in _NAMES) + f" from {_SAMPLE} q)"
+_SEEN = lambda n, get: f"({get(n, 0)}+{get(n, 5)}*0.5+{get(n, 11)})"
+
+
+def windows(v):
+    steps = lambda n: F.array(*[F.expr(_STEP(n, i)) for i in range(_STEPS)]).alias(n)
+    return sample(v).select("source", "sample_id", "day", "y_cls", "g", "c", *[steps(n) for n in _NAMES])
+
+
+def window_score(df):
+    seen = df.withColumns({f"z{n}": F.expr(_SEEN(n, lambda n, i: f"{n}[{i}]")) for n in _NAMES})
+    return R.linear_scores(seen, [f"z{n}" for n in _NAMES], _WEIGHTS)
+
+
+def sql_window_scores(rows: str) -> str:
+    seen = ", ".join(f"{_SEEN(n, lambda n, i: f'{n}[{i + 1}]')} as z{n}" for n in _NAMES)
+    return sql_scores(f"(select *, {seen} from {rows} y)", [f"z{n}" for n in _NAMES])
+
+
 def score(df):
     return R.linear_scores(df, _NAMES, _WEIGHTS)
 
 
-def sql_scores(rows: str) -> str:
-    z = ["(" + "+".join([repr(w[0])] + [f"{n}*({x!r})" for n, x in zip(_NAMES, w[1:], strict=True)]) + ")" for w in _WEIGHTS]
+def sql_scores(rows: str, names: list[str] = _NAMES) -> str:
+    z = ["(" + "+".join([repr(w[0])] + [f"{n}*({x!r})" for n, x in zip(names, w[1:], strict=True)]) + ")" for w in _WEIGHTS]
     e = [f"exp({x}-greatest({','.join(z)}))" for x in z]
     return f"(select *, {', '.join(f'{x}/({"+".join(e)}) as {p}' for x, p in zip(e, V.PROBS, strict=True))} from {rows} s)"
 
@@ -81,6 +104,17 @@ def _scorer(x):
     return x @ w[:, 1:].T + w[:, 0]
 
 
+_FITTED = ", ".join(f"quantile_cont({n},0.5) as c_{n}, quantile_cont({n},0.95)-quantile_cont({n},0.05) as w_{n}" for n in _NAMES)
+_SCALED = f"(select source, sample_id, y_cls, day, {', '.join(f'least(greatest(({n}-c_{n})/(w_{n}+1e-6),-10),10) as {n}' for n in _NAMES)} from {_SAMPLE} s, (select {_FITTED} from {_SAMPLE} s) f)"
+
+
+@query("j6_transformed_score", f"select source, sample_id, {', '.join(f'round({p},6) as {p}' for p in V.PROBS)} from {sql_scores(_SCALED)} x")
+def transformed(v):
+    """The transform that was fitted on the table goes before the user's scorer."""
+    df = sample(v)
+    return R.batch_score(df, _scorer, _NAMES, scaler=N.fit_robust_scaler(df, _NAMES)).select("source", "sample_id", *[F.round(p, 6).alias(p) for p in V.PROBS])
+
+
 @query("j6_batch_score_user", f"select source, sample_id, {', '.join(f'round({p},6) as {p}' for p in V.PROBS)} from {sql_scores(_SAMPLE)} x")
 def user(v):
     return R.batch_score(sample(v), _scorer, _NAMES).select("source", "sample_id", *[F.round(p, 6).alias(p) for p in V.PROBS])
@@ -94,25 +128,27 @@ _EVENT = f"""count(*) filter (where y_cls<=1 and {PRED}<=1) as tp, count(*) filt
 _MODES = {"marginal": ("m1", "m2"), "stratified": ("s1", "s2")}
 
 
+#: Two variables, each a group of 12 columns, and a package of both.
+_GROUPS = {"x1": ["x1"], "x2": ["x2"], "thermal": ["x1", "x2"]}
+
+
 def _sql_daily() -> str:
-    parts = [f"select 'baseline' as feature, 'none' as mode, 0 as rep, source, day, {_EVENT} from {sql_scores('smp')} b group by source, day"]
-    for f in ("x1", "x2"):
+    parts = [f"select 'baseline' as feature, 'none' as mode, 0 as rep, source, day, {_EVENT} from {sql_window_scores('smp')} b group by source, day"]
+    for f, members in _GROUPS.items():
         for mode, maps in _MODES.items():
             for rep, donors in enumerate(maps, 1):
-                cols = ", ".join(f"d.{n}" if n == f else f"s.{n}" for n in _NAMES)
+                cols = ", ".join(f"d.{n}" if n in members else f"s.{n}" for n in _NAMES)
                 rows = f"(select s.source, s.day, s.y_cls, {cols} from smp s join {donors} m on m.source=s.source and m.sample_id=s.sample_id join smp d on d.source=m.source and d.sample_id=m.donor)"
-                parts.append(f"select '{f}', '{mode}', {rep}, source, day, {_EVENT} from {sql_scores(rows)} b group by source, day")
+                parts.append(f"select '{f}', '{mode}', {rep}, source, day, {_EVENT} from {sql_window_scores(rows)} b group by source, day")
     strata = "(select source, sample_id, g, c from smp)"
-    return f"smp as {_SAMPLE}, m1 as {_MAP('r1')}, m2 as {_MAP('r2')}, s1 as ({stratified_sql(strata, 'r1')}), s2 as ({stratified_sql(strata, 'r2')}), dly as ({' union all '.join(parts)})"
+    return f"smp as {_WINDOWS}, m1 as {_MAP('r1')}, m2 as {_MAP('r2')}, s1 as ({stratified_sql(strata, 'r1')}), s2 as ({stratified_sql(strata, 'r2')}), dly as ({' union all '.join(parts)})"
 
 
 def daily(v):
-    df = sample(v)
-    maps = {("marginal", r): P.donors(df, "sample_id", f"r{r}", ["source"]) for r in (1, 2)}
-    keyed = df.select("source", "sample_id", "g", "c")
-    maps |= {("stratified", r): P.stratified_donors(keyed, "sample_id", f"r{r}", ["g"], ["c"], by=["source"]) for r in (1, 2)}
+    df = stored(windows(v), "windows")
+    donors = stored(P.donor_table(df, "sample_id", "r", 2, by=["source"], strata={"": (["g"], ["c"])}), "donors")
     # One row a source, feature, mode, repeat and date.
-    return stored(R.permutation_importance(df.drop("g", "c"), score, "sample_id", {"x1": ["x1"], "x2": ["x2"]}, maps), "daily-importance")
+    return stored(R.permutation_importance(df.drop("g", "c"), window_score, "sample_id", _GROUPS, donors), "daily-importance")
 
 
 _SC = "coalesce(1.0e0*sum(tp)/nullif(sum(tp)+sum(fp)+sum(fn),0),0) as csi, sum(sq_error)/sum(n) as brier"

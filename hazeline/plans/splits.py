@@ -8,6 +8,7 @@ from hazeline.operators import normalise as N
 from hazeline.operators import series as S
 from hazeline.operators import splits as P
 from hazeline.registry import query
+from hazeline.sources.sinks import stored
 
 _SPLIT = """case when dim-10<1 then null when d>=dim-2 then 'test' when d between dim-6 and dim-4 then 'val' when d<=dim-8 then 'train' end"""
 _DAYS = f"(select *, {_SPLIT} as split from (select source, sample_id, valid_time, day(valid_time) as d, day(last_day(valid_time)) as dim from v_pred) a)"
@@ -90,6 +91,25 @@ def stratified(v):
     return P.stratified_donors(df, "sample_id", "9", ["g"], ["c"], by=["source"])
 
 
+# Strata as the survey has them: season, 6 hours, boxes of 10 degrees and the quartile by source of an anchor, here standing for the
+# moisture of the air; v_pred has dates alone, so all hours are of one bin.
+_EDGES = "select source, list_distinct([" + ",".join(f"quantile_cont(p_fog,{i / 4})" for i in range(5)) + "]) as e, count(*) as n from v_pred group by source"
+_SURVEYED = f"""(select source, sample_id, concat_ws('-', season, bin, la, lo, code) as g, concat_ws('-', season, bin, code) as c from (
+  select p.source, sample_id, (month(valid_time)%12)//3 as season, 0 as bin, cast(floor(lat/10) as int) as la, cast(floor(lon/10) as int) as lo,
+    case when e.n<4 or len(e.e)<=2 then -1 else len(list_filter(list_sort(e.e)[2:len(e.e)-1], lambda x: x<p_fog)) end as code
+  from v_pred p join v_station s on s.station_id=p.station_id%(select max(station_id)+1 from v_station) join ({_EDGES}) e on e.source=p.source) z)"""
+
+
+@query("h8_survey_strata", stratified_sql(_SURVEYED, "5"))
+def survey_strata(v):
+    n = v.v_station.agg((F.max("station_id") + 1).alias("_s"))  # one row
+    placed = v.v_pred.crossJoin(F.broadcast(n)).withColumn("station_id", F.col("station_id") % F.col("_s")).join(v.v_station, "station_id")
+    df = P.with_strata(placed, "valid_time", {"Q_1000": F.col("p_fog")})
+    fine, coarse = P.strata_of(P.anchor_of(["T2M"], ["Q_1000", "T2M"]))
+    coded = stored(df.select("source", "sample_id", *fine), "strata")
+    return P.stratified_donors(coded, "sample_id", "5", fine, coarse, by=["source"])
+
+
 @query("h8_moved_fraction", f"with f as (select * from ({_STRATIFIED}) d) select source, count(*) as n, round(avg(case when sample_id<>donor then 1.0e0 else 0.0e0 end),6) as moved_fraction, round(avg(case when level<>'fine' then 1.0e0 else 0.0e0 end),6) as fallback_fraction from f group by source")
 def moved_stratified(v):
     out = P.donor_summary(stratified(v), "sample_id", ["source"])

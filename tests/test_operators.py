@@ -302,9 +302,9 @@ def test_lineage_names_every_fault(spark):
 
 def test_permutation_takes_whole_windows_of_the_stratum(spark):
     df = spark.createDataFrame([("A", "1", [1, 2]), ("A", "2", [3, 4]), ("B", "1", [5, 6])], "source string, k string, win array<int>")
-    donors = spark.createDataFrame([("A", "1", "2"), ("A", "2", "1"), ("B", "1", "1")], "source string, k string, donor string")
-    got = {(r["source"], r["k"]): r["win"] for r in resample.permuted(df, donors, "k", ["win"], ["source"]).collect()}
-    assert got == {("A", "1"): [3, 4], ("A", "2"): [1, 2], ("B", "1"): [5, 6]}
+    donors = spark.createDataFrame([("m", 1, "A", "1", "2"), ("m", 1, "A", "2", "1"), ("m", 1, "B", "1", "1"), ("none", 0, "A", "1", "1")], "mode string, rep int, source string, k string, donor string")
+    got = {(r["mode"], r["feature"], r["source"], r["k"]): r["win"] for r in resample.permuted(df, donors, "k", {"w": ["win"]}, ["source"]).collect()}
+    assert got == {("m", "w", "A", "1"): [3, 4], ("m", "w", "A", "2"): [1, 2], ("m", "w", "B", "1"): [5, 6], ("none", "baseline", "A", "1"): [1, 2]}
 
 
 def test_importance_of_few_dates_is_empty(spark):
