@@ -171,6 +171,27 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _share_nothing(patterns: dict[tuple, int]) -> np.ndarray:
+    """A matrix of the pairs of patterns (tuples of leaves, by their number) without a leaf in common; in steps of 1,024 leaves."""
+    size = np.array([len(p) for p in patterns], np.int64)
+    leaf = np.fromiter((x for p in patterns for x in p), np.int64, int(size.sum()))
+    owner = np.repeat(np.fromiter(patterns.values(), np.int64, len(patterns)), size)
+    _, code, count = np.unique(leaf, return_inverse=True, return_counts=True)
+    often = count > 1  # a leaf of one pattern alone meets no other
+    place = (np.cumsum(often) - 1)[code]
+    order = np.argsort(place[often[code]], kind="stable")
+    place, owner = place[often[code]][order], owner[often[code]][order]
+    shared = np.zeros((len(patterns), len(patterns)), np.float32)
+    for start in range(0, int(often.sum()), 1024):
+        lo, hi = np.searchsorted(place, [start, start + 1024])
+        m = np.zeros((len(patterns), 1024), np.float32)
+        m[owner[lo:hi], place[lo:hi] - start] = 1
+        shared += m @ m.T
+    new = shared == 0
+    new[np.arange(len(size)), np.arange(len(size))] = size == 0
+    return new
+
+
 def _first_meetings(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Rows of the two sides of a cell and a matrix of their pairs that share no earlier leaf."""
     node, a, b = (cell.column(c)[0].as_py() for c in ("node", "a", "b"))
@@ -178,11 +199,7 @@ def _first_meetings(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
     patterns: dict[tuple, int] = {}
     of = np.array([patterns.setdefault(tuple(x for x in xs if x < node), len(patterns)) for xs in cell.column("leaves").to_pylist()])
-    names = {x: i for i, x in enumerate({x for p in patterns for x in p})}
-    holds = np.zeros((len(patterns), len(names)), np.float32)
-    for p, i in patterns.items():
-        holds[i, [names[x] for x in p]] = 1
-    new = (holds @ holds.T) == 0
+    new = _share_nothing(patterns)
     if not new.any():
         return None
     pairs = new[np.ix_(of[left], of[right])]
@@ -211,8 +228,24 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from out.to_batches()
 
 
+#: Shingles that are compared at once.
+MOST_AT_ONCE = 2_000_000
+
+
 def _overlaps(values: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets of left with those of right."""
+    """Sizes of the intersections of the sets (ascending unsigned hashes) of left with those of right, by ranges of hashes."""
+    parts = -(-sum(map(len, values)) // MOST_AT_ONCE)
+    if parts <= 1:
+        return _overlaps_at_once(values, left, right)
+    total = np.zeros((len(left), len(right)), np.float32)
+    bounds = [np.uint64(k * (1 << 64) // parts) for k in range(1, parts)]
+    cut = [np.r_[0, np.searchsorted(v, bounds), len(v)] for v in values]
+    for k in range(parts):
+        total += _overlaps_at_once([v[c[k] : c[k + 1]] for v, c in zip(values, cut, strict=True)], left, right)
+    return total
+
+
+def _overlaps_at_once(values: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     if len(values) <= 3:
         return np.array([[len(np.intersect1d(values[i], values[j], assume_unique=True)) for j in right] for i in left], np.float32)
     flat = np.concatenate(values)

@@ -185,7 +185,7 @@ def _cell_links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     """leader, set_id: for each row of a cell with links, its least partner, and for each partner too."""
     for cell in _cells(batches):
         left, right, pairs = _other_classes(cell)
-        values = [x.values.to_numpy() for x in cell.column("shingles").combine_chunks()]
+        values = [x.values.to_numpy().view(np.uint64) for x in cell.column("shingles").combine_chunks()]
         n = np.array([len(v) for v in values], np.float64)
         linked = pairs & ((100 + percent) * _overlaps(values, left, right) >= percent * (n[left][:, None] + n[right][None]))
         ids = cell.column("set_id").to_pylist()
