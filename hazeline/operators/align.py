@@ -6,6 +6,7 @@ compares all pairs of two tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,16 +153,6 @@ def neighbourhood_stats(cells: DataFrame, grid: DataFrame, value: str, reach: in
     return joined.groupBy("station_id").agg(own.alias(value), (own - F.avg(value)).alias("deviation"), F.stddev_pop(value).alias("spread"))
 
 
-def _candidates(stations: DataFrame, grid: DataFrame, reach: float) -> DataFrame:
-    """Cells within reach degrees of each station, with the distance d."""
-    box = lambda c: F.floor(c / reach)
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    s = stations.select("station_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    s = s.withColumn("_a", F.explode(F.transform(near, lambda k: box(F.col("slat")) + k))).withColumn("_b", F.explode(F.transform(near, lambda k: box(F.col("slon")) + k)))
-    g = grid.withColumns({"_a": box(F.col("lat")), "_b": box(F.col("lon"))})
-    return s.join(g, ["_a", "_b"]).withColumn("d", _apart()).filter(F.col("d") <= reach).drop("_a", "_b")
-
-
 def _apart() -> Column:
     return F.sqrt(F.pow(F.col("lat") - F.col("slat"), 2.0) + F.pow(F.col("lon") - F.col("slon"), 2.0))
 
@@ -179,8 +170,8 @@ def _boxes(df: DataFrame, lat: str, lon: str, size: Column, around: bool) -> Dat
     return df.withColumn("_a", F.explode(F.transform(near, lambda k: place(lat) + k))).withColumn("_b", F.explode(F.transform(near, lambda k: place(lon) + k)))
 
 
-def knn_weights(stations: DataFrame, grid: DataFrame, k: int = 4, eps: float = 1e-6) -> DataFrame:
-    """station_id, gi, gj, w: the k nearest cells by degrees and their normalised weights 1 / max(d, eps)^2.
+def _nearest(stations: DataFrame, grid: DataFrame, k: int) -> DataFrame:
+    """station_id, gi, gj, d, _place: the k nearest cells by degrees, numbered from 1.
 
     The least box size at which a station's box and those beside it hold k cells bounds the distance of the k nearest by
     2 * sqrt(2) boxes, so they are among the cells of the nine boxes of four times that size. On a grid of fewer than k
@@ -198,7 +189,12 @@ def knn_weights(stations: DataFrame, grid: DataFrame, k: int = 4, eps: float = 1
     cells = _boxes(grid.select("*", F.explode(F.sequence(F.lit(_SIZES[0] + 2), F.lit(_SIZES[1] + 2))).alias("_size")).join(used, "_size", "left_semi"), "lat", "lon", F.col("_size"), False)
     found = _boxes(least, "slat", "slon", F.col("_size"), True).join(cells, ["_size", "_a", "_b"]).select("station_id", "gi", "gj", _apart().alias("d"))
     order = Window.partitionBy("station_id").orderBy("d", "gi", "gj")
-    best = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    return found.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k)
+
+
+def knn_weights(stations: DataFrame, grid: DataFrame, k: int = 4, eps: float = 1e-6) -> DataFrame:
+    """station_id, gi, gj, w: the k nearest cells by degrees and their normalised weights 1 / max(d, eps)^2."""
+    best = _nearest(stations, grid, k)
     w = F.lit(1.0) / F.pow(F.greatest(F.col("d"), F.lit(eps)), 2.0)
     return best.select("station_id", "gi", "gj", (w / F.sum(w).over(Window.partitionBy("station_id"))).alias("w"))
 
@@ -210,29 +206,59 @@ def idw_knn(weights: DataFrame, field: DataFrame, keys: Sequence[str], value: st
     return out.select(*keys, "station_id", F.when(F.col("_n") >= k, F.col("_v")).alias(value))
 
 
+def _valid_candidates(wanted: DataFrame, valid: DataFrame, keys: Sequence[str], k: int, reach: float) -> DataFrame:
+    """keys, station_id, gi, gj, lat, lon, slat, slon: cells of valid (keys, gi, gj, lat, lon) among which are the k nearest within
+    reach of each of wanted (keys, station_id, slat, slon, least: a distance under that of the k-th).
+
+    A pyramid counts the valid cells of each key in boxes of every size that may be needed. The least size at which a
+    station's box and those beside it hold k bounds the distance of the k nearest by 2 * sqrt(2) boxes, so it tells how far to
+    look: some ten times k cells where they lie evenly. Where the largest boxes, which cover reach, hold fewer than k, these are
+    all."""
+    top = math.ceil(math.log2(reach))
+    low = F.greatest(F.floor(F.log2(F.greatest(F.min("least"), F.lit(1e-3)) / F.lit(2.0 * math.sqrt(2.0)))).cast("int"), F.lit(_SIZES[0]))
+    lowest = F.broadcast(wanted.agg(F.least(low, F.lit(top)).alias("_low")).filter("_low is not null"))  # one row
+    wanted, valid = wanted.drop("least").crossJoin(lowest), valid.crossJoin(lowest)
+    sizes = F.explode(F.sequence(F.col("_low"), F.lit(top))).alias("_size")
+    box = [*keys, "_size", "_a", "_b"]
+    pyramid = _boxes(valid.select(*keys, "lat", "lon", sizes), "lat", "lon", F.col("_size"), False).groupBy(*box).agg(F.count("*").alias("_n"))
+    seen = _boxes(wanted.select("*", sizes), "slat", "slon", F.col("_size"), True).join(pyramid, box)
+    seen = seen.groupBy(*keys, "station_id", "_size").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= k)
+    least = wanted.join(seen.groupBy(*keys, "station_id").agg(F.min("_size").alias("_least")), [*keys, "station_id"], "left")
+    far = F.coalesce(F.least(F.lit(2.0 * math.sqrt(2.0)) * F.pow(F.lit(2.0), F.col("_least")), F.lit(reach)), F.lit(reach))
+    looks = least.withColumn("_far", far).withColumn("_size", F.least(F.coalesce(F.col("_least") + 2, F.lit(top)), F.lit(top)))
+    used = looks.select("_size").distinct()  # a few sizes
+    cells = valid.select("*", sizes).drop("_low").join(F.broadcast(used), "_size", "left_semi")
+    found = _boxes(looks, "slat", "slon", F.col("_size"), True).join(_boxes(cells, "lat", "lon", F.col("_size"), False), box)
+    return found.filter(_apart() <= F.col("_far")).drop("_size", "_a", "_b", "_least", "_far", "_low")
+
+
 def idw_radius(stations: DataFrame, grid: DataFrame, field: DataFrame, keys: Sequence[str], value: str, k: int = 10, power: float = 2.0, reach: float = 5.0, least_cells: int = 4) -> DataFrame:
     """keys, station_id, value from the k nearest cells that hold a value within reach.
 
     Cells nearer than 0.01 degrees give their mean; without a cell, or with fewer than least_cells in the whole
-    field, the field's mean (0 if it has none).
+    field, the field's mean (0 if it has none). The 2k nearest cells are tried first; only stations and keys for which they hold
+    fewer than k values look farther, as far as the valid cells of that key make it necessary.
     """
-    near = _candidates(stations, grid.select("gi", "gj", "lat", "lon"), reach).select("station_id", "gi", "gj", "d")
-    near = near.withColumn("_place", F.row_number().over(Window.partitionBy("station_id").orderBy("d", "gi", "gj")))
-    near = stored(near.withColumn("_all", F.count("*").over(Window.partitionBy("station_id"))), "near-cells")  # read three times
+    first = stored(_nearest(stations, grid, 2 * k).filter(F.col("d") <= reach).drop("_place"), "near-cells")  # 2k rows a station
     held = field.filter(F.col(value).isNotNull()).select(*keys, "gi", "gj", value)
     means = field.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(value).alias("_cells"))
-    order = Window.partitionBy(*keys, "station_id").orderBy("d", "gi", "gj")
-    # The 2k nearest cells, and all within reach only where those hold fewer than k values.
-    first = near.filter(F.col("_place") <= 2 * k)
-    short = field.select(*keys, "gi", "gj", F.col(value).isNotNull().cast("int").alias("_held")).join(first.filter(F.col("_all") > 2 * k), ["gi", "gj"])
-    short = short.groupBy(*keys, "station_id").agg(F.sum("_held").alias("_n")).filter(F.col("_n") < k).select(*keys, "station_id")
-    rest = near.filter(F.col("_place") > 2 * k).join(short, "station_id").join(held, [*keys, "gi", "gj"])
+    every = means.crossJoin(stations.select("station_id").distinct())  # the result's own rows
     columns = [*keys, "station_id", "gi", "gj", "d", value]
-    best = held.join(first, ["gi", "gj"]).select(columns).union(rest.select(columns)).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    near = held.join(first, ["gi", "gj"]).select(columns)
+    more = first.groupBy("station_id").agg(F.count("*").alias("_first"), F.max("d").alias("least")).filter(F.col("_first") == 2 * k).drop("_first")
+    place = stations.select("station_id", F.col("lat").cast("double").alias("slat"), F.col("lon").cast("double").alias("slon"))
+    counted = every.select(*keys, "station_id").join(more.join(place, "station_id"), "station_id")
+    counted = counted.join(near.groupBy(*keys, "station_id").agg(F.count("*").alias("_n")), [*keys, "station_id"], "left")
+    short = stored(counted.filter(F.coalesce("_n", F.lit(0)) < k).drop("_n"), "short-of-cells")
+    at = grid.select("gi", "gj", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    valid = held.join(short.select(*keys).distinct(), list(keys), "left_semi").join(at, ["gi", "gj"])
+    looked = _valid_candidates(short, valid, keys, k, reach).withColumn("d", _apart()).select(columns)
+    order = Window.partitionBy(*keys, "station_id").orderBy("d", "gi", "gj")
+    enough = near.join(short.select(*keys, "station_id"), [*keys, "station_id"], "left_anti")
+    best = enough.union(looked).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
     w = F.lit(1.0) / F.pow(F.greatest(F.col("d"), F.lit(1e-12)), power)
-    at = F.avg(F.when(F.col("d") < 0.01, F.col(value)))
-    some = best.groupBy(*keys, "station_id").agg(F.coalesce(at, F.sum(w * F.col(value)) / F.sum(w)).alias("_v"))
-    every = means.crossJoin(stations.select("station_id").distinct())  # the result's own rows
+    on = F.avg(F.when(F.col("d") < 0.01, F.col(value)))
+    some = best.groupBy(*keys, "station_id").agg(F.coalesce(on, F.sum(w * F.col(value)) / F.sum(w)).alias("_v"))
     out = every.join(some, [*keys, "station_id"], "left")
     return out.select(*keys, "station_id", F.when(F.col("_cells") >= least_cells, F.coalesce("_v", "_mean")).otherwise(F.coalesce("_mean", F.lit(0.0))).alias(value))
 

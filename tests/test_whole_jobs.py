@@ -3,6 +3,7 @@
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,28 @@ def test_idw_radius_looks_past_missing_near_cells(spark):
     assert len(got) == 24 and far
 
 
+def test_candidates_of_valid_cells_are_bounded_and_hold_the_nearest(spark):
+    """A fine grid of which little is valid, in one corner, evenly, or not at all: within reach the nearest are among some times k."""
+    rng = np.random.default_rng(1)
+    n, k, reach = 120, 5, 5.0
+    cells = [(i, j, i * 0.05, j * 0.05) for i in range(n) for j in range(n)]
+    kinds = {0: lambda i, j: True, 1: lambda i, j: rng.random() < 0.02, 2: lambda i, j: i > 100 and j > 100, 3: lambda i, j: False, 4: lambda i, j: (i, j) == (60, 60)}
+    valid = [(t, i, j, y, x) for t, ok in kinds.items() for i, j, y, x in cells if ok(i, j)]
+    wanted = [(t, s, float(y), float(x)) for t in kinds for s, (y, x) in enumerate(rng.random((20, 2)) * 6)]
+    df = spark.createDataFrame(valid, "t int, gi int, gj int, lat double, lon double")
+    asked = spark.createDataFrame(wanted, "t int, station_id int, slat double, slon double").withColumn("least", F.lit(0.01))
+    got = {}
+    for r in joins._valid_candidates(asked, df, ["t"], k, reach).collect():
+        got.setdefault((r.t, r.station_id), []).append((math.hypot(r.lat - r.slat, r.lon - r.slon), r.gi, r.gj))
+    for t, s, a, b in wanted:
+        near = sorted((math.hypot(y - a, x - b), i, j) for tt, i, j, y, x in valid if tt == t)
+        near = [c for c in near if c[0] <= reach]
+        found = sorted(got.get((t, s), []))
+        assert found[:k] == near[:k]
+        if t != 2:  # in a far corner one box holds them all
+            assert len(found) <= 40 * k
+
+
 def test_windows_are_of_every_complete_hour(spark):
     v = Data(spark, SMALL)
     hours = {(r[0], r[1]) for r in v.v_spine.collect()}
