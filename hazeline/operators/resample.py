@@ -6,7 +6,8 @@ table of one row a date (or cell).
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 from functools import partial
 
 import numpy as np
@@ -14,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.operators.splits import draw
 from hazeline.operators.verify import LOWER_IS_BETTER, argmax_class, metrics, ratio
+from hazeline.sources.sinks import stored
 
 
 def bootstrap_rows(pairs: DataFrame, metric: str, n_rep: int = 500, seed: int = 17) -> DataFrame:
@@ -40,8 +41,8 @@ def bootstrap_rows(pairs: DataFrame, metric: str, n_rep: int = 500, seed: int =
     )
 
 
-#: Blocks that the cells of a bootstrap are dealt into; each is multiplied by all draws in a task.
-BLOCKS = 16
+#: Blocks that the cells and the replicates of a bootstrap are dealt into; a task multiplies one of each.
+CELL_BLOCKS, REP_BLOCKS = 4, 4
 
 
 def date_picks(dates: DataFrame, day: str, n_rep: int, seed: str) -> tuple[DataFrame, DataFrame]:
@@ -49,9 +50,18 @@ def date_picks(dates: DataFrame, day: str, n_rep: int, seed: str) -> tuple[DataF
     placed = dates.select(day).distinct().withColumn("place", F.row_number().over(Window.orderBy(day)) - 1)  # one row a date
     n = placed.agg(F.count("*").alias("_n"))
     reps = dates.sparkSession.range(n_rep).select(F.col("id").alias("rep")).crossJoin(F.broadcast(n))
-    slot = lambda s: F.pmod(draw(seed, F.col("rep"), s), F.col("_n")).cast("int")
-    picks = reps.filter("_n > 0").select("rep", F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), slot).alias("picks"))
-    return picks, placed
+    return reps.filter("_n > 0").mapInPandas(partial(_picked, seed), "rep long, picks array<int>"), placed
+
+
+def _picked(seed: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """As splits.draw draws: the first 32 bits of the md5 of seed, replicate and slot, modulo the number of dates."""
+    for reps in batches:
+        rows = []
+        for rep, n in zip(reps["rep"], reps["_n"], strict=True):
+            start = f"{seed}|{rep}|"
+            first = b"".join([hashlib.md5(f"{start}{slot}".encode()).digest()[:4] for slot in range(n)])
+            rows.append((np.frombuffer(first, ">u4") % n).astype(np.int32))
+        yield pd.DataFrame({"rep": reps["rep"], "picks": rows})
 
 
 def drawn_sums(counts: DataFrame, cell: Sequence[str], values: Sequence[str], n_rep: int, seed: str, day: str = "day") -> DataFrame:
@@ -59,15 +69,17 @@ def drawn_sums(counts: DataFrame, cell: Sequence[str], values: Sequence[str], n_
     without a drawn date have no row.
 
     The replicates are rows of a matrix (times by date), the cells columns of another, and blocks of cells are multiplied in
-    tasks: neither the draws nor the drawn rows are joined or shuffled. A task holds a block of cells over all dates and
-    some replicates at a time."""
+    tasks: nothing that is drawn is joined or summed by a shuffle. A task holds a block of cells over all dates and 128
+    replicates at a time."""
+    counts = stored(counts.select(*cell, day, *values), "daily-counts")  # a row a date and cell, read twice
     picks, placed = date_picks(counts, day, n_rep, seed)
     kinds = dict(counts.dtypes)
-    rows = counts.join(placed, day).select(*cell, "place", *values).withColumn("_block", F.pmod(F.xxhash64(*cell), F.lit(BLOCKS)).cast("int"))
-    drawn = picks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = counts.join(placed, day).select(*cell, "place", *values).withColumns({"_a": F.pmod(F.xxhash64(*cell), F.lit(CELL_BLOCKS)).cast("int"), "_b": every(REP_BLOCKS)})
+    drawn = picks.withColumns({"_b": F.pmod("rep", F.lit(REP_BLOCKS)).cast("int"), "_a": every(CELL_BLOCKS)})
     schema = ", ".join(["rep long", *(f"`{c}` {kinds[c]}" for c in cell), *(f"`{v}` {'double' if kinds[v] == 'double' else 'long'}" for v in values)])
     whole = [v for v in values if kinds[v] != "double"]
-    return rows.groupBy("_block").cogroup(drawn.groupBy("_block")).applyInPandas(partial(_multiplied, list(cell), list(values), whole), schema)
+    return rows.groupBy("_a", "_b").cogroup(drawn.groupBy("_a", "_b")).applyInPandas(partial(_multiplied, list(cell), list(values), whole), schema)
 
 
 def _multiplied(cell: list[str], values: list[str], whole: list[str], rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
