@@ -1,7 +1,7 @@
 """Hourly station series: windows, time axes, leads and fog features.
 
-All windows of a station share one partitioning and order, so a feature table is one shuffle and one sort; the last 12
-rows are collected once, and every statistic is arithmetic on that array.
+All windows of a station share one partitioning and order, so a feature table is one shuffle and one sort; statistics of the
+last 12 rows are put together from those of 8 and 4.
 """
 
 from __future__ import annotations
@@ -35,33 +35,55 @@ def sliding_window(df: DataFrame, names: Sequence[str], n: int = STEPS, step: in
 
 
 def with_last(df: DataFrame, names: Sequence[str], n: int = STEPS, station: str = "station_id", time: str = "h", out: str = "_last") -> DataFrame:
-    """df with what window_stats needs: out, the last n rows of the station as an array of structs of names, and for each name
-    the sums of its distances to the station's first value and of their squares (exact for short decimals, 0 for a constant).
+    """df with what window_stats needs: out, a struct that for each of names holds, over the last n rows of the station, the number
+    of values, the least and greatest, and the sums of the distances to the station's first value and of their squares (exact
+    for short decimals, 0 for a constant); and <out>_3 and <out>_6, the values 3 and 6 rows before.
 
-    All share one partitioning and order."""
+    The frame isn't gone through for each row: aggregates of 1, 2, 4, 8, ... rows are those of half as many rows and of the
+    same number before them, so a window of 12 takes four lags. All share one partitioning and order."""
     w = along(station, time)
-    df = df.withColumns({f"{out}_away_{c}": F.col(c) - F.first(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in names})
-    last = w.rowsBetween(-(n - 1), 0)
-    sums = {f"{out}_sum_{c}": F.sum(f"{out}_away_{c}").over(last) for c in names}
-    squares = {f"{out}_square_{c}": F.sum(F.col(f"{out}_away_{c}") * F.col(f"{out}_away_{c}")).over(last) for c in names}
-    return df.withColumns({out: F.collect_list(F.struct(*names)).over(last), **sums, **squares})
+    away = {c: F.col(c) - F.first(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in names}
+    df = df.withColumns({f"{out}_away_{c}": x for c, x in away.items()})
+
+    def one(c: str) -> Column:
+        a = F.coalesce(F.col(f"{out}_away_{c}"), F.lit(0.0))
+        x = F.col(c)
+        return F.struct(x.isNotNull().cast("int").alias("n"), x.alias("low"), x.alias("high"), a.alias("sum"), (a * a).alias("square")).alias(c)
+
+    def both(x: Column, y: Column) -> Column:
+        """The aggregates of two runs of rows; y may be missing, before the series begins."""
+        def of(c: str) -> Column:
+            p, q = x[c], y[c]
+            add = lambda f, none: p[f] + F.coalesce(q[f], F.lit(none))
+            return F.struct(add("n", 0).alias("n"), F.least(p["low"], q["low"]).alias("low"), F.greatest(p["high"], q["high"]).alias("high"), add("sum", 0.0).alias("sum"), add("square", 0.0).alias("square")).alias(c)
+        return F.struct(*[of(c) for c in names])
+
+    given = F.struct(*[F.col(c) for c in names])
+    df = df.withColumn(f"{out}0", F.struct(*[one(c) for c in names])).drop(*[f"{out}_away_{c}" for c in names])
+    df = df.withColumns({f"{out}_3": F.lag(given, 3).over(w), f"{out}_6": F.lag(given, 6).over(w)})
+    top = n.bit_length() - 1
+    for k in range(top):
+        df = df.withColumn(f"{out}_before", F.lag(f"{out}{k}", 1 << k).over(w)).withColumn(f"{out}{k + 1}", both(F.col(f"{out}{k}"), F.col(f"{out}_before")))
+    at = 1 << top
+    df = df.withColumn(out, F.col(f"{out}{top}"))
+    for k in reversed(range(top)):
+        if n >> k & 1:
+            df = df.withColumn(f"{out}_before", F.lag(f"{out}{k}", at).over(w)).withColumn(out, both(F.col(out), F.col(f"{out}_before")))
+            at += 1 << k
+    return df.drop(f"{out}_before", *[f"{out}{k}" for k in range(top + 1)])
 
 
 def before(name: str, k: int, last: str = "_last") -> Column:
-    """The value k rows before; null where there is none."""
-    return F.get(F.col(last)[name], F.size(last) - (1 + k))
+    """The value k (3 or 6) rows before; null where there is none."""
+    return F.col(f"{last}_{k}")[name]
 
 
 def window_stats(name: str, last: str = "_last") -> dict[str, Column]:
     """Change over 3 and 6 steps, population spread and range of a column over the rows of with_last."""
-    x, xs = F.col(name), F.col(last)[name]
-    n = F.nullif(F.size(F.array_compact(xs)), F.lit(0))  # null without a value
-    total, square = F.col(f"{last}_sum_{name}"), F.col(f"{last}_square_{name}")
-    spread = F.sqrt(F.greatest(n * square - total * total, F.lit(0.0))) / n
-    return {
-        f"{name}_d3": x - before(name, 3, last), f"{name}_d6": x - before(name, 6, last), f"{name}_std": F.when(square.isNotNull(), spread),
-        f"{name}_range": F.array_max(xs) - F.array_min(xs),
-    }
+    x, held = F.col(name), F.col(last)[name]
+    n = F.nullif(held["n"], F.lit(0))  # null without a value
+    spread = F.sqrt(F.greatest(n * held["square"] - held["sum"] * held["sum"], F.lit(0.0))) / n
+    return {f"{name}_d3": x - before(name, 3, last), f"{name}_d6": x - before(name, 6, last), f"{name}_std": spread, f"{name}_range": held["high"] - held["low"]}
 
 
 def acceleration(name: str, last: str = "_last") -> Column:
