@@ -1,7 +1,7 @@
 """Hourly station series: windows, time axes, leads and fog features.
 
-All windows of a station share one partitioning and order, so a feature table is one shuffle and one sort; the last 12
-rows are collected once, and every statistic is arithmetic on that array.
+All windows of a station share one partitioning and order, so a feature table is one shuffle and one sort; counts, sums and
+extremes of the last 12 rows are aggregates of one frame.
 """
 
 from __future__ import annotations
@@ -22,6 +22,12 @@ def along(station: str = "station_id", time: str = "h"):
     return Window.partitionBy(station).orderBy(time)
 
 
+def by_station(df: DataFrame, station: str = "station_id") -> DataFrame:
+    """df shuffled by station into as many partitions as the session says. Windows cost much time for each byte, so that partitions
+    merged by size at run time would leave cores idle; a fixed number isn't merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), station)
+
+
 def sliding_window(df: DataFrame, names: Sequence[str], n: int = STEPS, step: int = 1, station: str = "station_id", time: str = "h") -> DataFrame:
     """df with win, the last n hours as an array of structs, where all n are there and follow each other hourly.
 
@@ -29,38 +35,46 @@ def sliding_window(df: DataFrame, names: Sequence[str], n: int = STEPS, step: in
     w = along(station, time)
     last = w.rowsBetween(-(n - 1), 0)
     win = F.collect_list(F.struct(*[F.col(c) for c in names])).over(last)
-    df = df.withColumns({"win": win, "_first": F.lag(time, n - 1).over(w), "_row": F.row_number().over(w)})
+    df = by_station(df, station).withColumns({"win": win, "_first": F.lag(time, n - 1).over(w), "_row": F.row_number().over(w)})
     whole = (F.size("win") == n) & (F.col(time) - F.col("_first") == n - 1)
     return df.filter(whole & (F.pmod(F.col("_row") - n, F.lit(step)) == 0)).drop("_first", "_row")
 
 
+#: Rows back that window_stats and acceleration look at.
+BACK = (3, 6)
+
+
 def with_last(df: DataFrame, names: Sequence[str], n: int = STEPS, station: str = "station_id", time: str = "h", out: str = "_last") -> DataFrame:
-    """df with what window_stats needs: out, the last n rows of the station as an array of structs of names, and for each name
-    the sums of its distances to the station's first value and of their squares (exact for short decimals, 0 for a constant).
+    """df with what window_stats needs: for each name its values 3 and 6 rows before, and over the last n rows of the station the
+    number of values, the least, the greatest, and the sums of their distances to the station's first value and of the squares of
+    these (exact for short decimals, 0 for a constant).
 
-    All share one partitioning and order."""
+    All share one partitioning and order, and all sums of a row are updated together."""
     w = along(station, time)
-    df = df.withColumns({f"{out}_away_{c}": F.col(c) - F.first(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in names})
+    df = by_station(df, station).withColumns({f"{out}_away_{c}": F.col(c) - F.first(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in names})
     last = w.rowsBetween(-(n - 1), 0)
-    sums = {f"{out}_sum_{c}": F.sum(f"{out}_away_{c}").over(last) for c in names}
-    squares = {f"{out}_square_{c}": F.sum(F.col(f"{out}_away_{c}") * F.col(f"{out}_away_{c}")).over(last) for c in names}
-    return df.withColumns({out: F.collect_list(F.struct(*names)).over(last), **sums, **squares})
+    cols: dict[str, Column] = {}
+    for c in names:
+        x, away = F.col(c), F.col(f"{out}_away_{c}")
+        cols |= {f"{out}_{k}_{c}": F.lag(c, k).over(w) for k in BACK}
+        cols |= {f"{out}_n_{c}": F.count(x).over(last), f"{out}_low_{c}": F.min(x).over(last), f"{out}_high_{c}": F.max(x).over(last)}
+        cols |= {f"{out}_sum_{c}": F.sum(away).over(last), f"{out}_square_{c}": F.sum(away * away).over(last)}
+    return df.withColumns(cols)
 
 
 def before(name: str, k: int, last: str = "_last") -> Column:
-    """The value k rows before; null where there is none."""
-    return F.get(F.col(last)[name], F.size(last) - (1 + k))
+    """The value k rows before, k one of BACK; null where there is none."""
+    return F.col(f"{last}_{k}_{name}")
 
 
 def window_stats(name: str, last: str = "_last") -> dict[str, Column]:
     """Change over 3 and 6 steps, population spread and range of a column over the rows of with_last."""
-    x, xs = F.col(name), F.col(last)[name]
-    n = F.nullif(F.size(F.array_compact(xs)), F.lit(0))  # null without a value
+    x, n = F.col(name), F.nullif(F.col(f"{last}_n_{name}"), F.lit(0))  # null without a value
     total, square = F.col(f"{last}_sum_{name}"), F.col(f"{last}_square_{name}")
     spread = F.sqrt(F.greatest(n * square - total * total, F.lit(0.0))) / n
     return {
         f"{name}_d3": x - before(name, 3, last), f"{name}_d6": x - before(name, 6, last), f"{name}_std": F.when(square.isNotNull(), spread),
-        f"{name}_range": F.array_max(xs) - F.array_min(xs),
+        f"{name}_range": F.col(f"{last}_high_{name}") - F.col(f"{last}_low_{name}"),
     }
 
 
