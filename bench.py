@@ -23,6 +23,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{CPUS}]")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a few keys that a join expands would become one task
         .config("spark.sql.codegen.hugeMethodLimit", "8000")  # longer methods aren't compiled by HotSpot
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
