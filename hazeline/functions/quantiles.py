@@ -17,7 +17,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], values: Mapping[str, Colum
 
     A mergeable sketch brackets each quantile. The second pass counts rows by value inside the brackets and as one sum
     between them, so that running counts give the exact ranks; it keeps some thousandths of the distinct values of a
-    group, and their window may spill.
+    group, and their window may spill. Brackets and quantiles, a row a group and much smaller than its sketch, are broadcast: a
+    join by few groups would have a task a group.
     """
     keys, names = [f"_k{i}" for i in range(len(by))], list(values)
     points = sorted({p for _, p in wanted.values()})
@@ -42,7 +43,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], values: Mapping[str, Colum
             place = place.when(x < low, F.col(f"_b{2 * i - 1}"))
         place = place.when(x <= high, x)
     place = place.otherwise(F.col(f"_b{2 * len(points) - 1}"))
-    counts = long.filter(x.isNotNull()).join(bounds, same).groupBy(*keys, "_e", place.alias("_p")).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+    counts = long.filter(x.isNotNull()).join(F.broadcast(bounds), same).groupBy(*keys, "_e", place.alias("_p")).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
     counts = counts.withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys, "_e").orderBy("_p")))
 
     rank = lambda p: (F.col("_n") - 1) * F.lit(float(p))
@@ -70,4 +71,4 @@ def with_quantiles(summary: DataFrame, df: DataFrame, by: Sequence[str], values:
         return summary.crossJoin(found)  # one row each
     found = found.withColumnsRenamed({b: f"_of_{b}" for b in by})
     same = [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by]
-    return summary.join(found, same).drop(*[f"_of_{b}" for b in by])
+    return summary.join(F.broadcast(found), same).drop(*[f"_of_{b}" for b in by])

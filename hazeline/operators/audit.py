@@ -161,7 +161,7 @@ def feature_shift(long: DataFrame, scaler: DataFrame, by: Sequence[str] = ("popu
     z = (x - F.col("center")) / (F.col("scale") + 1e-6)
     rate = lambda c: F.count_if(c) / F.count("*")
     points = (1, 5, 50, 95, 99)
-    joined = long.join(scaler, "name")
+    joined = long.join(F.broadcast(scaler), "name")  # a row a name
     out = joined.groupBy(*by).agg(
         F.count("*").alias("n"), rate(x.isNotNull()).alias("finite_rate"), rate(x == 0).alias("zero_rate"),
         rate(F.abs(z) > 3).alias("rate_3"), rate(F.abs(z) > 8).alias("rate_8"),

@@ -125,7 +125,7 @@ def robust_scaler(long: DataFrame) -> DataFrame:
 def model_input(long: DataFrame, scaler: DataFrame) -> DataFrame:
     """long (..., name, value) with scaled: (value - center) / (scale + 1e-6) within 10; missing is 0."""
     z = (F.col("value") - F.col("center")) / (F.col("scale") + 1e-6)
-    joined = long.join(scaler, "name")
+    joined = long.join(F.broadcast(scaler), "name")  # a row a name
     return joined.withColumn("scaled", F.coalesce(clip(F.nanvl(z, F.lit(None).cast("double")), -10.0, 10.0), F.lit(0.0))).drop("center", "scale")
 
 

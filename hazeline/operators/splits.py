@@ -180,10 +180,10 @@ def quantile_code(df: DataFrame, column: str, bins: int = 4, out: str = "code",
     edges = exact_quantiles(df, by, {"v": F.col(column)}, {f"e{i}": ("v", p) for i, p in enumerate(points)})
     edges = edges.select(*[F.col(b).alias(f"_of_{b}") for b in by], F.array_distinct(F.array(*[F.col(f"e{i}") for i in range(len(points))])).alias("_e"))
     stats = df.groupBy(*[F.col(b).alias(f"_in_{b}") for b in by]).agg(F.count(column).alias("_n"))
-    stats = stats.join(edges, [F.col(f"_in_{b}").eqNullSafe(F.col(f"_of_{b}")) for b in by]).drop(*[f"_of_{b}" for b in by]) if by else stats.crossJoin(edges)
+    stats = stats.join(F.broadcast(edges), [F.col(f"_in_{b}").eqNullSafe(F.col(f"_of_{b}")) for b in by]).drop(*[f"_of_{b}" for b in by]) if by else stats.crossJoin(edges)
     inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
     code = F.size(F.filter(inner, lambda e: e < F.col(column)))
     ok = F.col(column).isNotNull() & (F.col("_n") >= 4) & (F.size("_e") > 2)
     # One row of stats, or a row a group.
-    joined = df.join(stats, [F.col(b).eqNullSafe(F.col(f"_in_{b}")) for b in by]) if by else df.crossJoin(F.broadcast(stats))
+    joined = df.join(F.broadcast(stats), [F.col(b).eqNullSafe(F.col(f"_in_{b}")) for b in by]) if by else df.crossJoin(F.broadcast(stats))
     return joined.withColumn(out, F.when(ok, code).otherwise(-1)).drop("_e", "_n", *[f"_in_{b}" for b in by])

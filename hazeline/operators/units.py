@@ -24,7 +24,7 @@ LEGACY = "legacy_kgm3_times_1e12"
 
 def _with_quantile(df: DataFrame, group: Sequence[str], value: Column, point: float, name: str) -> DataFrame:
     """df with the quantile of value over its group."""
-    return df.join(exact_quantiles(df, group, {"x": value}, {name: ("x", point)}), list(group))
+    return df.join(F.broadcast(exact_quantiles(df, group, {"x": value}, {name: ("x", point)})), list(group))
 
 
 def canonicalize_units(df: DataFrame, group: Sequence[str] = ("source", "variable"), check: bool = True) -> DataFrame:

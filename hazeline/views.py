@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +74,16 @@ from v_spine""",
 _TABLES = ("events", "lineitem", "orders", "part", "embeddings", "labels")
 
 
+#: Views whose plan Spark must be told. Stations are a few bytes each, so adaptive execution would merge them into one task, and the
+#: join with the hours would leave all rows of the series in it: they are dealt to {n} tasks, a station in one, and the
+#: hours of the month are broadcast.
+_SPREAD = {
+    "v_spine": """
+select /*+ broadcast(b) */ station_id, h from (select distinct user_id as station_id from (select /*+ repartition({n}, user_id) */ user_id from events) e) a
+cross join (select distinct cast((day(ts)-1)*24+hour(ts) as bigint) as h from events) b""",
+}
+
+
 def _needed(text: str) -> list[str]:
     out: list[str] = []
     for name in re.findall(r"\bv_[a-z]+\b", text):
@@ -81,9 +92,9 @@ def _needed(text: str) -> list[str]:
     return out
 
 
-def with_views(sql: str) -> str:
+def with_views(sql: str, views: Mapping[str, str] = VIEWS) -> str:
     """sql with the views that it names as common table expressions in front; it may start with `with`."""
-    ctes = [f"{name} as ({VIEWS[name]})" for name in _needed(sql)]
+    ctes = [f"{name} as ({views[name]})" for name in _needed(sql)]
     body = sql.strip()
     if not ctes:
         return body
@@ -102,7 +113,8 @@ class Data:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        full = with_views(text)
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.spark.sparkContext.defaultParallelism)
+        full = with_views(text, VIEWS | {name: x.format(n=n) for name, x in _SPREAD.items()})
         for name in _TABLES:
             full = re.sub(rf"(\bfrom\s+){name}\b", rf"\1parquet.`{self.dir}/{name}.parquet`", full)
         return self.spark.sql(full)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hazeline import registry
 from hazeline.operators import align as joins
 from hazeline.operators import series
+from hazeline.operators.units import _with_quantile
 from hazeline.plans import align, audit, ingest, resample
 from hazeline.views import Data
 
@@ -121,3 +122,19 @@ def test_bootstrap_draws_dates_a_thousand_times(spark):
     dates = v.v_pred.select("valid_time").distinct().count()
     assert resample.daily_counts(v).select("day").distinct().count() == dates > 31
     assert {r[0] for r in registry.queries()["j2_bootstrap_dates"](spark, SMALL).select("n_rep").collect()} == {1000}
+
+
+def test_stations_of_a_series_are_dealt_to_many_tasks(spark):
+    """A few bytes of stations were merged into one task, which then held all hours of all stations."""
+    held = Data(spark, "/root/testdata/sf0.01").v_field.select("station_id", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.task for r in held}) > 1
+    assert len(held) == len({r.station_id for r in held})  # a station is in one task, so windows need no shuffle
+
+
+def test_quantiles_of_few_groups_do_not_shuffle_rows(spark):
+    """The rows were dealt by group to join their group's quantile, so a task held a group, or were broadcast themselves."""
+    rows = spark.range(20_000).selectExpr("id % 2 as g", "cast(id as double) as x")
+    out = _with_quantile(rows, ["g"], F.col("x"), 0.5, "m")
+    out.count()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
