@@ -89,10 +89,38 @@ def class_balanced_sample(
     return slots.join(ranked, [*by, "y_cls", "_rank"]).select(*by, "batch", "slot", "y_cls", key)
 
 
+#: Rows of a stratum up to which one task permutes it in memory; larger strata are ranked by prefix sums.
+IN_MEMORY = 20_000
+
+
+def _sizes(df: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """_h: the hashes of strata of more than IN_MEMORY rows: one in IN_MEMORY rows at most. Strata whose hashes collide count as one."""
+    return df.groupBy(F.xxhash64(*strata).alias("_h")).agg(F.count("*").alias("_n")).filter(F.col("_n") > IN_MEMORY).select("_h")
+
+
 def donors(df: DataFrame, key: str, seed: Column | str, strata: Sequence[str] = ()) -> DataFrame:
     """strata, key, donor: a permutation of the keys within each stratum: the i-th key gets the i-th in draw order.
 
-    Both ranks are prefix sums, so one stratum may hold all rows."""
+    Strata of many rows are ranked by prefix sums, so one may hold all rows; the others are permuted on one shuffle."""
+    if not strata:
+        return _ranked_donors(df, key, seed, strata)
+    large = F.broadcast(_sizes(df, strata))
+    hashed = F.xxhash64(*strata) == F.col("_h")
+    some = _small_donors(df.join(large, hashed, "left_anti"), key, seed, strata)
+    return some.select(*strata, key, "donor").union(_ranked_donors(df.join(large, hashed, "left_semi"), key, seed, strata))
+
+
+def _small_donors(df: DataFrame, key: str, seed: Column | str, strata: Sequence[str], rest: Sequence[str] = ()) -> DataFrame:
+    """strata, rest, key, donor, _n: as donors, with the number of rows of the stratum and a value of each of rest in it; a stratum
+    is a row of one shuffle."""
+    rows = df.select(*strata, F.struct(draw("order", F.col(key)).alias("o"), F.col(key).alias("k")).alias("_o"), *rest, F.struct(draw(seed, F.col(key)).alias("d"), F.col(key).alias("k")).alias("_d"))
+    held = rows.groupBy(*strata).agg(F.array_sort(F.collect_list("_o")).alias("_a"), F.array_sort(F.collect_list("_d")).alias("_b"), *[F.first(c).alias(c) for c in rest])
+    pairs = F.zip_with("_a", "_b", lambda a, b: F.struct(a["k"].alias(key), b["k"].alias("donor")))
+    return held.select(*strata, *rest, F.size("_a").alias("_n"), F.inline(pairs))
+
+
+def _ranked_donors(df: DataFrame, key: str, seed: Column | str, strata: Sequence[str]) -> DataFrame:
+    """strata, key, donor: as donors; both ranks are prefix sums."""
     rows = df.select(*strata, F.col(key).alias("_k"), draw(seed, F.col(key)).alias("_d"), draw("order", F.col(key)).alias("_o"), F.lit(1).alias("_one"))
     bucket = lambda c: F.floor(F.col(c) / (1 << 22))
     a = running_sums(rows, strata, bucket("_o"), F.struct("_o", "_k"), {"_r": "_one"}).select(*strata, F.col("_k").alias(key), "_r")
@@ -116,14 +144,24 @@ def donor_summary(found: DataFrame, key: str, by: Sequence[str] = ()) -> DataFra
 def stratified_donors(df: DataFrame, key: str, seed: Column | str, fine: Sequence[str], coarse: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """by, key, donor, level: donors within the fine strata; rows alone there are permuted within the coarse ones, among themselves;
     rows alone there too stay (level 'none')."""
-    sized = lambda d, s: d.join(d.groupBy(*s).agg(F.count("*").alias("_n")), list(s))
     fine, coarse = [*by, *fine], [*by, *coarse]
-    first = sized(df, fine)
-    many, alone = first.filter("_n > 1").drop("_n"), first.filter("_n = 1").drop("_n")
-    second = sized(alone, coarse)
-    out = donors(many, key, seed, fine).select(*by, key, "donor", F.lit("fine").alias("level"))
-    out = out.union(donors(second.filter("_n > 1").drop("_n"), key, seed, coarse).select(*by, key, "donor", F.lit("coarse").alias("level")))
-    return out.union(second.filter("_n = 1").select(*by, key, F.col(key).alias("donor"), F.lit("none").alias("level")))
+    rows = df.select(*dict.fromkeys([*fine, *coarse]), key, *([seed.alias("_seed")] if isinstance(seed, Column) else []))
+    seed = F.col("_seed") if isinstance(seed, Column) else seed
+    large = F.broadcast(_sizes(rows, fine))
+    hashed = F.xxhash64(*fine) == F.col("_h")
+    rest = [c for c in coarse if c not in fine] + (["_seed"] if isinstance(seed, Column) else [])
+    # Rows alone need their coarse strata too: any value of the stratum, which has one row then.
+    small = rows.join(large, hashed, "left_anti")
+    first = _small_donors(small, key, seed, fine, rest)
+    many = first.filter("_n > 1").select(*by, key, "donor", F.lit("fine").alias("level"))
+    heavy = _ranked_donors(rows.join(large, hashed, "left_semi"), key, seed, fine).select(*by, key, "donor", F.lit("fine").alias("level"))
+    alone = first.filter("_n = 1").select(*dict.fromkeys([*coarse, *rest]), key)
+    few = F.broadcast(_sizes(alone, coarse))
+    hashed = F.xxhash64(*coarse) == F.col("_h")
+    second = _small_donors(alone.join(few, hashed, "left_anti"), key, seed, coarse)
+    level = F.when(F.col("_n") > 1, "coarse").otherwise("none")
+    out = many.union(heavy).union(second.select(*by, key, "donor", level.alias("level")))
+    return out.union(_ranked_donors(alone.join(few, hashed, "left_semi"), key, seed, coarse).select(*by, key, "donor", F.lit("coarse").alias("level")))
 
 
 def donor_table(df: DataFrame, key: str, seed: str, repeats: int, by: Sequence[str] = (), strata: Mapping[str, tuple[Sequence[str], Sequence[str]]] | None = None) -> DataFrame:

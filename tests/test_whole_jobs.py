@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hazeline import registry
 from hazeline.operators import align as joins
-from hazeline.operators import series
+from hazeline.operators import series, splits
 from hazeline.operators.units import _with_quantile
 from hazeline.plans import align, audit, ingest, resample
 from hazeline.views import Data
@@ -138,3 +138,15 @@ def test_quantiles_of_few_groups_do_not_shuffle_rows(spark):
     out.count()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_stratified_donors_of_large_and_small_strata(spark, monkeypatch):
+    """Strata over the limit are ranked by prefix sums, the others on one shuffle: the same donors, strata that are null too."""
+    rows = spark.range(400).selectExpr("cast(id as string) as k", "nullif(id % 7, 3) as f", "case when id < 300 then 0 else id end as g", "id % 2 as c")
+    found = {}
+    for limit in (10, 20_000):
+        monkeypatch.setattr(splits, "IN_MEMORY", limit)
+        out = splits.stratified_donors(rows, "k", "9", ["f", "g"], ["c"])
+        found[limit] = sorted(tuple(r) for r in out.collect())
+    assert found[10] == found[20_000]
+    assert len(found[10]) == 400 and {r[0] for r in found[10]} == {r[1] for r in found[10]}
