@@ -201,25 +201,23 @@ def permuted(df: DataFrame, donors: DataFrame, key: str, groups: Mapping[str, Se
     whole windows where they are arrays of steps. Mode 'none' has its row once, as feature 'baseline'.
 
     donors: mode, rep, strata, key, donor and, where anchors names one for each group, the anchor that chose it. One join for all
-    modes, repeats and groups: a row meets its donor's values once and the groups are rewrites of it in the same task.
+    modes, repeats and groups: a row meets its donor's values once and the groups are rewrites of it in the same task. The rows of
+    mode 'none' are those of df, not joined, so rows that share a key count once each.
     """
     columns = list(dict.fromkeys(c for cs in groups.values() for c in cs))
     given = df.select(*[F.col(c).alias(f"_{c}") for c in (*strata, key)], F.struct(*columns).alias("_given"))
-    chosen = donors.select("mode", "rep", *(["anchor"] if anchors else []), *strata, key, "donor")
+    chosen = donors.filter("mode <> 'none'").select("mode", "rep", *(["anchor"] if anchors else []), *strata, key, "donor")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in strata]
     met = chosen.join(df, [*strata, key]).join(given, [*same, F.col("donor") == F.col(f"_{key}")])
-    own = F.struct(*columns)
     rewrites = []
     for name, cs in groups.items():
         values = F.struct(*[(F.col(f"_given.{c}") if c in cs else F.col(c)).alias(c) for c in columns])
-        mine = F.col("mode") != "none"
-        if anchors:
-            mine = mine & ((F.col("mode") != "stratified") | (F.col("anchor") == (anchors[name] or "")))
+        mine = (F.col("mode") != "stratified") | (F.col("anchor") == (anchors[name] or "")) if anchors else F.lit(True)
         rewrites.append(F.when(mine, F.struct(F.lit(name).alias("feature"), values.alias("x"))))
-    rewrites.append(F.when(F.col("mode") == "none", F.struct(F.lit("baseline").alias("feature"), own.alias("x"))))
     rest = [c for c in df.columns if c not in columns]
     out = met.select("mode", "rep", *rest, F.explode(F.filter(F.array(*rewrites), lambda r: r.isNotNull())).alias("_r"))
-    return out.select("mode", "rep", "_r.feature", *rest, "_r.x.*")
+    base = df.select(F.lit("none").alias("mode"), F.lit(0).alias("rep"), F.lit("baseline").alias("feature"), *rest, *columns)
+    return out.select("mode", "rep", "_r.feature", *rest, "_r.x.*").unionByName(base)
 
 
 def permutation_importance(
