@@ -103,18 +103,30 @@ def with_views(sql: str, views: Mapping[str, str] = VIEWS) -> str:
     return f"with {', '.join(ctes)} {body}"
 
 
+#: HotSpot runs methods of more than 8,000 bytes of code without compiling them. Stages of many columns generate longer ones; under
+#: this limit Spark runs such a stage operator by operator, in short methods. The setting is the session's; one made by hand stays.
+_METHOD = ("spark.sql.codegen.hugeMethodLimit", "65535", "8000")
+
+
 class Data:
     """The views and tables of one folder as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        name, default, limit = _METHOD
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, limit)
+
+    @property
+    def tasks(self) -> int:
+        """The number of tasks that a table which a join expands is dealt to."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.spark.sparkContext.defaultParallelism)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.spark.sparkContext.defaultParallelism)
-        full = with_views(text, VIEWS | {name: x.format(n=n) for name, x in _SPREAD.items()})
+        full = with_views(text, VIEWS | {name: x.format(n=self.tasks) for name, x in _SPREAD.items()})
         for name in _TABLES:
             full = re.sub(rf"(\bfrom\s+){name}\b", rf"\1parquet.`{self.dir}/{name}.parquet`", full)
         return self.spark.sql(full)
