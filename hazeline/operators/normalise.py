@@ -69,8 +69,10 @@ def resolved_layouts(fields: DataFrame, names: Sequence[str], by: str = "source"
 
 
 def scatter_fields(long: DataFrame, keys: Sequence[str], names: Sequence[str], fill: float | None = 0.0) -> DataFrame:
-    """Long (keys, variable, value) to one column for each of names; slots without a field are fill."""
-    wide = long.groupBy(*keys).pivot("variable", list(names)).agg(F.first("value", ignorenulls=True))
+    """Long (keys, variable, value) to one column for each of names; slots without a field are fill, of repeated ones the largest counts.
+
+    One aggregation by keys: a pivot would count by keys and variable first, with a row for each field."""
+    wide = long.groupBy(*keys).agg(*[F.max(F.when(F.col("variable") == n, F.col("value"))).alias(n) for n in names])
     return wide if fill is None else wide.fillna(fill, subset=list(names))
 
 
