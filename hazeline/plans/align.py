@@ -123,9 +123,17 @@ n as (select *, row_number() over (partition by station_id order by d, gi, gj) a
 _GF = "select gi, gj, t, case when (gi+gj+t)%17=0 then null else elev_m+t*10.0e0 end as x from v_grid cross join (select distinct h as t from v_spine) k"
 
 
+def _field(v):
+    """The rows of _GF: cells are dealt to tasks by place and the hours broadcast, so that a join by place doesn't move the field."""
+    grid = v.v_grid.select("gi", "gj", "elev_m").repartition(v.tasks, "gi", "gj")
+    hours = F.broadcast(v.v_spine.select(F.col("h").alias("t")).distinct())  # a row an hour of the month
+    value = F.when((F.col("gi") + F.col("gj") + F.col("t")) % 17 != 0, F.col("elev_m") + F.col("t") * 10.0)
+    return grid.crossJoin(hours).select("gi", "gj", "t", value.alias("x"))
+
+
 @query("e12_idw_knn", f"with {_KNN}, q as (select *, w/sum(w) over (partition by station_id) as wn from n where r<=4), f as ({_GF}) select t, station_id, round(case when count(x)>=4 then sum(wn*x) end,6) as x from f join q on q.gi=f.gi and q.gj=f.gj group by 1,2")
 def knn(v):
-    out = A.idw_knn(A.knn_weights(v.v_station, v.v_grid), v.sql(_GF), ["t"], "x")
+    out = A.idw_knn(A.knn_weights(v.v_station, v.v_grid), _field(v), ["t"], "x")
     return out.select("t", "station_id", F.round("x", 6).alias("x"))
 
 
@@ -134,7 +142,7 @@ b as (select * from (select f.t, d.station_id, d.d, f.x, row_number() over (part
 o as (select t, station_id, coalesce(avg(case when d<0.01 then x end), sum(x/pow(greatest(d,1e-12),2))/sum(1/pow(greatest(d,1e-12),2))) as x from b group by 1,2)
 select m.t, s.station_id, round(case when cells>=4 then coalesce(x,mean) else coalesce(mean,0) end,6) as x from m cross join v_station s left join o on o.t=m.t and o.station_id=s.station_id""")
 def radius(v):
-    out = A.idw_radius(v.v_station, v.v_grid, v.sql(_GF), ["t"], "x")
+    out = A.idw_radius(v.v_station, v.v_grid, _field(v), ["t"], "x")
     return out.select("t", "station_id", F.round("x", 6).alias("x"))
 
 
