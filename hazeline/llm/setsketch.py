@@ -8,7 +8,8 @@ given both sizes, and a pair goes on unless the threshold is out by SURE in log-
 
 Only classes are asked for, so a group isn't compared pair by pair. (1) Each set of a band's bucket is compared with the
 bucket's least set, its leader: first with the leader it is likest to, then with those of other classes. (2) Buckets that still
-hold several classes besides their leader have the pairs across classes compared, in blocks. So every candidate pair is
+hold several classes besides their leader have the pairs across classes compared, in blocks; what links there are join labels of
+classes, a row a class and cell. So every candidate pair is
 confirmed, rejected, or inside one class already; the bands miss a pair at the threshold once in 300,000.
 
 Defined cases: A-Z are lowered, words are split at ASCII white space; fewer than SHINGLE words are one shingle; null texts and
@@ -138,12 +139,12 @@ def _whole_sets(rows: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFram
 
 
 def _confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (leader, set_id) whose whole sets reach the threshold."""
+    """The rows of pairs (leader, set_id, ...) whose whole sets reach the threshold."""
     b = whole.select("set_id", F.col("shingles").alias("b"))
     a = whole.select(F.col("set_id").alias("leader"), F.col("shingles").alias("a"))
     both = F.size(F.array_intersect("a", "b"))
     reached = (100 + percent) * both >= percent * (F.size("a") + F.size("b"))
-    return pairs.select("leader", "set_id").join(b, "set_id").join(a, "leader").filter(reached).select("leader", "set_id")
+    return pairs.join(b, "set_id").join(a, "leader").filter(reached).select(pairs.columns)
 
 
 def _distinct(described: DataFrame) -> DataFrame:
@@ -176,34 +177,46 @@ def _across(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 def _other_classes(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     block, a, b = cell.column("block").to_numpy(), cell.column("a")[0].as_py(), cell.column("b")[0].as_py()
     left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-    names: dict[bytes, int] = {}
-    label = np.array([names.setdefault(x, len(names)) for x in cell.column("label").to_pylist()])
+    _, label = _classes(cell)
     return left, right, label[left][:, None] != label[right][None]
 
 
+def _classes(cell: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    """The labels of a cell in ascending order, and each row's place among them."""
+    labels = cell.column("label").to_pylist()
+    names = sorted(set(labels))
+    place = dict(zip(names, range(len(names)), strict=True))
+    return names, np.array([place[x] for x in labels])
+
+
 def _cell_links(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """leader, set_id: for each row of a cell with links, its least partner, and for each partner too."""
+    """leader, set_id: each class of a cell, by its label, with the least class that links lead to in the cell: a row a class at most."""
     for cell in _cells(batches):
         left, right, pairs = _other_classes(cell)
         values = [x.values.to_numpy().view(np.uint64) for x in cell.column("shingles").combine_chunks()]
         n = np.array([len(v) for v in values], np.float64)
         linked = pairs & ((100 + percent) * _overlaps(values, left, right) >= percent * (n[left][:, None] + n[right][None]))
-        ids = cell.column("set_id").to_pylist()
-        # A link of each row and one of each column keep all their rows and columns joined, class by class.
-        found = set()
-        for i in np.flatnonzero(linked.any(axis=1)):
-            found |= {(ids[left[i]], ids[right[j]]) for j in _of_each_class(cell, right, linked[i])}
-        for j in np.flatnonzero(linked.any(axis=0)):
-            found |= {(ids[left[i]], ids[right[j]]) for i in _of_each_class(cell, left, linked[:, j])}
-        if found:
-            yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*sorted(found), strict=True)], names=["leader", "set_id"])
-
-
-def _of_each_class(cell: pa.Table, side: np.ndarray, linked: np.ndarray) -> list[int]:
-    """One linked place of each class; its class is joined already."""
-    places = np.flatnonzero(linked).tolist()
-    labels = cell.column("label").take(pa.array(side[places])).to_pylist()
-    return list(dict(zip(labels, places, strict=True)).values())
+        names, label = _classes(cell)
+        i, j = np.nonzero(linked)
+        both = np.unique(label[left[i]].astype(np.int64) * len(names) + label[right[j]])
+        least = _least(both // len(names), both % len(names), len(names))
+        joined = np.flatnonzero(least < np.arange(len(names)))
+        if len(joined):
+            columns = [pa.array([names[x] for x in least[joined]], pa.binary()), pa.array([names[x] for x in joined], pa.binary())]
+            yield pa.record_batch(columns, names=["leader", "set_id"])
+
+
+def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of the numbers under n that the links (a, b) join each of them to."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        near = np.minimum(least[a], least[b])
+        np.minimum.at(least, a, near)
+        np.minimum.at(least, b, near)
+        least = least[least]
+        if (least == before).all():
+            return least
 
 
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -255,8 +268,10 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = _labels(links)
     of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
     apart = likely.join(of("leader"), "leader", "left").join(of("set_id"), "set_id", "left")
-    apart = apart.filter(F.coalesce("label_leader", "leader") != F.coalesce("label_set_id", "set_id"))
-    more = stored(_confirmed(apart, whole, percent), "links")
+    apart = apart.select("leader", "set_id", *[F.coalesce(f"label_{c}", c).alias(f"label_{c}") for c in ("leader", "set_id")])
+    more = _confirmed(apart.filter("label_leader <> label_set_id"), whole, percent)
+    # A link joins two classes whole, so it is one of their labels, however many of their sets are linked.
+    more = stored(more.select(F.col("label_leader").alias("leader"), F.col("label_set_id").alias("set_id")).distinct(), "links")
     if more.limit(1).count():
         links = links.union(more)
         labels = _labels(links)

@@ -1,6 +1,7 @@
 """Near duplicates by SetSketch against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,26 @@ def test_cells_alone_give_all_classes(spark, monkeypatch, block):
     assert sorted(map(sorted, classes.values())) == sorted(sorted(x) for x in wanted.values() if len(x) > 1)
 
 
+def test_a_cell_links_classes_not_rows():
+    """Two classes of many rows that are all linked gave a link for each row."""
+    rows, shingles_ = 40, list(range(100))
+    cell = pa.table({
+        "node": pa.array([7] * rows), "a": pa.array([0] * rows, pa.int32()), "b": pa.array([0] * rows, pa.int32()), "block": pa.array([0] * rows, pa.int32()),
+        "set_id": pa.array([b"s%02d" % i for i in range(rows)]), "label": pa.array([b"c%d" % (i % 4) for i in range(rows)]),
+        "shingles": pa.array([[x + (1000 if i % 4 == 3 else 0) for x in shingles_] for i in range(rows)], pa.list_(pa.int64())),
+    })
+    links = [tuple(r.values()) for b in setsketch._cell_links(80, iter(cell.to_batches())) for r in b.to_pylist()]
+    assert sorted(links) == [(b"c0", b"c1"), (b"c0", b"c2")]
+
+
+def test_least_follows_chains():
+    rng = np.random.default_rng(1)
+    order = rng.permutation(300)
+    least = setsketch._least(order[:199], order[1:200], 300)
+    assert (least[order[:200]] == order[:200].min()).all()
+    assert (least[order[200:]] == order[200:]).all()
+
+
 def test_classes_of_the_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     got = sorted(repr(tuple(r)) for r in setsketch.op11_setsketch(spark, sf).collect())
