@@ -78,6 +78,11 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return out
 
 
+_SPACES = frozenset(np.flatnonzero(_SPACE).tolist())
+#: Units that the library gets as one text.
+JOINED = 256
+
+
 class UnitEncoder:
     """Ids of whole texts as little-endian bytes by the tokenizers library.
 
@@ -91,6 +96,11 @@ class UnitEncoder:
         self.name, self.most, self.cut = name, most, can_be_cut(name)
         self.added = [t.content for t in tokenizer(name).get_added_tokens_decoder().values()]
         self.width = np.dtype("<u4") if tokenizer(name).get_vocab_size() > 1 << 16 else np.dtype("<u2")
+        # Bytes of each id: the pattern's tokens hold a character a byte. Added tokens with white space could lie across joined units.
+        vocabulary = tokenizer(name).get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.join = self.cut and not any(c.isspace() for t in self.added for c in t)
         self.known: dict[bytes, int] = {}  # a number by unit; its ids are flat[start[number] : start[number + 1]]
         self.flat, self.start = np.zeros(0, self.width), np.zeros(1, np.int64)
 
@@ -100,16 +110,35 @@ class UnitEncoder:
         n = np.array([len(x) for x in found], np.int64)
         return np.fromiter(chain.from_iterable(found), self.width, int(n.sum())), n
 
+    def _joined(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units that begin with white space and end with another character, and their number by unit.
+
+        A pre-token starts at each of them in whatever follows the other, so the library gets them joined, and the ids are
+        divided by their bytes."""
+        ids, _ = self.library([b"".join(units[at : at + JOINED]).decode("utf-8") for at in range(0, len(units), JOINED)])
+        ends, bounds = np.cumsum(self.size[ids]), np.cumsum([len(x) for x in units])
+        last = np.searchsorted(ends, bounds)
+        if not len(ends) or ends[-1] != bounds[-1] or (ends[last] != bounds).any():  # a vocabulary of another kind
+            self.join = False
+            return self.library([x.decode("utf-8") for x in units])
+        return ids, np.diff(last, prepend=-1)
+
+    def _learn(self, units: list[bytes], encode) -> None:
+        for at in range(0, len(units), 20_000):
+            few = units[at : at + 20_000]
+            ids, n = encode(few)
+            self.known.update(zip(few, range(len(self.known), len(self.known) + len(few)), strict=True))
+            self.start = np.r_[self.start, self.start[-1] + np.cumsum(n)]
+            self.flat = np.r_[self.flat, ids]
+
     def _numbers(self, units: pa.Array) -> np.ndarray:
         """The numbers of distinct units, new ones encoded first."""
         names = units.to_pylist()
         new = [x for x in names if x not in self.known]
-        for at in range(0, len(new), 20_000):
-            few = new[at : at + 20_000]
-            ids, n = self.library([x.decode("utf-8") for x in few])
-            self.known.update(zip(few, range(len(self.known), len(self.known) + len(few)), strict=True))
-            self.start = np.r_[self.start, self.start[-1] + np.cumsum(n)]
-            self.flat = np.r_[self.flat, ids]
+        if self.join:
+            self._learn([x for x in new if x[0] in _SPACES and x[-1] < 128 and x[-1] not in _SPACES], self._joined)
+            new = [x for x in new if x not in self.known]
+        self._learn(new, lambda few: self.library([x.decode("utf-8") for x in few]))
         numbers = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
         if len(self.known) > self.most:
             self._keep(names, numbers)
