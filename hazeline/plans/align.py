@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from hazeline.functions.physics import visibility_class
@@ -187,8 +189,9 @@ full_w as (select station_id, h from w group by 1,2 having count(*)=12)
 select w.station_id, w.h, variant, round(sum(case when variant in ('u10','all') then w.v10 else w.u10 end*(lag+12)),6) as u, round(sum(case when variant in ('v10','all') then w.u10 else w.v10 end*(lag+12)),6) as v
 from w join full_w using (station_id, h), (select unnest(['u10','v10','all']) as variant) x group by 1,2,3""")
 def swap(v):
-    w = S.sliding_window(v.v_met.select("station_id", "h", "u10", "v10"), ["u10", "v10"]).select("station_id", "h", "win")
-    donor = w.withColumn("win", F.transform("win", lambda s: s.withField("u10", s["v10"]).withField("v10", s["u10"])))
-    out = A.donor_swap(w, donor, ["station_id", "h"], "win", ["u10", "v10"])
-    total = lambda c: F.round(F.aggregate(F.transform("win", lambda s, i: s[c] * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6)
+    base = v.v_met.select("station_id", "h", "u10", "v10")
+    donor = v.v_met.select("station_id", "h", F.col("v10").alias("u10"), F.col("u10").alias("v10"))
+    out = A.donor_swap(base, donor, ["u10", "v10"])
+    # Written out: lambdas of aggregate and transform aren't compiled.
+    total = lambda c: F.round(reduce(lambda a, b: a + b, [F.get(c, F.lit(i)) * (i + 1) for i in range(S.STEPS)]), 6)
     return out.select("station_id", "h", "variant", total("u10").alias("u"), total("v10").alias("v"))
