@@ -37,3 +37,8 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], na
     """df with name: the row's place, from 0, in the order of its group by; no task holds a group."""
     out = running_totals(df, by, order, {name: F.lit(1).cast("long")}, store)
     return out.withColumn(name, F.col(name) - 1)
+
+
+def large_groups(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
+    """_h: the hashes of groups of more than limit rows: one in limit rows at most. Groups whose hashes collide count as one."""
+    return df.groupBy(F.xxhash64(*by).alias("_h")).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select("_h")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hazeline.functions.checks import described, failing
 from hazeline.functions.prefix import running_sums
 from hazeline.functions.quantiles import exact_quantiles
-from hazeline.functions.ranks import running_totals
+from hazeline.functions.ranks import large_groups, running_totals
 from hazeline.sources.sinks import stored
 
 
@@ -94,8 +94,7 @@ IN_MEMORY = 20_000
 
 
 def _sizes(df: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """_h: the hashes of strata of more than IN_MEMORY rows: one in IN_MEMORY rows at most. Strata whose hashes collide count as one."""
-    return df.groupBy(F.xxhash64(*strata).alias("_h")).agg(F.count("*").alias("_n")).filter(F.col("_n") > IN_MEMORY).select("_h")
+    return large_groups(df, strata, IN_MEMORY)
 
 
 def donors(df: DataFrame, key: str, seed: Column | str, strata: Sequence[str] = ()) -> DataFrame:

@@ -87,7 +87,8 @@ def occurrence(v):
 f as (select station_id, valid_time, occ from n group by 1,2,3 having count(distinct source)=3 and max(case when source='B' then 1 else 0 end)=1)
 select n.source, n.station_id, n.occ, n.sample_id from n join f on f.station_id=n.station_id and f.valid_time=n.valid_time and f.occ=n.occ""")
 def aligned(v):
-    return A.align_to_reference(v.v_pred, "B", ["station_id", "valid_time"], ["sample_id"], 3).select("source", "station_id", "occ", "sample_id")
+    rows = v.v_pred.select("source", "station_id", "valid_time", "sample_id")
+    return A.align_to_reference(rows, "B", ["station_id", "valid_time"], ["sample_id"], 3).select("source", "station_id", "occ", "sample_id")
 
 
 _CELL = """a as (select station_id, gi, row_number() over (partition by station_id order by abs(g.lat-s.lat), gi) as k from v_station s, (select gi, min(lat) as lat from v_grid group by gi) g),

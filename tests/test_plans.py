@@ -86,3 +86,22 @@ def test_donor_swap_takes_windows_that_both_series_have(spark):
         other = [100 + y for y in x]
         want |= {(h, "a"): (other, [-1.0] * 3), (h, "b"): (x, [None] * 3), (h, "all"): (other, [None] * 3)}
     assert got == want
+
+
+def test_aligned_rows_are_moved_once(spark):
+    """F32: rows were dealt by ranges, written, counted by key and occurrence and joined, with all their columns."""
+    out = registry.queries()["e9_align_to_reference"](spark, SMALL)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_keys_of_many_and_few_rows_are_aligned_alike(spark, monkeypatch):
+    """Null keys meet none, a source that is null counts for none, occurrences beyond the shortest source go."""
+    rows = [(s, k, i) for k, sizes in {"hot": (50, 40, 45), "one": (2, 1, 3), "two": (1, 1, 0), None: (1, 1, 1)}.items() for s, n in zip("ABC", sizes) for i in range(n)]
+    df = spark.createDataFrame([*rows, (None, "one", 0), (None, "two", 0)], "source string, k string, i int")
+    found = {}
+    for limit in (20, 20_000):
+        monkeypatch.setattr(align, "IN_TASK", limit)
+        found[limit] = sorted((r.k, r.source or "", r.occ, r.i) for r in align.align_to_reference(df, "B", ["k"], ["i"], 3).collect())
+    assert found[20] == found[20_000]
+    assert found[20] == sorted([("hot", s, i, i) for s in "ABC" for i in range(40)] + [("one", s, 0, 0) for s in ("", "A", "B", "C")])
