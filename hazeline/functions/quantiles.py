@@ -7,17 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The first pass knows ranks to 1 / ACCURACY of a group's rows; brackets are wider than that by three ranks and more on both
-#: sides in groups of FEW rows and more, and hold all rows of smaller groups.
-ACCURACY, MARGIN, FEW = 10_000, 5e-4, 10_000
+#: A sketch knows ranks to 1 / ACCURACY of its rows. Brackets hold all rows of groups of fewer than FEW rows.
+ACCURACY, FEW = 10_000, 10_000
+#: A sketch grows with each that is merged into it, so that merging takes the square of their number. A group's are merged in BUCKETS
+#: parts; each gives POINTS values at even ranks, a part of few rows about one a row.
+BUCKETS, POINTS = 32, 2_000
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], values: Mapping[str, Column], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
     """by and one column for each of wanted: the quantile of one of values, interpolated between ranks; null without a value.
 
-    A mergeable sketch brackets each quantile. The second pass counts rows by value inside the brackets and as one sum
-    between them, so that running counts give the exact ranks; it keeps some thousandths of the distinct values of a
-    group, and their window may spill. Brackets and quantiles, a row a group and much smaller than its sketch, are broadcast: a
+    Mergeable sketches bracket each quantile: of the values that a group's sketches give, the last that is surely below it and the
+    first that surely isn't, by their running counts and the greatest error of these. The second pass counts rows by value inside the
+    brackets and as one sum between them, so that running counts give the exact ranks; it keeps some thousandths of the
+    distinct values of a group, and their window may spill. Brackets and quantiles, a row a group and much smaller than its sketch, are broadcast: a
     join by few groups would have a task a group.
     """
     keys, names = [f"_k{i}" for i in range(len(by))], list(values)
@@ -27,11 +30,24 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], values: Mapping[str, Colum
     long = held.select(*keys, F.explode("_v").alias("_v")) if len(names) > 1 else held.select(*keys, F.get("_v", F.lit(0)).alias("_v"))
     long = long.select(*keys, "_v._e", "_v._x")
 
-    at = [F.lit(q) for p in points for q in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
-    per = long.groupBy(*keys, "_e").agg(F.count("_x").alias("_n"), F.percentile_approx("_x", F.array(*at), ACCURACY).alias("_b"))
-    whole = lambda i: F.lit(float("inf") if i % 2 else float("-inf"))
-    edges = [F.when(F.col("_n") < FEW, whole(i)).otherwise(F.get("_b", F.lit(i))).alias(f"_b{i}") for i in range(len(at))]
-    bounds = per.select(*[F.col(k).alias(f"_g{k}") for k in keys], F.col("_e").alias("_ge"), "_n", *edges)
+    even = F.expr(f"array({','.join(f'{i / POINTS}D' for i in range(1, POINTS + 1))})")
+    parts = long.withColumn("_s", F.spark_partition_id() % BUCKETS).groupBy(*keys, "_e", "_s").agg(F.count("_x").alias("_m"), F.percentile_approx("_x", even, ACCURACY).alias("_b"))
+    parts = parts.withColumn("_every", F.ceil(F.lit(POINTS) / F.greatest("_m", F.lit(1))))
+    thinned = parts.withColumn("_b", F.filter("_b", lambda _, i: (i + 1) % F.col("_every") == 0))
+    group = Window.partitionBy(*keys, "_e")
+    sized = thinned.withColumn("_n", F.sum("_m").over(group))
+    marks = sized.select(*keys, "_e", "_n", (F.col("_m") * F.col("_every")).alias("_w"), F.explode_outer(F.when(F.col("_n") >= FEW, F.col("_b"))).alias("_b"))
+    marks = marks.withColumn("_to", F.sum(F.when(F.col("_b").isNotNull(), F.col("_w"))).over(group.orderBy("_b")))  # rows, times POINTS
+    rank = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    error = F.col("_n") * (1 / POINTS + 1 / ACCURACY) + 6 * BUCKETS
+    edges = [
+        e for i, p in enumerate(points) for e in (
+            F.coalesce(F.max(F.when(F.col("_to") <= (F.floor(rank(p)) - error) * POINTS, F.col("_b"))), F.lit(float("-inf"))).alias(f"_b{2 * i}"),
+            F.coalesce(F.min(F.when(F.col("_to") >= (F.ceil(rank(p)) + error) * POINTS, F.col("_b"))), F.lit(float("inf"))).alias(f"_b{2 * i + 1}"),
+        )
+    ]
+    per = marks.groupBy(*keys, "_e", "_n").agg(*edges)
+    bounds = per.withColumnsRenamed({k: f"_g{k}" for k in keys} | {"_e": "_ge"})
     same = F.col("_e") == F.col("_ge")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_g{k}"))
@@ -46,7 +62,6 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], values: Mapping[str, Colum
     counts = long.filter(x.isNotNull()).join(F.broadcast(bounds), same).groupBy(*keys, "_e", place.alias("_p")).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
     counts = counts.withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys, "_e").orderBy("_p")))
 
-    rank = lambda p: (F.col("_n") - 1) * F.lit(float(p))
     reach = lambda r: F.min(F.when(F.col("_to") > r, F.col("_p")))
     found = counts.groupBy(*keys, "_e").agg(
         F.max("_n").alias("_n"),
