@@ -196,13 +196,14 @@ def event_scores(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return s.select(*by, ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")).alias("csi"), (F.col("sq_error") / F.col("n")).alias("brier"))
 
 
-def permuted(df: DataFrame, donors: DataFrame, key: str, groups: Mapping[str, Sequence[str]], strata: Sequence[str] = ("source",), anchors: Mapping[str, str | None] | None = None) -> DataFrame:
+def permuted(df: DataFrame, donors: DataFrame, key: str, groups: Mapping[str, Sequence[str]], strata: Sequence[str] = ("source",), anchors: Mapping[str, str | None] | None = None, whole: bool = False) -> DataFrame:
     """mode, rep, feature and the columns of df, once for each row of donors and each group: those of the group are the donor's,
     whole windows where they are arrays of steps. Mode 'none' has its row once, as feature 'baseline'.
 
     donors: mode, rep, strata, key, donor and, where anchors names one for each group, the anchor that chose it. One join for all
     modes, repeats and groups: a row meets its donor's values once and the groups are rewrites of it in the same task. The rows of
-    mode 'none' are those of df, not joined, so rows that share a key count once each.
+    mode 'none' are those of df that donors names in it, once each also where they share a key; all of df, not joined, where
+    whole says that donors names them all, as a donor_table of df does.
     """
     columns = list(dict.fromkeys(c for cs in groups.values() for c in cs))
     given = df.select(*[F.col(c).alias(f"_{c}") for c in (*strata, key)], F.struct(*columns).alias("_given"))
@@ -216,6 +217,9 @@ def permuted(df: DataFrame, donors: DataFrame, key: str, groups: Mapping[str, Se
         rewrites.append(F.when(mine, F.struct(F.lit(name).alias("feature"), values.alias("x"))))
     rest = [c for c in df.columns if c not in columns]
     out = met.select("mode", "rep", *rest, F.explode(F.filter(F.array(*rewrites), lambda r: r.isNotNull())).alias("_r"))
+    if not whole:
+        named = donors.filter("mode = 'none'").select(*[F.col(c).alias(f"_{c}") for c in (*strata, key)])
+        df = df.join(named, [*same, F.col(key) == F.col(f"_{key}")], "left_semi")
     base = df.select(F.lit("none").alias("mode"), F.lit(0).alias("rep"), F.lit("baseline").alias("feature"), *rest, *columns)
     return out.select("mode", "rep", "_r.feature", *rest, "_r.x.*").unionByName(base)
 
@@ -226,10 +230,10 @@ def permutation_importance(
     """feature, mode, rep, by..., tp, fp, fn, sq_error, n: event counts by date with a group permuted (feature 'baseline', mode
     'none': nothing).
 
-    score adds probabilities to rows; donors is a donor_table. All rewrites are scored in one pass and counted before
+    score adds probabilities to rows; donors is a donor_table of df. All rewrites are scored in one pass and counted before
     they are shuffled.
     """
-    return event_counts(score(permuted(df, donors, key, groups, strata, anchors)), ["feature", "mode", "rep", *by])
+    return event_counts(score(permuted(df, donors, key, groups, strata, anchors, whole=True)), ["feature", "mode", "rep", *by])
 
 
 def importance(daily: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
