@@ -6,11 +6,13 @@ Random choices come from md5 of the seed and the row's key, so any engine, and a
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.functions.checks import described, failing
+from hazeline.functions.packing import pack, unpack
 from hazeline.functions.prefix import running_sums
 from hazeline.functions.quantiles import exact_quantiles
 from hazeline.functions.ranks import large_groups, running_totals
@@ -89,46 +91,113 @@ def class_balanced_sample(
     return slots.join(ranked, [*by, "y_cls", "_rank"]).select(*by, "batch", "slot", "y_cls", key)
 
 
-#: Rows of a stratum up to which one task permutes it in memory; larger strata are ranked by prefix sums.
-IN_MEMORY = 20_000
+#: Rows of a stratum up to which one task permutes it in memory; larger strata are permuted by chunks of about as many.
+IN_MEMORY = 100_000
+#: Buckets of draws a chunk; cells that strata are counted by before they are told apart.
+BUCKETS, CELLS = 8, 1 << 16
 
 
-def _sizes(df: DataFrame, strata: Sequence[str]) -> DataFrame:
-    return large_groups(df, strata, IN_MEMORY)
+def _place(seed: Column | str, key: Column) -> Column:
+    """As draw, as eight hexadecimal digits, which have the same order."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(seed) if isinstance(seed, str) else seed, key.cast("string")).cast("binary")), 1, 8)
 
 
 def donors(df: DataFrame, key: str, seed: Column | str, strata: Sequence[str] = ()) -> DataFrame:
     """strata, key, donor: a permutation of the keys within each stratum: the i-th key gets the i-th in draw order.
 
-    Strata of many rows are ranked by prefix sums, so one may hold all rows; the others are permuted on one shuffle."""
+    Strata of many rows are permuted by chunks of ranks, so one may hold all rows; the others on one shuffle."""
     if not strata:
-        return _ranked_donors(df, key, seed, strata)
-    large = F.broadcast(_sizes(df, strata))
-    hashed = F.xxhash64(*strata) == F.col("_h")
-    some = _small_donors(df.join(large, hashed, "left_anti"), key, seed, strata)
-    return some.select(*strata, key, "donor").union(_ranked_donors(df.join(large, hashed, "left_semi"), key, seed, strata))
-
-
-def _small_donors(df: DataFrame, key: str, seed: Column | str, strata: Sequence[str], rest: Sequence[str] = ()) -> DataFrame:
-    """strata, rest, key, donor, _n: as donors, with the number of rows of the stratum and a value of each of rest in it; a stratum
-    is a row of one shuffle."""
-    rows = df.select(*strata, F.struct(draw("order", F.col(key)).alias("o"), F.col(key).alias("k")).alias("_o"), *rest, F.struct(draw(seed, F.col(key)).alias("d"), F.col(key).alias("k")).alias("_d"))
-    held = rows.groupBy(*strata).agg(F.array_sort(F.collect_list("_o")).alias("_a"), F.array_sort(F.collect_list("_d")).alias("_b"), *[F.first(c).alias(c) for c in rest])
-    pairs = F.zip_with("_a", "_b", lambda a, b: F.struct(a["k"].alias(key), b["k"].alias("donor")))
-    return held.select(*strata, *rest, F.size("_a").alias("_n"), F.inline(pairs))
-
-
-def _ranked_donors(df: DataFrame, key: str, seed: Column | str, strata: Sequence[str]) -> DataFrame:
-    """strata, key, donor: as donors; both ranks are prefix sums."""
-    rows = df.select(*strata, F.col(key).alias("_k"), draw(seed, F.col(key)).alias("_d"), draw("order", F.col(key)).alias("_o"), F.lit(1).alias("_one"))
-    bucket = lambda c: F.floor(F.col(c) / (1 << 22))
-    a = running_sums(rows, strata, bucket("_o"), F.struct("_o", "_k"), {"_r": "_one"}).select(*strata, F.col("_k").alias(key), "_r")
-    b = running_sums(rows, strata, bucket("_d"), F.struct("_d", "_k"), {"_r": "_one"})
-    b = b.select(*[F.col(s).alias(f"_{i}") for i, s in enumerate(strata)], F.col("_k").alias("donor"), F.col("_r").alias("_q"))
-    same = F.col("_r") == F.col("_q")
-    for i, s in enumerate(strata):
-        same = same & F.col(s).eqNullSafe(F.col(f"_{i}"))
-    return a.join(b, same).select(*strata, key, "donor")
+        return donors(df.withColumn("_all", F.lit(0)), key, seed, ["_all"]).drop("_all")
+    carried = ["_seed"] if isinstance(seed, Column) else []
+    rows = df.select(*strata, key, *([seed.alias("_seed")] if carried else []))
+    return permuted_rows(rows, key, [F.col("_seed") if carried else seed], strata, carried).select(*strata, key, "donor")
+
+
+def permuted_rows(df: DataFrame, key: str, seeds: Sequence[Column | str], strata: Sequence[str], own: Sequence[str] = (), given: Sequence[str] = ()) -> DataFrame:
+    """strata, own, key, donor, _given, _rep, _n: for each of seeds (_rep from 0) a permutation within each stratum: the i-th row gets, as
+    _given, the columns given of the row that is the i-th in the order of draw(seed, key); _n: the rows of the stratum.
+
+    Seeds may name columns of own. A row is moved once where its stratum has IN_MEMORY rows or fewer, and all of the stratum is in one task. A
+    larger stratum is cut into chunks of ranks and a row is moved to that of its own rank and those of its ranks as a donor, packed and
+    without its draws, which are made again: counts by buckets of draws, made before, tell the ranks. The few buckets that lie across
+    the ends of a chunk are moved twice. No task holds more than some chunks.
+    """
+    large = _large_strata(df, strata)
+    columns = [*strata, *own, key, "donor", "_given", "_rep", "_n"]
+    same = _same_strata(strata)
+    if large.isEmpty():
+        return _in_tasks(df, key, seeds, strata, own, given).select(columns)
+    small = _in_tasks(df.join(F.broadcast(large), same, "left_anti"), key, seeds, strata, own, given).select(columns)
+    tagged = df.join(F.broadcast(large), same)
+    return small.union(_in_chunks(tagged, large, key, seeds, strata, own, given).select(columns))
+
+
+def _same_strata(strata: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in strata])
+
+
+def _large_strata(df: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """_of_<strata>, _g (a number), _n and _width (of a bucket of draws) of the strata of more than IN_MEMORY rows, a row in as many.
+
+    Rows are counted by cells of strata first, which combine before they are shuffled; only strata of a large cell are counted one by one."""
+    cell = F.pmod(F.xxhash64(*strata), F.lit(CELLS))
+    cells = df.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n")).filter(F.col("_n") > IN_MEMORY).select("_cell")
+    counts = df.join(F.broadcast(cells), cell == F.col("_cell"), "left_semi").groupBy(*[F.col(c).alias(f"_of_{c}") for c in strata]).agg(F.count("*").alias("_n"))
+    bits = F.least(F.ceil(F.log2(F.col("_n") * BUCKETS / IN_MEMORY)), F.lit(31))
+    return stored(counts.filter(F.col("_n") > IN_MEMORY).select("*", F.monotonically_increasing_id().alias("_g"), F.pow(F.lit(2.0), 32 - bits).cast("long").alias("_width")), "large-strata")
+
+
+def _permutations(held: DataFrame, seeds: Sequence[Column | str], key: str, own: Sequence[str], sides: Sequence[Column]) -> DataFrame:
+    """held, a row a stratum or chunk with its rows in order (_a) and, in sides, their donors in order, as a row a pair and seed."""
+    out = held.withColumn("_b", F.array(*sides)).select("*", F.posexplode("_b").alias("_rep", "_c"))
+    kept = [c for c in held.columns if not c.startswith(("_a", "_b"))]
+    pairs = out.select(*kept, "_rep", F.inline(F.arrays_zip("_a", "_c")))
+    return pairs.select(*kept, "_rep", F.col("_a._k").alias(key), *[F.col(f"_a.{c}") for c in own], F.col("_c._k").alias("donor"), F.col("_c._given").alias("_given"))
+
+
+def _in_tasks(df: DataFrame, key: str, seeds: Sequence[Column | str], strata: Sequence[str], own: Sequence[str], given: Sequence[str]) -> DataFrame:
+    """permuted_rows of strata of which a task can hold any."""
+    taken = df.select(*dict.fromkeys([*strata, *own, *given, key]))
+    names = list(dict.fromkeys([*strata, key]))
+    rows = unpack(pack(taken, names).repartition(*strata), taken, [key])
+    k = F.col(key)
+    a = F.struct(_place("order", k).alias("_o"), k.alias("_k"), *own)
+    b = [F.struct(_place(s, k).alias("_o"), k.alias("_k"), F.struct(*(given or [F.lit(None).alias("none")])).alias("_given")) for s in seeds]
+    held = rows.groupBy(*strata).agg(F.sort_array(F.collect_list(a)).alias("_a"), *[F.sort_array(F.collect_list(x)).alias(f"_b{i}") for i, x in enumerate(b)])
+    held = unpack(held.withColumn("_n", F.size("_a").cast("long")), taken, list(strata))
+    return _permutations(held, seeds, key, own, [F.col(f"_b{i}") for i in range(len(b))])
+
+
+def _in_chunks(tagged: DataFrame, large: DataFrame, key: str, seeds: Sequence[Column | str], strata: Sequence[str], own: Sequence[str], given: Sequence[str]) -> DataFrame:
+    """permuted_rows of the strata of large; tagged: the rows with _g and _width of theirs. Side 0 of a row is its rank, the others are
+    its ranks as a donor. Chunks end where buckets of side 0 do."""
+    sides = ["order", *seeds]
+    every = F.posexplode(F.array(*[F.floor(draw(s, F.col(key)) / F.col("_width")) for s in sides])).alias("_side", "_bucket")
+    counts = tagged.select("_g", every).groupBy("_g", "_side", "_bucket").agg(F.count("*").alias("_m"))
+    counts = counts.withColumn("_base", F.sum("_m").over(Window.partitionBy("_g", "_side").orderBy("_bucket")) - F.col("_m"))
+    first = F.col("_side") == 0
+    ends = F.explode(F.when(first, F.array("_base")).otherwise(F.array(F.col("_base"), F.col("_base") + F.col("_m") - 1))).alias("_x")
+    marks = counts.select("*", ends).withColumn("_own", F.when(first, F.floor(F.col("_base") / IN_MEMORY)))
+    along = Window.partitionBy("_g").orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, 0)  # a row a bucket and end
+    marks = marks.withColumn("_chunk", F.last("_own", ignorenulls=True).over(along))
+    places = marks.groupBy("_g", "_side", "_bucket").agg(F.min("_base").alias("_base"), F.sequence(F.min("_chunk"), F.max("_chunk")).cast("array<int>").alias("_chunks"))
+    places = stored(places, "chunks")
+    starts = places.select("_g", "_side", "_base", F.explode("_chunks").alias("_chunk")).groupBy("_g", "_chunk")
+    starts = starts.agg(*[F.min(F.when(F.col("_side") == i, F.col("_base"))).alias(f"_start{i}") for i in range(len(sides))])
+
+    taken = tagged.select(*dict.fromkeys([*own, *given, key]))
+    rows = tagged.select(*taken.columns, "_g", every).join(F.broadcast(places), ["_g", "_side", "_bucket"])
+    by_row = any(isinstance(s, Column) for s in seeds)  # a donor needs its seed
+    of = lambda c: F.col(c) if c == key or by_row or (c in own and c in given) else F.when(first if c in own else ~first, F.col(c))
+    moved = rows.select("_g", F.explode("_chunks").alias("_chunk"), F.col("_side").cast("byte").alias("_side"), *[of(c).alias(c) for c in taken.columns])
+    moved = unpack(pack(moved, [key]).repartition("_g", "_chunk"), taken, [key])
+    k = F.col(key)
+    a = F.when(first, F.struct(_place("order", k).alias("_o"), k.alias("_k"), *own))
+    b = [F.when(F.col("_side") == i, F.struct(_place(s, k).alias("_o"), k.alias("_k"), F.struct(*(given or [F.lit(None).alias("none")])).alias("_given"))) for i, s in enumerate(seeds, 1)]
+    held = moved.groupBy("_g", "_chunk").agg(F.sort_array(F.collect_list(a)).alias("_a"), *[F.sort_array(F.collect_list(x)).alias(f"_b{i}") for i, x in enumerate(b, 1)])
+    held = held.join(F.broadcast(starts), ["_g", "_chunk"]).join(F.broadcast(large.drop("_width").withColumnsRenamed({f"_of_{c}": c for c in strata})), "_g")
+    cut = [F.slice(f"_b{i}", (F.col("_start0") - F.col(f"_start{i}") + 1).cast("int"), F.size("_a")) for i in range(1, len(sides))]
+    return _permutations(held, seeds, key, own, cut)
 
 
 def donor_summary(found: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -143,24 +212,34 @@ def donor_summary(found: DataFrame, key: str, by: Sequence[str] = ()) -> DataFra
 def stratified_donors(df: DataFrame, key: str, seed: Column | str, fine: Sequence[str], coarse: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """by, key, donor, level: donors within the fine strata; rows alone there are permuted within the coarse ones, among themselves;
     rows alone there too stay (level 'none')."""
+    carried = ["_seed"] if isinstance(seed, Column) else []
+    rows = df.select(*dict.fromkeys([*by, *fine, *coarse]), key, *([seed.alias("_seed")] if carried else []))
+    out = stratified_rows(rows, key, [F.col("_seed") if carried else seed], fine, coarse, by, carried)
+    return out.select(*by, key, "donor", "level")
+
+
+def stratified_rows(
+    df: DataFrame, key: str, seeds: Sequence[Column | str], fine: Sequence[str], coarse: Sequence[str], by: Sequence[str] = (), own: Sequence[str] = (), given: Sequence[str] = (), keys: bool = True
+) -> DataFrame:
+    """by, own, key, donor, _given, _rep, level: as permuted_rows within the fine strata and, for rows alone there, among themselves within
+    the coarse ones. Without keys, key and donor are null where the level is 'fine'.
+
+    What the fine strata give is written once, packed; the rows alone in it are read several times."""
     fine, coarse = [*by, *fine], [*by, *coarse]
-    rows = df.select(*dict.fromkeys([*fine, *coarse]), key, *([seed.alias("_seed")] if isinstance(seed, Column) else []))
-    seed = F.col("_seed") if isinstance(seed, Column) else seed
-    large = F.broadcast(_sizes(rows, fine))
-    hashed = F.xxhash64(*fine) == F.col("_h")
-    rest = [c for c in coarse if c not in fine] + (["_seed"] if isinstance(seed, Column) else [])
-    # Rows alone need their coarse strata too: any value of the stratum, which has one row then.
-    small = rows.join(large, hashed, "left_anti")
-    first = _small_donors(small, key, seed, fine, rest)
-    many = first.filter("_n > 1").select(*by, key, "donor", F.lit("fine").alias("level"))
-    heavy = _ranked_donors(rows.join(large, hashed, "left_semi"), key, seed, fine).select(*by, key, "donor", F.lit("fine").alias("level"))
-    alone = first.filter("_n = 1").select(*dict.fromkeys([*coarse, *rest]), key)
-    few = F.broadcast(_sizes(alone, coarse))
-    hashed = F.xxhash64(*coarse) == F.col("_h")
-    second = _small_donors(alone.join(few, hashed, "left_anti"), key, seed, coarse)
+    held = list(dict.fromkeys([*coarse, *own]))  # of a row alone
+    first = permuted_rows(df, key, seeds, fine, [c for c in held if c not in fine], given)
+    alone = F.col("_n") == 1
+    some = lambda c, when: F.when(when, F.col(c)).alias(c)
+    names = [c for c in held if c not in by and c not in own]
+    kept = first.select(*by, *own, *[some(c, alone) for c in names], some(key, alone | F.lit(keys)), some("donor", ~alone & F.lit(keys)), "_given", "_rep", alone.alias("_alone"))
+    once = unpack(stored(pack(kept, [key, "donor"]), "fine-donors"), kept, [key, "donor"])
+    columns = [*by, *own, key, "donor", "_given", "_rep"]
+    many = once.filter("not _alone").select(*columns, F.lit("fine").alias("level"))
+    # Given columns that aren't kept as own ones are those of the row itself.
+    rest = once.filter("_alone and _rep = 0").select(*held, key, *[F.col(f"_given.{c}") for c in given if c not in held])
+    second = permuted_rows(rest, key, seeds, coarse, [c for c in own if c not in coarse], given)
     level = F.when(F.col("_n") > 1, "coarse").otherwise("none")
-    out = many.union(heavy).union(second.select(*by, key, "donor", level.alias("level")))
-    return out.union(_ranked_donors(alone.join(few, hashed, "left_semi"), key, seed, coarse).select(*by, key, "donor", F.lit("coarse").alias("level")))
+    return many.union(second.select(*columns, level.alias("level")))
 
 
 def donor_table(df: DataFrame, key: str, seed: str, repeats: int, by: Sequence[str] = (), strata: Mapping[str, tuple[Sequence[str], Sequence[str]]] | None = None) -> DataFrame:
@@ -181,6 +260,41 @@ def donor_table(df: DataFrame, key: str, seed: str, repeats: int, by: Sequence[s
     return found.select(*columns).union(own.select(*columns))
 
 
+def permuted_pairs(
+    df: DataFrame, key: str, seed: str, repeats: int, given: Sequence[str], by: Sequence[str] = (), strata: Mapping[str, tuple[Sequence[str], Sequence[str]]] | None = None
+) -> DataFrame:
+    """mode, anchor, rep, the columns of df but strata and key, and _given: the columns given of the row's donor, for each row of
+    donor_table(df, key, seed, repeats, by, strata) but those of mode 'none'.
+
+    Values are permuted as they are: no table of donors is written or joined by key. As a join by key would, a key of several rows
+    gives each with each of its donor's."""
+    seeds = [f"{seed}{i}" for i in range(1, repeats + 1)]
+    levels = {c for fine, coarse in (strata or {}).values() for c in (*fine, *coarse)}
+    own = [c for c in df.columns if c not in levels and c not in by and c != key]
+    often = stored(large_groups(df, [*by, key], 1), "repeated-keys")
+    repeated = not often.isEmpty()
+    columns = ["mode", "anchor", "rep", *by, *own, "_given", *([key, "donor"] if repeated else [])]
+    number = (F.col("_rep") + 1).alias("rep")
+    marginal = permuted_rows(df, key, seeds, by, own, given) if by else permuted_rows(df.withColumn("_all", F.lit(0)), key, seeds, ["_all"], own, given)
+    out = marginal.select("*", F.lit("marginal").alias("mode"), F.lit("").alias("anchor"), number).select(columns)
+    for anchor, (fine, coarse) in (strata or {}).items():
+        rows = stratified_rows(df, key, seeds, fine, coarse, by, own, given, keys=repeated)
+        out = out.union(rows.select("*", F.lit("stratified").alias("mode"), F.lit(anchor).alias("anchor"), number).select(columns))
+    if not repeated:
+        return out
+    several = df.join(often, F.xxhash64(*by, key) == F.col("_h"), "left_semi").groupBy(*[F.col(b).alias(f"_of_{b}") for b in by], F.col(key).alias("_of_key"))
+    several = stored(several.agg(F.collect_list(F.struct(*dict.fromkeys([*own, *given]))).alias("_rows")), "repeated-rows")
+    of = lambda c: reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by], F.col(c) == F.col("_of_key"))
+    drop = [*[f"_of_{b}" for b in by], "_of_key", "_rows"]
+    mine = F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in own])) if own else None
+    if own:
+        out = out.join(several, of(key), "left").withColumn("_own", F.explode(F.coalesce(mine, F.array(F.struct(*own))))).drop(*drop)
+        out = out.select("mode", "anchor", "rep", *by, "_own.*", "_given", "donor")
+    theirs = F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in given]))
+    out = out.join(several, of("donor"), "left").withColumn("_given", F.explode(F.coalesce(theirs, F.array("_given")))).drop(*drop)
+    return out.select([c for c in columns if c not in (key, "donor")])
+
+
 #: Features whose last value tells strata of the air's moisture or warmth apart, the first that is at hand (fixed values).
 ANCHORS = ("Q_1000", "RH2M", "RH_925", "DP_1000", "T2M")
 

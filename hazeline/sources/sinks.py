@@ -43,7 +43,7 @@ def remove_stored(spark: SparkSession, since: int = 0) -> None:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written once to the shared folder and read back, for small tables that cost much and are read several times."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
