@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazeline.operators.splits import permuted_pairs
 from hazeline.operators.verify import LOWER_IS_BETTER, argmax_class, metrics, ratio
 from hazeline.sources.sinks import stored
 
@@ -210,18 +211,28 @@ def permuted(df: DataFrame, donors: DataFrame, key: str, groups: Mapping[str, Se
     chosen = donors.filter("mode <> 'none'").select("mode", "rep", *(["anchor"] if anchors else []), *strata, key, "donor")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in strata]
     met = chosen.join(df, [*strata, key]).join(given, [*same, F.col("donor") == F.col(f"_{key}")])
+    out = _rewritten(met, df.columns, groups, anchors)
+    if not whole:
+        named = donors.filter("mode = 'none'").select(*[F.col(c).alias(f"_{c}") for c in (*strata, key)])
+        df = df.join(named, [*same, F.col(key) == F.col(f"_{key}")], "left_semi")
+    return out.unionByName(_baseline(df))
+
+
+def _baseline(df: DataFrame) -> DataFrame:
+    return df.select(F.lit("none").alias("mode"), F.lit(0).alias("rep"), F.lit("baseline").alias("feature"), *df.columns)
+
+
+def _rewritten(met: DataFrame, kept: Sequence[str], groups: Mapping[str, Sequence[str]], anchors: Mapping[str, str | None] | None) -> DataFrame:
+    """mode, rep, feature and the columns kept of met (mode, rep, anchor with anchors, _given), once for each group: its columns are those of _given."""
+    columns = list(dict.fromkeys(c for cs in groups.values() for c in cs))
     rewrites = []
     for name, cs in groups.items():
         values = F.struct(*[(F.col(f"_given.{c}") if c in cs else F.col(c)).alias(c) for c in columns])
         mine = (F.col("mode") != "stratified") | (F.col("anchor") == (anchors[name] or "")) if anchors else F.lit(True)
         rewrites.append(F.when(mine, F.struct(F.lit(name).alias("feature"), values.alias("x"))))
-    rest = [c for c in df.columns if c not in columns]
+    rest = [c for c in kept if c not in columns]
     out = met.select("mode", "rep", *rest, F.explode(F.filter(F.array(*rewrites), lambda r: r.isNotNull())).alias("_r"))
-    if not whole:
-        named = donors.filter("mode = 'none'").select(*[F.col(c).alias(f"_{c}") for c in (*strata, key)])
-        df = df.join(named, [*same, F.col(key) == F.col(f"_{key}")], "left_semi")
-    base = df.select(F.lit("none").alias("mode"), F.lit(0).alias("rep"), F.lit("baseline").alias("feature"), *rest, *columns)
-    return out.select("mode", "rep", "_r.feature", *rest, "_r.x.*").unionByName(base)
+    return out.select("mode", "rep", "_r.feature", *rest, "_r.x.*")
 
 
 def permutation_importance(
@@ -236,6 +247,20 @@ def permutation_importance(
     return event_counts(score(permuted(df, donors, key, groups, strata, anchors, whole=True)), ["feature", "mode", "rep", *by])
 
 
+def seeded_importance(
+    df: DataFrame, score, key: str, groups: Mapping[str, Sequence[str]], seed: str, repeats: int, strata: Mapping[str, tuple[Sequence[str], Sequence[str]]], by: Sequence[str] = ("source", "day"),
+    within: Sequence[str] = ("source",), anchors: Mapping[str, str | None] | None = None,
+) -> DataFrame:
+    """permutation_importance with the donors of donor_table(df, key, seed, repeats, within, strata); df holds the strata's columns.
+
+    Values are permuted themselves, so that no row is joined to its donor by key."""
+    given = list(dict.fromkeys(c for cs in groups.values() for c in cs))
+    levels = {c for fine, coarse in strata.values() for c in (*fine, *coarse)}
+    met = permuted_pairs(df, key, seed, repeats, given, within, strata)
+    kept = [c for c in df.columns if c not in levels and c != key]
+    return event_counts(score(_rewritten(met, kept, groups, anchors).unionByName(_baseline(df.select(*kept)))), ["feature", "mode", "rep", *by])
+
+
 def importance(daily: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
     """by, feature, mode, baseline_csi, csi_drop, brier_rise: means over repeats, against the baseline."""
     s = event_scores(daily, [*by, "feature", "mode", "rep"])
