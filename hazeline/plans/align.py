@@ -58,7 +58,7 @@ def lookup(v):
 
 @query("e7_paired_intersection", "select source, sample_id, y_cls from v_pred where sample_id in (select sample_id from v_pred group by sample_id having count(distinct source)=3)")
 def intersection(v):
-    return A.paired_intersection(v.v_pred, ["sample_id"], 3).select("source", "sample_id", "y_cls")
+    return A.paired_intersection(v.v_pred.select("source", "sample_id", "y_cls"), ["sample_id"], 3)
 
 
 @query("k9_pairing_coverage", "with f as (select sample_id, count(distinct source)=3 as c from v_pred group by 1) select source, count(*) as n_rows, count(*) filter (where c) as n_common, round(1.0e0*count(*) filter (where c)/count(*),6) as fraction from v_pred join f using (sample_id) group by 1")
